@@ -246,3 +246,187 @@ def _query_features(spark, sf):
     return features.query_features(
         D.executions(spark, sf), D.execution_ends(spark, sf), D.aqe_updates(spark, sf),
         D.app_conf(spark, sf), D.stages(spark, sf), D.tasks(spark, sf))
+
+
+# ---------------------------------------------------------------- N family
+from pipelens.functions import names as N  # noqa: E402
+from pipelens.plans import rename  # noqa: E402
+
+INSTANCE, ENV = "E01", "P"
+
+
+def _v2(spark, sf):
+    return rename.rename_v2(D.jobs(spark, sf), D.rule_set(spark), INSTANCE, ENV, detail=True)
+
+
+def _v1(spark, sf):
+    return rename.rename_v1(D.jobs(spark, sf), D.rule_set(spark), INSTANCE, ENV, detail=True)
+
+
+def _audit(df):
+    return df.select("input_order", F.col("job_name").alias("old_job_name"), "new_job_name",
+                     "status", "notes", "app_code", "instance", "env", "schedule", "as_job_type",
+                     "subject_code", "etl_type", "job_id", "suffix",
+                     F.col("job_type").alias("original_job_type"))
+
+
+@register("job_rename_v2")
+def _job_rename_v2(spark, sf):
+    return rename.rename_v2(D.jobs(spark, sf), D.rule_set(spark), INSTANCE, ENV)
+
+
+@register("job_rename_v1")
+def _job_rename_v1(spark, sf):
+    return rename.rename_v1(D.jobs(spark, sf), D.rule_set(spark), INSTANCE, ENV)
+
+
+def _parsed(df):
+    return df.select("input_order", "_p.app_prefix", "_p.schedule_token", "_p.type_suffix",
+                     "_p.suffix_body", "_p.is_zzz")
+
+
+@register("fn_parse_name_v2")
+def _parse_v2(spark, sf):
+    return D.jobs(spark, sf).select(
+        "input_order", N.parse_name(rename.N.strip_ws(F.coalesce("job_name", F.lit(""))), 2)
+        .alias("_p")).transform(_parsed)
+
+
+@register("fn_parse_name_v1")
+def _parse_v1(spark, sf):
+    return D.jobs(spark, sf).select(
+        "input_order", N.parse_name(rename.N.strip_ws(F.coalesce("job_name", F.lit(""))), 1)
+        .alias("_p")).transform(_parsed)
+
+
+@register("fn_candidate_tokens")
+def _cands(spark, sf):
+    return _v2(spark, sf).select("input_order", N.candidate_tokens("job_name").alias("candidates"),
+                                 F.col("_cands").alias("derivation_candidates"))
+
+
+@register("fn_category_from_tokens")
+def _category(spark, sf):
+    j = rename.prepare_jobs(D.jobs(spark, sf))
+    return j.select("input_order", N.category_from_tokens("job_name").alias("token_category"))
+
+
+@register("agg_token_pair_freq")
+def _pair_freq(spark, sf):
+    j = rename.prepare_jobs(D.jobs(spark, sf))
+    return rename.token_pair_freq(j).select(F.col("_p0").alias("token_a"),
+                                            F.col("_p1").alias("token_b"), "_pair_count") \
+        .withColumnRenamed("_pair_count", "pair_count")
+
+
+@register("fn_derive_subject")
+def _derive(spark, sf):
+    d = _v2(spark, sf)
+    s = N.derive_subject("_cands", "_pair_count")
+    return d.select("input_order", s["subject_code"].alias("derived_subject"),
+                    s["strip"].alias("derived_strip"),
+                    F.coalesce("_pair_count", F.lit(0)).alias("pair_count"))
+
+
+@register("fn_app_code_v2")
+def _app_code(spark, sf):
+    return _v2(spark, sf).select("input_order", "app_code",
+                                 F.col("_app_exc").alias("app_exception"))
+
+
+@register("join_code_lookup")
+def _code_lookup(spark, sf):
+    return _v2(spark, sf).select("input_order", "schedule", F.col("_sched_hit").alias("sched_hit"),
+                                 "as_job_type", F.col("_ast_hit").alias("ast_hit"), "etl_type",
+                                 F.col("_etl_hit").alias("etl_hit"))
+
+
+@register("join_rule_exact")
+def _rule_exact(spark, sf):
+    return _v2(spark, sf).select("input_order", F.col("_exact.subject_code").alias("exact_subject"),
+                                 F.col("_exact.category").alias("exact_category"))
+
+
+@register("join_rule_longest_prefix")
+def _rule_prefix(spark, sf):
+    return _v2(spark, sf).select("input_order",
+                                 F.col("_prefix.subject_code").alias("prefix_subject"),
+                                 F.col("_prefix.category").alias("prefix_category"),
+                                 F.col("_prefix.strip").alias("prefix_strip"))
+
+
+@register("join_rule_regex")
+def _rule_regex(spark, sf):
+    return _v2(spark, sf).select("input_order", F.col("_regex.subject_code").alias("regex_subject"),
+                                 F.col("_regex.category").alias("regex_category"))
+
+
+@register("join_rule_tiers")
+def _rule_tiers(spark, sf):
+    return _v2(spark, sf).select("input_order", "subject_code", "category",
+                                 F.col("_subj.strip").alias("strip"),
+                                 F.col("_derived").alias("is_derived"))
+
+
+@register("win_first_match")
+def _first_match(spark, sf):
+    return _v2(spark, sf).select(
+        "input_order",
+        F.coalesce("_exact", "_prefix", "_regex")["subject_code"].alias("first_match_subject"))
+
+
+@register("win_sequential_id_v2")
+def _seq_v2(spark, sf):
+    return _v2(spark, sf).select("input_order", "subject_code", "category", "job_id_num")
+
+
+@register("win_sequential_id_v1")
+def _seq_v1(spark, sf):
+    return _v1(spark, sf).select("input_order", "subject_code", "category", "job_id_num")
+
+
+@register("fn_guard_echo")
+def _echo(spark, sf):
+    return _v2(spark, sf).select("input_order", "app_code", "subject_code",
+                                 (F.substring("subject_code", 1, 5) == F.col("app_code"))
+                                 .alias("echo"))
+
+
+@register("fn_clean_suffix")
+def _clean_suffix(spark, sf):
+    return _v2(spark, sf).select("input_order", F.col("_p.suffix_body").alias("suffix_body"),
+                                 F.col("_suffix_full").alias("suffix_full"))
+
+
+@register("fn_cut_suffix_v1")
+def _cut_v1(spark, sf):
+    return _v1(spark, sf).select("input_order", F.col("_suffix_full").alias("suffix_full"),
+                                 "suffix")
+
+
+@register("fn_build_name")
+def _build_name(spark, sf):
+    return _v2(spark, sf).select("input_order", "new_job_name")
+
+
+@register("fn_validate_name")
+def _validate(spark, sf):
+    return _v2(spark, sf).select("input_order", "new_job_name",
+                                 F.col("_viol").alias("violations"))
+
+
+@register("fn_status_notes")
+def _status_notes(spark, sf):
+    return _v2(spark, sf).select("input_order", "status", "notes")
+
+
+@register("agg_status_summary")
+def _status_summary(spark, sf):
+    return rename.status_summary(
+        rename.rename_v2(D.jobs(spark, sf), D.rule_set(spark), INSTANCE, ENV))
+
+
+@register("topk_exceptions")
+def _topk(spark, sf):
+    r = rename.rename_v2(D.jobs(spark, sf), D.rule_set(spark), INSTANCE, ENV)
+    return rename.top_exceptions(r, 5)

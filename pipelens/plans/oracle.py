@@ -366,3 +366,9 @@ LEFT JOIN ends x USING (app_id, execution_id)
 LEFT JOIN upd u USING (app_id, execution_id)
 LEFT JOIN cp USING (app_id)
 LEFT JOIN card c USING (app_id, execution_id)""")
+
+
+# ---------------------------------------------------------------- N family
+from pipelens.plans import oracle_names  # noqa: E402
+
+SQL.update(oracle_names.SQL)

@@ -152,3 +152,77 @@ def app_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apps.select("app_id", F.create_map(
         F.lit("spark.sql.adaptive.enabled"),
         F.when(F.col("app_id") == "N", "false").otherwise("true")).alias("props"))
+
+
+# ------------------------------------------------------------------ N family
+# Token lists used to assemble legacy job names from order keys. They cover
+# placeholders (P_, PR_, P-), the ZZZ form, category markers, LOAD, long
+# tails, lower case and unknown codes.
+NAME_HEADS = ["ORCAP", "FCTDS", "CARAT", "P_FCTDS", "PR_ORCAP", "P-RDS", "RDS", "orcap",
+              "NEWAP", "P"]
+NAME_SCHEDULES = ["D", "OD", "W", "M", "ZZZDAC", "ZZZ", "X", "daily", "H"]
+NAME_BODIES = ["LOAN", "LOAN_FEE", "ABC_DEF", "RAW_LOAD", "CARD_TXN",
+               "ORCAP_LOAN_RAW_LOAD_X_DAILY", "CONF_GL", "KAFKA_EVENTS_API",
+               "NDM_FILE_XFER", "A_B", "VERY_LONG_BODY_TOKEN_NUMBER_ONE_TWO_THREE_FOUR"]
+NAME_TAILS = ["BX", "CMD", "CM", "FW", "", "LOAD", "XX"]
+APPLICATION_NAMES = ["Orcap Lending", "FCT-DS", "", "  ", "carat", "x", "Loan Servicing Platform"]
+PRIORITY_JOB_TYPES = [("1-URGENT", "CMD"), ("2-HIGH", "BOX"), ("3-MEDIUM", "fw"),
+                      ("4-NOT SPECIFIED", ""), ("5-LOW", "FILE")]
+
+
+def _pick(values, idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values) + 1).cast("int"))
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job list from ``orders``: name assembled from token lists by key,
+    application from the customer key, job type from the priority;
+    ``input_order`` = order key."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    name = F.concat_ws("_", _pick(NAME_HEADS, k), _pick(NAME_SCHEDULES, (k / 10).cast("long")),
+                       _pick(NAME_BODIES, (k / 90).cast("long")),
+                       F.nullif(_pick(NAME_TAILS, (k / 990).cast("long")), F.lit("")))
+    jt = F.lit(None).cast("string")
+    for pr, t in reversed(PRIORITY_JOB_TYPES):
+        jt = F.when(F.col("o_orderpriority") == pr, F.lit(t)).otherwise(jt)
+    return o.select(k.alias("input_order"), name.alias("job_name"), jt.alias("job_type"),
+                    _pick(APPLICATION_NAMES, F.col("o_custkey")).alias("application_name"))
+
+
+# Inline rule tables (the same rows are VALUES lists in the SQL twin).
+RULES_APP = [("ORCAP", "ORCAP"), ("FCTDS", "FCTDS"), ("CARAT", "CARAT"), ("P-RDS", "RDSXX"),
+             ("RDS", "RDS01"), ("P", "PLACE")]
+RULES_SCHEDULE = [("D", "D"), ("OD", "O"), ("W", "X"), ("W", "W"), ("M", "M"), ("DAILY", "D"),
+                  (" h ", "h"), ("ZZZ", "")]
+RULES_AS_TYPE = [("CMD", "C"), ("BOX", "B"), ("FW", "F"), ("FILE", "")]
+RULES_ETL = [("BX", "B"), ("CMD", "C"), ("CM", "M"), ("FW", "")]
+RULES_SUBJECT = [
+    ("FCTDS_OD_LOAN_BX", "exact", "LNFCT1", "Curated "),
+    ("fctds_od_loan_bx", "exact", "LNFCT2", "curated"),
+    ("ORCAP_D_LOAN", "prefix", "LOANXX", "raw"),
+    ("ORCAP_D", "prefix", "ORCAPD", "other"),
+    ("ORCAP", "prefix", "ORCAPX", "conformed"),
+    ("CARAT_ZZZ", "prefix", "CRTZZZ", "ndm"),
+    ("orcap_d", "prefix", "ORCAP2", "raw"),
+    ("_CARDS?_", "regex", "CARDSX", "streaming"),
+    ("KAFKA", "regex", "KAFKAX", "streaming"),
+    ("^RDS_.*_FW$", "regex", "RDSFWX", "weird"),
+    ("card", "regex", "CARD2X", "raw"),
+]
+
+
+def rule_set(spark: SparkSession):
+    from pipelens.plans.rename import RuleSet
+
+    def frame(rows, schema):
+        return spark.createDataFrame([(i,) + tuple(r) for i, r in enumerate(rows)],
+                                     "rule_order long, " + schema)
+    return RuleSet(
+        app=frame(RULES_APP, "old_prefix string, new_app_code string"),
+        schedule=frame(RULES_SCHEDULE, "old_schedule string, new_schedule string"),
+        etl=frame(RULES_ETL, "old_suffix string, new_etl_code string"),
+        as_type=frame(RULES_AS_TYPE, "old_job_type string, new_as_type string"),
+        subject=frame(RULES_SUBJECT, "pattern string, match_type string, subject_code string, "
+                                     "category string"),
+    )
