@@ -430,3 +430,222 @@ def _status_summary(spark, sf):
 def _topk(spark, sf):
     r = rename.rename_v2(D.jobs(spark, sf), D.rule_set(spark), INSTANCE, ENV)
     return rename.top_exceptions(r, 5)
+
+
+# ---------------------------------------------------------------- G family
+from pipelens.operators import lineage as L  # noqa: E402
+from pipelens.plans import lineage_jobs as LJ  # noqa: E402
+
+LP = L.P
+LKEYS = [LP, "target_table", "target_column"]
+
+
+def _assign(spark, sf):
+    return D.assignments(spark, sf)
+
+
+@register("lin_last_definition_wins")
+def _latest(spark, sf):
+    return L.last_definition(_assign(spark, sf))
+
+
+@register("lin_expand_star")
+def _expand_star(spark, sf):
+    return L.expand_star(L.last_definition(_assign(spark, sf)))
+
+
+@register("lin_base_tables")
+def _base_tables(spark, sf):
+    return L.base_tables(L.last_definition(_assign(spark, sf)))
+
+
+@register("set_union_sources")
+def _union_sources(spark, sf):
+    latest = L.last_definition(_assign(spark, sf))
+    return LJ.union_sources(latest)
+
+
+@register("join_base_tables_anti")
+def _base_anti(spark, sf):
+    return L.base_tables_anti(L.last_definition(_assign(spark, sf)))
+
+
+@register("lin_base_columns")
+def _base_columns(spark, sf):
+    latest = L.last_definition(_assign(spark, sf))
+    a = L.with_stars_expanded(latest).where(L.valid_column_name("target_column"))
+    return L.base_columns(a, defined=L.defined_tables(latest))
+
+
+@register("lin_name_fallback")
+def _fallback(spark, sf):
+    latest = L.last_definition(_assign(spark, sf))
+    a = L.with_stars_expanded(latest).where(L.valid_column_name("target_column"))
+    return L.name_fallback(a, L.base_columns(a, defined=L.defined_tables(latest)))
+
+
+@register("lin_final")
+def _final(spark, sf):
+    return L.final_lineage(_assign(spark, sf))
+
+
+@register("agg_sources_per_target")
+def _sources_per_target(spark, sf):
+    return LJ.sources_per_target(_assign(spark, sf))
+
+
+@register("job_column_lineage")
+def _job_column_lineage(spark, sf):
+    return LJ.column_lineage(_assign(spark, sf))
+
+
+@register("lin_multi_hop_nodes")
+def _nodes(spark, sf):
+    return L.multi_hop_nodes(_assign(spark, sf))
+
+
+@register("set_dedup_nodes")
+def _dedup_nodes(spark, sf):
+    return L.multi_hop_nodes(_assign(spark, sf)).select("graph_id", "id")
+
+
+@register("lin_multi_hop_edges")
+def _edges(spark, sf):
+    return L.multi_hop_edges(_assign(spark, sf))
+
+
+@register("set_dedup_edges")
+def _dedup_edges(spark, sf):
+    return L.multi_hop_edges(_assign(spark, sf)).select(
+        "graph_id", "source", "target", F.coalesce("logic", F.lit("")).alias("logic_key"))
+
+
+@register("job_multi_hop")
+def _job_multi_hop(spark, sf):
+    return LJ.multi_hop(_assign(spark, sf))
+
+
+@register("lin_validate_fix")
+def _validate_fix(spark, sf):
+    return L.validate_fix(L.final_lineage(_assign(spark, sf)))
+
+
+@register("set_missing_refs")
+def _missing_refs(spark, sf):
+    return LJ.missing_and_unused(L.final_lineage(_assign(spark, sf))).select(
+        *LKEYS, "missing_refs")
+
+
+@register("set_unused_sources")
+def _unused(spark, sf):
+    return LJ.missing_and_unused(L.final_lineage(_assign(spark, sf))).select(
+        *LKEYS, "unused_sources")
+
+
+@register("set_unique_details")
+def _unique_details(spark, sf):
+    return LJ.unique_details(L.final_lineage(_assign(spark, sf)))
+
+
+@register("fn_column_refs")
+def _column_refs(spark, sf):
+    latest = L.last_definition(_assign(spark, sf))
+    e = latest.where(F.col("expression").isNotNull()).select(*LKEYS, "expression").distinct()
+    return e.select(*LKEYS, "expression", F.sort_array(T.column_refs("expression")).alias("refs"))
+
+
+@register("fn_strip_derv")
+def _strip_derv(spark, sf):
+    latest = L.last_definition(_assign(spark, sf))
+    e = latest.where(F.col("expression").isNotNull()).select(*LKEYS, "expression").distinct()
+    return e.select(*LKEYS, F.sort_array(F.array_distinct(F.transform(
+        T.column_refs("expression"), T.strip_derv))).alias("base_refs"))
+
+
+@register("fn_truncate_logic")
+def _truncate(spark, sf):
+    return L.multi_hop_edges(_assign(spark, sf)).select(
+        "graph_id", "source", "target",
+        T.truncate(F.coalesce("logic", F.lit("Transform")), L.LABEL_LOGIC_LEN).alias("label"))
+
+
+@register("pred_valid_column_name")
+def _valid_names(spark, sf):
+    d = D.table(spark, sf, "documents")
+    toks = d.select(F.explode(F.split("text", " ")).alias("token")).distinct()
+    return toks.select("token", L.valid_column_name("token").alias("is_valid"))
+
+
+@register("pred_not_na_table")
+def _not_na(spark, sf):
+    latest = L.last_definition(_assign(spark, sf))
+    t = latest.select(F.col("source_table").alias("table")).distinct()
+    return t.select("table", L.not_na_table("table").alias("keep"))
+
+
+@register("pred_target_table")
+def _target_pred(spark, sf):
+    n = L.multi_hop_nodes(_assign(spark, sf)).where(F.col("type") == "table")
+    return n.select("id", L.is_target_table("id", "report").alias("is_report_target"),
+                    L.is_target_table("id", "node").alias("is_node_target"),
+                    L.is_target_table("id", "builder").alias("is_builder_target"))
+
+
+@register("pred_bare_column")
+def _bare(spark, sf):
+    latest = L.last_definition(_assign(spark, sf))
+    e = latest.where(F.col("expression").isNotNull()).select("expression").distinct()
+    return e.select("expression", L.bare_column("expression").alias("is_bare"))
+
+
+@register("fn_schema_prefix")
+def _schema_prefix(spark, sf):
+    latest = L.last_definition(_assign(spark, sf))
+    sch = L.pipeline_schema(_assign(spark, sf))
+    bt = L.base_tables(latest).select(LP, "base_table").distinct()
+    return bt.join(sch, LP).select(LP, "base_table", "schema",
+                                   L.schema_prefix("base_table", "schema").alias("qualified"))
+
+
+@register("join_alias_resolve")
+def _alias_resolve(spark, sf):
+    refs, sources = D.alias_refs(_assign(spark, sf))
+    return L.resolve_aliases(refs, sources).select(LP, "stmt_order", "target_column", "ordinal",
+                                                    "alias", "column", "source_table")
+
+
+@register("agg_distinct_labels")
+def _labels(spark, sf):
+    n = L.multi_hop_nodes(_assign(spark, sf))
+    return n.where(F.col("type") == "column").select("label").distinct().orderBy("label")
+
+
+@register("graph_table_edges")
+def _table_edges(spark, sf):
+    return LJ.table_graph_edges(LJ.column_lineage(_assign(spark, sf)))
+
+
+@register("graph_column_edges")
+def _column_edges(spark, sf):
+    return LJ.column_graph_edges(L.final_lineage(_assign(spark, sf)))
+
+
+@register("graph_hub_edges")
+def _hub_edges(spark, sf):
+    return LJ.hub_edges(L.final_lineage(_assign(spark, sf)))
+
+
+@register("graph_column_groups")
+def _column_groups(spark, sf):
+    return LJ.column_groups(L.multi_hop_nodes(_assign(spark, sf)))
+
+
+@register("graph_edge_details")
+def _edge_details(spark, sf):
+    return LJ.edge_details(L.multi_hop_edges(_assign(spark, sf)), "c2")
+
+
+@register("graph_upstream")
+def _upstream(spark, sf):
+    return LJ.upstream_of_label(L.multi_hop_nodes(_assign(spark, sf)),
+                                L.multi_hop_edges(_assign(spark, sf)), "c0")

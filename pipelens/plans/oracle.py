@@ -372,3 +372,8 @@ LEFT JOIN card c USING (app_id, execution_id)""")
 from pipelens.plans import oracle_names  # noqa: E402
 
 SQL.update(oracle_names.SQL)
+
+# ---------------------------------------------------------------- G family
+from pipelens.plans import oracle_lineage  # noqa: E402
+
+SQL.update(oracle_lineage.SQL)

@@ -226,3 +226,82 @@ def rule_set(spark: SparkSession):
         subject=frame(RULES_SUBJECT, "pattern string, match_type string, subject_code string, "
                                      "category string"),
     )
+
+
+# ------------------------------------------------------------------ G family
+LINEAGE_PIPELINE = "part"
+# expression templates for column c2, chosen by key mod 4: (text, refs) where
+# refs name the parent ('half' = k div 2, 'third' = k div 3) and the column
+C2_TEMPLATES = [
+    ("coalesce(raw.c2, derv.derv_c3)", [("half", "c2"), ("third", "c3")]),
+    ("upper(a.c2)", [("half", "c2")]),
+    ("a.c2 + b.c1", [("half", "c2"), ("third", "c1")]),
+    ("'N/A'", []),
+]
+
+
+def lineage_table_name(k: Column) -> Column:
+    """Tables ``t<k>``; every fifth lives in schema ``raw``."""
+    return F.when(k % 5 == 0, F.concat(F.lit("raw.t"), k.cast("string"))) \
+        .otherwise(F.concat(F.lit("t"), k.cast("string")))
+
+
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineage facts from ``part``: table t<k> (k >= 1, size <= 45; larger
+    parts are base tables) reads t<k div 2> and t<k div 3>. Every 7th table
+    is ``SELECT *`` from t<k div 2>; the others define c0..c3 (c2 by one of
+    four expression templates); every 11th adds a column named ``case``."""
+    p = table(spark, sf_dir, "part").where((F.col("p_partkey") >= 1) & (F.col("p_size") <= 45))
+    k = F.col("p_partkey")
+    half = lineage_table_name((k / 2).cast("long"))
+    third = lineage_table_name((k / 3).cast("long"))
+    parent = {"half": half, "third": third}
+
+    def row(col, ordinal, src_t, src_c, expr):
+        return F.struct(F.lit(col).alias("target_column"), F.lit(ordinal).alias("ordinal"),
+                        src_t.alias("source_table"), src_c.alias("source_column"),
+                        expr.alias("expression"))
+
+    null_s = F.lit(None).cast("string")
+    plain = [row("c0", 0, half, F.lit("c0"), null_s), row("c1", 1, third, F.lit("c1"), null_s),
+             row("c3", 3, half, F.lit("c3"), null_s)]
+    c2 = []
+    for i, (text, refs) in enumerate(C2_TEMPLATES):
+        items = [row("c2", 2, parent[w], F.lit(c), F.lit(text)) for w, c in refs] or \
+                [row("c2", 2, null_s, null_s, F.lit(text))]
+        c2.append((i, F.array(*items)))
+    c2_rows = F.lit(None)
+    for i, arr in reversed(c2):
+        c2_rows = F.when(k % 4 == i, arr).otherwise(c2_rows) if i != 3 else arr
+    extra = F.when(k % 11 == 0, F.array(row("case", 4, half, F.lit("c0"), null_s))) \
+        .otherwise(F.array().cast(F.array(plain[0]).dataType if False else
+                                  "array<struct<target_column:string,ordinal:int,source_table:string,"
+                                  "source_column:string,expression:string>>"))
+    star = F.array(row("*", 0, half, null_s, F.lit("*")))
+    rows = F.when(k % 7 == 0, star).otherwise(
+        F.concat(F.array(*plain), c2_rows, extra))
+    return p.select(F.lit(LINEAGE_PIPELINE).alias("pipeline_id"), k.alias("stmt_order"),
+                    lineage_table_name(k).alias("target_table"), F.explode(rows).alias("r")) \
+        .select("pipeline_id", "stmt_order", "target_table", "r.target_column", "r.ordinal",
+                "r.source_table", "r.source_column", "r.expression")
+
+
+def alias_refs(assign: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Alias-qualified references and statement sources for
+    ``join_alias_resolve``: each reference uses alias ``a`` (k mod 3 = 0), no
+    alias (1) or an unknown alias ``zz`` (2); statements list ``a`` = the
+    k div 2 parent and, unless k mod 5 = 0, ``b`` = the k div 3 parent."""
+    a = assign.where(F.col("source_column").isNotNull())
+    k = F.col("stmt_order")
+    refs = a.select("pipeline_id", "stmt_order", "target_column", "ordinal",
+                    F.when(k % 3 == 0, F.lit("a")).when(k % 3 == 1, F.lit(None))
+                    .otherwise(F.lit("zz")).alias("alias"),
+                    F.col("source_column").alias("column"))
+    stm = assign.select("pipeline_id", "stmt_order").distinct()
+    src_a = stm.select("pipeline_id", "stmt_order", F.lit("a").alias("alias"),
+                       lineage_table_name((k / 2).cast("long")).alias("table"),
+                       F.lit(0).alias("ordinal"))
+    src_b = stm.where(k % 5 != 0).select("pipeline_id", "stmt_order", F.lit("b").alias("alias"),
+                                         lineage_table_name((k / 3).cast("long")).alias("table"),
+                                         F.lit(1).alias("ordinal"))
+    return refs, src_a.unionByName(src_b)
