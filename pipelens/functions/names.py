@@ -161,10 +161,17 @@ def parse_name(name, version: int = 2) -> Column:
     )
 
 
+def clean_tokens(s) -> Column:
+    """Per-token ``alnum_upper`` of ``s.split('_')`` with one regex per row:
+    deleting every char outside [A-Z0-9_] from the upper-cased string keeps
+    the underscores, so the split lines up token by token."""
+    return F.split(F.regexp_replace(F.upper(_c(s)), "[^A-Z0-9_]", ""), "_", -1)
+
+
 def candidate_tokens(name, extra_skip: Column | None = None) -> Column:
     """``fn_candidate_tokens``: tokens after the first, alnum-upper, not a
     schedule / noise / extra-skip token, at least 3 long; first two."""
-    cleaned = F.transform(_tail(tokens(name), 2), alnum_upper)
+    cleaned = _tail(clean_tokens(strip_ws(name)), 2)
     skip = F.array_union(_arr(SCHEDULE_TOKENS), _arr(NOISE_TOKENS))
     if extra_skip is not None:
         skip = F.array_union(skip, extra_skip)
@@ -176,7 +183,7 @@ def candidate_tokens(name, extra_skip: Column | None = None) -> Column:
 def category_from_tokens(name) -> Column:
     """``fn_category_from_tokens``: first category whose marker appears among
     the upper-cased raw tokens; otherwise ``other``."""
-    up = F.transform(F.split(strip_ws(name), "_", -1), F.upper)
+    up = F.split(F.upper(strip_ws(name)), "_", -1)
     out = F.lit("other")
     for cat, markers in reversed(CATEGORY_MARKERS):
         out = F.when(F.arrays_overlap(up, _arr(markers)), F.lit(cat)).otherwise(out)
@@ -229,16 +236,19 @@ def clean_suffix(body, app_code, strip_tokens) -> Column:
     category tokens; ``\\bLOAD\\b`` -> ``LD`` (``_`` is a word char, so LOAD
     between underscores stays); drop tokens with at most one alnum char."""
     app_clean = alnum_upper(app_code)
-    parts = F.split(_c(body), "_", -1)
-    parts = F.filter(parts, lambda p: alnum_upper(p) != app_clean)
-    cleaned = F.transform(parts, alnum_upper)
+    z = F.arrays_zip(F.split(_c(body), "_", -1).alias("p"), clean_tokens(body).alias("c"))
+    z = F.filter(z, lambda t: t["c"] != app_clean)
+    cleaned = F.transform(z, lambda t: t["c"])
     strip = F.coalesce(_c(strip_tokens), F.array().cast("array<string>"))
-    parts = F.when(F.size(strip) > 0, drop_first_occurrences(parts, cleaned, strip)) \
-        .otherwise(parts)
-    parts = F.filter(parts, lambda p: ~F.array_contains(_arr(CATEGORY_STRIP), alnum_upper(p)))
-    joined = F.regexp_replace(F.array_join(parts, "_"), r"(?i)\bLOAD\b", "LD")
-    parts = F.filter(F.split(joined, "_", -1), lambda p: F.length(alnum_upper(p)) > 1)
-    return F.array_join(parts, "_")
+    z = F.when(F.size(strip) > 0, F.filter(
+        z, lambda t, i: ~(F.array_contains(strip, t["c"])
+                          & (F.array_position(cleaned, t["c"]) == i + 1)))).otherwise(z)
+    z = F.filter(z, lambda t: ~F.array_contains(_arr(CATEGORY_STRIP), t["c"]))
+    joined = F.regexp_replace(F.array_join(F.transform(z, lambda t: t["p"]), "_"),
+                              r"(?i)\bLOAD\b", "LD")
+    z = F.filter(F.arrays_zip(F.split(joined, "_", -1).alias("p"), clean_tokens(joined).alias("c")),
+                 lambda t: F.length(t["c"]) > 1)
+    return F.array_join(F.transform(z, lambda t: t["p"]), "_")
 
 
 def cut_suffix(suffix) -> Column:

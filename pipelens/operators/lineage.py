@@ -434,3 +434,58 @@ def validate_fix(final: DataFrame, default_table: str = "orc_issue_mgmt_raw.issu
                     F.when(touch, new_sources).otherwise(F.col("source_columns")).alias("source_columns"),
                     "expressions",
                     F.when(touch, issues).otherwise(F.array().cast("array<string>")).alias("issues"))
+
+
+# ------------------------------------------------------------------ simple CTAS
+
+
+# Fixed patterns of the simple CREATE TABLE ... AS SELECT extraction.
+CTAS_TARGET = r"(?i)create\s+table\s+(\w+)\s+as"
+CTAS_SELECT = r"(?is)select\s+(.*?)\s+from"
+CTAS_FROM = r"(?i)from\s+([\w.]+)(?:\s+(\w+))?"
+CTAS_AS_SPLIT = r"(?i)\s+as\s+"
+SIMPLE_SQL_EXCLUDES = ["case", "concat", "replace"]
+
+
+def simple_ctas(statements: DataFrame, sql: str = "sql_text") -> DataFrame:
+    """``lin_simple_ctas``: regex extraction from ``CREATE TABLE t AS SELECT
+    cols FROM src [alias]`` -> one row per select item with its target table,
+    source table, alias, source column and target column. Statements without
+    a target, select list or FROM give no rows."""
+    s = F.regexp_replace(F.col(sql), r"^\s+|\s+$", "")
+    target = F.regexp_extract(s, CTAS_TARGET, 1)
+    clause = F.regexp_extract(s, CTAS_SELECT, 1)
+    src = F.regexp_extract(s, CTAS_FROM, 1)
+    alias = F.regexp_extract(s, CTAS_FROM, 2)
+    base = statements.select(P, "stmt_order", target.alias("target_table"),
+                             clause.alias("_clause"), src.alias("source_table"),
+                             F.when(alias != "", alias).alias("source_alias"),
+                             s.rlike(CTAS_SELECT).alias("_has_select"))
+    base = base.where((F.col("target_table") != "") & F.col("_has_select")
+                      & (F.col("source_table") != ""))
+    items = base.select(P, "stmt_order", "target_table", "source_table", "source_alias",
+                        F.posexplode(F.split("_clause", ",")).alias("position", "_item"))
+    item = F.trim(F.col("_item"))
+    has_as = F.lower(item).contains(" as ")
+    parts = F.split(item, CTAS_AS_SPLIT)
+    last_dot = lambda x: F.element_at(F.split(x, r"\."), -1)
+    p0 = F.element_at(parts, 1)
+    source_col = F.when(has_as, last_dot(p0)).otherwise(last_dot(item))
+    target_col = F.when(has_as, F.try_element_at(parts, F.lit(2))).otherwise(source_col)
+    return items.select(P, "stmt_order", "target_table", "source_table", "source_alias",
+                        "position", F.trim(source_col).alias("source_column"),
+                        F.trim(target_col).alias("target_column"))
+
+
+def simple_gate(statements: DataFrame, sql: str = "sql_text") -> DataFrame:
+    """``lin_simple_gate``: a statement may use the CTAS fallback when its text
+    has no case / concat / replace (any case) and exactly one lower-case
+    ``create table``."""
+    low = F.lower(F.col(sql))
+    ok = F.lit(True)
+    for w in SIMPLE_SQL_EXCLUDES:
+        ok = ok & ~low.contains(w)
+    n_create = (F.length(sql) - F.length(F.replace(F.col(sql), F.lit("create table"), F.lit("")))) \
+        / F.lit(len("create table"))
+    return statements.select(P, "stmt_order", F.coalesce(ok & (n_create == 1), F.lit(False))
+                             .alias("is_simple"))

@@ -649,3 +649,13 @@ def _edge_details(spark, sf):
 def _upstream(spark, sf):
     return LJ.upstream_of_label(L.multi_hop_nodes(_assign(spark, sf)),
                                 L.multi_hop_edges(_assign(spark, sf)), "c0")
+
+
+@register("lin_simple_ctas")
+def _simple_ctas(spark, sf):
+    return L.simple_ctas(D.statements(spark, sf))
+
+
+@register("lin_simple_gate")
+def _simple_gate(spark, sf):
+    return L.simple_gate(D.statements(spark, sf))

@@ -400,3 +400,45 @@ up(graph_id, id) AS (
   SELECT e.graph_id, e.source FROM up u JOIN edges e ON e.graph_id = u.graph_id AND e.target = u.id)
 SELECT * FROM up""",
 }
+
+STMTS = f"""
+stmts AS (
+  SELECT {_lit(D.LINEAGE_PIPELINE)} AS pipeline_id, p_partkey AS stmt_order,
+    CASE p_partkey % 4
+      WHEN 0 THEN 'create table t' || p_partkey || ' as select a.c0 as x' || p_partkey
+                  || ', a.c1, c2 from db.t' || (p_partkey // 2) || ' a'
+      WHEN 1 THEN 'CREATE TABLE T' || p_partkey || ' AS SELECT c0, c1 AS y FROM raw.src' || (p_partkey % 10)
+      WHEN 2 THEN 'create table t' || p_partkey
+                  || ' as select case when a.c0 > 1 then 1 else 0 end as flag from t' || (p_partkey // 3) || ' a'
+      ELSE 'insert into t' || p_partkey || ' select c0 from t' || (p_partkey // 2) END AS sql_text
+  FROM part)"""
+
+SQL["lin_simple_ctas"] = "WITH " + STMTS.strip() + f""",
+b AS (
+  SELECT pipeline_id, stmt_order, s,
+         regexp_extract(s, {_lit(L.CTAS_TARGET)}, 1) AS target_table,
+         regexp_extract(s, {_lit(L.CTAS_SELECT)}, 1) AS clause,
+         regexp_extract(s, {_lit(L.CTAS_FROM)}, 1) AS source_table,
+         nullif(regexp_extract(s, {_lit(L.CTAS_FROM)}, 2), '') AS source_alias
+  FROM (SELECT *, regexp_replace(sql_text, '^\\s+|\\s+$', '', 'g') AS s FROM stmts)),
+items AS (
+  SELECT pipeline_id, stmt_order, target_table, source_table, source_alias,
+         CAST(generate_subscripts(string_split(clause, ','), 1) - 1 AS INTEGER) AS position,
+         trim(unnest(string_split(clause, ','))) AS item
+  FROM b
+  WHERE target_table <> '' AND regexp_matches(s, {_lit(L.CTAS_SELECT)}) AND source_table <> '')
+SELECT pipeline_id, stmt_order, target_table, source_table, source_alias, position,
+       trim(CASE WHEN contains(lower(item), ' as ')
+                 THEN string_split(regexp_split_to_array(item, {_lit(L.CTAS_AS_SPLIT)})[1], '.')[-1]
+                 ELSE string_split(item, '.')[-1] END) AS source_column,
+       trim(CASE WHEN contains(lower(item), ' as ') THEN regexp_split_to_array(item, {_lit(L.CTAS_AS_SPLIT)})[2]
+                 ELSE string_split(item, '.')[-1] END) AS target_column
+FROM items"""
+
+SQL["lin_simple_gate"] = "WITH " + STMTS.strip() + """
+SELECT pipeline_id, stmt_order,
+       coalesce(NOT contains(lower(sql_text), 'case') AND NOT contains(lower(sql_text), 'concat')
+                AND NOT contains(lower(sql_text), 'replace')
+                AND (length(sql_text) - length(replace(sql_text, 'create table', ''))) / 12 = 1, false)
+         AS is_simple
+FROM stmts"""

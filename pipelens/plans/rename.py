@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from pipelens.functions import names as N
 from pipelens.operators import ids, rules as R
+from pipelens.operators.graph import materialize
+from pipelens.session import scratch_path
 
 OUTPUT_COLUMNS = ["old_job_name", "new_job_name", "status", "notes", "app_code", "instance",
                   "env", "schedule", "as_job_type", "subject_code", "etl_type", "job_id",
@@ -101,7 +103,9 @@ def rename_v2(jobs: DataFrame, rule_set: RuleSet, instance_code: str, env_code:
     """``job_rename_v2``: returns ``input_order`` + the 14 audit columns
     (``detail=True`` keeps every intermediate column)."""
     inst, env = _check_codes(instance_code, env_code)
-    j = prepare_jobs(jobs).withColumn("_p", N.parse_name("job_name", 2))
+    prepared = prepare_jobs(jobs)
+    pairs = token_pair_freq(prepared)
+    j = prepared.withColumn("_p", N.parse_name("job_name", 2))
     app = N.app_code_v2("application_name", "_p.app_prefix")
     j = j.withColumn("app_code", app["app_code"]).withColumn("_app_exc", app["is_exception"])
     j = j.withColumn("instance", F.lit(inst)).withColumn("env", F.lit(env))
@@ -123,7 +127,6 @@ def rename_v2(jobs: DataFrame, rule_set: RuleSet, instance_code: str, env_code:
     cands = N.candidate_tokens("job_name", F.array(N.alnum_upper("app_code")))
     j = j.withColumn("_cands", cands).withColumn("_d0", N.at("_cands", 1)) \
         .withColumn("_d1", N.at("_cands", 2))
-    pairs = token_pair_freq(j)
     j = j.join(pairs, (F.col("_d0") == F.col("_p0")) & (F.col("_d1") == F.col("_p1")), "left") \
         .drop("_p0", "_p1")
     derived = N.derive_subject("_cands", "_pair_count")
@@ -139,6 +142,8 @@ def rename_v2(jobs: DataFrame, rule_set: RuleSet, instance_code: str, env_code:
                                                     for x in (F.lit(k), F.lit(v))]),
                                     F.lower("category")), F.lit(N.CATEGORY_ID_START["other"]))
     j = j.withColumn("_gk_subject", F.upper("subject_code")).withColumn("_gk_cat", F.lower("category"))
+    # one written copy feeds the numbering's three branches (and cuts lineage)
+    j = materialize(j, scratch_path(j.sparkSession, "rename-v2"))
     j = ids.sequence_number(j, ["_gk_subject", "_gk_cat"], "input_order", "_seq", buckets)
     j = j.withColumn("job_id_num", (start + F.col("_seq") - 1).cast("long"))
     # suffix
@@ -195,6 +200,7 @@ def rename_v1(jobs: DataFrame, rule_set: RuleSet, instance_code: str, env_code:
         .withColumn("category", F.col("_subj.category"))
     is_raw = F.lower("category") == "raw"
     j = j.withColumn("_gk_subject", F.upper("subject_code")).withColumn("_gk_raw", is_raw)
+    j = materialize(j, scratch_path(j.sparkSession, "rename-v1"))
     j = ids.sequence_number(j, ["_gk_subject", "_gk_raw"], "input_order", "_seq", buckets)
     start = F.when(F.col("_gk_raw"), F.lit(int(raw_id_start))).otherwise(F.lit(int(curated_id_start)))
     j = j.withColumn("job_id_num", (start + F.col("_seq") - 1).cast("long"))

@@ -9,14 +9,29 @@ read whole tables; their work grows with the data.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipelens.session import spread
+
 APPS = ["A", "N", "R"]
 
 
+SPREAD_MIN_BYTES = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table; files over 1 MB that scan as fewer partitions than
+    there are cores are spread round-robin (see :func:`pipelens.session.spread`)."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    try:
+        size = os.path.getsize(path)
+    except OSError:
+        size = SPREAD_MIN_BYTES
+    return spread(df) if size >= SPREAD_MIN_BYTES else df
 
 
 def epoch_ms(ts) -> Column:
@@ -305,3 +320,24 @@ def alias_refs(assign: DataFrame) -> tuple[DataFrame, DataFrame]:
                                          lineage_table_name((k / 3).cast("long")).alias("table"),
                                          F.lit(1).alias("ordinal"))
     return refs, src_a.unionByName(src_b)
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL statements from ``part``: four shapes by key mod 4 -- aliased
+    CTAS, upper-case CTAS without alias, CTAS with CASE, and an INSERT."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    half = (F.col("p_partkey") / 2).cast("long").cast("string")
+    third = (F.col("p_partkey") / 3).cast("long").cast("string")
+    m = F.col("p_partkey") % 4
+    text = (F.when(m == 0, F.concat(F.lit("create table t"), k, F.lit(" as select a.c0 as x"), k,
+                                    F.lit(", a.c1, c2 from db.t"), half, F.lit(" a")))
+            .when(m == 1, F.concat(F.lit("CREATE TABLE T"), k,
+                                   F.lit(" AS SELECT c0, c1 AS y FROM raw.src"),
+                                   (F.col("p_partkey") % 10).cast("string")))
+            .when(m == 2, F.concat(F.lit("create table t"), k,
+                                   F.lit(" as select case when a.c0 > 1 then 1 else 0 end as flag from t"),
+                                   third, F.lit(" a")))
+            .otherwise(F.concat(F.lit("insert into t"), k, F.lit(" select c0 from t"), half)))
+    return p.select(F.lit(LINEAGE_PIPELINE).alias("pipeline_id"),
+                    F.col("p_partkey").alias("stmt_order"), text.alias("sql_text"))
