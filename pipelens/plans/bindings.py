@@ -659,3 +659,79 @@ def _simple_ctas(spark, sf):
 @register("lin_simple_gate")
 def _simple_gate(spark, sf):
     return L.simple_gate(D.statements(spark, sf))
+
+
+# ---------------------------------------------------------------- sources / sinks
+from pipelens.session import scratch_path  # noqa: E402
+from pipelens.sources import csv_tables as C  # noqa: E402
+from pipelens.sources import eventlog as EL  # noqa: E402
+from pipelens.sources import sinks as SK  # noqa: E402
+
+
+def _event_log(spark, sf):
+    """Write the task / stage adapters as Spark event logs, read them back."""
+    out = scratch_path(spark, "eventlog")
+    EL.write_event_log(D.tasks(spark, sf), D.stages(spark, sf), out)
+    return EL.read_event_log(spark, out)
+
+
+@register("src_event_log")
+def _src_event_log(spark, sf):
+    return EL.normalize(_event_log(spark, sf))["tasks"]
+
+
+@register("src_event_route")
+def _src_event_route(spark, sf):
+    raw = _event_log(spark, sf)
+    return raw.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("proj_app_info")
+def _app_info(spark, sf):
+    return EL.app_info(EL.normalize(_event_log(spark, sf))["apps"])
+
+
+@register("limit_one")
+def _limit_one(spark, sf):
+    return EL.app_info(EL.normalize(_event_log(spark, sf))["apps"]).orderBy("app_id").limit(1)
+
+
+@register("src_jobs_csv")
+def _src_jobs_csv(spark, sf):
+    out = scratch_path(spark, "jobs-csv")
+    j = D.jobs(spark, sf).select(F.col("input_order").cast("string").alias("Row"),
+                                 F.col("job_name").alias(" Job_Name "), F.col("job_type").alias("JOB_TYPE"),
+                                 F.col("application_name").alias("application_name"))
+    header_row = spark.createDataFrame([("Row", "job_name", "job_type", "application_name")], j.schema)
+    C.write_csv(j.unionByName(header_row), out)
+    return C.read_jobs_csv(spark, out).select("row", "job_name", "job_type", "application_name")
+
+
+@register("sink_csv")
+def _sink_csv(spark, sf):
+    out = scratch_path(spark, "renamed-csv")
+    C.write_csv(rename.rename_v1(D.jobs(spark, sf), D.rule_set(spark), INSTANCE, ENV), out)
+    back = C.read_string_csv(spark, out)
+    return back.withColumn("input_order", F.col("input_order").cast("long"))
+
+
+@register("sink_parquet")
+def _sink_parquet(spark, sf):
+    out = scratch_path(spark, "features-parquet")
+    SK.write_parquet(features.app_features(D.tasks(spark, sf), D.stages(spark, sf),
+                                           D.executions(spark, sf)), out, ["app_id"])
+    return spark.read.parquet(out)
+
+
+@register("sink_json")
+def _sink_json(spark, sf):
+    out = scratch_path(spark, "lineage-json")
+    SK.write_json(L.final_lineage(_assign(spark, sf)), out)
+    return SK.read_lineage_json(spark, out, "final")
+
+
+@register("src_lineage_json")
+def _src_lineage_json(spark, sf):
+    out = scratch_path(spark, "edges-json")
+    SK.write_json(L.multi_hop_edges(_assign(spark, sf)), out)
+    return SK.read_lineage_json(spark, out, "edges")

@@ -165,6 +165,10 @@ def with_(*ctes: str, recursive: bool = False) -> str:
 
 
 # ---------------------------------------------------------------- F family
+from pipelens.plans import oracle_lineage, oracle_names  # noqa: E402
+
+SQL.update(oracle_names.SQL)
+SQL.update(oracle_lineage.SQL)
 
 q("agg_task_skew", with_(TASKS) + """
 SELECT app_id, stage_id, max(output_rows) AS max_task_output,
@@ -368,12 +372,27 @@ LEFT JOIN cp USING (app_id)
 LEFT JOIN card c USING (app_id, execution_id)""")
 
 
-# ---------------------------------------------------------------- N family
-from pipelens.plans import oracle_names  # noqa: E402
 
-SQL.update(oracle_names.SQL)
 
-# ---------------------------------------------------------------- G family
-from pipelens.plans import oracle_lineage  # noqa: E402
+# ---------------------------------------------------------------- sources / sinks
+q("src_event_log", with_(TASKS) + """
+SELECT app_id, stage_id, CAST(stage_attempt_id AS BIGINT) AS stage_attempt_id, task_id, executor_id,
+       launch_time, finish_time, finish_time - launch_time AS task_runtime, executor_runtime,
+       executor_cpu_time, memory_spill, disk_spill, input_bytes, shuffle_read_bytes,
+       shuffle_write_bytes, output_rows FROM tasks""")
 
-SQL.update(oracle_lineage.SQL)
+q("src_event_route", with_(TASKS, STAGES) + """
+SELECT 'SparkListenerTaskEnd' AS event, count(*) AS n FROM tasks
+UNION ALL SELECT 'SparkListenerStageCompleted', count(*) FROM stages
+  WHERE app_id IN (SELECT app_id FROM tasks)
+UNION ALL SELECT 'SparkListenerApplicationStart', count(DISTINCT app_id) FROM tasks
+UNION ALL SELECT 'SparkListenerLogStart', count(DISTINCT app_id) FROM tasks""")
+
+q("proj_app_info", with_(TASKS) + """
+SELECT app_id, min(launch_time) AS start_time, '4.1.2' AS spark_version FROM tasks GROUP BY ALL""")
+
+SQL["limit_one"] = SQL["proj_app_info"] + "\nORDER BY app_id LIMIT 1"
+
+SQL["sink_parquet"] = SQL["job_app_features"]
+SQL["sink_json"] = SQL["lin_final"]
+SQL["src_lineage_json"] = SQL["lin_multi_hop_edges"]

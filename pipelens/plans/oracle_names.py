@@ -348,3 +348,22 @@ UNION ALL SELECT 'TOTAL', total, CAST(100.0 AS DOUBLE) FROM tot""",
 SELECT input_order, job_name AS old_job_name, notes FROM final WHERE status = 'EXCEPTION'
 ORDER BY input_order LIMIT 5""",
 }
+
+JOBS_RAW = f"""
+jobs_raw AS (
+  SELECT o_orderkey AS input_order,
+         concat_ws('_', {_pick(D.NAME_HEADS, 'o_orderkey')}, {_pick(D.NAME_SCHEDULES, 'o_orderkey // 10')},
+                   {_pick(D.NAME_BODIES, 'o_orderkey // 90')}, nullif({_pick(D.NAME_TAILS, 'o_orderkey // 990')}, ''))
+           AS job_name,
+         {JOB_TYPE} AS job_type, {_pick(D.APPLICATION_NAMES, 'o_custkey')} AS application_name
+  FROM orders)"""
+
+SQL["src_jobs_csv"] = "WITH " + JOBS_RAW.strip() + """
+SELECT CAST(input_order AS VARCHAR) AS row, coalesce(job_name, '') AS job_name,
+       coalesce(job_type, '') AS job_type, coalesce(application_name, '') AS application_name
+FROM jobs_raw"""
+
+SQL["sink_csv"] = V1 + """
+SELECT input_order, job_name AS old_job_name, new_job_name, status, notes, app_code, instance, env,
+       schedule, as_job_type, subject_code, etl_type, job_id, suffix, job_type AS original_job_type
+FROM final"""
