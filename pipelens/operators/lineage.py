@@ -241,16 +241,21 @@ def name_fallback(assign: DataFrame, bases: DataFrame) -> DataFrame:
     """``lin_name_fallback``: target columns without any base column take the
     base columns of the earliest other target defining a column of the same
     name that has some. Returns rows shaped like ``bases`` plus
-    ``fallback_table``."""
+    ``fallback_table``.
+
+    A column without bases is never a donor (donors are exactly the columns
+    with bases), so "earliest other target" is the earliest donor per
+    (pipeline, column name): one aggregate, then linear joins -- no pairing
+    of missing columns with every donor."""
     cols = (assign.where(F.col("target_column") != "*")
             .groupBy(P, "target_table", "target_column").agg(F.min("stmt_order").alias("_ord")))
     has = bases.select(P, "target_table", "target_column").distinct()
     missing = cols.join(has, [P, "target_table", "target_column"], "left_anti")
-    donors = cols.join(has, [P, "target_table", "target_column"], "left_semi").select(
-        P, F.col("target_table").alias("_donor"), F.col("target_column"), F.col("_ord").alias("_dord"))
-    m = missing.join(donors, [P, "target_column"]).where(F.col("_donor") != F.col("target_table"))
-    pick = m.groupBy(P, "target_table", "target_column").agg(
-        F.min_by("_donor", F.struct("_dord", "_donor")).alias("fallback_table"))
+    donors = cols.join(has, [P, "target_table", "target_column"], "left_semi")
+    best = donors.groupBy(P, "target_column").agg(
+        F.min_by("target_table", F.struct("_ord", "target_table")).alias("fallback_table"))
+    pick = missing.join(best, [P, "target_column"]).select(P, "target_table", "target_column",
+                                                            "fallback_table")
     donor_bases = bases.select(P, F.col("target_table").alias("fallback_table"),
                                "target_column", "base_table", "base_column")
     return pick.join(donor_bases, [P, "fallback_table", "target_column"]).select(

@@ -109,17 +109,15 @@ bases0 AS (
 cols AS (SELECT pipeline_id, target_table, target_column, min(stmt_order) AS ord FROM a GROUP BY ALL),
 has AS (SELECT DISTINCT pipeline_id, target_table, target_column FROM bases0),
 pick AS (
-  SELECT pipeline_id, target_table, target_column, fb FROM (
-    SELECT m.pipeline_id, m.target_table, m.target_column, d.target_table AS fb,
-           row_number() OVER (PARTITION BY m.pipeline_id, m.target_table, m.target_column
-                              ORDER BY d.ord, d.target_table) AS rn
-    FROM cols m JOIN cols d ON d.pipeline_id = m.pipeline_id AND d.target_column = m.target_column
-         AND d.target_table <> m.target_table
-    WHERE NOT EXISTS (SELECT 1 FROM has h WHERE h.pipeline_id = m.pipeline_id
-                      AND h.target_table = m.target_table AND h.target_column = m.target_column)
-      AND EXISTS (SELECT 1 FROM has h WHERE h.pipeline_id = d.pipeline_id
-                  AND h.target_table = d.target_table AND h.target_column = d.target_column))
-  WHERE rn = 1),
+  SELECT m.pipeline_id, m.target_table, m.target_column, b.fb
+  FROM cols m
+  JOIN (SELECT pipeline_id, target_column, arg_min(target_table, (ord, target_table)) AS fb
+        FROM cols d WHERE EXISTS (SELECT 1 FROM has h WHERE h.pipeline_id = d.pipeline_id
+                                  AND h.target_table = d.target_table AND h.target_column = d.target_column)
+        GROUP BY ALL) b
+    ON b.pipeline_id = m.pipeline_id AND b.target_column = m.target_column
+  WHERE NOT EXISTS (SELECT 1 FROM has h WHERE h.pipeline_id = m.pipeline_id
+                    AND h.target_table = m.target_table AND h.target_column = m.target_column)),
 fallback AS (
   SELECT p.pipeline_id, p.target_table, p.target_column, b.base_table, b.base_column, p.fb
   FROM pick p JOIN bases0 b ON b.pipeline_id = p.pipeline_id AND b.target_table = p.fb
