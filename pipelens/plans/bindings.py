@@ -735,3 +735,87 @@ def _src_lineage_json(spark, sf):
     out = scratch_path(spark, "edges-json")
     SK.write_json(L.multi_hop_edges(_assign(spark, sf)), out)
     return SK.read_lineage_json(spark, out, "edges")
+
+
+# ---------------------------------------------------------------- configuration, retrieval
+from pipelens.plans import config as CFG  # noqa: E402
+from pipelens.plans import retrieval as RT  # noqa: E402
+
+
+def _configs(spark, sf):
+    out = scratch_path(spark, "configs")
+    D.config_lines(spark, sf).write.mode("overwrite").text(out)
+    return CFG.read_configs(spark, out)
+
+
+def _cfg_tables(spark, sf):
+    return CFG.flatten(_configs(spark, sf))
+
+
+@register("cfg_flatten")
+def _cfg_flatten(spark, sf):
+    return _cfg_tables(spark, sf)["flows"]
+
+
+@register("cfg_schema_check")
+def _cfg_schema_check(spark, sf):
+    c = CFG.schema_check(_configs(spark, sf))
+    return c.groupBy("is_valid", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("cfg_frame_links")
+def _cfg_frame_links(spark, sf):
+    return CFG.frame_links(_cfg_tables(spark, sf))
+
+
+@register("cfg_flow_dag")
+def _cfg_flow_dag(spark, sf):
+    return CFG.flow_dag(_cfg_tables(spark, sf))
+
+
+@register("cfg_knowledge_graph")
+def _cfg_kg(spark, sf):
+    nodes, edges = CFG.knowledge_graph(_cfg_tables(spark, sf))
+    return edges.join(nodes.select(F.col("id").alias("source"), F.col("type").alias("source_type"))
+                      .distinct(), "source", "left")
+
+
+@register("qa_feeders")
+def _qa_feeders(spark, sf):
+    t = _cfg_tables(spark, sf)
+    last = t["flows"].groupBy("application").agg(
+        F.max_by("flow_id", F.col("flow_id").substr(2, 20).cast("long")).alias("flow_id"))
+    return CFG.feeders(t, last)
+
+
+@register("qa_grounding")
+def _qa_grounding(spark, sf):
+    t = _cfg_tables(spark, sf)
+    dep = t["dependencies"].select(F.col("flow_id").alias("source"),
+                                   F.col("depends_on").alias("target"))
+    k = F.col("source").substr(2, 20).cast("long")
+    fake = dep.where(k % 5 == 0).select(F.col("target").alias("source"),
+                                        F.col("source").alias("target"))
+    return CFG.grounding(dep.unionByName(fake), dep)
+
+
+def _emb(spark, sf):
+    return D.table(spark, sf, "embeddings")
+
+
+@register("ret_vector_topk")
+def _ret_topk(spark, sf):
+    e = _emb(spark, sf)
+    return RT.vector_topk(e, RT.query_vectors(e), 5)
+
+
+@register("ret_metadata_filter")
+def _ret_filter(spark, sf):
+    e = _emb(spark, sf)
+    return RT.metadata_filter_topk(e, RT.query_vectors(e), 5)
+
+
+@register("ret_hybrid")
+def _ret_hybrid(spark, sf):
+    e = _emb(spark, sf)
+    return RT.hybrid_topk(e, RT.query_vectors(e), D.vector_edges(spark, sf), 5)

@@ -341,3 +341,49 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(F.lit("insert into t"), k, F.lit(" select c0 from t"), half)))
     return p.select(F.lit(LINEAGE_PIPELINE).alias("pipeline_id"),
                     F.col("p_partkey").alias("stmt_order"), text.alias("sql_text"))
+
+
+# ------------------------------------------------------------------ configurations
+CONFIG_APPLICATION = "part"
+
+
+def config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One configuration document per part key (JSON text): application
+    ``part``, one flow ``f<k>`` depending on f<k div 2> and f<k div 3>,
+    registering ``frame_<k>``, saving to ``db.t<k>`` when k mod 3 = 0, with a
+    not-null check when k mod 4 = 0 and the statement of
+    :func:`statements` as its query. Every 97th document is broken JSON,
+    every 89th lacks the application name, every 83rd a flowId."""
+    st = statements(spark, sf_dir)
+    k = F.col("stmt_order")
+    ks = k.cast("string")
+    deps = F.array_distinct(F.filter(
+        F.array(F.concat(F.lit("f"), (k / 2).cast("long").cast("string")),
+                F.concat(F.lit("f"), (k / 3).cast("long").cast("string"))),
+        lambda d: d != F.concat(F.lit("f"), ks)))
+    deps = F.when(k >= 1, deps).otherwise(F.array().cast("array<string>"))
+    flow = F.struct(
+        F.when(k % 83 != 0, F.concat(F.lit("f"), ks)).alias("flowId"),
+        deps.alias("seqDependencies"),
+        F.array(F.col("sql_text")).alias("queries"),
+        F.concat(F.lit("frame_"), ks).alias("registerName"),
+        F.when(k % 3 == 0, F.concat(F.lit("db.t"), ks)).alias("storageName"),
+        (k % 3 == 0).alias("saveOutput"),
+        F.when(k % 4 == 0, F.array(F.struct(F.concat(F.lit("chk"), ks).alias("checkId"),
+                                            F.lit("not_null").alias("type"),
+                                            F.lit("c0").alias("column"))))
+        .otherwise(F.array().cast("array<struct<checkId:string,type:string,column:string>>"))
+        .alias("checks"))
+    doc = F.to_json(F.struct(
+        F.struct(F.when(k % 89 != 0, F.lit(CONFIG_APPLICATION)).alias("name"),
+                 F.lit("team").alias("owner")).alias("application"),
+        F.array(flow).alias("flows")))
+    return st.select(F.when(k % 97 == 0, F.concat(F.lit("{bad json "), ks)).otherwise(doc)
+                     .alias("value"))
+
+
+def vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbour graph over embeddings: vec_id -> vec_id div 2."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.where(F.col("vec_id") >= 1).select(
+        F.col("vec_id").alias("src"), (F.col("vec_id") / 2).cast("long").alias("dst"))
