@@ -819,3 +819,117 @@ def _ret_filter(spark, sf):
 def _ret_hybrid(spark, sf):
     e = _emb(spark, sf)
     return RT.hybrid_topk(e, RT.query_vectors(e), D.vector_edges(spark, sf), 5)
+
+
+# ---------------------------------------------------------------- remaining section-2 keys
+def _app_row(spark, sf):
+    return features.app_feature_row(D.tasks(spark, sf), D.stages(spark, sf))
+
+
+@register("fn_spill_ratio")
+def _spill(spark, sf):
+    return _app_row(spark, sf).select("app_id", "total_spill_memory_bytes",
+                                      "total_shuffle_write_bytes", "spill_ratio")
+
+
+@register("fn_cpu_efficiency")
+def _cpu(spark, sf):
+    return _app_row(spark, sf).select("app_id", "cpu_efficiency", "cpu_utilization")
+
+
+@register("fn_runtime_skew")
+def _rt_skew(spark, sf):
+    return _app_row(spark, sf).select("app_id", "task_runtime_max", "task_runtime_median",
+                                      "runtime_skew_ratio")
+
+
+@register("fn_p99_ratio")
+def _p99(spark, sf):
+    return _app_row(spark, sf).select("app_id", "task_runtime_p99", "p99_to_median_ratio")
+
+
+@register("fn_risk_scores")
+def _risk(spark, sf):
+    return _app_row(spark, sf).select("app_id", *M.risk_scores().keys())
+
+
+def _card(spark, sf):
+    return features.cardinality(features.plan_children(D.executions(spark, sf)),
+                                D.tasks(spark, sf), APP)
+
+
+@register("fn_cardinality_error")
+def _card_err(spark, sf):
+    return _card(spark, sf).select("app_id", "execution_id", "node_name", "cardinality_error_ratio")
+
+
+@register("fn_log_cardinality")
+def _card_log(spark, sf):
+    return _card(spark, sf).select("app_id", "execution_id", "node_name", "log_cardinality_error")
+
+
+@register("pred_statistics_issue")
+def _stat_issue(spark, sf):
+    return _card(spark, sf).select("app_id", "execution_id", "node_name", "statistics_issue_flag")
+
+
+@register("join_cross_scalar")
+def _cross_scalar(spark, sf):
+    t = D.tasks(spark, sf)
+    per_app = stats.runtime_moments(t, APP).select("app_id", "task_runtime_mean")
+    # the reference's crossJoin of a one-row aggregate, as an equi-join per app
+    return t.select("app_id", "stage_id", "task_id", "task_runtime").join(per_app, "app_id")
+
+
+@register("win_rank_for_gini")
+def _rank_for_gini(spark, sf):
+    h = stats.rank_histogram(D.tasks(spark, sf), APP, "task_runtime")
+    return h.select("app_id", F.col("v").alias("task_runtime"), F.col("c").alias("copies"),
+                    (F.col("below") + 1).alias("first_rank"), F.col("n").alias("n_tasks"))
+
+
+@register("lin_assignments")
+def _lin_assignments(spark, sf):
+    return D.assignments(spark, sf)
+
+
+@register("join_change_udf")
+def _join_change_udf(spark, sf):
+    p = D.table(spark, sf, "pages")
+    return p.select("page_id", T.join_strategy_changed("html").alias("join_strategy_changed"))
+
+
+def _rules_via_csv(spark):
+    """Write the inline rule tables as the five mapping CSVs, read them back."""
+    folder = scratch_path(spark, "mappings")
+    rs = D.rule_set(spark)
+    for key, (name, cols) in C.RULE_FILES.items():
+        C.write_csv(getattr(rs, key).orderBy("rule_order").select(*cols).coalesce(1),
+                    f"{folder}/{name}")
+    return C.read_rule_csvs(spark, folder)
+
+
+@register("src_rule_csv")
+def _src_rule_csv(spark, sf):
+    return rename.rename_v2(D.jobs(spark, sf), _rules_via_csv(spark), INSTANCE, ENV)
+
+
+def _jobs_csv_path(spark, sf):
+    out = scratch_path(spark, "jobs-csv")
+    j = D.jobs(spark, sf).select(F.col("input_order").cast("string").alias("Row"),
+                                 F.col("job_name").alias("job_name"), F.col("job_type").alias("job_type"))
+    header_row = spark.createDataFrame([("Row", "job_name", "job_type")], j.schema)
+    C.write_csv(j.unionByName(header_row), out)
+    return out
+
+
+@register("src_required_cols")
+def _src_required(spark, sf):
+    return C.read_jobs_csv(spark, _jobs_csv_path(spark, sf)).select("job_name", "job_type")
+
+
+@register("src_drop_embedded_header")
+def _src_drop_header(spark, sf):
+    raw = C.read_string_csv(spark, _jobs_csv_path(spark, sf))
+    return raw.agg(F.count(F.lit(1)).alias("rows_read"),
+                   F.count(F.when(C.is_data_row("row"), 1)).alias("rows_kept"))

@@ -70,10 +70,9 @@ def app_task_features(tasks: DataFrame, keys=APP) -> DataFrame:
     return (totals_moments.join(pct, g, "left").join(gini, g, "left").join(part, g, "left"))
 
 
-def app_features(tasks: DataFrame, stages: DataFrame, executions: DataFrame,
-                 keys=APP) -> DataFrame:
-    """``job_app_features``: one feature set per application, joined to one
-    row per top-level plan child of its SQL executions."""
+def app_feature_row(tasks: DataFrame, stages: DataFrame, keys=APP) -> DataFrame:
+    """One feature row per application: totals, moments, percentiles, Gini,
+    partition stats, stage summary, ratios and risk scores."""
     g = list(keys)
     f = app_task_features(tasks, g).join(stats.stage_summary(stages, g), g, "left")
     f = (f.withColumn("spill_ratio", M.spill_ratio("total_spill_memory_bytes",
@@ -88,6 +87,15 @@ def app_features(tasks: DataFrame, stages: DataFrame, executions: DataFrame,
                                                         "task_runtime_median")))
     for name, col in M.risk_scores().items():
         f = f.withColumn(name, col)
+    return f
+
+
+def app_features(tasks: DataFrame, stages: DataFrame, executions: DataFrame,
+                 keys=APP) -> DataFrame:
+    """``job_app_features``: one feature set per application, joined to one
+    row per top-level plan child of its SQL executions."""
+    g = list(keys)
+    f = app_feature_row(tasks, stages, g)
     card = cardinality(plan_children(executions, keys=g + ["execution_id"]), tasks, g)
     return f.join(card.drop("execution_id"), g, "left")
 

@@ -401,3 +401,66 @@ SQL["src_lineage_json"] = SQL["lin_multi_hop_edges"]
 from pipelens.plans import oracle_config  # noqa: E402
 
 SQL.update(oracle_config.SQL)
+
+# ---------------------------------------------------------------- remaining section-2 keys
+FEAT = with_(TASKS, STAGES, RUNTIME_STATS, STAGE_SUMMARY) + """,
+f AS (
+  SELECT t.*, p.task_runtime_p95, p.task_runtime_p99, p.task_runtime_median,
+         g.gini_coefficient_runtime, ps.max_partition_size_mb, ps.min_partition_size_mb,
+         ps.median_partition_size_mb, ps.partition_size_stddev, ps.partition_skew_ratio,
+         s.num_stages, s.longest_stage_time, s.avg_tasks_per_stage, s.max_parallel_tasks,
+         t.total_spill_memory_bytes / (t.total_shuffle_write_bytes + 1) AS spill_ratio,
+         t.total_executor_cpu_time / (t.total_executor_runtime + 1) AS cpu_efficiency,
+         t.total_executor_cpu_time / 1e6 / NULLIF(t.total_executor_runtime, 0) AS cpu_utilization,
+         t.task_runtime_max / (p.task_runtime_median + 1) AS runtime_skew_ratio,
+         p.task_runtime_p99 / (p.task_runtime_median + 1) AS p99_to_median_ratio
+  FROM totals t
+  LEFT JOIN rt_pct p USING (app_id) LEFT JOIN rt_gini g USING (app_id)
+  LEFT JOIN part_stats ps USING (app_id) LEFT JOIN stage_summary s USING (app_id)),
+f2 AS (
+  SELECT *, partition_skew_ratio * spill_ratio AS shuffle_risk_score,
+         runtime_skew_ratio * gini_coefficient_runtime AS skew_severity_score,
+         spill_ratio * 2 AS memory_risk_score
+  FROM f)"""
+
+q("fn_spill_ratio", FEAT + """
+SELECT app_id, total_spill_memory_bytes, total_shuffle_write_bytes, round(spill_ratio, 6) AS spill_ratio
+FROM f2""")
+q("fn_cpu_efficiency", FEAT + """
+SELECT app_id, round(cpu_efficiency, 6) AS cpu_efficiency, round(cpu_utilization, 6) AS cpu_utilization
+FROM f2""")
+q("fn_runtime_skew", FEAT + """
+SELECT app_id, task_runtime_max, round(task_runtime_median, 6) AS task_runtime_median,
+       round(runtime_skew_ratio, 6) AS runtime_skew_ratio FROM f2""")
+q("fn_p99_ratio", FEAT + """
+SELECT app_id, round(task_runtime_p99, 6) AS task_runtime_p99,
+       round(p99_to_median_ratio, 6) AS p99_to_median_ratio FROM f2""")
+q("fn_risk_scores", FEAT + """
+SELECT app_id, round(shuffle_risk_score, 6) AS shuffle_risk_score,
+       round(skew_severity_score, 6) AS skew_severity_score,
+       round(memory_risk_score, 6) AS memory_risk_score,
+       round(0.25 * shuffle_risk_score + 0.25 * skew_severity_score + 0.25 * memory_risk_score
+             + 0.25 * cpu_efficiency, 6) AS overall_health_score FROM f2""")
+CARD_ALL = with_(TASKS, EVENTS, EXECUTIONS, ACTUAL, CARD)
+q("fn_cardinality_error", CARD_ALL + """
+SELECT app_id, execution_id, node_name, round(cardinality_error_ratio, 6) AS cardinality_error_ratio
+FROM card""")
+q("fn_log_cardinality", CARD_ALL + """
+SELECT app_id, execution_id, node_name, round(log_cardinality_error, 6) AS log_cardinality_error
+FROM card""")
+q("pred_statistics_issue", CARD_ALL + """
+SELECT app_id, execution_id, node_name, statistics_issue_flag FROM card""")
+q("join_cross_scalar", with_(TASKS) + """
+SELECT t.app_id, t.stage_id, t.task_id, t.task_runtime, round(a.m, 6) AS task_runtime_mean
+FROM tasks t JOIN (SELECT app_id, avg(task_runtime) AS m FROM tasks GROUP BY ALL) a USING (app_id)""")
+q("win_rank_for_gini", with_(TASKS) + """
+SELECT app_id, task_runtime, copies,
+       CAST(sum(copies) OVER (PARTITION BY app_id ORDER BY task_runtime) - copies + 1 AS BIGINT) AS first_rank,
+       CAST(sum(copies) OVER (PARTITION BY app_id) AS BIGINT) AS n_tasks
+FROM (SELECT app_id, task_runtime, count(*) AS copies FROM tasks
+      WHERE task_runtime IS NOT NULL GROUP BY ALL)""")
+SQL["join_change_udf"] = SQL["pred_join_strategy_changed"]
+SQL["lin_assignments"] = oracle_lineage.W + "\nSELECT * FROM assign"
+SQL["src_rule_csv"] = SQL["job_rename_v2"]
+SQL["src_required_cols"] = oracle_names.JOBS_RAW_SQL_REQUIRED
+SQL["src_drop_embedded_header"] = "SELECT count(*) + 1 AS rows_read, count(*) AS rows_kept FROM orders"

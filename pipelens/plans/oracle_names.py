@@ -367,3 +367,6 @@ SQL["sink_csv"] = V1 + """
 SELECT input_order, job_name AS old_job_name, new_job_name, status, notes, app_code, instance, env,
        schedule, as_job_type, subject_code, etl_type, job_id, suffix, job_type AS original_job_type
 FROM final"""
+
+JOBS_RAW_SQL_REQUIRED = "WITH " + JOBS_RAW.strip() + """
+SELECT coalesce(job_name, '') AS job_name, coalesce(job_type, '') AS job_type FROM jobs_raw"""

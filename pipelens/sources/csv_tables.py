@@ -41,8 +41,13 @@ def drop_embedded_headers(df: DataFrame, col: str = "row") -> DataFrame:
     (when that column exists)."""
     if col not in df.columns:
         return df
+    return df.where(is_data_row(col))
+
+
+def is_data_row(col: str = "row") -> F.Column:
+    """True when ``col`` parses as a number (not NaN)."""
     v = F.expr(f"try_cast(trim(`{col}`) AS double)")
-    return df.where(v.isNotNull() & ~F.isnan(v))
+    return v.isNotNull() & ~F.isnan(v)
 
 
 def read_jobs_csv(spark: SparkSession, path: str) -> DataFrame:
