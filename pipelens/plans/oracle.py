@@ -225,8 +225,8 @@ SELECT a.app_id, a.stage_id, a.task_id, a.task_runtime, b.output_rows
 FROM tasks a JOIN tasks b USING (app_id, stage_id, task_id)""")
 
 q("agg_corr", with_(TASKS) + """
-SELECT app_id, round(corr(output_rows, task_runtime), 6) AS corr_rows_runtime
-FROM tasks GROUP BY ALL""")
+SELECT a.app_id, round(corr(b.output_rows, a.task_runtime), 6) AS corr_rows_runtime
+FROM tasks a JOIN tasks b USING (app_id, stage_id, task_id) GROUP BY ALL""")
 
 q("fn_row_amplification", with_(TASKS) + """
 SELECT app_id, stage_id, CAST(sum(output_rows) AS BIGINT) AS total_output_rows,
