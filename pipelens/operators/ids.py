@@ -18,19 +18,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipelens.operators.stats import _with_buckets
+
 DEFAULT_BUCKETS = 64
+# groups with more rows than this are split into buckets
+SPLIT_MIN = 1_000_000
 
 
 def sequence_number(df: DataFrame, group_cols, order_col: str, out: str = "seq",
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int = DEFAULT_BUCKETS, split_min: int = SPLIT_MIN) -> DataFrame:
     g = list(group_cols)
     if buckets <= 1:
         w = Window.partitionBy(*g).orderBy(order_col)
         return df.withColumn(out, F.row_number().over(w))
-    probs = [k / buckets for k in range(1, buckets)]
-    splits = df.groupBy(*g).agg(F.percentile_approx(order_col, probs, 10000).alias("_sp"))
-    d = df.join(splits, on=g, how="inner") if g else df.crossJoin(splits)
-    d = d.withColumn("_bk", F.size(F.filter("_sp", lambda s: s < F.col(order_col)))).drop("_sp")
+    # only groups above split_min rows are split (see stats._with_buckets)
+    d = _with_buckets(df, g, order_col, buckets, split_min, out="_bk")
     counts = d.groupBy(*g, "_bk").agg(F.count(F.lit(1)).alias("_cnt"))
     w_before = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*g, "_bk", F.coalesce(F.sum("_cnt").over(w_before), F.lit(0))

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+# groups with more distinct values than this are split into buckets
+SPLIT_MIN = 100_000
 
 
 def _cols(group_cols: Sequence[str] | str | None) -> list[str]:
@@ -36,24 +38,19 @@ def _cols(group_cols: Sequence[str] | str | None) -> list[str]:
 
 
 def rank_histogram(df: DataFrame, group_cols, value: str,
-                   buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   buckets: int = DEFAULT_BUCKETS, split_min: int = SPLIT_MIN) -> DataFrame:
     """(group..., v, c, below, n) with nulls removed.
 
     ``below`` counts values < v inside the group, ``n`` the non-null group size.
+    Only groups with more than ``split_min`` distinct values are split into
+    ``buckets`` (split points from ``approx_percentile``); the others are one
+    bucket, so the split cost is paid only where a group is hot.
     """
     g = _cols(group_cols)
     hist = (df.where(F.col(value).isNotNull())
             .groupBy(*g, F.col(value).alias("v"))
             .agg(F.count(F.lit(1)).alias("c")))
-    if buckets > 1:
-        probs = [k / buckets for k in range(1, buckets)]
-        splits = hist.groupBy(*g).agg(
-            F.percentile_approx("v", probs, 10000).alias("_splits"))
-        hist = (hist.join(splits, on=g, how="inner") if g else hist.crossJoin(splits))
-        hist = hist.withColumn(
-            "bucket", F.size(F.filter("_splits", lambda s: s < F.col("v")))).drop("_splits")
-    else:
-        hist = hist.withColumn("bucket", F.lit(0))
+    hist = _with_buckets(hist, g, "v", buckets, split_min)
     totals = hist.groupBy(*g, "bucket").agg(F.sum("c").alias("_bc"))
     w_off = Window.partitionBy(*g).orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
@@ -70,6 +67,27 @@ def rank_histogram(df: DataFrame, group_cols, value: str,
     return out.select(*g, "v", "c", (F.col("_offset") + F.col("_run")).alias("below"), "n")
 
 
+def _with_buckets(df: DataFrame, g: list[str], order_col: str, buckets: int,
+                  split_min: int, out: str = "bucket") -> DataFrame:
+    """Add ``out``: 0 for groups of at most ``split_min`` rows, else the number
+    of ``approx_percentile`` split points below ``order_col`` (monotone in it).
+    The split-point table has one row per hot group only (broadcast by AQE)."""
+    if buckets <= 1:
+        return df.withColumn(out, F.lit(0))
+    keys = g or ["_all"]
+    d = df if g else df.withColumn("_all", F.lit(0))
+    probs = [k / buckets for k in range(1, buckets)]
+    hot = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gsize"))
+           .where(F.col("_gsize") > split_min).select(*keys))
+    splits = (d.join(hot, on=keys, how="left_semi").groupBy(*keys)
+              .agg(F.percentile_approx(order_col, probs, 10000).alias("_splits")))
+    d = d.join(splits, on=keys, how="left")
+    below = F.size(F.filter("_splits", lambda s_: s_ < F.col(order_col)))
+    d = d.withColumn(out, F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(below)) \
+        .drop("_splits")
+    return d if g else d.drop("_all")
+
+
 def gini(df: DataFrame, group_cols, value: str, alias: str = "gini",
          buckets: int = DEFAULT_BUCKETS, keep_empty_groups: bool = True) -> DataFrame:
     """Gini coefficient per group (``agg_gini_grouped`` / ``agg_gini_global``).

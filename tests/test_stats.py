@@ -25,6 +25,9 @@ def test_gini_matches_pairwise_with_hot_group(spark):
     rows = [(0 if i % 3 else 1, int(v)) for i, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "g int, v long")
     got = {r["g"]: r["gini"] for r in stats.gini(df, ["g"], "v", buckets=16).collect()}
+    forced = {r["g"]: r["gini"] for r in stats.gini_from_hist(
+        stats.rank_histogram(df, ["g"], "v", buckets=16, split_min=0), ["g"]).collect()}
+    assert forced == pytest.approx(got)
     for g in (0, 1):
         x = np.array([v for gg, v in rows if gg == g], dtype=float)
         pair = np.abs(x[:, None] - x[None, :]).sum() / (2 * len(x) ** 2 * x.mean())
@@ -59,6 +62,9 @@ def test_exact_percentiles_match_numpy(spark):
     df = spark.createDataFrame([(1, v) for v in vals], "g int, v long")
     r = stats.exact_percentiles(df, ["g"], "v", [0.5, 0.95, 0.99], ["p50", "p95", "p99"],
                                 buckets=8).collect()[0]
+    h = stats.rank_histogram(df, ["g"], "v", buckets=8, split_min=0)
+    r2 = stats.percentiles_from_hist(h, ["g"], [0.5], ["p50"]).collect()[0]
+    assert r2["p50"] == pytest.approx(np.percentile(vals, 50))
     for name, p in (("p50", 50), ("p95", 95), ("p99", 99)):
         assert r[name] == pytest.approx(np.percentile(vals, p))
 
@@ -66,7 +72,7 @@ def test_exact_percentiles_match_numpy(spark):
 def test_rank_histogram_equals_window(spark):
     rows = [(i % 2, (i * 37) % 101) for i in range(1000)]
     df = spark.createDataFrame(rows, "g int, v long")
-    h = stats.rank_histogram(df, ["g"], "v", buckets=7)
+    h = stats.rank_histogram(df, ["g"], "v", buckets=7, split_min=10)
     w = Window.partitionBy("g").orderBy("v")
     ref = (df.groupBy("g", "v").agg(F.count("*").alias("c"))
            .withColumn("below", F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
@@ -78,7 +84,7 @@ def test_rank_histogram_equals_window(spark):
 def test_sequence_number_dense_and_ordered(spark):
     rows = [(i, "hot" if i % 4 else f"k{i % 3}") for i in range(2000)]
     df = spark.createDataFrame(rows, "o long, g string")
-    out = ids.sequence_number(df, ["g"], "o", "seq", buckets=9).collect()
+    out = ids.sequence_number(df, ["g"], "o", "seq", buckets=9, split_min=100).collect()
     by = {}
     for r in out:
         by.setdefault(r["g"], []).append((r["o"], r["seq"]))
