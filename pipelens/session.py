@@ -46,18 +46,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     the session so every operator of the run shares it).
     """
     root = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        pass
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if root:
         return root
-    master = spark.sparkContext.master
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         raise RuntimeError(
             "set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) before "
             "running iterative operators on a cluster")
     root = tempfile.mkdtemp(prefix="pipelens-ckpt-")
     spark.conf.set(_CHECKPOINT_KEY, root)
-    spark.sparkContext.setCheckpointDir(root)
+    if sc is not None:
+        sc.setCheckpointDir(root)
     return root
 
 
@@ -71,7 +77,10 @@ def spread(df, min_partitions: int | None = None):
     """Round-robin repartition when a scan yields fewer partitions than the
     cluster has cores (a small single-row-group file is one task). A no-op on
     real inputs, whose scans already split into thousands of partitions."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            return df.repartition(target)
+    except Exception:  # noqa: BLE001 - no RDD API (Spark Connect): leave as is
+        pass
     return df
