@@ -78,3 +78,24 @@ def test_valid_column_name(spark):
     got = {r["n"]: r["v"] for r in df.select("n", L.valid_column_name("n").alias("v")).collect()}
     assert got == {"ok_name": True, "": False, "'x'": False, "123": False, "f(x)": False,
                    "a,b": False, "plan": False, "...": False, "9abc": False, "_x": True, "a b": True}
+
+
+def test_validate_fix_passthrough_modes(spark):
+    final = spark.createDataFrame([("t", ["s.raw_t.a"], [])],
+                                  "target_column string, source_columns array<string>, expressions array<string>")
+    kept = L.validate_fix(final).collect()[0]
+    assert kept["source_columns"] == ["s.raw_t.a"] and kept["issues"] == []
+    wiped = L.validate_fix(final, repair_passthrough=True).collect()[0]
+    assert wiped["source_columns"] == []
+    assert wiped["issues"] == ["  t: Removed unused source columns: s.raw_t.a"]
+
+
+def test_hub_edges(spark):
+    from pipelens.plans import lineage_jobs as LJ
+    final = spark.createDataFrame(
+        [("p", "t", "x", ["b.a", "b.c"], ["a + c"]), ("p", "t", "y", ["b.a"], [])],
+        "pipeline_id string, target_table string, target_column string, "
+        "source_columns array<string>, expressions array<string>")
+    got = sorted((r["source"], r["target"], r["label"]) for r in LJ.hub_edges(final).collect())
+    assert got == [("b.a", "t.y", "Raw Copy"), ("b.a", "transform_t.x", None),
+                   ("b.c", "transform_t.x", None), ("transform_t.x", "t.x", "a + c")]

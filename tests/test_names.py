@@ -131,3 +131,9 @@ def test_bad_instance_code(spark):
                                  "input_order long, job_name string, job_type string, application_name string")
     with pytest.raises(ValueError):
         rename.rename_v2(jobs, _rules(spark, []), "E0", "P")
+
+
+def test_checked_broadcast_respects_limit(spark):
+    df = spark.range(3)
+    assert "broadcast" not in R.checked_broadcast(df, max_rows=1)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in R.checked_broadcast(df, max_rows=10)._jdf.queryExecution().logical().toString().lower()
