@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pipelens.llm import licenses, mixing, packing, repetition, secrets
+from pipelens.llm import language_model, licenses, mixing, packing, quality, repetition, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_license_scan, op3_packing, op4_secret_scan, op6_poisson_mix,
-                                    op7_repetition_rules)}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model_scores(table(spark, sf_dir, "documents"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_license_scan, op3_packing, op4_secret_scan, op5_quality_classifier,
+                                    op6_poisson_mix, op7_repetition_rules, op10_language_model)}
 SQL: dict[str, str] = {}
