@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pipelens.llm import language_model, licenses, mixing, packing, quality, repetition, secrets
+from pipelens.llm import embeddings, language_model, licenses, mixing, packing, quality, repetition, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,6 +45,6 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.language_model_scores(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_license_scan, op3_packing, op4_secret_scan, op5_quality_classifier,
-                                    op6_poisson_mix, op7_repetition_rules, op10_language_model)}
+REGISTRY = {f.__name__: f for f in (op1_license_scan, op2_embedding_near_dedup, op3_packing, op4_secret_scan,
+                                    op5_quality_classifier, op6_poisson_mix, op7_repetition_rules, op10_language_model)}
 SQL: dict[str, str] = {}
