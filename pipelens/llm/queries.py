@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pipelens.llm import embeddings, jaccard_join, language_model, licenses, mixing, packing, quality, repetition, secrets
+from pipelens.llm import embeddings, jaccard_join, language_model, licenses, mixing, packing, quality, repetition, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,6 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (op1_license_scan, op2_embedding_near_dedup, op3_packing, op4_secret_scan,
-                                    op5_quality_classifier, op6_poisson_mix, op7_repetition_rules, op9_jaccard_join, op10_language_model)}
+                                    op5_quality_classifier, op6_poisson_mix, op7_repetition_rules, op8_repeated_substrings,
+                                    op9_jaccard_join, op10_language_model)}
 SQL: dict[str, str] = {}
