@@ -2,14 +2,16 @@
 model of bytes, trained on trusted text; documents whose perplexity lies above
 their language's quantile over trusted documents are rejected.
 
-Training takes at most ``MAX_TRUSTED`` documents, all of whose labels say
-quality 1, chosen by a hash of the id. Tasks count the n-grams of their blocks,
+Trusted are documents all of whose labels say quality 1. Half of them, by a
+hash of the id and at most ``MAX_TRUSTED``, train the model; the other half,
+which it has not seen, sets the limits, so that an unlabelled clean document
+passes as often as a trusted one. Tasks count the n-grams of their blocks,
 Spark adds them up, and lower orders, context totals and discounts follow by
 aggregates and joins of the count tables on (order, context). The finished
 tables are laid down in shards as sorted arrays that workers memory-map, so a
 document's perplexity is a lookup join inside the scan: joining 700 distinct
 n-grams of every document by shuffle would move ten times the text. Thresholds
-come from all labelled documents by a mergeable quantile sketch.
+come from that whole half by a mergeable quantile sketch.
 
 Defined results: a null or empty text has only its end to score; a null
 language is a language of its own, and one without trusted documents takes the
@@ -34,7 +36,7 @@ from pipelens.llm import blocks as B
 from pipelens.llm.discounts import discounts
 from pipelens.session import scratch_path
 
-ORDER, MAX_TRUSTED, QUANTILE, MARGIN = 5, 20_000, 0.995, 1.02
+ORDER, MAX_TRUSTED, QUANTILE, MARGIN = 5, 20_000, 0.995, 1.05
 #: A text is judged as if so many bytes of its language's mean stood before it,
 #: which keeps short clean texts from passing the limit by chance.
 PRIOR_BYTES = 200
@@ -94,6 +96,10 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qua
             .agg(F.min(F.coalesce(F.col(label_col), F.lit(0))).alias("_good")).where("_good = 1").select("_id"))
 
 
+def _trains(ident: str) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit("half"), F.col(ident)), F.lit(2)) == 0
+
+
 def train(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, order: int = ORDER,
           id_col: str = "doc_id", text_col: str = "text") -> ByteModel:
     """Count, smooth and lay down the model of the trusted documents."""
@@ -101,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, or
     B.small_batches(spark)
     root = scratch_path(spark, "quality-model")
     # at most max_trusted ids: a bounded broadcast
-    chosen = trusted_ids(labels).orderBy(F.xxhash64("_id"), "_id").limit(max_trusted)
+    chosen = trusted_ids(labels).where(_trains("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_trusted)
     texts = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
              .join(F.broadcast(chosen), "_id", "left_semi").select("text"))
 
@@ -183,7 +189,7 @@ def judged(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     """Adds ``threshold`` and ``kept`` to scored rows. ``scored`` is read twice:
     pass a written table."""
     good = (scored.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), "perplexity",
-                          "n_bytes").join(trusted_ids(labels), "_id")
+                          "n_bytes").join(trusted_ids(labels).where(~_trains("_id")), "_id")
             .withColumn("_log", F.log10("perplexity")))
     spark = scored.sparkSession
     overall_mean = good.agg(F.avg("_log")).first()[0]
