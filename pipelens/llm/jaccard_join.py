@@ -14,9 +14,12 @@ found exactly.
    found nowhere else fill that prefix have no partner; the others keep their
    shared shingles and the rest of the prefix.
 3. Candidates. Documents with a common prefix shingle are first paired with
-   the smallest of the list only, linear in the list. Components of the
-   verified links then leave few lists with more than one component; there all
-   pairs across components follow, in blocks, so no list fills one task.
+   the smallest of the list only, linear in the list. While the verified links
+   leave lists whose pairs across components are many, further turns pair their
+   members with a few heads of other components, as long as that pays: a
+   share of the pairs must have linked.
+   Then all pairs across components follow, in blocks, so no list fills one
+   task and no link between components is missed.
 4. T-occurrence. The partners of one document, split into blocks when many,
    form inverted lists of its shingles. Following DivideSkip the longest lists
    are set aside, the short ones are merged into counts, and documents whose
@@ -36,6 +39,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -51,9 +55,12 @@ from pipelens.session import scratch_path
 
 SHINGLE = 5
 #: Postings and documents that a task holds before it sends them on.
-HOLD, HOLD_DOCS = 3 << 20, 60_000
+HOLD, HOLD_DOCS = 2 << 20, 60_000
 #: Rows of one list, or partners of one document, in a task group.
 BLOCK = 1024
+#: Heads per list and turn. All pairs follow when they are few per member, or
+#: fewer than one in so many pairs of a turn linked.
+HEADS, FEW, PAYS = 8, 32, 4
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -297,6 +304,24 @@ def _across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def _with_heads(placed: DataFrame, open_lists: DataFrame, turn: int) -> DataFrame:
+    """Members of open lists with a few heads of other components, which a hash
+    picks anew each turn."""
+    rows = placed.join(open_lists.select("token"), "token")
+    heads = rows.groupBy("token").agg(*(
+        F.min(F.struct(F.xxhash64("cls", F.lit(turn * HEADS + i)), "cls", "n", "rest", "part")).alias(f"h{i}")
+        for i in range(HEADS)))
+    pairs = rows.join(heads.select("token", F.array(*(f"h{i}" for i in range(HEADS))).alias("heads")), "token")
+    pairs = pairs.select("cls", "n", "rest", "part", F.explode("heads").alias("h")).where("part != h.part").select(
+        "cls", "n", "rest", F.col("h.cls").alias("hcls"), F.col("h.n").alias("hn"), F.col("h.rest").alias("hrest"))
+    return pairs.where(_fits("", "h")).select(F.least("cls", "hcls").alias("a"), F.greatest("cls", "hcls").alias("b"))
+
+
+def _distinct_pairs(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    """Pairs that were not verified before, each once."""
+    return pairs.distinct().join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+
+
 def similar(docs: DataFrame, shingle: int = SHINGLE, shards: int | None = None, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """One row per document: its set size and its component."""
@@ -342,24 +367,36 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, shards: int | None = None,
         F.col("h.rest").alias("hrest")), "lists")
     sets = sets.select("cls", "n", "shared")
     pairs = written(lists.where(F.col("cls") != F.col("hcls")).where(_fits("", "h")).select(
-        F.col("hcls").alias("a"), F.col("cls").alias("b")).distinct(), "heads")
-    links = written(_verified(pairs, sets), "links")
-    parts = components(links)
-    placed = lists.join(parts.withColumnRenamed("id", "cls"), "cls", "left").select(
-        "token", "cls", "n", "rest", F.coalesce("component", "cls").alias("part"))
-    open_lists = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("k")
-                                             ).where("x != y").select("token", F.ceil(F.col("k") / BLOCK).alias("blocks"))
-    across = (placed.join(open_lists, "token")
+        F.least("hcls", "cls").alias("a"), F.greatest("hcls", "cls").alias("b")).distinct(), "heads")
+    links = [written(_verified(pairs, sets), "links")]
+    tried, grown = [pairs], True
+    parts = written(components(links[0]), "parts")
+    for turn in count():
+        placed = written(lists.join(parts.withColumnRenamed("id", "cls"), "cls", "left").select(
+            "token", "cls", "n", "rest", F.coalesce("component", "cls").alias("part")), "placed")
+        open_lists = written(placed.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(
+            F.sum("c").alias("k"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross")
+        ).where("cross > 0"), "open")
+        cross, held = open_lists.agg(F.sum("cross"), F.sum("k")).first()
+        if not cross or cross <= FEW * held or not grown:
+            break
+        found = written(_distinct_pairs(_with_heads(placed, open_lists, turn), tried), "heads")
+        links.append(written(_verified(found, sets), "links"))
+        tried.append(found)
+        grown = links[-1].count() * PAYS >= found.count()
+        parts = written(components(links[-1].unionByName(
+            parts.select(F.col("id").alias("a"), F.col("component").alias("b")))), "parts")
+    across = (placed.join(open_lists.select("token", F.ceil(F.col("k") / BLOCK).alias("blocks")), "token")
               .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
               .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
               .withColumns({"one": F.least("block", "with"), "other": F.greatest("block", "with")})
-              .groupBy("token", "one", "other").applyInArrow(_across, "a long, b long").distinct()
-              .join(pairs, ["a", "b"], "left_anti"))
-    more = written(_verified(written(across, "across"), sets), "links")
+              .groupBy("token", "one", "other").applyInArrow(_across, "a long, b long"))
+    links.append(written(_verified(written(_distinct_pairs(across, tried), "across"), sets), "links"))
+    links = reduce(DataFrame.unionByName, links)
     # ids that hold several texts join the classes of these
     held = rows.where("n_shingles > 0 and doc_id is not null").select("cls", "doc_id")
     several = held.join(classes, "cls").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    named = links.unionByName(more).join(classes.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(
+    named = links.join(classes.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(
         classes.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b").select(
         F.col("ra").alias("a"), F.col("rb").alias("b"))
     group = components(named.unionByName(several))
