@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 BATCH_ROWS = 500
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -68,7 +68,7 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         at = to
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=8)
 def _powers_of(base: int, size: int) -> np.ndarray:
     out = np.full(size, base, np.uint64)
     out[0] = 1

@@ -43,7 +43,7 @@ from pipelens.session import scratch_path
 START, END = np.uint64(1 << 20), np.uint64(2 << 20)
 HELD_OUT = 10
 #: Tokens looked up together; distinct n-grams that a task holds before it sends them on.
-STRETCH, HOLD = 1 << 20, 3 << 20
+STRETCH, HOLD = 1 << 19, 2 << 20
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
 SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pipelens.llm import embeddings, jaccard_join, language_model, licenses, mixing, packing, quality, repetition, secrets, substrings
+from pipelens.llm import embeddings, jaccard_join, language_model, licenses, mixing, oracle, packing, quality, repetition, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,4 +56,4 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {f.__name__: f for f in (op1_license_scan, op2_embedding_near_dedup, op3_packing, op4_secret_scan,
                                     op5_quality_classifier, op6_poisson_mix, op7_repetition_rules, op8_repeated_substrings,
                                     op9_jaccard_join, op10_language_model)}
-SQL: dict[str, str] = {}
+SQL = oracle.SQL

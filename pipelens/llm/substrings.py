@@ -296,7 +296,7 @@ def _construct(length: int):
         doc, window = doc[order], window[order]
         new = np.append(True, (doc[1:] != doc[:-1]) | (window[1:] != window[:-1] + 1)) if len(doc) else np.zeros(0, bool)
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1
+        last = np.append(first[1:], len(doc))[:len(first)] - 1
         at = doc[first]
         return pa.table({"key": table["key"].to_numpy()[at], "check": table["check"].to_numpy()[at],
                          "start": start[at] + window[first], "stop": start[at] + window[last] + length})
