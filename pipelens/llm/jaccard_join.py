@@ -60,7 +60,7 @@ HOLD, HOLD_DOCS = 2 << 20, 60_000
 BLOCK = 1024
 #: Heads per list and turn. All pairs follow when they are few per member, or
 #: fewer than one in so many pairs of a turn linked.
-HEADS, FEW, PAYS = 8, 32, 4
+HEADS, FEW, PAYS = 16, 32, 8
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -271,10 +271,17 @@ def _search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": np.full(len(linked), cls[one]), "b": cls[linked]})
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(rows.sparkSession, f"jaccard-{name}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links (a, b) among candidate ``pairs(a, b)`` of classes."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    split = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("salt"))
+    split = _written(pairs.join(blocks, "a").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("salt")), "split")
     partners = split.join(sets, split.b == sets.cls).select("a", "salt", F.lit(False).alias("asks"), "cls", "n", "shared")
     asking = split.select("a", "salt").distinct().join(sets, F.col("a") == sets.cls).select(
         "a", "salt", F.lit(True).alias("asks"), "cls", "n", "shared")
@@ -306,8 +313,11 @@ def _across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _with_heads(placed: DataFrame, open_lists: DataFrame, turn: int) -> DataFrame:
     """Members of open lists with a few heads of other components, which a hash
-    picks anew each turn."""
-    rows = placed.join(open_lists.select("token"), "token")
+    picks anew each turn. A document takes part in its longest open list only:
+    the lists of a large group have nearly the same members."""
+    rows = (placed.join(open_lists.select("token", "k"), "token").groupBy("cls", "n", "part")
+            .agg(F.max(F.struct("k", "token", "rest")).alias("m"))
+            .select("cls", "n", "part", "m.token", "m.rest"))
     heads = rows.groupBy("token").agg(*(
         F.min(F.struct(F.xxhash64("cls", F.lit(turn * HEADS + i)), "cls", "n", "rest", "part")).alias(f"h{i}")
         for i in range(HEADS)))
@@ -330,21 +340,16 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, shards: int | None = None,
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def written(rows: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, f"jaccard-{name}")
-        rows.write.parquet(path)
-        return spark.read.parquet(path)
-
     for salt in count():  # a second fingerprint tells whether two sets took one
-        rows = written(_survivors(docs, shingle, salt, shards), "documents")
-        classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(
+        rows = _written(_survivors(docs, shingle, salt, shards), "documents")
+        classes = _written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(
             F.min("doc_id").alias("rep"), F.min(F.when(F.col("prefix").isNotNull(), F.col("flush"))).alias("flush"),
             (F.min("check") != F.max("check")).alias("clash")), "classes")
         if not classes.where("clash").limit(1).count():
             break
     # one document stands for each class that can have partners
     alive = classes.where("flush is not null").select("cls", "flush")
-    sets = written(rows.where("prefix is not null").join(alive, ["cls", "flush"], "left_semi")
+    sets = _written(rows.where("prefix is not null").join(alive, ["cls", "flush"], "left_semi")
                    .select("cls", F.col("n_shingles").alias("n"), "prefix", "shared"), "sets")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,36 +367,36 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, shards: int | None = None,
     postings = (sets.select("cls", "n", "prefix", F.octet_length("shared").cast("long").alias("held"))
                 .mapInArrow(explode, "token long, cls long, n long, rest long"))
     heads = postings.groupBy("token").agg(F.min(F.struct("cls", "n", "rest")).alias("h"), F.count("*").alias("k")).where("k > 1")
-    lists = written(postings.join(heads, "token").select(
+    lists = _written(postings.join(heads, "token").select(
         "token", "cls", "n", "rest", "k", F.col("h.cls").alias("hcls"), F.col("h.n").alias("hn"),
         F.col("h.rest").alias("hrest")), "lists")
     sets = sets.select("cls", "n", "shared")
-    pairs = written(lists.where(F.col("cls") != F.col("hcls")).where(_fits("", "h")).select(
+    pairs = _written(lists.where(F.col("cls") != F.col("hcls")).where(_fits("", "h")).select(
         F.least("hcls", "cls").alias("a"), F.greatest("hcls", "cls").alias("b")).distinct(), "heads")
-    links = [written(_verified(pairs, sets), "links")]
+    links = [_written(_verified(pairs, sets), "links")]
     tried, grown = [pairs], True
-    parts = written(components(links[0]), "parts")
+    parts = _written(components(links[0]), "parts")
     for turn in count():
-        placed = written(lists.join(parts.withColumnRenamed("id", "cls"), "cls", "left").select(
+        placed = _written(lists.join(parts.withColumnRenamed("id", "cls"), "cls", "left").select(
             "token", "cls", "n", "rest", F.coalesce("component", "cls").alias("part")), "placed")
-        open_lists = written(placed.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(
+        open_lists = _written(placed.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(
             F.sum("c").alias("k"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross")
         ).where("cross > 0"), "open")
         cross, held = open_lists.agg(F.sum("cross"), F.sum("k")).first()
         if not cross or cross <= FEW * held or not grown:
             break
-        found = written(_distinct_pairs(_with_heads(placed, open_lists, turn), tried), "heads")
-        links.append(written(_verified(found, sets), "links"))
+        found = _written(_distinct_pairs(_with_heads(placed, open_lists, turn), tried), "heads")
+        links.append(_written(_verified(found, sets), "links"))
         tried.append(found)
         grown = links[-1].count() * PAYS >= found.count()
-        parts = written(components(links[-1].unionByName(
+        parts = _written(components(links[-1].unionByName(
             parts.select(F.col("id").alias("a"), F.col("component").alias("b")))), "parts")
     across = (placed.join(open_lists.select("token", F.ceil(F.col("k") / BLOCK).alias("blocks")), "token")
               .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
               .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
               .withColumns({"one": F.least("block", "with"), "other": F.greatest("block", "with")})
               .groupBy("token", "one", "other").applyInArrow(_across, "a long, b long"))
-    links.append(written(_verified(written(_distinct_pairs(across, tried), "across"), sets), "links"))
+    links.append(_written(_verified(_written(_distinct_pairs(across, tried), "across"), sets), "links"))
     links = reduce(DataFrame.unionByName, links)
     # ids that hold several texts join the classes of these
     held = rows.where("n_shingles > 0 and doc_id is not null").select("cls", "doc_id")
