@@ -106,7 +106,8 @@ def segments(block: B.Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np
     windows = np.diff(np.append(first, len(start)))
     start, least, own = start[first], least[first], own[first]
     held = hasher(start, start + windows - 1 + length) + (least - start).astype(np.uint64)
-    return grams[least], B.mix(held), own, start - block.off[own], windows, least - start
+    # anchors have small hashes: mixed, they fall on all shards alike
+    return B.mix(grams[least]), B.mix(held), own, start - block.off[own], windows, least - start
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
