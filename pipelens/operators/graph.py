@@ -29,7 +29,7 @@ def _spark(df: DataFrame) -> SparkSession:
 
 
 def reach(edges: DataFrame, src_cols, dst_cols, name: str = "reach",
-          max_rounds: int = 64, starts: DataFrame | None = None) -> DataFrame:
+          starts: DataFrame | None = None) -> DataFrame:
     """All (start, reached) pairs of the transitive closure of ``edges``.
 
     ``edges`` holds one row per directed edge, the source node in ``src_cols``
@@ -71,8 +71,6 @@ def reach(edges: DataFrame, src_cols, dst_cols, name: str = "reach",
     rounds = 1
     while True:
         rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"{name}: no fixpoint after {max_rounds} rounds")
         known = spark.read.parquet(seen_root).drop("round")
         if starts is None:
             # D . R : start -> mid (delta), mid -> end (known)
@@ -104,6 +102,47 @@ def reach(edges: DataFrame, src_cols, dst_cols, name: str = "reach",
                       F.col("hops").cast("int").alias("hops"))
 
 
+def terminals(edges: DataFrame, src_cols, dst_cols, name: str = "terminals") -> DataFrame:
+    """(start, terminal) for every node and every node without outgoing edges
+    that it reaches. Columns: ``start_<src col>`` and the ``src_cols`` names
+    for the terminal.
+
+    Only pairs that end in a terminal are kept, never the closure. With S the
+    steps of 2^r edges between inner nodes and T the pairs found so far, a
+    round adds S.T to T and replaces S by S.S, so depth d takes about log2(d)
+    rounds. T unchanged means that no path of up to twice the length leads to
+    a new terminal, and then no longer one does: cycles end there too.
+    """
+    spark = _spark(edges)
+    src_cols, dst_cols = list(src_cols), list(dst_cols)
+    k = range(len(src_cols))
+    s, t, m = ([f"_{x}{i}" for i in k] for x in "stm")
+
+    def renamed(df, old, new):
+        return df.select(*[F.col(c).alias(x) for c, x in zip(old, new)])
+
+    root = scratch_path(spark, name)
+    e = materialize(edges.select(*[F.col(c).alias(x) for c, x in zip(src_cols, s)],
+                                 *[F.col(c).alias(x) for c, x in zip(dst_cols, t)]).distinct(),
+                    os.path.join(root, "edges"))
+    inner = renamed(e, s, t).distinct()
+    found = materialize(e.join(inner, t, "left_anti").select(*s, *t), os.path.join(root, "found0"))
+    steps = materialize(e.join(inner, t, "left_semi").select(*s, *t), os.path.join(root, "steps0"))
+    size, r = found.count(), 0
+    while True:
+        r += 1
+        mid = steps.select(*s, *[F.col(x).alias(y) for x, y in zip(t, m)])
+        more = mid.join(renamed(found, s + t, m + t), m).select(*s, *t)
+        found = materialize(found.unionByName(more).distinct(), os.path.join(root, f"found{r}"))
+        before, size = size, found.count()
+        if size == before:
+            break
+        steps = materialize(mid.join(renamed(steps, s + t, m + t), m).select(*s, *t).distinct(),
+                            os.path.join(root, f"steps{r}"))
+    return found.select(*[F.col(x).alias(f"start_{c}") for x, c in zip(s, src_cols)],
+                        *[F.col(x).alias(c) for x, c in zip(t, src_cols)])
+
+
 def longest_path(vertices: DataFrame, key_cols, vertex: str = "stage_id",
                  weight: str = "stage_time", parents: str = "parents",
                  name: str = "longest_path", max_rounds: int | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pipelens.functions import text as T
 from pipelens.operators import graph
+from pipelens.session import scratch_path
 
 P = "pipeline_id"
 
@@ -142,19 +143,17 @@ def table_edges(assign: DataFrame) -> DataFrame:
 
 
 def base_tables(assign: DataFrame, name: str = "base_tables") -> DataFrame:
-    """``lin_base_tables``: target table -> base tables (sources never defined
-    as targets), through intermediates, cycle-safe."""
+    """``lin_base_tables``: target table -> base tables through intermediates,
+    cycle-safe. Base tables are those no statement defines, and defined ones
+    without sources."""
     e = table_edges(assign)
-    pairs = graph.reach(e, [P, "target_table"], [P, "source_table"], name=name)
-    d = defined_tables(assign)
+    pairs = graph.terminals(e, [P, "target_table"], [P, "source_table"], name=name)
     reached = pairs.select(F.col(f"start_{P}").alias(P), F.col("start_target_table")
                            .alias("target_table"), F.col("target_table").alias("base_table"))
     # a table listing itself as a source keeps itself (reference behaviour)
     selfref = e.where(F.col("target_table") == F.col("source_table")).select(
         P, "target_table", F.col("source_table").alias("base_table"))
-    terminal = reached.join(d.select(P, F.col("table").alias("base_table")), [P, "base_table"],
-                            "left_anti")
-    return terminal.unionByName(selfref).distinct()
+    return reached.unionByName(selfref).distinct()
 
 
 def base_tables_anti(assign: DataFrame) -> DataFrame:
@@ -189,7 +188,7 @@ def expand_star(assign: DataFrame, name: str = "star") -> DataFrame:
                             F.lit(0).alias("hops"))
     reach_all = reach_from.unionByName(self_rows)
     names = (reach_all.join(own, [P, "_owner"])
-             .groupBy(P, "_s", "_col").agg(F.min_by("_owner", "hops").alias("star_owner")))
+             .groupBy(P, "_s", "_col").agg(F.min(F.struct("hops", "_owner"))["_owner"].alias("star_owner")))
     exp = stars.withColumnRenamed("_src", "_s").join(names, [P, "_s"]).withColumnRenamed("_s", "_src")
     exp = exp.select(P, "stmt_order", "target_table", F.col("_col").alias("target_column"),
                      F.lit(None).cast("int").alias("ordinal"),
@@ -219,47 +218,82 @@ def column_edges(assign: DataFrame) -> DataFrame:
             .distinct())
 
 
-def base_columns(assign: DataFrame, name: str = "base_columns",
-                 defined: DataFrame | None = None) -> DataFrame:
-    """``lin_base_columns``: (table, column) -> base (table, column), for
-    every defined column (star rows must be expanded first). ``defined``
-    lists the tables statements define (default: the targets of ``assign``)."""
-    e = column_edges(assign)
-    pairs = graph.reach(e, [P, "target_table", "target_column"],
-                        [P, "source_table", "source_column"], name=name)
+def column_terminals(assign: DataFrame, name: str = "base_columns",
+                     defined: DataFrame | None = None) -> DataFrame:
+    """Every column with the end points of its references: columns of tables
+    that no statement defines (``is_base``), and columns of defined tables
+    that reference nothing or that their table does not have. Star rows must
+    be expanded first. ``defined`` lists the tables statements define
+    (default: the targets of ``assign``)."""
+    pairs = graph.terminals(column_edges(assign), [P, "target_table", "target_column"],
+                            [P, "source_table", "source_column"], name=name)
     d = (defined if defined is not None else defined_tables(assign)).select(
-        P, F.col("table").alias("base_table"))
-    reached = pairs.select(F.col(f"start_{P}").alias(P),
-                           F.col("start_target_table").alias("target_table"),
-                           F.col("start_target_column").alias("target_column"),
-                           F.col("target_table").alias("base_table"),
-                           F.col("target_column").alias("base_column"))
-    return reached.join(d, [P, "base_table"], "left_anti").distinct()
-
-
-def name_fallback(assign: DataFrame, bases: DataFrame) -> DataFrame:
-    """``lin_name_fallback``: target columns without any base column take the
-    base columns of the earliest other target defining a column of the same
-    name that has some. Returns rows shaped like ``bases`` plus
-    ``fallback_table``.
-
-    A column without bases is never a donor (donors are exactly the columns
-    with bases), so "earliest other target" is the earliest donor per
-    (pipeline, column name): one aggregate, then linear joins -- no pairing
-    of missing columns with every donor."""
-    cols = (assign.where(F.col("target_column") != "*")
-            .groupBy(P, "target_table", "target_column").agg(F.min("stmt_order").alias("_ord")))
+        P, F.col("table").alias("end_table"), F.lit(False).alias("is_base"))
+    ends = pairs.select(F.col(f"start_{P}").alias(P),
+                        F.col("start_target_table").alias("target_table"),
+                        F.col("start_target_column").alias("target_column"),
+                        F.col("target_table").alias("end_table"),
+                        F.col("target_column").alias("end_column"))
+    return ends.join(d, [P, "end_table"], "left").select(
+        P, "target_table", "target_column", "end_table", "end_column",
+        F.coalesce("is_base", F.lit(True)).alias("is_base"))
+
+
+def base_columns(assign: DataFrame, name: str = "base_columns",
+                 defined: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """``lin_base_columns``: (table, column) -> base (table, column)."""
+    ends = ends if ends is not None else column_terminals(assign, name, defined)
+    return ends.where("is_base").select(P, "target_table", "target_column",
+                                        F.col("end_table").alias("base_table"),
+                                        F.col("end_column").alias("base_column"))
+
+
+def _donors(cols: DataFrame, bases: DataFrame) -> DataFrame:
+    """Per (pipeline, column name) the earliest target with base columns."""
     has = bases.select(P, "target_table", "target_column").distinct()
-    missing = cols.join(has, [P, "target_table", "target_column"], "left_anti")
-    donors = cols.join(has, [P, "target_table", "target_column"], "left_semi")
-    best = donors.groupBy(P, "target_column").agg(
-        F.min_by("target_table", F.struct("_ord", "target_table")).alias("fallback_table"))
-    pick = missing.join(best, [P, "target_column"]).select(P, "target_table", "target_column",
-                                                            "fallback_table")
-    donor_bases = bases.select(P, F.col("target_table").alias("fallback_table"),
-                               "target_column", "base_table", "base_column")
-    return pick.join(donor_bases, [P, "fallback_table", "target_column"]).select(
-        P, "target_table", "target_column", "base_table", "base_column", "fallback_table")
+    return cols.join(has, [P, "target_table", "target_column"], "left_semi").groupBy(
+        P, "target_column").agg(F.min(F.struct("_ord", "target_table"))["target_table"]
+                                .alias("fallback_table"))
+
+
+def name_fallback(assign: DataFrame, ends: DataFrame, path: str | None = None) -> DataFrame:
+    """``lin_name_fallback``: where a reference ends in a column of a defined
+    table without sources (``ends`` not ``is_base``, or such a target column
+    itself), the base columns of the earliest other target that defines the
+    end column's name and has some; columns left without any then do the same
+    by their own name. Rows shaped like ``bases`` plus ``fallback_table``;
+    columns that are referenced but not defined have rows of their own.
+
+    One aggregate finds a donor per (pipeline, name); the rest are joins
+    linear in the columns -- no pairing of missing columns with donors."""
+    key = [P, "target_table", "target_column"]
+    cols = (assign.where(F.col("target_column") != "*").groupBy(*key)
+            .agg(F.min("stmt_order").alias("_ord")))
+    bases = base_columns(assign, ends=ends)
+    open_ends = ends.where(~F.col("is_base"))
+    leaves = open_ends.select(P, F.col("end_table").alias("target_table"),
+                              F.col("end_column").alias("target_column")).distinct()
+    lone = cols.select(*key).join(ends.select(*key).distinct(), key, "left_anti")
+    lone = lone.join(column_edges(assign).select(*key).distinct(), key, "left_anti")
+    itself = leaves.unionByName(lone).distinct().select(
+        *key, F.col("target_table").alias("end_table"), F.col("target_column").alias("end_column"))
+
+    def taken(rows: DataFrame, donors: DataFrame, by: DataFrame) -> DataFrame:
+        """Base columns of the donor of each row's end column."""
+        d = donors.withColumnRenamed("target_column", "end_column")
+        b = by.select(P, F.col("target_table").alias("fallback_table"),
+                      F.col("target_column").alias("end_column"), "base_table", "base_column")
+        return rows.join(d, [P, "end_column"]).join(b, [P, "fallback_table", "end_column"]).select(
+            *key, "base_table", "base_column", "fallback_table").distinct()
+
+    first = taken(open_ends.select(*key, "end_table", "end_column").unionByName(itself),
+                  _donors(cols, bases), bases)
+    if path:  # read three times below
+        first = graph.materialize(first, path)
+    known = bases.unionByName(first.drop("fallback_table")).distinct()
+    still = cols.select(*key).join(known.select(*key).distinct(), key, "left_anti").select(
+        *key, F.col("target_table").alias("end_table"), F.col("target_column").alias("end_column"))
+    return first.unionByName(taken(still, _donors(cols, known), known))
 
 
 def pipeline_schema(assign: DataFrame, default_schema: str | None = None) -> DataFrame:
@@ -281,12 +315,19 @@ def pipeline_schema(assign: DataFrame, default_schema: str | None = None) -> Dat
 
 def resolve(assign: DataFrame, fallback: bool = True, name: str = "resolve"):
     """Latest definitions, star-expanded valid columns, and the base columns
-    of every column (with the name fallback). Returns (latest, a, bases)."""
-    latest = last_definition(assign)
-    a = with_stars_expanded(latest, name + "-star").where(valid_column_name("target_column"))
-    bases = base_columns(a, name + "-cols", defined_tables(latest))
+    of every column (with the name fallback; also of referenced columns that
+    no statement defines). Returns (latest, a, bases)."""
+    root = scratch_path(assign.sparkSession, name)
+    latest = graph.materialize(last_definition(assign), f"{root}/latest")
+    # every later step reads the expanded rows several times
+    a = graph.materialize(with_stars_expanded(latest, name + "-star")
+                          .where(valid_column_name("target_column")), f"{root}/assignments")
+    ends = column_terminals(a, name + "-cols", defined_tables(latest))
+    bases = base_columns(a, ends=ends)
     if fallback:
-        bases = bases.unionByName(name_fallback(a, bases).drop("fallback_table"))
+        bases = graph.materialize(
+            bases.unionByName(name_fallback(a, ends, f"{root}/fallback").drop("fallback_table")).distinct(),
+            f"{root}/bases")
     return latest, a, bases
 
 
@@ -387,7 +428,7 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ repair
 
 
-def validate_fix(final: DataFrame, default_table: str = "orc_issue_mgmt_raw.issues",
+def validate_fix(final: DataFrame, default_table: str,
                  repair_passthrough: bool = False) -> DataFrame:
     """``lin_validate_fix`` on final lineage rows (target_column,
     source_columns, expressions): drop sources no expression mentions and
@@ -470,16 +511,17 @@ def simple_ctas(statements: DataFrame, sql: str = "sql_text") -> DataFrame:
                       & (F.col("source_table") != ""))
     items = base.select(P, "stmt_order", "target_table", "source_table", "source_alias",
                         F.posexplode(F.split("_clause", ",")).alias("position", "_item"))
-    item = F.trim(F.col("_item"))
-    has_as = F.lower(item).contains(" as ")
+    space = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    item = space(F.col("_item"))
+    has_as = item.rlike(CTAS_AS_SPLIT)
     parts = F.split(item, CTAS_AS_SPLIT)
     last_dot = lambda x: F.element_at(F.split(x, r"\."), -1)
     p0 = F.element_at(parts, 1)
     source_col = F.when(has_as, last_dot(p0)).otherwise(last_dot(item))
     target_col = F.when(has_as, F.try_element_at(parts, F.lit(2))).otherwise(source_col)
     return items.select(P, "stmt_order", "target_table", "source_table", "source_alias",
-                        "position", F.trim(source_col).alias("source_column"),
-                        F.trim(target_col).alias("target_column"))
+                        "position", space(source_col).alias("source_column"),
+                        space(target_col).alias("target_column"))
 
 
 def simple_gate(statements: DataFrame, sql: str = "sql_text") -> DataFrame:

@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from pipelens.functions import names as N
 
 BROADCAST_ROW_LIMIT = 200_000
-REGEX_CHAIN_LIMIT = 500
+BROADCAST_BYTE_LIMIT = 64 << 20
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only when the frame provably has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
+                      max_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Broadcast hint only when the frame has at most ``max_rows`` rows that
+    take at most ``max_bytes`` as JSON text."""
+    n, size = df.limit(max_rows + 1).agg(
+        F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def kv_rules(df: DataFrame, old: str, new: str, order: str = "rule_order") -> DataFrame:
@@ -99,24 +102,12 @@ def match_longest_prefix(df: DataFrame, name, rules: DataFrame, out: str = "_pre
 
 def match_regex(df: DataFrame, name, rules: DataFrame, out: str = "_regex") -> DataFrame:
     """``join_rule_regex``: first pattern in file order that matches anywhere,
-    case-insensitive. Rules become one CASE chain (stays in codegen); a rule
-    table above the limit falls back to a broadcast theta join + ``min_by``."""
-    rx = rules.where(F.col("match_type") == "regex")
-    n = rx.limit(REGEX_CHAIN_LIMIT + 1).count()
+    case-insensitive. The distinct names meet the rules once, whatever the
+    number of rules; the hit of the lowest order joins back on the name."""
     nm = F.col(name) if isinstance(name, str) else name
-    if n <= REGEX_CHAIN_LIMIT:
-        rows = rx.orderBy("rule_order").select("pattern", "subject_code", "category").collect()
-        expr = F.lit(None).cast("struct<subject_code:string,category:string,strip:array<string>>")
-        for r in reversed(rows):
-            val = F.struct(F.lit(r["subject_code"]).alias("subject_code"),
-                           F.lit(r["category"]).alias("category"),
-                           F.array().cast("array<string>").alias("strip"))
-            expr = F.when(nm.rlike("(?i)" + r["pattern"]), val).otherwise(expr)
-        return df.withColumn(out, expr)
-    key = "_rx_row"
-    d = df.withColumn(key, F.monotonically_increasing_id())
-    r = rx.select("rule_order", "pattern", F.struct(
+    rx = rules.where(F.col("match_type") == "regex").select("rule_order", "pattern", F.struct(
         "subject_code", "category", F.array().cast("array<string>").alias("strip")).alias("_t"))
-    m = (d.select(key, nm.alias("_nm")).join(F.broadcast(r), F.expr("_nm rlike concat('(?i)', pattern)"))
-         .groupBy(key).agg(F.min_by("_t", "rule_order").alias(out)))
-    return d.join(m, key, "left").drop(key)
+    names = df.select(nm.alias("_rx_name")).where(F.col("_rx_name").isNotNull()).distinct()
+    hits = (names.join(checked_broadcast(rx), F.expr("_rx_name rlike concat('(?i)', pattern)"))
+            .groupBy("_rx_name").agg(F.min_by("_t", "rule_order").alias(out)))
+    return df.join(hits, nm == F.col("_rx_name"), "left").drop("_rx_name")

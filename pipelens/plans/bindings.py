@@ -481,7 +481,7 @@ def _base_columns(spark, sf):
 def _fallback(spark, sf):
     latest = L.last_definition(_assign(spark, sf))
     a = L.with_stars_expanded(latest).where(L.valid_column_name("target_column"))
-    return L.name_fallback(a, L.base_columns(a, defined=L.defined_tables(latest)))
+    return L.name_fallback(a, L.column_terminals(a, defined=L.defined_tables(latest)))
 
 
 @register("lin_final")
@@ -527,7 +527,7 @@ def _job_multi_hop(spark, sf):
 
 @register("lin_validate_fix")
 def _validate_fix(spark, sf):
-    return L.validate_fix(L.final_lineage(_assign(spark, sf)))
+    return L.validate_fix(L.final_lineage(_assign(spark, sf)), default_table="landing_raw.records")
 
 
 @register("set_missing_refs")
@@ -671,7 +671,7 @@ from pipelens.sources import sinks as SK  # noqa: E402
 def _event_log(spark, sf):
     """Write the task / stage adapters as Spark event logs, read them back."""
     out = scratch_path(spark, "eventlog")
-    EL.write_event_log(D.tasks(spark, sf), D.stages(spark, sf), out)
+    D.write_event_log(D.tasks(spark, sf), D.stages(spark, sf), out)
     return EL.read_event_log(spark, out)
 
 
@@ -776,8 +776,11 @@ def _cfg_flow_dag(spark, sf):
 @register("cfg_knowledge_graph")
 def _cfg_kg(spark, sf):
     nodes, edges = CFG.knowledge_graph(_cfg_tables(spark, sf))
-    return edges.join(nodes.select(F.col("id").alias("source"), F.col("type").alias("source_type"))
-                      .distinct(), "source", "left")
+    source = nodes.groupBy("application", F.col("id").alias("source")).agg(
+        F.sort_array(F.collect_set("type")).alias("source_types"))
+    target = nodes.groupBy("application", F.col("id").alias("target")).agg(
+        F.sort_array(F.collect_set("type")).alias("target_types"))
+    return edges.join(source, ["application", "source"], "left").join(target, ["application", "target"], "left")
 
 
 @register("qa_feeders")

@@ -10,6 +10,8 @@ per application.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,32 +105,36 @@ def flow_dag(t: dict[str, DataFrame]) -> DataFrame:
 
 def knowledge_graph(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """``cfg_knowledge_graph``: typed nodes (application, flow, query, check,
-    frame, table) and typed edges between them."""
-    f, q, c = t["flows"], t["queries"], t["checks"]
-    node = lambda df, id_col, typ: df.select(F.col(id_col).alias("id"),
-                                             F.lit(typ).alias("type"))
-    qid = F.concat("flow_id", F.lit("#q"), F.col("query_pos").cast("string"))
-    nodes = (node(t["applications"], "application", "application")
-             .unionByName(node(f, "flow_id", "flow"))
-             .unionByName(q.select(qid.alias("id"), F.lit("query").alias("type")))
-             .unionByName(node(c, "check_id", "check"))
-             .unionByName(node(f.where(F.col("register_name").isNotNull()), "register_name", "frame"))
-             .unionByName(node(f.where(F.col("save_output") & F.col("storage_name").isNotNull()),
-                               "storage_name", "table"))).distinct()
-    e = lambda df, s, d, typ: df.select(F.col(s).alias("source"), F.col(d).alias("target"),
-                                        F.lit(typ).alias("type"))
-    edges = (e(f, "application", "flow_id", "has_flow")
-             .unionByName(q.select(F.col("flow_id").alias("source"), qid.alias("target"),
-                                   F.lit("runs_query").alias("type")))
-             .unionByName(e(c, "flow_id", "check_id", "has_check"))
-             .unionByName(e(f.where(F.col("register_name").isNotNull()), "flow_id", "register_name",
-                            "registers"))
-             .unionByName(e(f.where(F.col("save_output") & F.col("storage_name").isNotNull()),
-                            "flow_id", "storage_name", "saves_to"))
-             .unionByName(e(t["dependencies"], "depends_on", "flow_id", "precedes"))
-             .unionByName(e(c, "check_id", "check_column", "checks_column"))
-             .unionByName(frame_links(t).select("source", "target", F.col("link_type").alias("type"))))
-    return nodes, edges.distinct()
+    column, frame, table) and typed edges between them. Ids are unique within
+    ``application``, which every node and edge carries: two applications may
+    use the same flow names."""
+    app, f, q, c = t["applications"], t["flows"], t["queries"], t["checks"]
+    saved = f.where(F.col("save_output") & F.col("storage_name").isNotNull())
+    framed = f.where(F.col("register_name").isNotNull())
+    q = q.withColumn("query_id", F.concat("flow_id", F.lit("#q"), F.col("query_pos").cast("string")))
+    reads = q.withColumn("read", F.regexp_extract("query_text", r"(?i)\bfrom\s+([\w.]+)", 1)).where("read != ''")
+    c = c.join(f.select("application", "flow_id", "register_name"), ["application", "flow_id"], "left") \
+        .withColumn("column_id", F.concat_ws(".", F.coalesce("register_name", "flow_id"), "check_column"))
+
+    def node(df, id_col, kind):
+        return df.select("application", F.col(id_col).alias("id"), F.lit(kind).alias("type"))
+
+    def edge(df, source, target, kind):
+        return df.select("application", F.col(source).alias("source"), F.col(target).alias("target"),
+                         F.lit(kind).alias("type"))
+
+    nodes = reduce(DataFrame.unionByName, [
+        node(app, "application", "application"), node(f, "flow_id", "flow"), node(q, "query_id", "query"),
+        node(c, "check_id", "check"), node(c, "column_id", "column"), node(framed, "register_name", "frame"),
+        node(saved, "storage_name", "table"), node(reads, "read", "table")]).distinct()
+    edges = reduce(DataFrame.unionByName, [
+        edge(f, "application", "flow_id", "has_flow"), edge(q, "flow_id", "query_id", "runs_query"),
+        edge(reads, "query_id", "read", "reads_from"), edge(c, "flow_id", "check_id", "has_check"),
+        edge(c, "check_id", "column_id", "checks_column"), edge(framed, "flow_id", "register_name", "registers"),
+        edge(saved, "flow_id", "storage_name", "writes_to"),
+        edge(t["dependencies"], "depends_on", "flow_id", "precedes"),
+        frame_links(t).select("application", "source", "target", F.col("link_type").alias("type"))]).distinct()
+    return nodes, edges
 
 
 def feeders(t: dict[str, DataFrame], flow_ids: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ docs AS (SELECT stmt_order AS k, sql_text FROM stmts),
 valid AS (SELECT * FROM docs WHERE k % 97 <> 0 AND k % 89 <> 0 AND k % 83 <> 0),
 flows AS (
   SELECT 'part' AS application, 'f' || k AS flow_id, 'frame_' || k AS register_name,
-         CASE WHEN k % 3 = 0 THEN 'db.t' || k END AS storage_name, k % 3 = 0 AS save_output, k
+         CASE WHEN k % 3 = 0 THEN 'db.t' || k END AS storage_name, k % 3 = 0 AS save_output, k, sql_text
   FROM valid),
 dp AS (
   SELECT 'f' || k AS v, unnest(list_distinct(list_filter(['f' || (k // 2), 'f' || (k // 3)],
@@ -54,26 +54,32 @@ paths(v, d) AS (
   UNION
   SELECT e.v, pth.d + 1 FROM paths pth JOIN dp e ON e.p = pth.v JOIN flows f ON f.flow_id = e.v)
 SELECT 'part' AS application, v AS flow_id, CAST(max(d) AS INTEGER) AS level FROM paths GROUP BY v""",
-    "cfg_knowledge_graph": BASE + """,
+    "cfg_knowledge_graph": BASE + r""",
+reads AS (SELECT flow_id, regexp_extract(sql_text, '(?i)\bfrom\s+([\w.]+)', 1) AS t FROM flows),
 nodes AS (
   SELECT DISTINCT * FROM (
     SELECT 'part' AS id, 'application' AS type
     UNION ALL SELECT flow_id, 'flow' FROM flows
     UNION ALL SELECT flow_id || '#q0', 'query' FROM flows
     UNION ALL SELECT 'chk' || k, 'check' FROM flows WHERE k % 4 = 0
+    UNION ALL SELECT register_name || '.c0', 'column' FROM flows WHERE k % 4 = 0
     UNION ALL SELECT register_name, 'frame' FROM flows
+    UNION ALL SELECT t, 'table' FROM reads WHERE t <> ''
     UNION ALL SELECT storage_name, 'table' FROM flows WHERE save_output AND storage_name IS NOT NULL)),
 edges AS (
   SELECT DISTINCT * FROM (
     SELECT 'part' AS source, flow_id AS target, 'has_flow' AS type FROM flows
     UNION ALL SELECT flow_id, flow_id || '#q0', 'runs_query' FROM flows
+    UNION ALL SELECT flow_id || '#q0', t, 'reads_from' FROM reads WHERE t <> ''
     UNION ALL SELECT flow_id, 'chk' || k, 'has_check' FROM flows WHERE k % 4 = 0
     UNION ALL SELECT flow_id, register_name, 'registers' FROM flows
-    UNION ALL SELECT flow_id, storage_name, 'saves_to' FROM flows WHERE save_output AND storage_name IS NOT NULL
+    UNION ALL SELECT flow_id, storage_name, 'writes_to' FROM flows WHERE save_output AND storage_name IS NOT NULL
     UNION ALL SELECT p, v, 'precedes' FROM dp
-    UNION ALL SELECT 'chk' || k, 'c0', 'checks_column' FROM flows WHERE k % 4 = 0
-    UNION ALL SELECT source, target, link_type FROM links))
-SELECT e.source, e.target, e.type, n.type AS source_type FROM edges e LEFT JOIN nodes n ON n.id = e.source""",
+    UNION ALL SELECT 'chk' || k, register_name || '.c0', 'checks_column' FROM flows WHERE k % 4 = 0
+    UNION ALL SELECT source, target, link_type FROM links)),
+types AS (SELECT id, list_sort(list(type)) AS ts FROM nodes GROUP BY id)
+SELECT 'part' AS application, e.source, e.target, e.type, s.ts AS source_types, t.ts AS target_types
+FROM edges e LEFT JOIN types s ON s.id = e.source LEFT JOIN types t ON t.id = e.target""",
     "qa_feeders": BASE + """,
 asked AS (SELECT 'f' || max(k) AS a FROM valid),
 up(a, b, hops) AS (
@@ -102,5 +108,7 @@ scored AS (
          {_cos('e.embedding', 'q.q_embedding')}
            + CASE WHEN EXISTS (SELECT 1 FROM nb WHERE nb.query_id = q.query_id AND nb.vec_id = e.vec_id)
                   THEN 0.5 ELSE 0.0 END AS score
-  FROM embeddings e JOIN q USING (label))""" + TOPK.format(extra="round(cos, 6) AS cos, "),
+  FROM embeddings e JOIN q ON e.label = q.label
+       OR EXISTS (SELECT 1 FROM nb WHERE nb.query_id = q.query_id AND nb.vec_id = e.vec_id))"""
+    + TOPK.format(extra="round(cos, 6) AS cos, "),
 }

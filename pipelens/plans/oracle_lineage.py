@@ -3,17 +3,39 @@ chains and the column closure, list aggregates for the final lineage."""
 
 from __future__ import annotations
 
-from pipelens.operators import lineage as L
 from pipelens.sources import driver_tables as D
 
+# Fixed values, written out here so that a wrong constant of the engine shows.
+SQL_KEYWORDS = """case when then else end and or not in like is null select from where
+group by order having as on join left right inner outer cross union concat replace
+lower upper trim cast substring coalesce validation plan mitigate monitor sustainability""".split()
+INVALID_NAME_CHARS = '%,;<>=!?|&^~`'
+PUNCTUATION_ONLY = "()[]{},.;:!@#$%^&*-+=<>?/\\|`~' \t\n\r"
+DIRECT_LOGIC = 'Direct Pass-Through'
+GRAPH_LOGIC_LEN = 150
+CTAS_TARGET = '(?i)create\\s+table\\s+(\\w+)\\s+as'
+CTAS_SELECT = '(?is)select\\s+(.*?)\\s+from'
+CTAS_FROM = '(?i)from\\s+([\\w.]+)(?:\\s+(\\w+))?'
+CTAS_AS_SPLIT = '(?i)\\s+as\\s+'
+SIMPLE_SQL_EXCLUDES = ['case', 'concat', 'replace']
+
 
 def _lit(v: str) -> str:
     return "'" + v.replace("'", "''") + "'"
 
 
 def tn(x: str) -> str:
-    return (f"(CASE WHEN ({x}) % 5 = 0 THEN 'raw.t' || CAST({x} AS VARCHAR) "
-            f"ELSE 't' || CAST({x} AS VARCHAR) END)")
+    t = f"'t' || CAST({x} AS VARCHAR)"
+    return (f"(CASE WHEN ({x}) % 5 = 0 THEN 'raw.' || {t} WHEN ({x}) % 17 = 0 THEN {t} || '_REPORT' "
+            f"WHEN ({x}) % 19 = 0 THEN {t} || '_df' ELSE {t} END)")
+
+
+def half(k: str) -> str:
+    return tn(f"(({k} // 3) // 2) * 3 + {k} % 3")
+
+
+def third(k: str) -> str:
+    return tn(f"(({k} // 3) // 3) * 3 + {k} % 3")
 
 
 def _class(chars: str) -> str:
@@ -22,13 +44,13 @@ def _class(chars: str) -> str:
 
 def valid(x: str) -> str:
     n = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-    kw = ", ".join(_lit(k) for k in L.SQL_KEYWORDS)
+    kw = ", ".join(_lit(k) for k in SQL_KEYWORDS)
     return ("coalesce(("
             f"{n} <> '' AND NOT regexp_matches({n}, '[''\"]') "
             f"AND NOT regexp_full_match({n}, '[0-9]+') AND NOT regexp_matches({n}, '[()]') "
-            f"AND NOT regexp_matches({n}, {_lit(_class(L.INVALID_NAME_CHARS))}) "
+            f"AND NOT regexp_matches({n}, {_lit(_class(INVALID_NAME_CHARS))}) "
             f"AND NOT regexp_matches({n}, '[\\n\\r\\t]') AND lower({n}) NOT IN ({kw}) "
-            f"AND NOT regexp_full_match({n}, {_lit(_class(L.PUNCTUATION_ONLY) + '+')}) "
+            f"AND NOT regexp_full_match({n}, {_lit(_class(PUNCTUATION_ONLY) + '+')}) "
             f"AND regexp_matches({n}, '^[\\pL_]')), false)")
 
 
@@ -41,26 +63,30 @@ def _c2_rows() -> str:
     for i, (text, refs) in enumerate(D.C2_TEMPLATES):
         if refs:
             for w, c in refs:
-                src = tn("k // 2") if w == "half" else tn("k // 3")
+                src = half("k") if w == "half" else third("k")
                 parts.append(f"SELECT k, 'c2', 2, {src}, {_lit(c)}, {_lit(text)} FROM lp "
-                             f"WHERE k % 7 <> 0 AND k % 4 = {i}")
+                             f"WHERE k % 7 <> 0 AND k % {len(D.C2_TEMPLATES)} = {i}")
         else:
             parts.append(f"SELECT k, 'c2', 2, NULL, NULL, {_lit(text)} FROM lp "
-                         f"WHERE k % 7 <> 0 AND k % 4 = {i}")
+                         f"WHERE k % 7 <> 0 AND k % {len(D.C2_TEMPLATES)} = {i}")
     return "\n  UNION ALL ".join(parts)
 
 
 ASSIGN = f"""
-lp AS (SELECT p_partkey AS k FROM part WHERE p_partkey >= 1 AND p_size <= 45),
+entry AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 3 OR p_size > 45),
+lp AS (SELECT p_partkey AS k FROM part WHERE NOT (p_partkey < 3 OR p_size > 45)),
 araw(k, target_column, ordinal, source_table, source_column, expression) AS (
-  SELECT k, '*', 0, {tn('k // 2')}, NULL, '*' FROM lp WHERE k % 7 = 0
-  UNION ALL SELECT k, 'c0', 0, {tn('k // 2')}, 'c0', NULL FROM lp WHERE k % 7 <> 0
-  UNION ALL SELECT k, 'c1', 1, {tn('k // 3')}, 'c1', NULL FROM lp WHERE k % 7 <> 0
-  UNION ALL SELECT k, 'c3', 3, {tn('k // 2')}, 'c3', NULL FROM lp WHERE k % 7 <> 0
+  SELECT k, '*', 0, {half('k')}, NULL, '*' FROM lp WHERE k % 7 = 0
+  UNION ALL SELECT k, 'c0', 0, {half('k')}, 'c0', NULL FROM lp WHERE k % 7 <> 0
+  UNION ALL SELECT k, 'c1', 1, {third('k')}, 'c1', NULL FROM lp WHERE k % 7 <> 0
+  UNION ALL SELECT k, 'c3', 3, {half('k')}, 'c3', NULL FROM lp WHERE k % 7 <> 0
   UNION ALL {_c2_rows()}
-  UNION ALL SELECT k, 'case', 4, {tn('k // 2')}, 'c0', NULL FROM lp WHERE k % 7 <> 0 AND k % 11 = 0),
+  UNION ALL SELECT k, 'case', 4, {half('k')}, 'c0', NULL FROM lp WHERE k % 7 <> 0 AND k % 11 = 0
+  UNION ALL SELECT k, 'c5', 5, 'N/A', 'c5', NULL FROM lp WHERE k % 7 <> 0 AND k % 13 = 0
+  UNION ALL SELECT k, 'c' || i, i, 'ext.s' || k, 'c' || i, NULL FROM entry, range(4) AS r(i) WHERE k % 2 = 0
+  UNION ALL SELECT k, 'c0', 0, NULL, NULL, {_lit("'none'")} FROM entry WHERE k % 2 = 1),
 assign AS (
-  SELECT {_lit(D.LINEAGE_PIPELINE)} AS pipeline_id, k AS stmt_order, {tn('k')} AS target_table,
+  SELECT {_lit(D.LINEAGE_PIPELINE)} || (k % 3) AS pipeline_id, k AS stmt_order, {tn('k')} AS target_table,
          target_column, CAST(ordinal AS INTEGER) AS ordinal, CAST(source_table AS VARCHAR) AS source_table,
          CAST(source_column AS VARCHAR) AS source_column, CAST(expression AS VARCHAR) AS expression
   FROM araw),
@@ -79,7 +105,7 @@ chain(pipeline_id, s, owner, hops) AS (
   SELECT c.pipeline_id, c.s, st.src, c.hops + 1 FROM chain c
   JOIN stars st ON st.pipeline_id = c.pipeline_id AND st.target_table = c.owner),
 star_names AS (
-  SELECT c.pipeline_id, c.s, o.col, arg_min(c.owner, c.hops) AS star_owner
+  SELECT c.pipeline_id, c.s, o.col, arg_min(c.owner, (c.hops, c.owner)) AS star_owner
   FROM chain c JOIN own o ON o.pipeline_id = c.pipeline_id AND o.owner = c.owner GROUP BY ALL),
 expanded AS (
   SELECT st.pipeline_id, st.stmt_order, st.target_table, n.col AS target_column,
@@ -108,20 +134,41 @@ bases0 AS (
   FROM creach r WHERE NOT EXISTS (SELECT 1 FROM defined d WHERE d.pipeline_id = r.pid AND d.t = r.st)),
 cols AS (SELECT pipeline_id, target_table, target_column, min(stmt_order) AS ord FROM a GROUP BY ALL),
 has AS (SELECT DISTINCT pipeline_id, target_table, target_column FROM bases0),
-pick AS (
-  SELECT m.pipeline_id, m.target_table, m.target_column, b.fb
-  FROM cols m
-  JOIN (SELECT pipeline_id, target_column, arg_min(target_table, (ord, target_table)) AS fb
-        FROM cols d WHERE EXISTS (SELECT 1 FROM has h WHERE h.pipeline_id = d.pipeline_id
-                                  AND h.target_table = d.target_table AND h.target_column = d.target_column)
-        GROUP BY ALL) b
-    ON b.pipeline_id = m.pipeline_id AND b.target_column = m.target_column
-  WHERE NOT EXISTS (SELECT 1 FROM has h WHERE h.pipeline_id = m.pipeline_id
-                    AND h.target_table = m.target_table AND h.target_column = m.target_column)),
+ends AS (
+  SELECT pid AS pipeline_id, tt AS target_table, tc AS target_column, st AS end_table, sc AS end_column
+  FROM creach r
+  WHERE EXISTS (SELECT 1 FROM defined d WHERE d.pipeline_id = r.pid AND d.t = r.st)
+    AND NOT EXISTS (SELECT 1 FROM cedges e WHERE e.pipeline_id = r.pid AND e.tt = r.st AND e.tc = r.sc)),
+leaves AS (
+  SELECT pipeline_id, end_table AS target_table, end_column AS target_column FROM ends
+  UNION
+  SELECT pipeline_id, target_table, target_column FROM cols c
+  WHERE NOT EXISTS (SELECT 1 FROM cedges e WHERE e.pipeline_id = c.pipeline_id AND e.tt = c.target_table
+                    AND e.tc = c.target_column)),
+donors0 AS (
+  SELECT c.pipeline_id, c.target_column, arg_min(c.target_table, (c.ord, c.target_table)) AS fb
+  FROM cols c JOIN has h USING (pipeline_id, target_table, target_column) GROUP BY ALL),
+fallback0 AS (
+  SELECT DISTINCT o.pipeline_id, o.target_table, o.target_column, b.base_table, b.base_column, d.fb
+  FROM (SELECT * FROM ends UNION ALL
+        SELECT pipeline_id, target_table, target_column, target_table, target_column FROM leaves) o
+  JOIN donors0 d ON d.pipeline_id = o.pipeline_id AND d.target_column = o.end_column
+  JOIN bases0 b ON b.pipeline_id = o.pipeline_id AND b.target_table = d.fb AND b.target_column = o.end_column),
+bases1 AS (
+  SELECT * FROM bases0
+  UNION SELECT pipeline_id, target_table, target_column, base_table, base_column FROM fallback0),
+has1 AS (SELECT DISTINCT pipeline_id, target_table, target_column FROM bases1),
+donors1 AS (
+  SELECT c.pipeline_id, c.target_column, arg_min(c.target_table, (c.ord, c.target_table)) AS fb
+  FROM cols c JOIN has1 h USING (pipeline_id, target_table, target_column) GROUP BY ALL),
 fallback AS (
-  SELECT p.pipeline_id, p.target_table, p.target_column, b.base_table, b.base_column, p.fb
-  FROM pick p JOIN bases0 b ON b.pipeline_id = p.pipeline_id AND b.target_table = p.fb
-       AND b.target_column = p.target_column),
+  SELECT * FROM fallback0
+  UNION ALL
+  SELECT DISTINCT m.pipeline_id, m.target_table, m.target_column, b.base_table, b.base_column, d.fb
+  FROM cols m JOIN donors1 d ON d.pipeline_id = m.pipeline_id AND d.target_column = m.target_column
+  JOIN bases1 b ON b.pipeline_id = m.pipeline_id AND b.target_table = d.fb AND b.target_column = m.target_column
+  WHERE NOT EXISTS (SELECT 1 FROM has1 h WHERE h.pipeline_id = m.pipeline_id
+                    AND h.target_table = m.target_table AND h.target_column = m.target_column)),
 bases AS (
   SELECT * FROM bases0
   UNION SELECT pipeline_id, target_table, target_column, base_table, base_column FROM fallback),
@@ -171,7 +218,7 @@ treach(pid, tt, st) AS (
   JOIN tedges e ON e.pipeline_id = r.pid AND e.target_table = r.st),
 base_tables AS (
   SELECT DISTINCT pid AS pipeline_id, tt AS target_table, st AS base_table FROM treach r
-  WHERE NOT EXISTS (SELECT 1 FROM defined d WHERE d.pipeline_id = r.pid AND d.t = r.st)
+  WHERE NOT EXISTS (SELECT 1 FROM tedges d WHERE d.pipeline_id = r.pid AND d.target_table = r.st)
   UNION SELECT pipeline_id, target_table, source_table FROM tedges WHERE target_table = source_table),
 nodes AS (
   SELECT pipeline_id AS graph_id, target_table AS id, target_table AS label, 'table' AS type,
@@ -184,7 +231,7 @@ nodes AS (
   WHERE NOT EXISTS (SELECT 1 FROM defined d WHERE d.pipeline_id = b.pipeline_id AND d.t = b.base_table)),
 refs AS (
   SELECT r.pipeline_id, r.target_table, r.target_column, r.source_table, r.source_column,
-         CASE WHEN r.expression IS NULL THEN {_lit(L.DIRECT_LOGIC)} ELSE substr(r.expression, 1, {L.GRAPH_LOGIC_LEN}) END
+         CASE WHEN r.expression IS NULL THEN {_lit(DIRECT_LOGIC)} ELSE substr(r.expression, 1, {GRAPH_LOGIC_LEN}) END
            AS logic,
          EXISTS (SELECT 1 FROM defined d WHERE d.pipeline_id = r.pipeline_id AND d.t = r.source_table)
            AS is_def
@@ -256,7 +303,7 @@ fx4 AS (
   SELECT *, list_sort(list_distinct(list_filter(
            CASE WHEN len(missing) = 0 THEN []::VARCHAR[]
                 WHEN home IS NOT NULL THEN list_transform(missing, lambda m: home || '.' || m)
-                ELSE list_transform(missing, lambda m: 'orc_issue_mgmt_raw.issues.' || m) END,
+                ELSE list_transform(missing, lambda m: 'landing_raw.records.' || m) END,
            lambda x: NOT list_contains(kept, x)))) AS added
   FROM fx3),
 fixed AS (
@@ -305,7 +352,7 @@ WHERE source_table IS NOT NULL
     "lin_final": W + "\nSELECT * FROM final",
     "agg_sources_per_target": W + f"""
 SELECT {K}, list_sort(list_distinct(list(base_table || '.' || base_column))) AS sources
-FROM bases GROUP BY ALL""",
+FROM bases JOIN (SELECT {K} FROM cols) USING ({K}) GROUP BY ALL""",
     "job_column_lineage": WG + COL_LINEAGE + "\nSELECT * FROM col_lineage",
     "lin_multi_hop_nodes": WG + "\nSELECT * FROM nodes",
     "set_dedup_nodes": WG + "\nSELECT graph_id, id FROM nodes",
@@ -358,10 +405,10 @@ refs AS (
          source_column AS "column"
   FROM assign WHERE source_column IS NOT NULL),
 srcs AS (
-  SELECT DISTINCT pipeline_id, stmt_order, 'a' AS alias, {tn('stmt_order // 2')} AS "table", 0 AS ordinal
+  SELECT DISTINCT pipeline_id, stmt_order, 'a' AS alias, {half('stmt_order')} AS "table", 0 AS ordinal
   FROM assign
   UNION ALL
-  SELECT DISTINCT pipeline_id, stmt_order, 'b', {tn('stmt_order // 3')}, 1 FROM assign
+  SELECT DISTINCT pipeline_id, stmt_order, 'b', {third('stmt_order')}, 1 FROM assign
   WHERE stmt_order % 5 <> 0)
 SELECT r.pipeline_id, r.stmt_order, r.target_column, r.ordinal, r.alias, r."column",
        CASE WHEN r.alias IS NOT NULL THEN coalesce(
@@ -402,34 +449,36 @@ SELECT * FROM up""",
 STMTS = f"""
 stmts AS (
   SELECT {_lit(D.LINEAGE_PIPELINE)} AS pipeline_id, p_partkey AS stmt_order,
+    CASE WHEN p_partkey % 8 = 4 THEN 'create table t' || p_partkey || E' as\\nselect\\n  a.c0 as x' || p_partkey
+                  || E',\\n  a.c1,\\n\\tc2\\nfrom db.t' || (p_partkey // 2) || ' a' ELSE
     CASE p_partkey % 4
       WHEN 0 THEN 'create table t' || p_partkey || ' as select a.c0 as x' || p_partkey
                   || ', a.c1, c2 from db.t' || (p_partkey // 2) || ' a'
       WHEN 1 THEN 'CREATE TABLE T' || p_partkey || ' AS SELECT c0, c1 AS y FROM raw.src' || (p_partkey % 10)
       WHEN 2 THEN 'create table t' || p_partkey
                   || ' as select case when a.c0 > 1 then 1 else 0 end as flag from t' || (p_partkey // 3) || ' a'
-      ELSE 'insert into t' || p_partkey || ' select c0 from t' || (p_partkey // 2) END AS sql_text
+      ELSE 'insert into t' || p_partkey || ' select c0 from t' || (p_partkey // 2) END END AS sql_text
   FROM part)"""
 
 SQL["lin_simple_ctas"] = "WITH " + STMTS.strip() + f""",
 b AS (
   SELECT pipeline_id, stmt_order, s,
-         regexp_extract(s, {_lit(L.CTAS_TARGET)}, 1) AS target_table,
-         regexp_extract(s, {_lit(L.CTAS_SELECT)}, 1) AS clause,
-         regexp_extract(s, {_lit(L.CTAS_FROM)}, 1) AS source_table,
-         nullif(regexp_extract(s, {_lit(L.CTAS_FROM)}, 2), '') AS source_alias
+         regexp_extract(s, {_lit(CTAS_TARGET)}, 1) AS target_table,
+         regexp_extract(s, {_lit(CTAS_SELECT)}, 1) AS clause,
+         regexp_extract(s, {_lit(CTAS_FROM)}, 1) AS source_table,
+         nullif(regexp_extract(s, {_lit(CTAS_FROM)}, 2), '') AS source_alias
   FROM (SELECT *, regexp_replace(sql_text, '^\\s+|\\s+$', '', 'g') AS s FROM stmts)),
 items AS (
   SELECT pipeline_id, stmt_order, target_table, source_table, source_alias,
          CAST(generate_subscripts(string_split(clause, ','), 1) - 1 AS INTEGER) AS position,
-         trim(unnest(string_split(clause, ','))) AS item
+         regexp_replace(unnest(string_split(clause, ',')), '^\\s+|\\s+$', '', 'g') AS item
   FROM b
-  WHERE target_table <> '' AND regexp_matches(s, {_lit(L.CTAS_SELECT)}) AND source_table <> '')
+  WHERE target_table <> '' AND regexp_matches(s, {_lit(CTAS_SELECT)}) AND source_table <> '')
 SELECT pipeline_id, stmt_order, target_table, source_table, source_alias, position,
-       trim(CASE WHEN contains(lower(item), ' as ')
-                 THEN string_split(regexp_split_to_array(item, {_lit(L.CTAS_AS_SPLIT)})[1], '.')[-1]
+       trim(CASE WHEN regexp_matches(item, {_lit(CTAS_AS_SPLIT)})
+                 THEN string_split(regexp_split_to_array(item, {_lit(CTAS_AS_SPLIT)})[1], '.')[-1]
                  ELSE string_split(item, '.')[-1] END) AS source_column,
-       trim(CASE WHEN contains(lower(item), ' as ') THEN regexp_split_to_array(item, {_lit(L.CTAS_AS_SPLIT)})[2]
+       trim(CASE WHEN regexp_matches(item, {_lit(CTAS_AS_SPLIT)}) THEN regexp_split_to_array(item, {_lit(CTAS_AS_SPLIT)})[2]
                  ELSE string_split(item, '.')[-1] END) AS target_column
 FROM items"""
 

@@ -64,26 +64,32 @@ def vector_topk(emb: DataFrame, queries: DataFrame, k: int = 5,
 
 
 def metadata_filter_topk(emb: DataFrame, queries: DataFrame, k: int = 5,
-                         salt: int = DEFAULT_SALT) -> DataFrame:
-    """``ret_metadata_filter``: restrict candidates by metadata before scoring
-    -- here a vector competes only for the query of its own label (an
+                         salt: int = DEFAULT_SALT, where: Column | None = None) -> DataFrame:
+    """``ret_metadata_filter``: restrict candidates by metadata before scoring:
+    by ``where`` over the vector's columns, and to the query's own label (an
     equi-join on label, no query x vector product)."""
-    scored = emb.join(queries, "label").select(
+    emb = emb if where is None else emb.where(where)
+    scored = emb.join(checked_broadcast(queries), "label").select(
         "query_id", "vec_id", "label", cosine("embedding", "q_embedding").alias("score"))
     return top_k(scored, ["query_id"], k, salt=salt)
 
 
 def hybrid_topk(emb: DataFrame, queries: DataFrame, edges: DataFrame, k: int = 5,
                 bonus: float = 0.5, salt: int = DEFAULT_SALT) -> DataFrame:
-    """``ret_hybrid``: candidates of the query's label scored by cosine, plus
-    ``bonus`` when the vector is a graph neighbour of the query vector
-    (``edges``: src, dst, either direction); top k."""
+    """``ret_hybrid``: candidates are the vectors of the query's label and the
+    graph neighbours of the query vector, whatever their label (``edges``:
+    src, dst, either direction); score = cosine, plus ``bonus`` for neighbours;
+    top k."""
     nb = edges.select(F.col("src").alias("query_id"), F.col("dst").alias("vec_id")).unionByName(
         edges.select(F.col("dst").alias("query_id"), F.col("src").alias("vec_id"))).distinct() \
         .withColumn("_nb", F.lit(True))
-    scored = (emb.join(queries, "label")
-              .select("query_id", "vec_id", "label", cosine("embedding", "q_embedding").alias("cos"))
-              .join(nb, ["query_id", "vec_id"], "left")
+    q = checked_broadcast(queries)
+    same = emb.join(q, "label").join(nb, ["query_id", "vec_id"], "left")
+    other = (nb.join(emb, "vec_id").join(q.withColumnRenamed("label", "_ql"), "query_id")
+             .where(~F.col("label").eqNullSafe(F.col("_ql"))))
+    columns = ["query_id", "vec_id", "label", "embedding", "q_embedding", "_nb"]
+    scored = (same.select(*columns).unionByName(other.select(*columns))
+              .select("query_id", "vec_id", "label", cosine("embedding", "q_embedding").alias("cos"), "_nb")
               .withColumn("score", F.col("cos") + F.when(F.col("_nb"), F.lit(bonus)).otherwise(0.0))
               .drop("_nb"))
     return top_k(scored, ["query_id"], k, salt=salt)

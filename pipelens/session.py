@@ -29,6 +29,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        # single-row-group files still split by size; rows go where their split says
+        .config("spark.sql.files.maxPartitionBytes", "4m" if master.startswith("local") else "128m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in (extra or {}).items():
@@ -71,16 +73,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the checkpoint root for one operator run."""
     root = checkpoint_root(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-def spread(df, min_partitions: int | None = None):
-    """Round-robin repartition when a scan yields fewer partitions than the
-    cluster has cores (a small single-row-group file is one task). A no-op on
-    real inputs, whose scans already split into thousands of partitions."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            return df.repartition(target)
-    except Exception:  # noqa: BLE001 - no RDD API (Spark Connect): leave as is
-        pass
-    return df

@@ -9,29 +9,16 @@ read whole tables; their work grows with the data.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelens.session import spread
+from pipelens.sources import eventlog as EL
 
 APPS = ["A", "N", "R"]
 
 
-SPREAD_MIN_BYTES = 1 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; files over 1 MB that scan as fewer partitions than
-    there are cores are spread round-robin (see :func:`pipelens.session.spread`)."""
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    try:
-        size = os.path.getsize(path)
-    except OSError:
-        size = SPREAD_MIN_BYTES
-    return spread(df) if size >= SPREAD_MIN_BYTES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def epoch_ms(ts) -> Column:
@@ -173,14 +160,14 @@ def app_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Token lists used to assemble legacy job names from order keys. They cover
 # placeholders (P_, PR_, P-), the ZZZ form, category markers, LOAD, long
 # tails, lower case and unknown codes.
-NAME_HEADS = ["ORCAP", "FCTDS", "CARAT", "P_FCTDS", "PR_ORCAP", "P-RDS", "RDS", "orcap",
+NAME_HEADS = ["MORTA", "TXNDW", "GEMMA", "P_TXNDW", "PR_MORTA", "P-ODS", "ODS", "morta",
               "NEWAP", "P"]
 NAME_SCHEDULES = ["D", "OD", "W", "M", "ZZZDAC", "ZZZ", "X", "daily", "H"]
 NAME_BODIES = ["LOAN", "LOAN_FEE", "ABC_DEF", "RAW_LOAD", "CARD_TXN",
-               "ORCAP_LOAN_RAW_LOAD_X_DAILY", "CONF_GL", "KAFKA_EVENTS_API",
+               "MORTA_LOAN_RAW_LOAD_X_DAILY", "CONF_GL", "KAFKA_EVENTS_API",
                "NDM_FILE_XFER", "A_B", "VERY_LONG_BODY_TOKEN_NUMBER_ONE_TWO_THREE_FOUR"]
 NAME_TAILS = ["BX", "CMD", "CM", "FW", "", "LOAD", "XX"]
-APPLICATION_NAMES = ["Orcap Lending", "FCT-DS", "", "  ", "carat", "x", "Loan Servicing Platform"]
+APPLICATION_NAMES = ["Morta Lending", "TXN-DW", "", "  ", "gemma", "x", "Loan Servicing Platform"]
 PRIORITY_JOB_TYPES = [("1-URGENT", "CMD"), ("2-HIGH", "BOX"), ("3-MEDIUM", "fw"),
                       ("4-NOT SPECIFIED", ""), ("5-LOW", "FILE")]
 
@@ -206,23 +193,23 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Inline rule tables (the same rows are VALUES lists in the SQL twin).
-RULES_APP = [("ORCAP", "ORCAP"), ("FCTDS", "FCTDS"), ("CARAT", "CARAT"), ("P-RDS", "RDSXX"),
-             ("RDS", "RDS01"), ("P", "PLACE")]
+RULES_APP = [("MORTA", "MORTA"), ("TXNDW", "TXNDW"), ("GEMMA", "GEMMA"), ("P-ODS", "ODSXX"),
+             ("ODS", "ODS01"), ("P", "PLACE")]
 RULES_SCHEDULE = [("D", "D"), ("OD", "O"), ("W", "X"), ("W", "W"), ("M", "M"), ("DAILY", "D"),
                   (" h ", "h"), ("ZZZ", "")]
 RULES_AS_TYPE = [("CMD", "C"), ("BOX", "B"), ("FW", "F"), ("FILE", "")]
 RULES_ETL = [("BX", "B"), ("CMD", "C"), ("CM", "M"), ("FW", "")]
 RULES_SUBJECT = [
-    ("FCTDS_OD_LOAN_BX", "exact", "LNFCT1", "Curated "),
-    ("fctds_od_loan_bx", "exact", "LNFCT2", "curated"),
-    ("ORCAP_D_LOAN", "prefix", "LOANXX", "raw"),
-    ("ORCAP_D", "prefix", "ORCAPD", "other"),
-    ("ORCAP", "prefix", "ORCAPX", "conformed"),
-    ("CARAT_ZZZ", "prefix", "CRTZZZ", "ndm"),
-    ("orcap_d", "prefix", "ORCAP2", "raw"),
+    ("TXNDW_OD_LOAN_BX", "exact", "LNTXN1", "Curated "),
+    ("txndw_od_loan_bx", "exact", "LNTXN2", "curated"),
+    ("MORTA_D_LOAN", "prefix", "LOANXX", "raw"),
+    ("MORTA_D", "prefix", "MORTAD", "other"),
+    ("MORTA", "prefix", "MORTAX", "conformed"),
+    ("GEMMA_ZZZ", "prefix", "GEMZZZ", "ndm"),
+    ("morta_d", "prefix", "MORTA2", "raw"),
     ("_CARDS?_", "regex", "CARDSX", "streaming"),
     ("KAFKA", "regex", "KAFKAX", "streaming"),
-    ("^RDS_.*_FW$", "regex", "RDSFWX", "weird"),
+    ("^ODS_.*_FW$", "regex", "ODSFWX", "weird"),
     ("card", "regex", "CARD2X", "raw"),
 ]
 
@@ -245,58 +232,71 @@ def rule_set(spark: SparkSession):
 
 # ------------------------------------------------------------------ G family
 LINEAGE_PIPELINE = "part"
-# expression templates for column c2, chosen by key mod 4: (text, refs) where
-# refs name the parent ('half' = k div 2, 'third' = k div 3) and the column
+# expression templates for column c2, chosen by key mod 5: (text, refs) where
+# refs name the parent ('half' or 'third') and the column
 C2_TEMPLATES = [
     ("coalesce(raw.c2, derv.derv_c3)", [("half", "c2"), ("third", "c3")]),
     ("upper(a.c2)", [("half", "c2")]),
     ("a.c2 + b.c1", [("half", "c2"), ("third", "c1")]),
     ("'N/A'", []),
+    ("coalesce(raw.c2, case when raw.c3 > 0 then concat(upper(trim(derv.derv_c3)), '-', lower(trim(raw.c2))) "
+     "when raw.c3 < 0 then replace(derv.derv_c3, 'x', 'y') else cast(raw.c2 as string) end)",
+     [("half", "c2"), ("half", "c3")]),
 ]
 
 
 def lineage_table_name(k: Column) -> Column:
-    """Tables ``t<k>``; every fifth lives in schema ``raw``."""
-    return F.when(k % 5 == 0, F.concat(F.lit("raw.t"), k.cast("string"))) \
-        .otherwise(F.concat(F.lit("t"), k.cast("string")))
+    """Tables ``t<k>``; every fifth lives in schema ``raw``, and some have
+    the names of report or derived tables."""
+    t = F.concat(F.lit("t"), k.cast("string"))
+    return (F.when(k % 5 == 0, F.concat(F.lit("raw."), t)).when(k % 17 == 0, F.concat(t, F.lit("_REPORT")))
+            .when(k % 19 == 0, F.concat(t, F.lit("_df"))).otherwise(t))
+
+
+def lineage_parents(k: Column) -> tuple[Column, Column]:
+    """The ``half`` and ``third`` parent of a key: keys with one remainder
+    mod 3 are a pipeline, in which number j reads j div 2 and j div 3."""
+    j = (k / 3).cast("long")
+    return (j / 2).cast("long") * 3 + k % 3, (j / 3).cast("long") * 3 + k % 3
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineage facts from ``part``: table t<k> (k >= 1, size <= 45; larger
-    parts are base tables) reads t<k div 2> and t<k div 3>. Every 7th table
-    is ``SELECT *`` from t<k div 2>; the others define c0..c3 (c2 by one of
-    four expression templates); every 11th adds a column named ``case``."""
-    p = table(spark, sf_dir, "part").where((F.col("p_partkey") >= 1) & (F.col("p_size") <= 45))
+    """Lineage facts from ``part``, one statement per key in three pipelines.
+    The first of a pipeline and parts of size over 45 are entry tables: even
+    keys copy c0..c3 from an outside table ``ext.s<k>``, odd ones define only
+    the literal c0, so that reading their c1..c3 is an undefined reference.
+    Of the others every 7th is ``SELECT *`` from its ``half`` parent; the rest
+    define c0..c3 (c2 by an expression template), every 11th a column named
+    ``case``, and every 13th a column from a table named ``N/A``."""
+    p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    half = lineage_table_name((k / 2).cast("long"))
-    third = lineage_table_name((k / 3).cast("long"))
+    half_key, third_key = lineage_parents(k)
+    half, third = lineage_table_name(half_key), lineage_table_name(third_key)
     parent = {"half": half, "third": third}
+    null_s = F.lit(None).cast("string")
 
-    def row(col, ordinal, src_t, src_c, expr):
+    def row(col, ordinal, src_t, src_c, expr=null_s):
         return F.struct(F.lit(col).alias("target_column"), F.lit(ordinal).alias("ordinal"),
-                        src_t.alias("source_table"), src_c.alias("source_column"),
-                        expr.alias("expression"))
+                        src_t.cast("string").alias("source_table"),
+                        src_c.cast("string").alias("source_column"), expr.cast("string").alias("expression"))
 
-    null_s = F.lit(None).cast("string")
-    plain = [row("c0", 0, half, F.lit("c0"), null_s), row("c1", 1, third, F.lit("c1"), null_s),
-             row("c3", 3, half, F.lit("c3"), null_s)]
-    c2 = []
+    plain = [row("c0", 0, half, F.lit("c0")), row("c1", 1, third, F.lit("c1")), row("c3", 3, half, F.lit("c3"))]
+    rows = F.array(*plain)
+    none = F.filter(rows, lambda x: F.lit(False))
     for i, (text, refs) in enumerate(C2_TEMPLATES):
         items = [row("c2", 2, parent[w], F.lit(c), F.lit(text)) for w, c in refs] or \
                 [row("c2", 2, null_s, null_s, F.lit(text))]
-        c2.append((i, F.array(*items)))
-    c2_rows = F.lit(None)
-    for i, arr in reversed(c2):
-        c2_rows = F.when(k % 4 == i, arr).otherwise(c2_rows) if i != 3 else arr
-    extra = F.when(k % 11 == 0, F.array(row("case", 4, half, F.lit("c0"), null_s))) \
-        .otherwise(F.array().cast(F.array(plain[0]).dataType if False else
-                                  "array<struct<target_column:string,ordinal:int,source_table:string,"
-                                  "source_column:string,expression:string>>"))
-    star = F.array(row("*", 0, half, null_s, F.lit("*")))
-    rows = F.when(k % 7 == 0, star).otherwise(
-        F.concat(F.array(*plain), c2_rows, extra))
-    return p.select(F.lit(LINEAGE_PIPELINE).alias("pipeline_id"), k.alias("stmt_order"),
-                    lineage_table_name(k).alias("target_table"), F.explode(rows).alias("r")) \
+        rows = F.concat(rows, F.when(k % len(C2_TEMPLATES) == i, F.array(*items)).otherwise(none))
+    rows = F.concat(rows, F.when(k % 11 == 0, F.array(row("case", 4, half, F.lit("c0")))).otherwise(none),
+                    F.when(k % 13 == 0, F.array(row("c5", 5, F.lit("N/A"), F.lit("c5")))).otherwise(none))
+    outside = F.concat(F.lit("ext.s"), k.cast("string"))
+    entry = F.when(k % 2 == 0, F.array(*[row(f"c{i}", i, outside, F.lit(f"c{i}")) for i in range(4)])).otherwise(
+        F.array(row("c0", 0, null_s, null_s, F.lit("'none'"))))
+    rows = (F.when((k < 3) | (F.col("p_size") > 45), entry)
+            .when(k % 7 == 0, F.array(row("*", 0, half, null_s, F.lit("*")))).otherwise(rows))
+    return p.select(F.concat(F.lit(LINEAGE_PIPELINE), (k % 3).cast("string")).alias("pipeline_id"),
+                    k.alias("stmt_order"), lineage_table_name(k).alias("target_table"),
+                    F.explode(rows).alias("r")) \
         .select("pipeline_id", "stmt_order", "target_table", "r.target_column", "r.ordinal",
                 "r.source_table", "r.source_column", "r.expression")
 
@@ -305,7 +305,7 @@ def alias_refs(assign: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Alias-qualified references and statement sources for
     ``join_alias_resolve``: each reference uses alias ``a`` (k mod 3 = 0), no
     alias (1) or an unknown alias ``zz`` (2); statements list ``a`` = the
-    k div 2 parent and, unless k mod 5 = 0, ``b`` = the k div 3 parent."""
+    ``half`` parent and, unless k mod 5 = 0, ``b`` = the ``third`` parent."""
     a = assign.where(F.col("source_column").isNotNull())
     k = F.col("stmt_order")
     refs = a.select("pipeline_id", "stmt_order", "target_column", "ordinal",
@@ -314,23 +314,27 @@ def alias_refs(assign: DataFrame) -> tuple[DataFrame, DataFrame]:
                     F.col("source_column").alias("column"))
     stm = assign.select("pipeline_id", "stmt_order").distinct()
     src_a = stm.select("pipeline_id", "stmt_order", F.lit("a").alias("alias"),
-                       lineage_table_name((k / 2).cast("long")).alias("table"),
+                       lineage_table_name(lineage_parents(k)[0]).alias("table"),
                        F.lit(0).alias("ordinal"))
     src_b = stm.where(k % 5 != 0).select("pipeline_id", "stmt_order", F.lit("b").alias("alias"),
-                                         lineage_table_name((k / 3).cast("long")).alias("table"),
+                                         lineage_table_name(lineage_parents(k)[1]).alias("table"),
                                          F.lit(1).alias("ordinal"))
     return refs, src_a.unionByName(src_b)
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL statements from ``part``: four shapes by key mod 4 -- aliased
-    CTAS, upper-case CTAS without alias, CTAS with CASE, and an INSERT."""
+    CTAS (over several lines where key mod 8 = 4), upper-case CTAS without
+    alias, CTAS with CASE, and an INSERT."""
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey").cast("string")
     half = (F.col("p_partkey") / 2).cast("long").cast("string")
     third = (F.col("p_partkey") / 3).cast("long").cast("string")
     m = F.col("p_partkey") % 4
-    text = (F.when(m == 0, F.concat(F.lit("create table t"), k, F.lit(" as select a.c0 as x"), k,
+    text = (F.when(F.col("p_partkey") % 8 == 4, F.concat(
+                F.lit("create table t"), k, F.lit(" as\nselect\n  a.c0 as x"), k, F.lit(",\n  a.c1,\n\tc2\nfrom db.t"),
+                half, F.lit(" a")))
+            .when(m == 0, F.concat(F.lit("create table t"), k, F.lit(" as select a.c0 as x"), k,
                                     F.lit(", a.c1, c2 from db.t"), half, F.lit(" a")))
             .when(m == 1, F.concat(F.lit("CREATE TABLE T"), k,
                                    F.lit(" AS SELECT c0, c1 AS y FROM raw.src"),
@@ -387,3 +391,50 @@ def vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.where(F.col("vec_id") >= 1).select(
         F.col("vec_id").alias("src"), (F.col("vec_id") / 2).cast("long").alias("dst"))
+
+
+# ------------------------------------------------------------------ event logs
+def _event(name: str, *fields) -> F.Column:
+    return F.to_json(F.struct(F.lit(name).alias("Event"), *fields))
+
+
+def write_event_log(tasks: DataFrame, stages: DataFrame, out: str,
+                    spark_version: str = "4.1.2") -> None:
+    """Test fixture: write ``tasks`` / ``stages`` frames as
+    rolling Spark event logs, one ``eventlog_v2_<app>`` folder for each of the
+    few applications: LogStart, ApplicationStart (time = first task launch),
+    StageCompleted, TaskEnd."""
+    t = tasks
+    task_ev = t.select("app_id", _event(
+        EL.EVENTS["task_end"], F.col("stage_id").alias("Stage ID"),
+        F.col("stage_attempt_id").cast("long").alias("Stage Attempt ID"),
+        F.struct(F.col("task_id").alias("Task ID"), F.col("executor_id").alias("Executor ID"),
+                 F.col("launch_time").alias("Launch Time"),
+                 F.col("finish_time").alias("Finish Time")).alias("Task Info"),
+        F.struct(F.col("executor_runtime").alias("Executor Run Time"),
+                 F.col("executor_cpu_time").alias("Executor CPU Time"),
+                 F.col("memory_spill").alias("Memory Bytes Spilled"),
+                 F.col("disk_spill").alias("Disk Bytes Spilled"),
+                 F.struct(F.col("input_bytes").alias("Bytes Read")).alias("Input Metrics"),
+                 F.struct(F.col("output_rows").alias("Records Written")).alias("Output Metrics"),
+                 F.struct(F.col("shuffle_read_bytes").alias("Remote Bytes Read"),
+                          F.when(F.col("shuffle_read_bytes").isNotNull(), F.lit(0))
+                          .alias("Local Bytes Read")).alias("Shuffle Read Metrics"),
+                 F.struct(F.col("shuffle_write_bytes").alias("Shuffle Bytes Written"))
+                 .alias("Shuffle Write Metrics")).alias("Task Metrics")).alias("value"))
+    stage_ev = stages.select("app_id", _event(
+        EL.EVENTS["stage_completed"], F.struct(
+            F.col("stage_id").alias("Stage ID"), F.col("stage_attempt_id").cast("long")
+            .alias("Stage Attempt ID"), F.col("stage_name").alias("Stage Name"),
+            F.col("num_tasks").cast("long").alias("Number of Tasks"),
+            F.col("parents").alias("Parent IDs"), F.col("submission_time").alias("Submission Time"),
+            F.col("completion_time").alias("Completion Time")).alias("Stage Info")).alias("value"))
+    apps = t.groupBy("app_id").agg(F.min("launch_time").alias("_t"))
+    app_ev = apps.select("app_id", _event(EL.EVENTS["app_start"], F.col("app_id").alias("App ID"),
+                                          F.col("app_id").alias("App Name"),
+                                          F.col("_t").alias("Timestamp")).alias("value"))
+    log_ev = apps.select("app_id", _event(EL.EVENTS["log_start"],
+                                          F.lit(spark_version).alias("Spark Version")).alias("value"))
+    allev = log_ev.unionByName(app_ev).unionByName(stage_ev).unionByName(task_ev)
+    for app in [r.app_id for r in apps.select("app_id").collect()]:
+        allev.where(F.col("app_id") == app).select("value").write.mode("overwrite").text(f"{out}/eventlog_v2_{app}")

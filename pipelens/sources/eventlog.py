@@ -57,17 +57,19 @@ EVENTS = {
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     """``src_event_log``: raw events with ``event`` (short type name) and
     ``log_file`` (one file = one application)."""
-    raw = (spark.read.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE").json(path)
+    raw = (spark.read.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE")
+           .option("recursiveFileLookup", "true").json(path)
            .withColumn("log_file", log_unit(F.col("_metadata.file_path"))))
     return raw.withColumn("event", F.substring_index("Event", ".", -1))
 
 
 def log_unit(file_path) -> F.Column:
     """One application per log unit: the file itself, or its directory when
-    that is a rolling log (``eventlog_v2_*``) or a ``key=value`` partition."""
+    that is a rolling log (``eventlog_v2_*``). Other folders, such as
+    ``date=...`` partitions, say nothing about applications."""
     parent = F.regexp_extract(file_path, r"^(.*)/[^/]*$", 1)
     name = F.regexp_extract(parent, r"([^/]*)$", 1)
-    return F.when(name.startswith("eventlog_v2_") | name.contains("="), parent).otherwise(file_path)
+    return F.when(name.startswith("eventlog_v2_"), parent).otherwise(file_path)
 
 
 def route(raw: DataFrame, kind: str) -> DataFrame:
@@ -163,48 +165,3 @@ def app_info(apps: DataFrame) -> DataFrame:
     """``proj_app_info`` / ``limit_one``: one row per application (the
     reference's ``limit(1)`` over a single log)."""
     return apps.select("app_id", "start_time", "spark_version")
-
-
-def _event(name: str, *fields) -> F.Column:
-    return F.to_json(F.struct(F.lit(name).alias("Event"), *fields))
-
-
-def write_event_log(tasks: DataFrame, stages: DataFrame, out: str,
-                    spark_version: str = "4.1.2") -> None:
-    """Write ``tasks`` / ``stages`` frames as Spark event
-    logs, one ``log=<app>`` directory per application: LogStart,
-    ApplicationStart (time = first task launch), StageCompleted, TaskEnd."""
-    t = tasks
-    task_ev = t.select("app_id", _event(
-        EVENTS["task_end"], F.col("stage_id").alias("Stage ID"),
-        F.col("stage_attempt_id").cast("long").alias("Stage Attempt ID"),
-        F.struct(F.col("task_id").alias("Task ID"), F.col("executor_id").alias("Executor ID"),
-                 F.col("launch_time").alias("Launch Time"),
-                 F.col("finish_time").alias("Finish Time")).alias("Task Info"),
-        F.struct(F.col("executor_runtime").alias("Executor Run Time"),
-                 F.col("executor_cpu_time").alias("Executor CPU Time"),
-                 F.col("memory_spill").alias("Memory Bytes Spilled"),
-                 F.col("disk_spill").alias("Disk Bytes Spilled"),
-                 F.struct(F.col("input_bytes").alias("Bytes Read")).alias("Input Metrics"),
-                 F.struct(F.col("output_rows").alias("Records Written")).alias("Output Metrics"),
-                 F.struct(F.col("shuffle_read_bytes").alias("Remote Bytes Read"),
-                          F.when(F.col("shuffle_read_bytes").isNotNull(), F.lit(0))
-                          .alias("Local Bytes Read")).alias("Shuffle Read Metrics"),
-                 F.struct(F.col("shuffle_write_bytes").alias("Shuffle Bytes Written"))
-                 .alias("Shuffle Write Metrics")).alias("Task Metrics")).alias("value"))
-    stage_ev = stages.select("app_id", _event(
-        EVENTS["stage_completed"], F.struct(
-            F.col("stage_id").alias("Stage ID"), F.col("stage_attempt_id").cast("long")
-            .alias("Stage Attempt ID"), F.col("stage_name").alias("Stage Name"),
-            F.col("num_tasks").cast("long").alias("Number of Tasks"),
-            F.col("parents").alias("Parent IDs"), F.col("submission_time").alias("Submission Time"),
-            F.col("completion_time").alias("Completion Time")).alias("Stage Info")).alias("value"))
-    apps = t.groupBy("app_id").agg(F.min("launch_time").alias("_t"))
-    app_ev = apps.select("app_id", _event(EVENTS["app_start"], F.col("app_id").alias("App ID"),
-                                          F.col("app_id").alias("App Name"),
-                                          F.col("_t").alias("Timestamp")).alias("value"))
-    log_ev = apps.select("app_id", _event(EVENTS["log_start"],
-                                          F.lit(spark_version).alias("Spark Version")).alias("value"))
-    allev = log_ev.unionByName(app_ev).unionByName(stage_ev).unionByName(task_ev)
-    (allev.withColumnRenamed("app_id", "log").repartition("log")
-     .write.mode("overwrite").partitionBy("log").text(out))

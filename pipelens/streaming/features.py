@@ -28,7 +28,7 @@ from pipelens.sources.eventlog import EVENT_SCHEMA, EVENTS, log_unit
 def read_event_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     """Event-log files arriving in ``folder`` as a stream of raw events."""
     raw = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files)
-           .json(folder).withColumn("log_file", log_unit(F.col("_metadata.file_path"))))
+           .option("recursiveFileLookup", "true").json(folder).withColumn("log_file", log_unit(F.col("_metadata.file_path"))))
     return raw.withColumn("event", F.substring_index("Event", ".", -1))
 
 

@@ -56,3 +56,23 @@ def test_exact_topk_matches_numpy(spark):
         have = [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
         assert have == want
         assert max(r["score"] for r in got if r["query_id"] == q) == pytest.approx(1.0)
+
+
+def test_flows_of_two_applications_stay_apart(spark):
+    rows = ['{"application": {"name": "%s", "owner": "o"}, "flows": [{"flowId": "f1", "seqDependencies": [], '
+            '"queries": ["select a from db.x"], "registerName": "r", "checks": [{"checkId": "c", "type": "t", "column": "a"}]}]}'
+            % app for app in ("one", "two")]
+    docs = CFG.valid_configs(_configs(spark, rows))
+    nodes, edges = CFG.knowledge_graph(CFG.flatten(docs))
+    assert nodes.where("type = 'flow'").count() == 2
+    ids = {(r.application, r.id) for r in nodes.collect()}
+    assert all((e.application, e.source) in ids and (e.application, e.target) in ids for e in edges.collect())
+
+
+def test_hybrid_keeps_neighbours_of_other_labels(spark):
+    emb = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [1.0, 0.05], 1)],
+                                "vec_id long, embedding array<float>, label int")
+    queries = RT.query_vectors(emb.where("label = 0"))
+    edges = spark.createDataFrame([(1, 3)], "src long, dst long")
+    got = [r.vec_id for r in RT.hybrid_topk(emb, queries, edges, 3).orderBy("rank").collect()]
+    assert got[0] in (1, 3) and set(got) == {1, 2, 3}

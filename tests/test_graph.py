@@ -34,3 +34,16 @@ def test_reach_from_starts_and_upstream(spark):
     nodes, rel = graph.upstream(edges, spark.createDataFrame([("z",)], "id string"))
     assert {r["id"] for r in nodes.collect()} == {"x", "y", "z", "w"}
     assert rel.count() == 3
+
+
+def test_upstream_of_a_deep_chain(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(90)], "source string, target string")
+    nodes, _ = graph.upstream(edges, spark.createDataFrame([("n90",)], "id string"))
+    assert nodes.count() == 91
+
+
+def test_terminals(spark):
+    rows = [(i, i + 1) for i in range(200)] + [(300, 301), (301, 300), (301, 50), (400, 401), (401, 400)]
+    got = {(r["start_a"], r["a"]) for r in graph.terminals(
+        spark.createDataFrame(rows, "a long, b long"), ["a"], ["b"]).collect()}
+    assert got == {(i, 200) for i in range(200)} | {(300, 200), (301, 200)}

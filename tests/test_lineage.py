@@ -56,7 +56,7 @@ def test_validate_fix_golden(spark):
     final = spark.createDataFrame(
         [("t", ["s.raw_t.a", "s.raw_t.a", "s.raw_t.z"], ["coalesce(raw.a, derv.derv_b)"])],
         "target_column string, source_columns array<string>, expressions array<string>")
-    r = L.validate_fix(final).collect()[0]
+    r = L.validate_fix(final, "orders_raw.items").collect()[0]
     assert r["source_columns"] == ["s.raw_t.a", "s.raw_t.b"]
     assert r["issues"] == ["  t: Removed duplicate source columns: s.raw_t.a",
                            "  t: Removed unused source columns: s.raw_t.z",
@@ -83,9 +83,9 @@ def test_valid_column_name(spark):
 def test_validate_fix_passthrough_modes(spark):
     final = spark.createDataFrame([("t", ["s.raw_t.a"], [])],
                                   "target_column string, source_columns array<string>, expressions array<string>")
-    kept = L.validate_fix(final).collect()[0]
+    kept = L.validate_fix(final, "orders_raw.items").collect()[0]
     assert kept["source_columns"] == ["s.raw_t.a"] and kept["issues"] == []
-    wiped = L.validate_fix(final, repair_passthrough=True).collect()[0]
+    wiped = L.validate_fix(final, "orders_raw.items", repair_passthrough=True).collect()[0]
     assert wiped["source_columns"] == []
     assert wiped["issues"] == ["  t: Removed unused source columns: s.raw_t.a"]
 
@@ -99,3 +99,26 @@ def test_hub_edges(spark):
     got = sorted((r["source"], r["target"], r["label"]) for r in LJ.hub_edges(final).collect())
     assert got == [("b.a", "t.y", "Raw Copy"), ("b.a", "transform_t.x", None),
                    ("b.c", "transform_t.x", None), ("transform_t.x", "t.x", "a + c")]
+
+
+def test_fallback_by_source_name(spark):
+    """A reference to a column its table lacks takes another target's column
+    of that name; the resolved reference beside it stays."""
+    a = _assign(spark, [(1, "t0", "y", 0, "raw.b", "y", None), (2, "t1", "z", 0, "raw.c", "z", None),
+                        (3, "t2", "x", 0, "t1", "y", "t1.y + t1.z"), (3, "t2", "x", 0, "t1", "z", "t1.y + t1.z")])
+    f = {(r["target_table"], r["target_column"]): r["source_columns"] for r in L.final_lineage(a).collect()}
+    assert f[("t2", "x")] == ["raw.b.y", "raw.c.z"]
+    edges = {(e["source"], e["target"]) for e in L.multi_hop_edges(a).collect() if e["flow_type"] == "column_level"}
+    assert {("raw.b.y", "t2.x"), ("raw.c.z", "t2.x")} <= edges
+
+
+def test_tables_without_sources_are_bases(spark):
+    a = _assign(spark, [(1, "lit", "v", 0, None, None, "1 + 1"), (2, "d", "v", 0, "lit", "v", None)])
+    assert [(r["target_table"], r["base_table"]) for r in L.base_tables(a).collect()] == [("d", "lit")]
+
+
+def test_multi_line_ctas(spark):
+    st = spark.createDataFrame([("p", 1, "create table t as\nselect\n  x,\n\ty as\n z\nfrom db.s")],
+                               "pipeline_id string, stmt_order long, sql_text string")
+    got = [(r["source_column"], r["target_column"]) for r in L.simple_ctas(st).orderBy("position").collect()]
+    assert got == [("x", "x"), ("y", "z")]

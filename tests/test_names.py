@@ -11,11 +11,11 @@ def _one(spark, col, value="x"):
 
 
 @pytest.mark.parametrize("name,version,expect", [
-    ("PR_FCTDS_OD_X_CMD", 1, ("PR", "FCTDS", "CMD", "OD_X", False)),
-    ("PR_FCTDS_OD_X_CMD", 2, ("FCTDS", "OD", "CMD", "X", False)),
-    ("P-FCTDS_D_LOAN_LOAD_BX", 2, ("FCTDS", "D", "BX", "LOAN_LOAD", False)),
-    ("CARAT_ZZZDAC_ORZZZZ_CH815_SNOW_RCSA_CONT_INST_XRE", 2,
-     ("CARAT", "D", "", "ORZZZZ_CH815_SNOW_RCSA_CONT_INST_XRE", True)),
+    ("PR_TXNDW_OD_X_CMD", 1, ("PR", "TXNDW", "CMD", "OD_X", False)),
+    ("PR_TXNDW_OD_X_CMD", 2, ("TXNDW", "OD", "CMD", "X", False)),
+    ("P-TXNDW_D_LOAN_LOAD_BX", 2, ("TXNDW", "D", "BX", "LOAN_LOAD", False)),
+    ("GEMMA_ZZZDAC_ORZZZZ_CH815_SNOW_RCSA_CONT_INST_XRE", 2,
+     ("GEMMA", "D", "", "ORZZZZ_CH815_SNOW_RCSA_CONT_INST_XRE", True)),
     ("", 2, ("", "", "", "", False)),
     ("SOLO", 2, ("SOLO", "", "", "", False)),
     ("A_D_BX", 2, ("A", "D", "BX", "", False)),
@@ -48,9 +48,9 @@ def test_regex_first_in_file_order(spark):
 
 
 def test_derive_subject_goldens(spark):
-    df = spark.createDataFrame([("ORCAP_D_LOAN_FEE_BX", 0), ("ORCAP_D_ABC_DEF_BX", 3),
-                                ("ORCAP_D_ABC_DEF_BX", 2)], "n string, cnt long")
-    rows = df.select(N.derive_subject(N.candidate_tokens("n", F.array(F.lit("ORCAP"))), "cnt")
+    df = spark.createDataFrame([("MORTA_D_LOAN_FEE_BX", 0), ("MORTA_D_ABC_DEF_BX", 3),
+                                ("MORTA_D_ABC_DEF_BX", 2)], "n string, cnt long")
+    rows = df.select(N.derive_subject(N.candidate_tokens("n", F.array(F.lit("MORTA"))), "cnt")
                      .alias("d"), N.category_from_tokens("n").alias("cat")).collect()
     assert (rows[0]["d"].subject_code, rows[0]["d"].strip, rows[0]["cat"]) == ("LOANXX", ["LOAN"], "other")
     assert (rows[1]["d"].subject_code, sorted(rows[1]["d"].strip)) == ("ABCDEF", ["ABC", "DEF"])
@@ -58,25 +58,25 @@ def test_derive_subject_goldens(spark):
 
 
 def test_clean_suffix_goldens(spark):
-    assert _one(spark, N.clean_suffix(F.lit("ORCAP_LOAN_RAW_LOAD_X_DAILY"), F.lit("ORCAP"),
+    assert _one(spark, N.clean_suffix(F.lit("MORTA_LOAN_RAW_LOAD_X_DAILY"), F.lit("MORTA"),
                                       F.array(F.lit("LOAN")))) == "LOAD_DAILY"
-    assert _one(spark, N.clean_suffix(F.lit("LOAD"), F.lit("ORCAP"),
+    assert _one(spark, N.clean_suffix(F.lit("LOAD"), F.lit("MORTA"),
                                       F.array().cast("array<string>"))) == "LD"
     # each subject token is removed once only
-    assert _one(spark, N.clean_suffix(F.lit("LOAN_X1_LOAN"), F.lit("ORCAP"),
+    assert _one(spark, N.clean_suffix(F.lit("LOAN_X1_LOAN"), F.lit("MORTA"),
                                       F.array(F.lit("LOAN")))) == "X1_LOAN"
 
 
 def test_build_name_golden(spark):
-    name = N.build_name(F.lit("ORCAP"), F.lit("E01"), F.lit("P"), F.lit("D"), F.lit("C"),
+    name = N.build_name(F.lit("MORTA"), F.lit("E01"), F.lit("P"), F.lit("D"), F.lit("C"),
                         F.lit("LOANXX"), F.lit("B"), F.lit(6000), F.lit("DAILY"))
-    assert _one(spark, name) == "ORCAP_E01PDC_LOANXX_B6000_DAILY"
+    assert _one(spark, name) == "MORTA_E01PDC_LOANXX_B6000_DAILY"
     assert _one(spark, N.zfill4(F.lit(12345))) == "12345"
     assert _one(spark, N.zfill4(F.lit(7))) == "0007"
 
 
 def test_validate_and_status(spark):
-    viol = N.validate_name(F.lit("ORCAP_E01PDC_LOANXX_B6000"), F.lit("ORCAP"), F.lit("E01"),
+    viol = N.validate_name(F.lit("MORTA_E01PDC_LOANXX_B6000"), F.lit("MORTA"), F.lit("E01"),
                            F.lit("Z"), F.lit("C"), F.lit("LOANXX"), F.lit("B"), F.lit(6000))
     v = _one(spark, viol)
     assert v == ["schedule 'Z' not in allowed set ['A', 'D', 'H', 'M', 'O', 'Q', 'R', 'W', 'Y']"]
@@ -90,7 +90,7 @@ def _rules(spark, subject_rows):
         return spark.createDataFrame([(i,) + tuple(r) for i, r in enumerate(rows)],
                                      "rule_order long, " + schema)
     return rename.RuleSet(
-        app=frame([("ORCAP", "ORCAP")], "old_prefix string, new_app_code string"),
+        app=frame([("MORTA", "MORTA")], "old_prefix string, new_app_code string"),
         schedule=frame([("D", "D")], "old_schedule string, new_schedule string"),
         etl=frame([("BX", "B")], "old_suffix string, new_etl_code string"),
         as_type=frame([("CMD", "C")], "old_job_type string, new_as_type string"),
@@ -100,24 +100,24 @@ def _rules(spark, subject_rows):
 
 def test_sequential_ids_v2_golden(spark):
     jobs = spark.createDataFrame(
-        [(0, "ORCAP_D_LOAN_RAW_BX", "CMD", "Orcap"), (1, "ORCAP_D_LOAN_RAW_X_BX", "CMD", "Orcap"),
-         (2, "ORCAP_D_LOAN_RAW_Y_BX", "CMD", "Orcap"), (3, "ORCAP_D_LOAN_NDM_BX", "CMD", "Orcap")],
+        [(0, "MORTA_D_LOAN_RAW_BX", "CMD", "Morta"), (1, "MORTA_D_LOAN_RAW_X_BX", "CMD", "Morta"),
+         (2, "MORTA_D_LOAN_RAW_Y_BX", "CMD", "Morta"), (3, "MORTA_D_LOAN_NDM_BX", "CMD", "Morta")],
         "input_order long, job_name string, job_type string, application_name string")
     out = rename.rename_v2(jobs, _rules(spark, [("ZZZNOMATCH", "exact", "X", "raw")]), "E01", "P")
     got = [r["job_id"] for r in out.orderBy("input_order").collect()]
     assert got == ["1000", "1001", "1002", "5000"]
     r0 = out.orderBy("input_order").collect()[0]
-    assert r0["new_job_name"] == "ORCAP_E01PDC_LOANXX_B1000"
+    assert r0["new_job_name"] == "MORTA_E01PDC_LOANXX_B1000"
     assert r0["status"] == "NEEDS_REVIEW"
     assert r0["notes"] == "Subject area auto-derived from job name tokens; verify in subject_areas.csv"
 
 
 def test_rename_v2_exception_and_v1(spark):
-    jobs = spark.createDataFrame([(0, "PR_ORCAP_D_LOAN_BX", "CMD", "")],
+    jobs = spark.createDataFrame([(0, "PR_MORTA_D_LOAN_BX", "CMD", "")],
                                  "input_order long, job_name string, job_type string, application_name string")
-    rs = _rules(spark, [("ORCAP_D", "prefix", "ORCAPD", "raw")])
+    rs = _rules(spark, [("MORTA_D", "prefix", "MORTAD", "raw")])
     v2 = rename.rename_v2(jobs, rs, "E01", "P").collect()[0]
-    assert v2["status"] == "EXCEPTION" and v2["app_code"] == "ORCAP"
+    assert v2["status"] == "EXCEPTION" and v2["app_code"] == "MORTA"
     assert v2["notes"].startswith("application_name '' is empty or invalid")
     v1 = rename.rename_v1(jobs, rs, "E01", "P").collect()[0]
     assert v1["app_code"] == "PRXXX" and v1["status"] == "EXCEPTION"
@@ -137,3 +137,14 @@ def test_checked_broadcast_respects_limit(spark):
     df = spark.range(3)
     assert "broadcast" not in R.checked_broadcast(df, max_rows=1)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" in R.checked_broadcast(df, max_rows=10)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_many_regex_rules_after_repartition(spark):
+    from pipelens.operators import rules as R
+    table = R.subject_rules(spark.createDataFrame(
+        [(i, f"^JOB{i}_", "regex", f"S{i}", "raw") for i in range(1000)] + [(2000, "7_", "regex", "LAST", "raw")],
+        "rule_order long, pattern string, match_type string, subject_code string, category string"))
+    jobs = spark.createDataFrame([(f"job{i}_x",) for i in range(0, 1000, 7)] + [("NONE_7_",), (None,)],
+                                 "job_name string").repartition(7)
+    got = {r.job_name: r._regex and r._regex.subject_code for r in R.match_regex(jobs, "job_name", table).collect()}
+    assert got == {f"job{i}_x": f"S{i}" for i in range(0, 1000, 7)} | {"NONE_7_": "LAST", None: None}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pipelens.session import checkpoint_root
 from pipelens.sources import csv_tables as C
+from pipelens.sources import driver_tables as D
 from pipelens.sources import eventlog as EL
 from pipelens.streaming import features as S
 
@@ -33,7 +34,7 @@ def _stages(spark):
 
 def test_event_log_round_trip(spark):
     out = _scratch(spark, "evlog")
-    EL.write_event_log(_tasks(spark), _stages(spark), out)
+    D.write_event_log(_tasks(spark), _stages(spark), out)
     t = EL.normalize(EL.read_event_log(spark, out))
     got = sorted((r["app_id"], r["task_id"], r["shuffle_read_bytes"], r["task_runtime"])
                  for r in t["tasks"].collect())
@@ -79,7 +80,7 @@ def test_jobs_csv_and_rules(spark):
 
 def test_streaming_task_skew(spark):
     folder = _scratch(spark, "stream-in")
-    EL.write_event_log(_tasks(spark), _stages(spark), folder)
+    D.write_event_log(_tasks(spark), _stages(spark), folder)
     raw = S.read_event_stream(spark, folder)
     name = "skew_" + uuid.uuid4().hex[:6]
     q = (S.stage_task_skew(S.task_stream(raw)).writeStream.outputMode("update")
@@ -89,3 +90,15 @@ def test_streaming_task_skew(spark):
     q.stop()
     rows = spark.sql(f"SELECT stage_id, max_task_output, tasks FROM {name}").collect()
     assert sorted((r["stage_id"], r["max_task_output"], r["tasks"]) for r in rows) == [(1, 9, 2), (4, 3, 1)]
+
+
+def test_dated_log_folders_keep_their_applications(spark):
+    out = _scratch(spark, "dated")
+    for app, start in (("app-1", 5), ("app-2", 9)):
+        task = ('{"Event":"SparkListenerTaskEnd","Stage ID":1,"Task Info":{"Task ID":%d,"Launch Time":1,"Finish Time":3}}'
+                % start)
+        begin = '{"Event":"SparkListenerApplicationStart","App ID":"%s","App Name":"x","Timestamp":%d}' % (app, start)
+        spark.createDataFrame([(begin,), (task,)], "value string").coalesce(1).write.mode("append").text(
+            f"{out}/date=2026-01-01")
+    t = EL.normalize(EL.read_event_log(spark, out))
+    assert sorted((r.app_id, r.task_id) for r in t["tasks"].collect()) == [("app-1", 5), ("app-2", 9)]
