@@ -5,8 +5,10 @@ Runs the end-to-end jobs of the three families at ``$BENCH_SF_DIR`` (default
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}
 
 One short query warms the JVM first; each headline query is then timed
-(median of ``$BENCH_REPEAT`` runs, default 1) by writing it to the ``noop``
-sink, so nothing is collected to the driver.
+(median of ``$BENCH_REPEAT`` runs, default 3; a query stops repeating after
+``$BENCH_QUERY_SECONDS``, default 45) by writing it to the ``noop`` sink, so
+nothing is collected to the driver. ``duckdb`` holds the median times of the
+same queries' SQL twins with as many threads.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ import statistics
 import sys
 import time
 
+import duckdb
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pipelens.plans import bindings  # noqa: E402
+from pipelens.plans import bindings, oracle  # noqa: E402
 from pipelens.session import build_session  # noqa: E402
 
+TABLES = "part lineitem orders events documents pages embeddings".split()
 HEADLINE = [
     "job_app_features",      # F: per-app features (rank histograms, joins)
     "job_query_features",    # F: per-execution features + critical path loop
@@ -41,10 +46,27 @@ def run(spark, key: str, sf_dir: str) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def duckdb_times(keys: list[str], sf_dir: str, threads: int) -> dict[str, float]:
+    """Median of three runs of each key's SQL twin over the same files."""
+    con = duckdb.connect(config={"threads": threads})
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    out = {}
+    for key in keys:
+        samples = []
+        for _ in range(3):
+            t0 = time.perf_counter()
+            con.execute(oracle.SQL[key]).fetchall()
+            samples.append(time.perf_counter() - t0)
+        out[key] = round(statistics.median(samples), 3)
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    budget = float(os.environ.get("BENCH_QUERY_SECONDS", "45"))
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k] or HEADLINE
     spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus))
     times: dict[str, float] = {}
@@ -55,6 +77,8 @@ def main() -> None:
             t0 = time.perf_counter()
             run(spark, key, sf_dir)
             samples.append(time.perf_counter() - t0)
+            if sum(samples) >= budget:
+                break
         times[key] = round(statistics.median(samples), 3)
         print(f"# {key}: {times[key]}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
@@ -63,6 +87,7 @@ def main() -> None:
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "duckdb": duckdb_times(only, sf_dir, int(cpus)),
         "sf": float(m.group(1)) if m else sf_dir,
     }))
     spark.stop()
