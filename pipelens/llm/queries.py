@@ -6,7 +6,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pipelens.llm import embeddings, jaccard_join, language_model, licenses, mixing, oracle, packing, quality, repetition, secrets, substrings
+from pipelens.llm import (
+    embeddings,
+    jaccard_join,
+    language_model,
+    licenses,
+    mixing,
+    oracle,
+    packing,
+    quality,
+    repetition,
+    secrets,
+    substrings,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
