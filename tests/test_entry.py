@@ -12,7 +12,11 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    """All but the training-data operators, some of which SQL can't express;
+    these are held against brute force in their own tests."""
+    own = set(E.queries()) - set(E.LLM_QUERIES)
+    assert len(own) == 127 and own == set(E.oracle_sql()) - set(E.LLM_SQL)
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_oracle_matches_for_fast_keys(spark):
