@@ -139,9 +139,9 @@ def _survivors(docs: DataFrame, shingle: int, salt: int, shards: int) -> DataFra
             ids = [x for h in held for x in h[0]]
             text = np.concatenate([h[1] + b for h, b in zip(held, base, strict=False)])
             hashes, sizes, sets, checks = (np.concatenate([h[i] for h in held]) for i in range(2, 6))
+            named = np.flatnonzero([i is not None for i in ids])
             once = np.zeros(len(ids), bool)
-            once[np.unique(sets, return_index=True)[1]] = True
-            once &= np.array([i is not None for i in ids], bool)
+            once[named[np.unique(sets[named], return_index=True)[1]]] = True
             own = once[text]
             text, hashes = text[own], hashes[own]
             order = np.argsort(hashes, kind="stable")

@@ -138,6 +138,16 @@ def test_jaccard_groups_and_edges(spark, monkeypatch, block):
     check_jaccard(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_jaccard_null_id_before_equal_text(spark):
+    """A row without an id does not stand for the rows of its text that follow."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (7, text), (3, text + " more"), (None, "alone it stands here, a text"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    check_jaccard(docs)
+    assert {r.doc_id: r.component_id for r in jaccard_join.similar(docs).collect()} == {None: None, 7: 3, 3: 3}
+    check_jaccard(docs.where("doc_id is null"))
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(4)
     for _ in range(200):
