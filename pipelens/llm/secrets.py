@@ -6,7 +6,10 @@ source or configuration: it splits statements into name-literal pairs (``name =
 ``<name>literal</name>``), carries constants through plain name-to-name
 assignments (``a = "..."; db_password = a``), and scores every literal by the
 most sensitive name that holds it, its length, its character mix and entropy.
-Literals that reach ``threshold`` become spans of kind ``literal``.
+Under a weak name (``key``, ``session``) only a long literal that looks random
+reaches ``threshold``; words with spaces count as a passphrase under a strong
+name, or by a random-looking word. Literals that reach ``threshold`` become
+spans of kind ``literal``.
 
 One ``mapInArrow`` without a shuffle; a text is lexed only where it has an
 assignment sign. Spans count code points, ends exclusive.
@@ -45,13 +48,24 @@ NAME_WEIGHT = {
     "session": 0.5, "key": 0.5, "pin": 0.5, "cert": 0.5,
 }
 THRESHOLD = 0.8
+#: Bits (length times entropy) from which a literal's length makes up for a
+#: lacking character class, and how many more do so wholly.
+LONG_BITS, MORE_BITS = 24.0, 24.0
+#: A random-looking literal: least length, bits, and share of places where
+#: letters and digits, or lower and upper case, take turns. It closes this part
+#: of what its score lacks to 1.
+RANDOM_LENGTH, RANDOM_BITS, RANDOM_TURNS, RANDOM_PART = 12, 40.0, 0.2, 0.7
+#: A passphrase has so many different words of so many characters, none of them
+#: common in sentences, and a name of at least this weight.
+PHRASE_WORDS, PHRASE_LETTERS, PHRASE_WEIGHT = 4, 3, 0.9
+_SENTENCE = frozenset("the and for with your you our are was this that has not from please enter must can will".split())
 #: A literal can be this long; longer runs are data, not credentials.
 LITERAL = r'"(?P<dq>[^"\\\n]*(?:\\.[^"\\\n]*)*)"|\'(?P<sq>[^\'\\\n]*(?:\\.[^\'\\\n]*)*)\'|(?P<bare>[A-Za-z0-9+/_.=~!@%^&*$-]+)'
 PAIR = re.compile(rf"""["']?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{{0,63}})["']?[ \t]*(?::=|=>|[:=](?!=))[ \t]*(?:{LITERAL})|<(?P<tag>[A-Za-z_][A-Za-z0-9_.\-]{{0,63}})>(?P<body>[^<>\n]+)</(?P=tag)>""")
 _SIGN = re.compile(r"[:=>]")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
-_PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|none|null|true|false|todo|changeme|example|\$\{.*|<.*|%.*%)\Z")
+_PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|none|null|true|false|todo|changeme|example|\[SECRET\]|\$\{.*|<.*|%.*%)\Z")
 
 SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "
           "spans string, n_literal long, top_score double")
@@ -79,15 +93,40 @@ def name_weight(name: str) -> float:
     return max((NAME_WEIGHT.get(p, 0.0) for p in parts + pairs), default=0.0)
 
 
+def _entropy(value: str) -> float:
+    return -sum(c / len(value) * math.log2(c / len(value)) for c in Counter(value).values())
+
+
+def looks_random(value: str) -> bool:
+    """Whether a long literal mixes letters and digits as generated keys do,
+    unlike identifiers, paths and dates."""
+    if len(value) < RANDOM_LENGTH or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+        return False
+    turns = sum(a.isalnum() and b.isalnum() and (a.isdigit() != b.isdigit() or a.islower() and b.isupper())
+                for a, b in zip(value, value[1:], strict=False))
+    return turns >= RANDOM_TURNS * (len(value) - 1) and len(value) * _entropy(value) >= RANDOM_BITS
+
+
+def _is_passphrase(words: list[str]) -> bool:
+    return (len(words) >= PHRASE_WORDS and len({w.lower() for w in words}) == len(words)
+            and all(len(w) >= PHRASE_LETTERS and w.lower() not in _SENTENCE for w in words))
+
+
 def literal_score(value: str, weight: float) -> float:
-    """Name weight, times how far the literal looks like a credential."""
-    if len(value) < 8 or _PLACEHOLDER.match(value) or " " in value:
+    """Name weight, times how far the literal looks like a credential, raised
+    where it looks random."""
+    if len(value) < 8 or _PLACEHOLDER.match(value):
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
+    entropy = _entropy(value)
+    if " " in value:
+        words = value.split()
+        phrase = weight * min(1.0, entropy / 3.0) if weight >= PHRASE_WEIGHT and _is_passphrase(words) else 0.0
+        return max([phrase, *(literal_score(w, weight) for w in words if looks_random(w))])
     classes = sum((any(c.islower() for c in value), any(c.isupper() for c in value),
                    any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-    return weight * min(1.0, entropy / 3.0) * min(1.0, 0.5 + 0.25 * classes)
+    long = min(1.0, max(0.0, (len(value) * entropy - LONG_BITS) / MORE_BITS))
+    score = weight * min(1.0, entropy / 3.0) * min(1.0, 0.5 + 0.25 * (classes + long))
+    return score + (1.0 - score) * RANDOM_PART if looks_random(value) else score
 
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:

@@ -100,6 +100,34 @@ def test_secret_lexer_follows_constants():
     assert secrets.literal_spans('<privateKey>q8Zk31LmPw02</privateKey>')[0].kind == 3
 
 
+def test_secret_every_listed_name_can_pass():
+    """A strong literal under any listed name is found, words under it are not."""
+    for name, weight in secrets.NAME_WEIGHT.items():
+        for value in ("f8Kd93mQ2xLp", "9f86d081884c7d659a2f", "Zx81-qqPl0-77aWe"):
+            text = f'my_{name} = "{value}"'
+            assert [text[s.start:s.end] for s in secrets.literal_spans(text)] == [value], (name, value)
+        if weight < 0.8:
+            for value in ("customer_identifier", "/etc/ssl/certs/server.pem", "2024-01-01T00:00:00Z", "getUserPreferences2",
+                          "user_profile_v2_settings", "aaaaaaaaaaaaaaaaaaa1a1a1a1a1a1a"):
+                assert secrets.literal_spans(f'my_{name}: "{value}"') == [], (name, value)
+
+
+def test_secret_one_class_literals_and_passphrases():
+    for text in ('db_pwd = "abcdefghijklmnop"', 'db_pwd = "8391047562839104"', 'credentials: "qmwnebrvtcyxuzia"',
+                 'passphrase = "correct horse battery staple"', 'authorization: "Bearer f8Kd93mQ2xLp7Zt1"'):
+        span, = secrets.literal_spans(text)
+        assert text[span.start:span.end] == re.search('"(.*)"', text)[1] and span.score <= 1
+    for text in ('db_pwd = "username"', 'pwd_hint: "please enter your new one here"', 'session: "correct horse battery staple"',
+                 'db_pwd = "aaaaaaaaaaaaaaaaaaaaaaaa"'):
+        assert secrets.literal_spans(text) == []
+
+
+def test_redaction_leaves_nothing_to_find():
+    text = 'db_pwd = "Zx81-qqPl0-77aWe"\nencryption_key: f8Kd93mQ2xLp7Zt1'
+    clean = secrets.redact(text, secrets.scan_text(text))
+    assert clean == 'db_pwd = "[SECRET]"\nencryption_key: [SECRET]' and secrets.scan_text(clean) == []
+
+
 def test_redaction_cuts_overlaps_once(spark):
     text = 'a token = "0641917ea4e9feb9cda83477b57ac2654884f485" b'
     assert secrets.redact(text, secrets.scan_text(text)) == 'a [SECRET]" b'
