@@ -13,9 +13,11 @@ powers of two, which need no padding. So memory is bounded by
 ``max_open * window`` ids and one document, and a lost task is simply run
 again: its result depends on its input rows alone.
 
-Defined results: a null or empty text is the end id alone; equal rows are
-packed one by one; strings that look like special tokens are ordinary text;
-other columns are ignored; an empty table gives an empty result.
+Ids are those of ``tokenizers`` with ``add_special_tokens=False``, made by
+``tiktoken`` from the same file. Defined results: a null or empty text is the
+end id alone; equal rows are packed one by one; an added token of the file that
+stands in a text becomes its id; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from typing import NamedTuple
 
 import numpy as np
@@ -49,13 +51,16 @@ def encoder(vocabulary: str) -> tiktoken.Encoding:
     merge order, so they serve as ranks; this library is several times faster."""
     with open(vocabulary, encoding="utf-8") as f:
         model = json.load(f)
-    special = {t["content"] for t in model["added_tokens"]}
+    added = model["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens must match as they stand")
+    special = {t["content"]: t["id"] for t in added}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain}
     byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
     ranks = {bytes(byte_of[c] for c in token): rank
              for token, rank in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("documents", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("documents", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
 class Piece(NamedTuple):
@@ -150,7 +155,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # 2^40 sequences for each partition
         packer = SumOfSquares(window, max_open, TaskContext.get().partitionId() << 40)
-        encode = encoder(vocabulary).encode_ordinary
+        encode = partial(encoder(vocabulary).encode, allowed_special="all")
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:

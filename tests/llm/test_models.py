@@ -171,6 +171,27 @@ def test_encoder_equals_tokenizers(text):
     assert packing.encoder(VOCABULARY).encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "don't", "é", "日", "12"]),
+                max_size=12).map("".join))
+def test_encoder_equals_tokenizers_by_default(text):
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    got = packing.encoder(VOCABULARY).encode(text, allowed_special="all")
+    assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_added_tokens(spark):
+    text = "one <|endoftext|>  two<|endoftext|>"
+    ids = Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+    assert ids.count(50256) == 2
+    pieces = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), VOCABULARY).collect()
+    pieces.sort(key=lambda p: p.start)
+    ids = np.array([*ids, 1], "<u4")
+    assert [(p.doc_tokens, p.ids_crc32) for p in pieces] == [
+        (len(ids), zlib.crc32(ids[p.start:p.start + p.length].tobytes())) for p in pieces]
+    assert sum(p.length for p in pieces) == len(ids)
+
+
 def check_packing(docs, **options):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     tokenizer.encode_special_tokens = True
