@@ -3,8 +3,9 @@
 The operators never know about these: they take ``tasks``, ``stages``,
 ``executions``, ``jobs`` and ``assignments`` frames (SURVEY 1.2). Each adapter
 is deterministic and has an SQL twin in :mod:`pipelens.plans.oracle`, so the
-same inputs can be rebuilt in DuckDB for the correctness gate. All adapters
-read whole tables; their work grows with the data.
+same inputs can be rebuilt in DuckDB for the correctness gate. Adapters read
+whole tables, except that :func:`executions` reads the texts of users with a
+view only; their work grows with the data.
 """
 
 from __future__ import annotations
