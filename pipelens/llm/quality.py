@@ -1,6 +1,6 @@
 """Quality classifier (operator 5): an interpolated modified Kneser-Ney n-gram
 model of bytes, trained on trusted text; documents whose perplexity lies above
-their language's quantile over trusted documents are rejected.
+their language's limit are rejected.
 
 Trusted are documents all of whose labels say quality 1. Half of them, by a
 hash of the id and at most ``MAX_TRUSTED``, train the model; the other half,
@@ -13,9 +13,14 @@ document's perplexity is a lookup join inside the scan: joining 700 distinct
 n-grams of every document by shuffle would move ten times the text. Thresholds
 come from that whole half by a mergeable quantile sketch.
 
+A language's limit is the quantile over its unseen trusted documents from
+``MIN_UNSEEN`` of them on. With fewer the logarithm of the limit lies between
+that quantile and ``WIDE`` times the larger of it and the quantile over all
+languages, nearer to the latter the fewer they are.
+
 Defined results: a null or empty text has only its end to score; a null
-language is a language of its own, and one without trusted documents takes the
-quantile over all of them; without any trusted document everything is kept; a
+language is a language of its own; one that the model was not trained on, or
+without an unseen trusted document, has no limit and keeps everything; a
 document with labels of both kinds is not trusted; equal rows are judged alike;
 an empty table gives an empty result. Columns named in
 ``ADDED`` replace input columns of those names.
@@ -40,6 +45,9 @@ ORDER, MAX_TRUSTED, QUANTILE, MARGIN = 5, 20_000, 0.995, 1.05
 #: A text is judged as if so many bytes of its language's mean stood before it,
 #: which keeps short clean texts from passing the limit by chance.
 PRIOR_BYTES = 200
+#: Least unseen trusted documents for a limit of their own alone, and how wide
+#: the limit is where there is almost none.
+MIN_UNSEEN, WIDE = 200, 1.5
 SHARDS, BROADCAST_ROWS = 13, 50_000
 ADDED = ("perplexity", "n_bytes", "smoothed", "threshold", "kept")
 _START, _END = 2, 3  # control bytes that stand before and after a text
@@ -100,14 +108,18 @@ def _trains(ident: str) -> F.Column:
     return F.pmod(F.xxhash64(F.lit("half"), F.col(ident)), F.lit(2)) == 0
 
 
+def _training_ids(labels: DataFrame, max_trusted: int) -> DataFrame:
+    """The trusted documents of the model, at most ``max_trusted``: a bounded broadcast."""
+    return trusted_ids(labels).where(_trains("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_trusted)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, order: int = ORDER,
           id_col: str = "doc_id", text_col: str = "text") -> ByteModel:
     """Count, smooth and lay down the model of the trusted documents."""
     spark = docs.sparkSession
     B.small_batches(spark)
     root = scratch_path(spark, "quality-model")
-    # at most max_trusted ids: a bounded broadcast
-    chosen = trusted_ids(labels).where(_trains("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_trusted)
+    chosen = _training_ids(labels, max_trusted)
     texts = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
              .join(F.broadcast(chosen), "_id", "left_semi").select("text"))
 
@@ -185,9 +197,9 @@ def with_perplexity(docs: DataFrame, model: ByteModel, text_col: str = "text") -
 
 
 def judged(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN,
-           id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """Adds ``threshold`` and ``kept`` to scored rows. ``scored`` is read twice:
-    pass a written table."""
+           id_col: str = "doc_id", lang_col: str = "lang", max_trusted: int = MAX_TRUSTED) -> DataFrame:
+    """Adds ``threshold`` and ``kept`` to scored rows. ``scored`` is read several
+    times: pass a written table. ``max_trusted`` is that of the model."""
     good = (scored.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), "perplexity",
                           "n_bytes").join(trusted_ids(labels).where(~_trains("_id")), "_id")
             .withColumn("_log", F.log10("perplexity")))
@@ -210,16 +222,22 @@ def judged(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
         return rows.join(F.broadcast(table) if small else table, on, "left")
 
     rated = beside(good, means.withColumnRenamed("_lang", "_of"), F.col("_lang").eqNullSafe(F.col("_of"))).select(
-        "_lang", smoothed().alias("_rated"))
+        "_id", "_lang", smoothed().alias("_rated"))
     limit = (F.percentile_approx("_rated", quantile, 10_000) * margin).alias("_limit")
-    overall = rated.agg(limit).first()[0]
+    overall = F.lit(rated.agg(limit).first()[0]).cast("double")
+    known = (scored.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_known"))
+             .join(F.broadcast(_training_ids(labels, max_trusted)), "_id", "left_semi").select("_known").distinct())
+    wide = F.greatest("_limit", overall) * WIDE
+    trust = F.least(F.col("_n") / MIN_UNSEEN, F.lit(1.0))
     path = scratch_path(spark, "quality-limits")
-    rated.groupBy("_lang").agg(limit).join(
-        means.withColumnRenamed("_lang", "_of"), F.col("_lang").eqNullSafe(F.col("_of"))).drop("_of").write.parquet(path)
-    limit_of = F.coalesce(F.col("_limit"), F.lit(overall).cast("double"))
+    (rated.groupBy("_lang").agg(limit, F.count_distinct("_id").alias("_n"))
+     .join(known, F.col("_lang").eqNullSafe(F.col("_known")), "left_semi")
+     .withColumn("_limit", F.when(trust >= 1, F.col("_limit")).otherwise(F.pow("_limit", trust) * F.pow(wide, 1 - trust)))
+     .drop("_n").join(means.withColumnRenamed("_lang", "_of"), F.col("_lang").eqNullSafe(F.col("_of"))).drop("_of")
+     .write.parquet(path))
     return beside(scored, spark.read.parquet(path), by_lang).withColumns(
-        {"smoothed": smoothed(), "threshold": limit_of,
-         "kept": F.coalesce(smoothed() <= limit_of, F.lit(True))}).drop("_lang", "_limit", "_mean", "n_bytes")
+        {"smoothed": smoothed(), "threshold": F.col("_limit"),
+         "kept": F.coalesce(smoothed() <= F.col("_limit"), F.lit(True))}).drop("_lang", "_limit", "_mean", "n_bytes")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -227,7 +245,7 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     model = train(docs, labels, **options)
     path = scratch_path(docs.sparkSession, "quality-scores")
     with_perplexity(docs, model).write.parquet(path)
-    return judged(docs.sparkSession.read.parquet(path), labels)
+    return judged(docs.sparkSession.read.parquet(path), labels, max_trusted=options.get("max_trusted", MAX_TRUSTED))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -235,4 +253,4 @@ def verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     model = train(docs, labels, **options)
     path = scratch_path(docs.sparkSession, "quality-scores")
     with_perplexity(docs.select("doc_id", "lang", "text"), model).drop("text").write.parquet(path)
-    return judged(docs.sparkSession.read.parquet(path), labels)
+    return judged(docs.sparkSession.read.parquet(path), labels, max_trusted=options.get("max_trusted", MAX_TRUSTED))

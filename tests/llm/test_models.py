@@ -125,6 +125,35 @@ def test_quality_awkward_rows(spark, awkward, no_documents):
                 assert got.where("not kept").count() == 0
 
 
+def test_quality_limits_of_scarce_languages(spark):
+    """Unlabelled languages are kept, few unseen trusted documents widen the
+    limit, and from the stated number on it is their quantile."""
+    ids = spark.range(4000).select(F.col("id").alias("doc_id"), quality._trains("id").alias("t")).collect()
+    unseen, seen = ([r.doc_id for r in ids if r.t == t] for t in (False, True))
+    rows, trusted = [], []
+
+    def add(lang, doc, perplexity, label=True):
+        rows.append((doc, lang, float(perplexity), 1000))
+        if label:
+            trusted.append((doc, 1))
+
+    for i in range(quality.MIN_UNSEEN):
+        add("much", unseen.pop(), 4 + i % 10 / 100)
+    for i in range(3):
+        add(None, unseen.pop(), 6 + i / 100)
+    add("unseen", unseen.pop(), 7)  # labelled, but not in the training half
+    for lang in ("much", None, "trained"):
+        add(lang, seen.pop(), 4)
+    for lang, perplexity in (("much", 6), (None, 6.6), (None, 30), ("unseen", 30), ("new", 30), ("trained", 30)):
+        add(lang, 5000 + len(rows), perplexity, False)
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, perplexity double, n_bytes long")
+    labels = spark.createDataFrame(trusted, "doc_id long, quality int")
+    got = quality.judged(scored, labels).where("doc_id >= 5000").orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [False, True, False, True, True, True]
+    assert abs(got[0].threshold - 4.09 * quality.MARGIN) < 0.05
+    assert 1.4 * 6 < got[1].threshold < 1.6 * 7.5 and [r.threshold for r in got[3:]] == [None] * 3
+
+
 # --- mixing ---------------------------------------------------------------
 
 def test_mix_against_sql(spark):
