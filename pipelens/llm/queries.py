@@ -14,6 +14,7 @@ from pipelens.llm import (
     mixing,
     oracle,
     packing,
+    periodic_runs,
     quality,
     repetition,
     secrets,
@@ -65,7 +66,12 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.language_model_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.with_planted_repeats(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(planted))
+
+
 REGISTRY = {f.__name__: f for f in (op1_license_scan, op2_embedding_near_dedup, op3_packing, op4_secret_scan,
                                     op5_quality_classifier, op6_poisson_mix, op7_repetition_rules, op8_repeated_substrings,
-                                    op9_jaccard_join, op10_language_model)}
+                                    op9_jaccard_join, op10_language_model, op11_periodic_runs)}
 SQL = oracle.SQL
