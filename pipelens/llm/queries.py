@@ -13,12 +13,14 @@ from pipelens.llm import (
     licenses,
     mixing,
     oracle,
+    oracle_urls,
     packing,
     periodic_runs,
     quality,
     repetition,
     secrets,
     substrings,
+    url_filter,
 )
 
 
@@ -71,7 +73,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(planted))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 REGISTRY = {f.__name__: f for f in (op1_license_scan, op2_embedding_near_dedup, op3_packing, op4_secret_scan,
                                     op5_quality_classifier, op6_poisson_mix, op7_repetition_rules, op8_repeated_substrings,
-                                    op9_jaccard_join, op10_language_model, op11_periodic_runs)}
-SQL = oracle.SQL
+                                    op9_jaccard_join, op10_language_model, op11_periodic_runs,
+                                    op12_url_filter)}
+SQL = oracle.SQL | {"op12_url_filter": oracle_urls.URLS}
