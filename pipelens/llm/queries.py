@@ -20,6 +20,7 @@ from pipelens.llm import (
     repetition,
     secrets,
     substrings,
+    token_alignment,
     url_filter,
 )
 
@@ -77,8 +78,14 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                         public_tokenizers.path("piece_bpe_32k.model"))
+    return documents.drop("groups")
+
+
 REGISTRY = {f.__name__: f for f in (op1_license_scan, op2_embedding_near_dedup, op3_packing, op4_secret_scan,
                                     op5_quality_classifier, op6_poisson_mix, op7_repetition_rules, op8_repeated_substrings,
                                     op9_jaccard_join, op10_language_model, op11_periodic_runs,
-                                    op12_url_filter)}
+                                    op12_url_filter, op13_token_alignment)}
 SQL = oracle.SQL | {"op12_url_filter": oracle_urls.URLS}
