@@ -1,32 +1,36 @@
 """Distribution statistics that stay distributed under hot groups.
 
-The core building block is :func:`rank_histogram`: for every group and every
-distinct value ``v`` it returns ``c`` (copies of ``v``) and ``below`` (number of
-values strictly smaller than ``v`` in the group). Everything rank-based --
-Gini, the upper median, exact percentiles -- is a plain aggregate over it.
+The core building block is :func:`stacked_histogram`: ranked metrics are melted
+into rows (metric, group, value), counted in one pass with a map-side partial
+aggregate, and written once. For every value ``v`` it then gives ``c`` (copies
+of ``v``) and ``below`` (number of values strictly smaller than ``v``) in its
+metric and group. Everything rank-based -- Gini, the upper median, exact
+percentiles -- is an aggregate over it, and :func:`summarise` takes any number
+of them, of any metrics, in one aggregate.
 
 How it avoids one giant sort per group (a group may hold a third of all rows):
 
-1. ``groupBy(group, v).count()`` collapses duplicates with a map-side partial
-   aggregate; the shuffle is keyed by (group, v) so a hot group spreads out.
-2. per group, ``approx_percentile`` over the distinct values gives split
-   points; ``bucket`` = number of split points below ``v`` (deterministic,
-   monotone in ``v``).
-3. the running count is a window over (group, bucket) -- each window
-   partition holds ~1/buckets of a group's distinct values;
-4. bucket offsets come from a window over the tiny (group, bucket) totals.
+1. equal values collapse before the shuffle, which is keyed by (metric, group,
+   value), so a hot group spreads out;
+2. only where the written histogram shows groups of more than ``split_min``
+   distinct values, ``approx_percentile`` over them gives split points;
+   ``bucket`` = number of split points below ``v`` (monotone in ``v``), the
+   running count is a window over (metric, group, bucket), and bucket offsets
+   come from a window over the tiny bucket totals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipelens.session import scratch_path
+
 DEFAULT_BUCKETS = 64
 # groups with more distinct values than this are split into buckets
-SPLIT_MIN = 100_000
+SPLIT_MIN = 1_000_000
 
 
 def _cols(group_cols: Sequence[str] | str | None) -> list[str]:
@@ -37,34 +41,69 @@ def _cols(group_cols: Sequence[str] | str | None) -> list[str]:
     return list(group_cols)
 
 
+def stacked_histogram(df: DataFrame, group_cols, metrics: Mapping[str, Column | str],
+                      buckets: int = DEFAULT_BUCKETS, split_min: int = SPLIT_MIN) -> DataFrame:
+    """(metric, group..., v, c, below, n) of several metrics from one scan.
+
+    ``below`` counts values < v of the metric in the group, ``n`` the non-null
+    ones. A null is a row with ``v`` null that counts in neither, so groups
+    without any value remain visible. The counts are written once; what reads
+    them does not scan ``df`` again."""
+    g = _cols(group_cols)
+    melted = df.select(*g, F.inline(F.array(*[
+        F.struct(F.lit(k).alias("metric"), (F.col(c) if isinstance(c, str) else c).alias("v"))
+        for k, c in metrics.items()])))
+    path = scratch_path(df.sparkSession, "ranks")
+    melted.groupBy("metric", *g, "v").agg(F.count(F.lit(1)).alias("c")).write.parquet(path)
+    hist = df.sparkSession.read.parquet(path)
+    k = F.when(F.col("v").isNotNull(), F.col("c")).otherwise(F.lit(0))
+    group = ["metric", *g]
+    before = Window.unboundedPreceding, -1
+    if hist.count() <= split_min:  # then no group is larger
+        w = Window.partitionBy(*group)
+        return hist.select(
+            *group, "v", "c",
+            F.coalesce(F.sum(k).over(w.orderBy("v").rowsBetween(*before)), F.lit(0)).alias("below"),
+            F.sum(k).over(w).alias("n"))
+    hist = _with_buckets(hist, group, "v", buckets, split_min)
+    w = Window.partitionBy(*group).orderBy("bucket")
+    totals = hist.groupBy(*group, "bucket").agg(F.sum(k).alias("_bc")).select(
+        *group, "bucket", F.coalesce(F.sum("_bc").over(w.rowsBetween(*before)), F.lit(0)).alias("_offset"),
+        F.sum("_bc").over(Window.partitionBy(*group)).alias("n"))
+    inside = Window.partitionBy(*group, "bucket").orderBy("v").rowsBetween(*before)
+    hist = hist.withColumn("_run", F.coalesce(F.sum(k).over(inside), F.lit(0)))
+    return hist.join(totals, group + ["bucket"]).select(
+        *group, "v", "c", (F.col("_offset") + F.col("_run")).alias("below"), "n")
+
+
 def rank_histogram(df: DataFrame, group_cols, value: str,
                    buckets: int = DEFAULT_BUCKETS, split_min: int = SPLIT_MIN) -> DataFrame:
-    """(group..., v, c, below, n) with nulls removed.
+    """(group..., v, c, below, n) of one metric, with nulls removed."""
+    h = stacked_histogram(df, group_cols, {value: value}, buckets, split_min)
+    return h.where(F.col("v").isNotNull()).drop("metric")
 
-    ``below`` counts values < v inside the group, ``n`` the non-null group size.
-    Only groups with more than ``split_min`` distinct values are split into
-    ``buckets`` (split points from ``approx_percentile``); the others are one
-    bucket, so the split cost is paid only where a group is hot.
-    """
+
+class Measure:
+    """Aggregates over a rank histogram and the columns made of their results;
+    ``metric`` picks the rows of one stacked metric."""
+
+    def __init__(self, aggregates: dict[str, Column], columns: dict[str, Column]) -> None:
+        self.aggregates, self.columns = aggregates, columns
+
+
+def summarise(h: DataFrame, group_cols, *measures: Measure) -> DataFrame:
+    """One row per group with the columns of all measures, in one aggregate."""
     g = _cols(group_cols)
-    hist = (df.where(F.col(value).isNotNull())
-            .groupBy(*g, F.col(value).alias("v"))
-            .agg(F.count(F.lit(1)).alias("c")))
-    hist = _with_buckets(hist, g, "v", buckets, split_min)
-    totals = hist.groupBy(*g, "bucket").agg(F.sum("c").alias("_bc"))
-    w_off = Window.partitionBy(*g).orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
-    w_before = Window.partitionBy(*g).orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    totals = totals.select(
-        *g, "bucket",
-        F.coalesce(F.sum("_bc").over(w_before), F.lit(0)).alias("_offset"),
-        F.sum("_bc").over(w_off).alias("n"))
-    w_in = Window.partitionBy(*g, "bucket").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_run", F.coalesce(F.sum("c").over(w_in), F.lit(0)))
-    out = hist.join(totals, on=g + ["bucket"], how="inner")
-    return out.select(*g, "v", "c", (F.col("_offset") + F.col("_run")).alias("below"), "n")
+    parts = h.groupBy(*g).agg(*[a.alias(n) for m in measures for n, a in m.aggregates.items()])
+    return parts.select(*g, *[c.alias(n) for m in measures for n, c in m.columns.items()])
+
+
+def _of(metric: str | None, x: Column, also: Column | None = None) -> Column:
+    """``x`` where the row belongs to the metric, has a value and meets ``also``."""
+    rows = F.col("v").isNotNull()
+    if metric is not None:
+        rows &= F.col("metric") == metric
+    return F.when(rows if also is None else rows & also, x)
 
 
 def _with_buckets(df: DataFrame, g: list[str], order_col: str, buckets: int,
@@ -88,6 +127,43 @@ def _with_buckets(df: DataFrame, g: list[str], order_col: str, buckets: int,
     return d if g else d.drop("_all")
 
 
+def gini_measure(alias: str = "gini", metric: str | None = None, no_values: float | None = None) -> Measure:
+    """Gini coefficient: with ``below`` = F values under v and c copies, the
+    rank-weighted sum gains ``v * (c*F + c*(c+1)/2)``. ``no_values`` is the
+    result of a group without any."""
+    v, c = F.col("v").cast("double"), F.col("c").cast("double")
+    n, s, w = (f"_{x}_{alias}" for x in "nsw")
+    total = F.col(n).cast("double")
+    ratio = 2 * F.col(w) / F.when(total * F.col(s) != 0, total * F.col(s)) - (total + 1) / total
+    return Measure(
+        {n: F.max(_of(metric, F.col("n"))), s: F.sum(_of(metric, v * c)),
+         w: F.sum(_of(metric, v * (c * F.col("below") + c * (c + 1) / 2)))},
+        {alias: F.when(F.col(n).isNull(), F.lit(no_values).cast("double")).otherwise(ratio)})
+
+
+def upper_median_measure(alias: str = "median", metric: str | None = None) -> Measure:
+    """``sorted(values)[n // 2]`` (the reference's median pick)."""
+    k = F.floor(F.col("n") / 2)
+    inside = (F.col("below") <= k) & (k < F.col("below") + F.col("c"))
+    return Measure({f"_k_{alias}": F.max(_of(metric, F.col("v"), inside))}, {alias: F.col(f"_k_{alias}")})
+
+
+def percentile_measure(probs: Sequence[float], aliases: Sequence[str], metric: str | None = None) -> Measure:
+    """Exact percentiles with linear interpolation (Spark ``percentile``,
+    DuckDB ``quantile_cont``); no group is ever buffered whole in one task."""
+    aggs, columns = {}, {}
+    for p, name in zip(probs, aliases):
+        pos = (F.col("n") - 1) * F.lit(float(p))
+        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            inside = (F.col("below") <= at) & (at < F.col("below") + F.col("c"))
+            aggs[f"_{side}_{name}"] = F.max(_of(metric, F.col("v"), inside))
+        aggs[f"_pos_{name}"] = F.max(_of(metric, pos))
+        lo, hi = (F.col(f"_{side}_{name}").cast("double") for side in ("lo", "hi"))
+        at = F.col(f"_pos_{name}")
+        columns[name] = lo + (hi - lo) * (at - F.floor(at))
+    return Measure(aggs, columns)
+
+
 def gini(df: DataFrame, group_cols, value: str, alias: str = "gini",
          buckets: int = DEFAULT_BUCKETS, keep_empty_groups: bool = True) -> DataFrame:
     """Gini coefficient per group (``agg_gini_grouped`` / ``agg_gini_global``).
@@ -96,80 +172,30 @@ def gini(df: DataFrame, group_cols, value: str, alias: str = "gini",
     non-null values. A group whose values are all null gives 0.0; a group
     whose values sum to zero gives null (the reference divides by zero).
     """
-    g = _cols(group_cols)
-    res = gini_from_hist(rank_histogram(df, g, value, buckets), g, alias)
-    if keep_empty_groups and g:
-        # all-null groups have no histogram rows: 0.0 like the reference
-        nonnull = df.groupBy(*g).agg(F.count(value).alias("_nn"))
-        res = nonnull.join(res, on=g, how="left").select(
-            *g, F.when(F.col("_nn") == 0, F.lit(0.0)).otherwise(F.col(alias)).alias(alias))
-    return res
+    h = stacked_histogram(df, group_cols, {value: value}, buckets)
+    if not keep_empty_groups:
+        h = h.where(F.col("v").isNotNull())
+    return summarise(h, group_cols, gini_measure(alias, no_values=0.0))
 
 
 def gini_from_hist(h: DataFrame, group_cols, alias: str = "gini") -> DataFrame:
-    """Gini from a rank histogram: with ``below`` = F values under v and
-    c copies, the rank-weighted sum gains ``v * (c*F + c*(c+1)/2)``."""
-    g = _cols(group_cols)
-    v = F.col("v").cast("double")
-    c = F.col("c").cast("double")
-    parts = h.groupBy(*g).agg(
-        F.first("n").alias("_n"),
-        F.sum(v * c).alias("_s"),
-        F.sum(v * (c * F.col("below") + c * (c + 1) / 2)).alias("_w"))
-    n = F.col("_n").cast("double")
-    return parts.select(
-        *g,
-        (2 * F.col("_w") / F.when(n * F.col("_s") != 0, n * F.col("_s"))
-         - (n + 1) / n).alias(alias))
+    return summarise(h, group_cols, gini_measure(alias))
 
 
 def upper_median(df: DataFrame, group_cols, value: str, alias: str = "median",
                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """``sorted(values)[n // 2]`` per group (the reference's median pick)."""
-    g = _cols(group_cols)
-    return upper_median_from_hist(rank_histogram(df, g, value, buckets), g, alias)
-
-
-def upper_median_from_hist(h: DataFrame, group_cols, alias: str = "median") -> DataFrame:
-    g = _cols(group_cols)
-    k = F.floor(F.col("n") / 2)
-    return (h.where((F.col("below") <= k) & (k < F.col("below") + F.col("c")))
-            .select(*g, F.col("v").alias(alias)))
+    return summarise(rank_histogram(df, group_cols, value, buckets), group_cols, upper_median_measure(alias))
 
 
 def exact_percentiles(df: DataFrame, group_cols, value: str,
                       probs: Sequence[float], aliases: Sequence[str],
                       buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Exact percentiles with linear interpolation (Spark ``percentile``,
-    DuckDB ``quantile_cont``) computed from the rank histogram, so no group
-    is ever buffered whole in one task."""
-    g = _cols(group_cols)
-    return percentiles_from_hist(rank_histogram(df, g, value, buckets), g, probs, aliases)
+    return percentiles_from_hist(rank_histogram(df, group_cols, value, buckets), group_cols, probs, aliases)
 
 
 def percentiles_from_hist(h: DataFrame, group_cols, probs: Sequence[float],
                           aliases: Sequence[str]) -> DataFrame:
-    g = _cols(group_cols)
-    lo_hi = []
-    aggs = []
-    for i, p in enumerate(probs):
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        lo = F.floor(pos)
-        hi = F.ceil(pos)
-        inside_lo = (F.col("below") <= lo) & (lo < F.col("below") + F.col("c"))
-        inside_hi = (F.col("below") <= hi) & (hi < F.col("below") + F.col("c"))
-        lo_hi.append((f"_lo{i}", f"_hi{i}", f"_pos{i}"))
-        aggs += [F.max(F.when(inside_lo, F.col("v"))).alias(f"_lo{i}"),
-                 F.max(F.when(inside_hi, F.col("v"))).alias(f"_hi{i}"),
-                 F.first(pos).alias(f"_pos{i}")]
-    parts = h.groupBy(*g).agg(*aggs)
-    outs = []
-    for (lo, hi, pos), name in zip(lo_hi, aliases):
-        frac = F.col(pos) - F.floor(F.col(pos))
-        lo_v = F.col(lo).cast("double")
-        hi_v = F.col(hi).cast("double")
-        outs.append((lo_v + (hi_v - lo_v) * frac).alias(name))
-    return parts.select(*g, *outs)
+    return summarise(h, group_cols, percentile_measure(probs, aliases))
 
 
 def task_skew(tasks: DataFrame, group_cols=("stage_id",), value: str = "output_rows") -> DataFrame:
@@ -240,25 +266,37 @@ def stage_summary(stages: DataFrame, group_cols=("app_id",)) -> DataFrame:
         F.max("num_tasks").alias("max_parallel_tasks"))
 
 
+def partition_aggregates(value: str = "shuffle_read_bytes") -> list[Column]:
+    """Extremes and spread of a metric whose nulls count as 0, for any groupBy."""
+    filled = F.coalesce(F.col(value), F.lit(0))
+    return [F.max(filled).alias("_max"), F.min(filled).alias("_min"),
+            F.stddev_pop(filled).alias("partition_size_stddev")]
+
+
+def partition_columns() -> list[Column]:
+    """The partition-size columns of a row with these aggregates and ``_med``."""
+    mb = 1024.0 * 1024.0
+    return [(F.col("_max") / mb).alias("max_partition_size_mb"),
+            (F.col("_min") / mb).alias("min_partition_size_mb"),
+            (F.col("_med") / mb).alias("median_partition_size_mb"),
+            F.col("partition_size_stddev"),
+            (F.col("_max") / (F.col("_med") + 1)).alias("partition_skew_ratio")]
+
+
 def partition_stats(tasks: DataFrame, group_cols, value: str = "shuffle_read_bytes",
                     buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """``agg_partition_stats``: max, min, upper median, population stddev of
-    per-task shuffle-read bytes (null counts as 0), in MB, plus max/(median+1)."""
+    per-task shuffle-read bytes (null counts as 0), in MB, plus max/(median+1).
+    All from one histogram; deviations are taken from the exact mean."""
     g = _cols(group_cols)
-    filled = tasks.select(*g, F.coalesce(F.col(value), F.lit(0)).alias("_b"))
-    basic = filled.groupBy(*g).agg(
-        F.max("_b").alias("_max"), F.min("_b").alias("_min"),
-        F.stddev_pop("_b").alias("partition_size_stddev"))
-    med = upper_median(filled, g, "_b", "_med", buckets)
-    joined = basic.join(med, on=g, how="left") if g else basic.crossJoin(med)
-    mb = 1024.0 * 1024.0
-    return joined.select(
-        *g,
-        (F.col("_max") / mb).alias("max_partition_size_mb"),
-        (F.col("_min") / mb).alias("min_partition_size_mb"),
-        (F.col("_med") / mb).alias("median_partition_size_mb"),
-        F.col("partition_size_stddev"),
-        (F.col("_max") / (F.col("_med") + 1)).alias("partition_skew_ratio"))
+    h = stacked_histogram(tasks, g, {value: F.coalesce(F.col(value), F.lit(0))}, buckets)
+    v, c = F.col("v").cast("double"), F.col("c")
+    mean = F.sum(v * c).over(Window.partitionBy("metric", *g)) / F.col("n")
+    h = h.withColumn("_square", c * F.pow(v - mean, F.lit(2)))
+    spread = Measure({"_max": F.max("v"), "_min": F.min("v"), "_squares": F.sum("_square"), "_n": F.max("n")},
+                     {"_max": F.col("_max"), "_min": F.col("_min"),
+                      "partition_size_stddev": F.sqrt(F.col("_squares") / F.col("_n"))})
+    return summarise(h, g, spread, upper_median_measure("_med")).select(*g, *partition_columns())
 
 
 def correlation(df: DataFrame, group_cols, x: str, y: str, alias: str = "corr") -> DataFrame:

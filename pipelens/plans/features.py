@@ -38,16 +38,21 @@ def cardinality(children: DataFrame, tasks: DataFrame, keys=APP) -> DataFrame:
     """``join_cardinality``: plan children x actual rows written, one row per
     child (the fan-out is the grain), ratio, log ratio and issue flag."""
     actual = stats.output_rows(tasks, keys)
-    j = children.join(actual, on=list(keys), how="left")
-    ratio = M.cardinality_error("actual_output_rows", "estimated_rows")
-    return (j.withColumn("cardinality_error_ratio", ratio)
+    return with_cardinality(children.join(actual, on=list(keys), how="left"))
+
+
+def with_cardinality(rows: DataFrame) -> DataFrame:
+    """Ratio, log ratio and flag for rows with actual and estimated rows."""
+    return (rows.withColumn("cardinality_error_ratio", M.cardinality_error("actual_output_rows", "estimated_rows"))
             .withColumn("log_cardinality_error", M.log_cardinality("cardinality_error_ratio"))
             .withColumn("statistics_issue_flag", M.statistics_issue("cardinality_error_ratio")))
 
 
 def app_task_features(tasks: DataFrame, keys=APP) -> DataFrame:
     """Totals, moments, exact percentiles, Gini of task runtime and the
-    partition-size statistics per application (one row per app)."""
+    partition-size statistics per application (one row per app), from two scans:
+    one aggregate of all sums, and one stacked histogram of the ranked metrics.
+    ``actual_output_rows`` comes along for the plan children."""
     g = list(keys)
     totals_moments = tasks.groupBy(*g).agg(
         F.sum("input_bytes").alias("total_input_bytes"),
@@ -60,19 +65,28 @@ def app_task_features(tasks: DataFrame, keys=APP) -> DataFrame:
         F.avg("task_runtime").alias("task_runtime_mean"),
         F.stddev_samp("task_runtime").alias("task_runtime_stddev"),
         F.max("task_runtime").alias("task_runtime_max"),
-        F.min("task_runtime").alias("task_runtime_min"))
-    # one rank histogram of runtime feeds percentiles and Gini
-    h = stats.rank_histogram(tasks, g, "task_runtime")
-    pct = stats.percentiles_from_hist(
-        h, g, [0.95, 0.99, 0.5], ["task_runtime_p95", "task_runtime_p99", "task_runtime_median"])
-    gini = stats.gini_from_hist(h, g, "gini_coefficient_runtime")
-    part = stats.partition_stats(tasks, g)
-    return (totals_moments.join(pct, g, "left").join(gini, g, "left").join(part, g, "left"))
+        F.min("task_runtime").alias("task_runtime_min"),
+        F.sum("output_rows").alias("actual_output_rows"),
+        *stats.partition_aggregates())
+    ranks = stats.stacked_histogram(tasks, g, {
+        "runtime": "task_runtime", "partition": F.coalesce("shuffle_read_bytes", F.lit(0))})
+    ranked = stats.summarise(
+        ranks, g,
+        stats.percentile_measure([0.95, 0.99, 0.5], ["task_runtime_p95", "task_runtime_p99", "task_runtime_median"], "runtime"),
+        stats.gini_measure("gini_coefficient_runtime", "runtime"),
+        stats.upper_median_measure("_med", "partition"))
+    sums = [c for c in totals_moments.columns if c not in (*g, "_max", "_min", "partition_size_stddev")]
+    return totals_moments.join(ranked, g, "left").select(
+        *g, *sums, *[c for c in ranked.columns if c not in (*g, "_med")], *stats.partition_columns())
 
 
 def app_feature_row(tasks: DataFrame, stages: DataFrame, keys=APP) -> DataFrame:
     """One feature row per application: totals, moments, percentiles, Gini,
     partition stats, stage summary, ratios and risk scores."""
+    return _feature_row(tasks, stages, keys).drop("actual_output_rows")
+
+
+def _feature_row(tasks: DataFrame, stages: DataFrame, keys) -> DataFrame:
     g = list(keys)
     f = app_task_features(tasks, g).join(stats.stage_summary(stages, g), g, "left")
     f = (f.withColumn("spill_ratio", M.spill_ratio("total_spill_memory_bytes",
@@ -95,9 +109,13 @@ def app_features(tasks: DataFrame, stages: DataFrame, executions: DataFrame,
     """``job_app_features``: one feature set per application, joined to one
     row per top-level plan child of its SQL executions."""
     g = list(keys)
-    f = app_feature_row(tasks, stages, g)
-    card = cardinality(plan_children(executions, keys=g + ["execution_id"]), tasks, g)
-    return f.join(card.drop("execution_id"), g, "left")
+    children = plan_children(executions, keys=g + ["execution_id"]).drop("execution_id").withColumn("_child", F.lit(True))
+    f = _feature_row(tasks, stages, g).join(children, g, "left")
+    actual = F.when(F.col("_child"), F.col("actual_output_rows"))
+    rows = with_cardinality(f.withColumn("actual_output_rows", actual).drop("_child"))
+    last = ["node_name", "estimated_rows", "actual_output_rows", "cardinality_error_ratio",
+            "log_cardinality_error", "statistics_issue_flag"]
+    return rows.select(*[c for c in rows.columns if c not in last], *last)
 
 
 def query_features(executions: DataFrame, ends: DataFrame, updates: DataFrame,
