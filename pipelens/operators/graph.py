@@ -1,10 +1,10 @@
 """Iterative graph operators: reachability, longest path, upstream trace.
 
-Every round is a join + aggregate over the whole edge set, written to Parquet
-under the session's ``spark.checkpoint.dir`` and read back. That cuts the plan
-lineage each round (so plans stay small and a lost executor only re-runs the
-current round) and sidesteps the constraint-propagation failure that
-``localCheckpoint`` of a growing union hits in Spark 4.1. The only value that
+Every round is a join + aggregate over what the round before found or left
+open, written to Parquet under the session's ``spark.checkpoint.dir`` and read
+back. That cuts the plan lineage each round (so plans stay small and a lost
+executor only re-runs the current round) and sidesteps the constraint-propagation
+failure that ``localCheckpoint`` of a growing union hits in Spark 4.1. The only value that
 reaches the driver is one row count per round, for loop control.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipelens.session import scratch_path
@@ -145,46 +145,69 @@ def terminals(edges: DataFrame, src_cols, dst_cols, name: str = "terminals") ->
 
 def longest_path(vertices: DataFrame, key_cols, vertex: str = "stage_id",
                  weight: str = "stage_time", parents: str = "parents",
-                 name: str = "longest_path", max_rounds: int | None = None) -> DataFrame:
+                 name: str = "longest_path") -> DataFrame:
     """``graph_critical_path`` per vertex: d(v) = w(v) + max over parents d(p).
 
     ``vertices`` has one row per (key..., vertex) with its weight and an
     array of parent vertex ids. A parent without a row counts as 0 (a skipped
-    stage never completes). Level-by-level relaxation from d = w; stops when
-    no vertex changes. More rounds than vertices means a cycle -> error.
-
-    Returns (key..., vertex, path_time).
+    stage never completes). Returns (key..., vertex, path_time).
+
+    Vertices are peeled off as their parents become known, and only edges that
+    are still open are touched. A row (v, p, x) says d(v) >= x + d(p); without
+    ``p``, d(v) >= x. A vertex whose rows all lack ``p`` is done and leaves.
+    In a round every open edge takes over the rows of its parent if that is
+    done or has one open parent itself, so chains of single parents shrink to
+    half their length, a chain of n stages takes about log2 n rounds, and other
+    parts one round per level that branches. An acyclic rest always has a vertex
+    whose parents are done; a round without one means a cycle -> error.
     """
     spark = _spark(vertices)
     g = list(key_cols)
-    w = vertices.select(*g, F.col(vertex).alias("_v"),
-                        F.coalesce(F.col(weight), F.lit(0)).cast("long").alias("_w"))
-    edges = (vertices.select(*g, F.col(vertex).alias("_v"),
-                             F.explode(F.array_distinct(F.col(parents))).alias("_p"))
-             .where(F.col("_p") != F.col("_v")))
+    own = vertices.select(*g, F.col(vertex).alias("_v"), F.coalesce(F.col(weight), F.lit(0)).cast("long").alias("_x"),
+                          F.col(parents).alias("_ps"))
     root = scratch_path(spark, name)
-    w = materialize(w, os.path.join(root, "w"))
-    edges = materialize(edges, os.path.join(root, "edges"))
-    d = materialize(w.select(*g, "_v", F.col("_w").alias("_d")), os.path.join(root, "d0"))
-    if max_rounds is None:
-        max_rounds = int(w.count()) + 1
+    own = materialize(own, os.path.join(root, "vertices"))
+    listed = own.select(*g, "_v", "_x", F.explode_outer(F.array_distinct(F.filter(
+        "_ps", lambda p: p != F.col("_v")))).alias("_p"))
+    known = own.select(*g, F.col("_v").alias("_p"), F.lit(True).alias("_known")).distinct()
+    rows = listed.join(known, g + ["_p"], "left").select(
+        *g, "_v", F.when(F.col("_known"), F.col("_p")).alias("_p"), "_x")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """One row per (vertex, parent), with the vertex's number of open
+        parents and what it has settled so far."""
+        best = rows.repartition(*g, "_v").groupBy(*g, "_v", "_p").agg(F.max("_x").alias("_x"))
+        of_vertex = Window.partitionBy(*g, "_v")
+        return best.withColumns({"_open": F.count("_p").over(of_vertex),
+                                 "_s": F.max(F.when(F.col("_p").isNull(), F.col("_x"))).over(of_vertex)})
+
+    def row(p, x):
+        return F.struct(p.alias("_p"), x.alias("_x"))
+
+    no_parent = F.lit(None).cast(own.schema["_v"].dataType)
     r = 0
     while True:
-        r += 1
-        pd_ = d.select(*g, F.col("_v").alias("_p"), F.col("_d").alias("_pd"))
-        best = (edges.join(pd_, on=g + ["_p"], how="left")
-                .groupBy(*g, "_v").agg(F.max(F.coalesce("_pd", F.lit(0))).alias("_m")))
-        nd = (w.join(best, on=g + ["_v"], how="left")
-              .select(*g, "_v", (F.col("_w") + F.coalesce("_m", F.lit(0))).alias("_d")))
-        nd = materialize(nd, os.path.join(root, f"d{r}"))
-        changed = (nd.alias("n").join(d.alias("o"), on=g + ["_v"], how="inner")
-                   .where(F.col("n._d") != F.col("o._d")).limit(1).count())
-        d = nd
-        if changed == 0:
+        now = materialize(counted(rows), os.path.join(root, "rounds", f"round={r}"))
+        left, done = now.agg(F.count("_p"), F.count_if(F.col("_open") == 0)).first()
+        if not left:
             break
-        if r > max_rounds:
+        if not done:
             raise RuntimeError(f"{name}: stage graph has a cycle")
-    return d.select(*g, F.col("_v").alias(vertex), F.col("_d").alias("path_time"))
+        ended = now.where(F.col("_open") == 0).select(*g, F.col("_v").alias("_p"))
+        # one open parent, which is not done either (else the vertex is done next)
+        single = now.where((F.col("_open") == 1) & F.col("_p").isNotNull()).join(ended, g + ["_p"], "left_anti")
+        taken = single.unionByName(now.where(F.col("_open") == 0).withColumn("_s", F.lit(None).cast("long"))).select(
+            *g, F.col("_v").alias("_p"), F.col("_p").alias("_q"), F.col("_x").alias("_add"), "_s", F.lit(True).alias("_hit"))
+        moved = now.where(F.col("_p").isNotNull()).drop("_open", "_s").join(taken, g + ["_p"], "left")
+        over = row(F.col("_q"), F.col("_x") + F.col("_add"))
+        moved = moved.select(*g, "_v", F.inline(
+            F.when(F.col("_hit").isNull(), F.array(row(F.col("_p"), F.col("_x"))))
+            .when(F.col("_s").isNull(), F.array(over))
+            .otherwise(F.array(over, row(no_parent, F.col("_x") + F.col("_s"))))))
+        settled = now.where(F.col("_p").isNull() & (F.col("_open") > 0)).drop("_open", "_s")
+        rows, r = moved.unionByName(settled), r + 1
+    return (spark.read.parquet(os.path.join(root, "rounds")).where(F.col("_open") == 0)
+            .select(*g, F.col("_v").alias(vertex), F.col("_x").alias("path_time")))
 
 
 def critical_path_time(path: DataFrame, key_cols) -> DataFrame:

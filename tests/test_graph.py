@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from pipelens.operators import graph
@@ -19,6 +22,68 @@ def test_missing_parent_counts_zero(spark):
     assert graph.longest_path(st, ["app_id"]).collect()[0]["path_time"] == 4
 
 
+def longest(rows):
+    """Plain d(v) = w(v) + max d(p) over rows (vertex, weight, parents)."""
+    weight, parents = {v: w for v, w, _ in rows}, {v: p for v, _, p in rows}
+    done = {}
+    while len(done) < len(rows):
+        for v in weight:
+            if v not in done and all(p in done or p not in weight or p == v for p in parents[v]):
+                done[v] = weight[v] + max((done.get(p, 0) for p in parents[v] if p != v), default=0)
+    return done
+
+
+def stages_of(spark, rows, key="a"):
+    return spark.createDataFrame([(key, *r) for r in rows],
+                                 "app_id string, stage_id long, stage_time long, parents array<long>")
+
+
+def test_longest_path_of_random_graphs(spark):
+    rng = random.Random(5)
+    for kind in range(4):
+        rows = []
+        for v in range(120):
+            low = max(0, v - (3 if kind % 2 else 40))
+            rows.append((v, rng.randrange(1, 50), rng.choices(range(low, v + 1), k=rng.randrange(0, 4)) if v else [500]))
+        rows.append((900, 7, None))
+        got = {r["stage_id"]: r["path_time"] for r in graph.longest_path(stages_of(spark, rows), ["app_id"]).collect()}
+        assert got == longest([(v, w, p or []) for v, w, p in rows])
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    written = []
+    plain = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, path, mode="overwrite": written.append(path) or plain(df, path, mode))
+    n = 10_000
+    rows = stages_of(spark, [(0, 1, [])] + [(i, 1, [i - 1]) for i in range(1, n)])
+    assert graph.critical_path_time(graph.longest_path(rows, ["app_id"]), ["app_id"]).first()["critical_path_stage_time"] == n
+    assert len(written) < 30
+
+
+def test_layered_graph_touches_each_edge_about_once(spark, monkeypatch):
+    """Vertices with several parents: an edge stays open until its parent is done."""
+    rounds = []
+    plain = graph.materialize
+
+    def noted(df, path, mode="overwrite"):
+        out = plain(df, path, mode)
+        if "round=" in path:
+            rounds.append(out.where("_p IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(graph, "materialize", noted)
+    rows = [(v, 1, [] if v < 50 else [(v // 50 - 1) * 50 + (v * k) % 50 for k in (1, 3, 7)]) for v in range(250)]
+    got = {r["stage_id"]: r["path_time"] for r in graph.longest_path(stages_of(spark, rows), ["app_id"]).collect()}
+    assert got == longest(rows)
+    assert len(rounds) == 5
+
+
+def test_cycle_is_an_error(spark):
+    rows = [(0, 1, []), (1, 1, [0, 3]), (2, 1, [1]), (3, 1, [2]), (4, 1, [3])]
+    with pytest.raises(RuntimeError, match="cycle"):
+        graph.longest_path(stages_of(spark, rows), ["app_id"])
+
+
 def test_reach_chain_and_cycle(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 2), (5, 1)], "a long, b long")
     pairs = graph.reach(e, ["a"], ["b"])
