@@ -4,19 +4,22 @@ Every round is a join + aggregate over what the round before found or left
 open, written to Parquet under the session's ``spark.checkpoint.dir`` and read
 back. That cuts the plan lineage each round (so plans stay small and a lost
 executor only re-runs the current round) and sidesteps the constraint-propagation
-failure that ``localCheckpoint`` of a growing union hits in Spark 4.1. The only value that
-reaches the driver is one row count per round, for loop control.
+failure that ``localCheckpoint`` of a growing union hits in Spark 4.1. Only row counts reach
+the driver, for loop control, and the job that writes a round collects them.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipelens.session import scratch_path
 
+# a written round of at most this many rows is broadcast to the next one's joins
+BROADCAST_ROWS = 100_000
+
 
 def materialize(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """Write ``df`` to Parquet at ``path`` and return a fresh scan of it."""
@@ -24,6 +27,14 @@ def materialize(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def materialize_observed(df: DataFrame, path: str, **aggregates: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Write ``df`` and return a scan of it with aggregates over its rows that
+    the same job collects."""
+    seen = Observation()
+    written = materialize(df.observe(seen, *[a.alias(k) for k, a in aggregates.items()]), path)
+    return written, seen.get
+
+
 def _spark(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -187,18 +198,20 @@ def longest_path(vertices: DataFrame, key_cols, vertex: str = "stage_id",
     no_parent = F.lit(None).cast(own.schema["_v"].dataType)
     r = 0
     while True:
-        now = materialize(counted(rows), os.path.join(root, "rounds", f"round={r}"))
-        left, done = now.agg(F.count("_p"), F.count_if(F.col("_open") == 0)).first()
-        if not left:
+        now, told = materialize_observed(
+            counted(rows), os.path.join(root, "rounds", f"round={r}"), size=F.count(F.lit(1)),
+            left=F.count("_p"), done=F.count_if(F.col("_open") == 0))
+        if not told["left"]:
             break
-        if not done:
+        if not told["done"]:
             raise RuntimeError(f"{name}: stage graph has a cycle")
-        ended = now.where(F.col("_open") == 0).select(*g, F.col("_v").alias("_p"))
+        small = F.broadcast if told["size"] <= BROADCAST_ROWS else (lambda df: df)
+        ended = small(now.where(F.col("_open") == 0).select(*g, F.col("_v").alias("_p")))
         # one open parent, which is not done either (else the vertex is done next)
         single = now.where((F.col("_open") == 1) & F.col("_p").isNotNull()).join(ended, g + ["_p"], "left_anti")
         taken = single.unionByName(now.where(F.col("_open") == 0).withColumn("_s", F.lit(None).cast("long"))).select(
             *g, F.col("_v").alias("_p"), F.col("_p").alias("_q"), F.col("_x").alias("_add"), "_s", F.lit(True).alias("_hit"))
-        moved = now.where(F.col("_p").isNotNull()).drop("_open", "_s").join(taken, g + ["_p"], "left")
+        moved = now.where(F.col("_p").isNotNull()).drop("_open", "_s").join(small(taken), g + ["_p"], "left")
         over = row(F.col("_q"), F.col("_x") + F.col("_add"))
         moved = moved.select(*g, "_v", F.inline(
             F.when(F.col("_hit").isNull(), F.array(row(F.col("_p"), F.col("_x"))))
