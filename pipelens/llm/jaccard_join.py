@@ -410,9 +410,14 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, shards: int | None = None,
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's smallest, with all columns;
-    of rows that repeat that id, one. Rows with a null id stay."""
+    """The documents whose id is their component's smallest, with all columns; of
+    rows that repeat that id, the one with the smallest text, and among equal
+    texts the smallest of their other columns as JSON. Rows with a null id stay."""
     found = similar(docs, id_col=id_col, text_col=text_col)
     drop = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
     kept = docs.join(drop, id_col, "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    order = F.struct(F.col(text_col).alias("a"), F.to_json(F.struct(*docs.columns)).alias("b"))
+    chosen = (kept.join(again, id_col, "left_semi").groupBy(id_col)
+              .agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*"))
+    return kept.join(again, id_col, "left_anti").unionByName(chosen)

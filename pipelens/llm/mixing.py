@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pipelens.llm.columns import set_aside
 from pipelens.session import scratch_path
 
 SEED, EPOCHS, ALPHA = 20240501, 1.0, 0.5
@@ -80,7 +81,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     """The documents, each repeated by its Poisson count, in a global random
     order. Without ``weights`` a source's target share is proportional to its
     characters to the power ``alpha``; ``epochs`` scales the whole mix."""
-    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    docs, back = set_aside(docs, [id_col, source_col, text_col])
     rates = target_rates(docs, weights, epochs, alpha, source_col, text_col)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     if rates.count() <= BROADCAST_ROWS:
@@ -95,7 +96,8 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs
         lambda j: F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(str(seed)), ident, j.cast("string")))))
     count = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
     mixed = joined.withColumn("_count", count).where("_count > 0").select(
-        *kept, F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy"))
+        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("place"), ident,
                                                F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    return mixed.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    mixed = mixed.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return back(mixed, without=("copy", "shuffle_key"), plus=("copy", "shuffle_key"))

@@ -13,8 +13,8 @@ powers of two, which need no padding. So memory is bounded by
 ``max_open * window`` ids and one document, and a lost task is simply run
 again: its result depends on its input rows alone.
 
-Ids are those of ``tokenizers`` with ``add_special_tokens=False``, made by
-``tiktoken`` from the same file. Defined results: a null or empty text is the
+Ids are those of ``tokenizers`` with ``add_special_tokens=False`` (see
+``byte_bpe``). Defined results: a null or empty text is the
 end id alone; equal rows are packed one by one; an added token of the file that
 stands in a text becomes its id; other columns are ignored; an empty table
 gives an empty result.
@@ -22,47 +22,25 @@ gives an empty result.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipelens.llm import blocks as B
+from pipelens.llm.byte_bpe import byte_bpe
 
 WINDOW, END_ID, MAX_OPEN = 2048, 1, 1024
-# Fixed value: the published splitting pattern of byte-level BPE vocabularies.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary of a ``tokenizers`` JSON file. Its ids are in
-    merge order, so they serve as ranks; this library is several times faster."""
-    with open(vocabulary, encoding="utf-8") as f:
-        model = json.load(f)
-    added = model["added_tokens"]
-    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
-        raise ValueError("added tokens must match as they stand")
-    special = {t["content"]: t["id"] for t in added}
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in plain}
-    byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    ranks = {bytes(byte_of[c] for c in token): rank
-             for token, rank in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("documents", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-
-
 class Piece(NamedTuple):
     doc: int | None
     start: int
@@ -155,7 +133,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # 2^40 sequences for each partition
         packer = SumOfSquares(window, max_open, TaskContext.get().partitionId() << 40)
-        encode = partial(encoder(vocabulary).encode, allowed_special="all")
+        encode = byte_bpe(vocabulary, added=True).encode
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -165,9 +143,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "")
-                ids.append(end_id)
-                rows += packer.put(doc, np.array(ids, np.uint32))
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id))
+                rows += packer.put(doc, ids)
             yield batch_of(rows)
         yield batch_of(list(packer.close()))
 

@@ -80,14 +80,19 @@ def test_near_vectors(spark, block):
     assert embeddings.near_vectors(frame.where("false")).count() == 0
 
 
-def test_near_vectors_recall_on_given_table(spark):
-    frame = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 3000")
-    rows = frame.select("vec_id", "embedding").collect()
-    x = np.array([r.embedding for r in rows], float)
+@pytest.mark.parametrize("size", [16, 64, 300])
+def test_near_vectors_recall_on_planted_vectors(spark, size):
+    """Near copies at cosines around the limit, and one large group of them."""
+    rng = np.random.default_rng(size)
+    base = rng.normal(size=(500, size))
+    near = base[:300] + rng.normal(size=(300, size)) * rng.uniform(0.05, 0.4, (300, 1))
+    group = base[0] + rng.normal(size=(400, size)) * 0.1
+    x = np.concatenate([base, near, group])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     x /= np.sqrt((x * x).sum(1, keepdims=True))
     true = int(((x @ x.T >= 0.95).sum() - len(x)) // 2)
     found = embeddings.near_vectors(frame).agg(F.sum("n_links")).first()[0] // 2
-    assert true > 0 and 0.99 * true <= found <= true
+    assert true > 50_000 and 0.99 * true <= found <= true
 
 
 # --- n-gram Jaccard join --------------------------------------------------
@@ -169,6 +174,14 @@ def test_one_of_each(awkward):
     assert got == sorted([*{i for i, c in parts.items() if i == c}, None], key=repr)
 
 
+def test_one_of_each_of_a_repeated_id(spark):
+    """Of rows with one id, the smallest text; repeated rows once."""
+    rows = [(1, "b b b b b b", "x"), (1, "a a a a a a", "z"), (1, "a a a a a a", "y"), (2, "c", "q"), (2, "c", "q"), (3, "b b b b b b", "r"), (4, None, None), (4, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    got = sorted(tuple(r) for r in jaccard_join.one_of_each(frame).collect())
+    assert got == [(1, "a a a a a a", "y"), (2, "c", "q"), (4, None, None)]
+
+
 # --- repeated substrings --------------------------------------------------
 
 def plain_removal(texts, length=200):

@@ -18,6 +18,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pipelens.llm import language_model, mixing, packing, quality, queries, secrets
+from pipelens.llm.byte_bpe import byte_bpe
+from pipelens.session import scratch_path
 from pipelens.llm.discounts import discounts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -196,8 +198,7 @@ def test_mix_awkward_rows(awkward, no_documents, monkeypatch):
 @given(st.text(max_size=200))
 def test_encoder_equals_tokenizers(text):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
-    assert packing.encoder(VOCABULARY).encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert byte_bpe(VOCABULARY).encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
@@ -205,8 +206,18 @@ def test_encoder_equals_tokenizers(text):
                 max_size=12).map("".join))
 def test_encoder_equals_tokenizers_by_default(text):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    got = packing.encoder(VOCABULARY).encode(text, allowed_special="all")
-    assert got == tokenizer.encode(text, add_special_tokens=False).ids
+    assert byte_bpe(VOCABULARY).encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_very_long_runs(spark):
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000]
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY).collect()
+    for doc, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        own = sorted((p for p in pieces if p.doc_id == doc), key=lambda p: p.start)
+        assert [p.ids_crc32 for p in own] == [zlib.crc32(ids[p.start:p.start + p.length].tobytes()) for p in own]
+        assert sum(p.length for p in own) == len(ids)
 
 
 def test_packing_added_tokens(spark):
@@ -223,7 +234,6 @@ def test_packing_added_tokens(spark):
 
 def check_packing(docs, **options):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     texts = Counter((r.doc_id, r.text or "") for r in docs.collect())
     pieces = packing.pack(docs, VOCABULARY, **options).toPandas()
     window = options.get("window", packing.WINDOW)
@@ -308,15 +318,38 @@ def test_pipeline_stages(spark, tmp_path):
     # 5: all tokens of all rows
     before, after = kept[4]
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     tokens = sum(len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in before.collect())
     assert after.agg(F.sum("length")).first()[0] == tokens
 
 
+EXTRA = ["n_bytes", "perplexity", "kept", "_limit", "_mean", "_source", "_rate", "_cdf", "_count", "copy", "shuffle_key", "_rest", "h"]
+
+
+def test_pipeline_stages_leave_other_columns_alone(spark, documents):
+    """Columns named like those the stages work with, null ids and empty texts."""
+    import corpus_pipeline
+    values = [F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in EXTRA]
+    odd = spark.createDataFrame([(None, None, None, None, None), (5000, "", "en", "s", 0), (5001, None, None, None, 0)], documents.schema)
+    docs = documents.limit(80).unionByName(odd).select("*", *values)
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.columns == columns
+        path = scratch_path(spark, "stage")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    rows = docs.collect()
+    assert rows
+    assert all(r[c] == f"{c}-{'none' if r.doc_id is None else r.doc_id}" for r in rows for c in EXTRA)
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
 def test_every_query_is_registered():
     import __spark_entry__
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names
 
 
@@ -324,7 +357,7 @@ def test_every_query_is_registered():
 def test_sql_twins(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(queries.SQL[name]).df()
     got = queries.REGISTRY[name](spark, sf).toPandas()
