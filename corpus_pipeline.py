@@ -2,7 +2,9 @@
 
 A stage is a function of (session, documents, data folder) that returns a
 DataFrame; ``run`` writes each result as Parquet in the shared folder and reads
-it again for the next. All but the last return the columns of ``documents``.
+it again for the next. All but the last return the columns of ``documents``:
+what a stage does not use is set aside, whatever its names, and comes back as it
+was.
 """
 
 from __future__ import annotations
@@ -12,29 +14,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelens.llm import jaccard_join, mixing, packing, quality, secrets
+from pipelens.llm.columns import set_aside
 from pipelens.session import scratch_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the byte model of trusted text finds too unlikely."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels).where("kept").select(*docs.columns)
+    used, back = set_aside(docs, ["doc_id", "lang", "text"])
+    return back(quality.classify(used, labels).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of similar documents."""
-    return jaccard_join.one_of_each(docs).select(*docs.columns)
+    used, back = set_aside(docs, ["doc_id", "text"])
+    return back(jaccard_join.one_of_each(used))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the text; ``n_chars`` follows."""
     size = F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return secrets.redact_documents(docs).withColumn("n_chars", size)
+    return secrets.redact_documents(docs).withColumn("n_chars", size).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents to reach the sources' target shares."""
-    return mixing.poisson_mix(docs).select(*docs.columns)
+    used, back = set_aside(docs, ["doc_id", "source", "text"])
+    return back(mixing.poisson_mix(used))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
