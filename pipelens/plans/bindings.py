@@ -544,7 +544,8 @@ def _unused(spark, sf):
 
 @register("set_unique_details")
 def _unique_details(spark, sf):
-    return LJ.unique_details(L.final_lineage(_assign(spark, sf)))
+    details = LJ.unique_details(L.final_lineage(_assign(spark, sf)))
+    return details.select(LP, "target_column", F.transform("unique_details", lambda d: F.to_json(d)).alias("unique_details"))
 
 
 @register("fn_column_refs")
@@ -665,6 +666,7 @@ def _simple_gate(spark, sf):
 from pipelens.session import scratch_path  # noqa: E402
 from pipelens.sources import csv_tables as C  # noqa: E402
 from pipelens.sources import eventlog as EL  # noqa: E402
+from pipelens.sources import lineage_documents as LD  # noqa: E402
 from pipelens.sources import sinks as SK  # noqa: E402
 
 
@@ -725,16 +727,23 @@ def _sink_parquet(spark, sf):
 
 @register("sink_json")
 def _sink_json(spark, sf):
+    """A document per target table, read back unchanged."""
     out = scratch_path(spark, "lineage-json")
-    SK.write_json(L.final_lineage(_assign(spark, sf)), out)
-    return SK.read_lineage_json(spark, out, "final")
+    LD.write_documents(LD.direct_documents(LJ.column_lineage(_assign(spark, sf)), [LP]), out)
+    return LD.read_documents(spark, out).definitions().drop("position")
 
 
 @register("src_lineage_json")
 def _src_lineage_json(spark, sf):
-    out = scratch_path(spark, "edges-json")
-    SK.write_json(L.multi_hop_edges(_assign(spark, sf)), out)
-    return SK.read_lineage_json(spark, out, "edges")
+    """Documents of both formats and lines that are none, in one folder."""
+    out = scratch_path(spark, "mixed-json")
+    assign = _assign(spark, sf)
+    LD.write_documents(LD.direct_documents(LJ.column_lineage(assign), [LP]), out)
+    graphs = LD.graph_documents(L.multi_hop_nodes(assign), L.multi_hop_edges(assign))
+    LD.write_documents(graphs.withColumnRenamed("graph_id", LP), out)
+    broken = assign.select(LP, F.format_string('{"target_table": "%s", ', "target_table").alias("value")).distinct()
+    LD.write_documents(broken, out)
+    return LD.read_documents(spark, out).records()
 
 
 # ---------------------------------------------------------------- configuration, retrieval

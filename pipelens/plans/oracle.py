@@ -394,8 +394,6 @@ SELECT app_id, min(launch_time) AS start_time, '4.1.2' AS spark_version FROM tas
 SQL["limit_one"] = SQL["proj_app_info"] + "\nORDER BY app_id LIMIT 1"
 
 SQL["sink_parquet"] = SQL["job_app_features"]
-SQL["sink_json"] = SQL["lin_final"]
-SQL["src_lineage_json"] = SQL["lin_multi_hop_edges"]
 
 # ---------------------------------------------------------------- configuration, retrieval
 from pipelens.plans import oracle_config  # noqa: E402

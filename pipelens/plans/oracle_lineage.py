@@ -368,8 +368,18 @@ SELECT {K}, list_sort(list_filter(refs, lambda r: NOT list_contains(
   list_transform(source_columns, lambda s: {col_base('s')}), r))) AS missing_refs FROM fx0""",
     "set_unused_sources": W + "," + FIX.strip() + f"\nSELECT {K}, list_sort(unused) AS unused_sources FROM fx1",
     "set_unique_details": W + """
-SELECT pipeline_id, target_column, count(DISTINCT (source_columns, expressions)) AS unique_details
-FROM final GROUP BY ALL""",
+SELECT pipeline_id, target_column, list(CAST(to_json({'source_columns': source_columns, 'expressions': expressions}) AS VARCHAR)
+                                        ORDER BY first_table) AS unique_details
+FROM (SELECT pipeline_id, target_column, source_columns, expressions, min(target_table) AS first_table FROM final GROUP BY ALL)
+GROUP BY ALL""",
+    "sink_json": WG + COL_LINEAGE + "\nSELECT * FROM col_lineage",
+    "src_lineage_json": WG + COL_LINEAGE + """
+SELECT pipeline_id, 'definition' AS kind, target_column AS name, target_table AS owner, NULL AS type, NULL AS logic,
+       source_columns AS sources, expressions FROM col_lineage
+UNION ALL SELECT graph_id, 'node', id, parent_id, type, label, NULL, NULL FROM nodes
+UNION ALL SELECT graph_id, 'edge', target, NULL, flow_type, logic, [source], NULL FROM edges
+UNION ALL SELECT DISTINCT pipeline_id, 'malformed', NULL, NULL, NULL, '{"target_table": "' || target_table || '", ', NULL, NULL
+FROM assign""",
     "fn_column_refs": W + f"""
 SELECT DISTINCT {K}, expression, list_sort(list_distinct({refs_of('expression')})) AS refs
 FROM latest WHERE expression IS NOT NULL""",

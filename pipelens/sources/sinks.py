@@ -1,5 +1,5 @@
-"""Parquet and JSON sinks / readers (``sink_parquet``, ``sink_json``,
-``src_lineage_json``)."""
+"""Parquet and flat JSON sinks / readers (``sink_parquet``; lineage documents are
+in :mod:`pipelens.sources.lineage_documents`)."""
 
 from __future__ import annotations
 
@@ -20,12 +20,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """``sink_json``: one JSON document per row."""
+    """One flat JSON object per row."""
     df.write.mode("overwrite").json(path)
 
 
 def read_lineage_json(spark: SparkSession, path: str, kind: str = "final") -> DataFrame:
-    """``src_lineage_json``: read lineage documents back with an explicit
-    schema (``final``, ``nodes`` or ``edges``)."""
+    """Read flat lineage rows back with an explicit schema (``final``, ``nodes``
+    or ``edges``)."""
     schema = {"final": FINAL_LINEAGE_SCHEMA, "nodes": NODES_SCHEMA, "edges": EDGES_SCHEMA}[kind]
     return spark.read.schema(schema).json(path)
