@@ -671,10 +671,10 @@ from pipelens.sources import sinks as SK  # noqa: E402
 
 
 def _event_log(spark, sf):
-    """Write the task / stage adapters as Spark event logs, read them back."""
+    """Write the task / stage adapters as Spark event logs; parse them once."""
     out = scratch_path(spark, "eventlog")
     D.write_event_log(D.tasks(spark, sf), D.stages(spark, sf), out)
-    return EL.read_event_log(spark, out)
+    return EL.ingest(spark, out)
 
 
 @register("src_event_log")

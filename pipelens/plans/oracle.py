@@ -52,20 +52,24 @@ ev AS (
          {APP_OF.format(k='user_id')} AS app_id
   FROM events)"""
 
-EXECUTIONS = """
+EXECUTIONS = f"""
 per_user AS (
-  SELECT app_id, user_id AS execution_id,
+  SELECT user_id AS execution_id,
          min(CASE WHEN event_type = 'view' THEN ts_ms END) AS start_time,
          count(CASE WHEN event_type = 'view' THEN 1 END) AS n_views,
          count(CASE WHEN event_type = 'click' THEN 1 END) AS n_clicks
   FROM ev GROUP BY ALL),
+ids AS (
+  SELECT execution_id FROM per_user WHERE start_time IS NOT NULL
+  UNION SELECT doc_id FROM documents WHERE doc_id IS NOT NULL
+  UNION SELECT page_id FROM pages WHERE page_id IS NOT NULL),
 executions AS (
-  SELECT u.app_id, u.execution_id, d.text AS query_text, p.html AS plan_text, u.start_time,
-         u.n_views, u.n_clicks
-  FROM per_user u
-  LEFT JOIN documents d ON d.doc_id = u.execution_id
-  LEFT JOIN pages p ON p.page_id = u.execution_id
-  WHERE u.start_time IS NOT NULL),
+  SELECT {APP_OF.format(k='i.execution_id')} AS app_id, i.execution_id, d.text AS query_text, p.html AS plan_text,
+         u.start_time, coalesce(u.n_views, 0) AS n_views, coalesce(u.n_clicks, 0) AS n_clicks
+  FROM ids i
+  LEFT JOIN per_user u ON u.execution_id = i.execution_id AND u.start_time IS NOT NULL
+  LEFT JOIN documents d ON d.doc_id = i.execution_id
+  LEFT JOIN pages p ON p.page_id = i.execution_id),
 children AS (
   SELECT app_id, execution_id, 'Scan' AS node_name, CAST(n_views AS BIGINT) AS estimated_rows
   FROM executions
@@ -386,7 +390,8 @@ SELECT 'SparkListenerTaskEnd' AS event, count(*) AS n FROM tasks
 UNION ALL SELECT 'SparkListenerStageCompleted', count(*) FROM stages
   WHERE app_id IN (SELECT app_id FROM tasks)
 UNION ALL SELECT 'SparkListenerApplicationStart', count(DISTINCT app_id) FROM tasks
-UNION ALL SELECT 'SparkListenerLogStart', count(DISTINCT app_id) FROM tasks""")
+UNION ALL SELECT 'SparkListenerLogStart', count(DISTINCT app_id) FROM tasks
+UNION ALL SELECT 'malformed', count(DISTINCT app_id) FROM tasks""")
 
 q("proj_app_info", with_(TASKS) + """
 SELECT app_id, min(launch_time) AS start_time, '4.1.2' AS spark_version FROM tasks GROUP BY ALL""")

@@ -3,9 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pipelens.session import scratch_path
+
 REQUIRED_JOB_COLUMNS = ["job_name", "job_type"]
 RULE_FILES = {
     "app": ("app_codes.csv", ["old_prefix", "new_app_code"]),
@@ -16,16 +18,40 @@ RULE_FILES = {
 }
 
 
-def read_string_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_string_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All-string CSV with a header: names trimmed and lower-cased, nulls -> ''.
-    ``input_order`` = position in the file (increasing, not dense)."""
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("multiLine", True).option("escape", '"').csv(path))
-    df = df.toDF(*[c.strip().lower() for c in df.columns])
-    df = df.fillna("")
-    if "input_order" in df.columns:
-        return df
-    return df.withColumn("input_order", F.monotonically_increasing_id())
+    ``input_order`` = position over all files by path (0, 1, 2, ...), however
+    they are split. Without ``multi_line`` (no line breaks inside quotes) large
+    files are read in parts."""
+    raw = (spark.read.option("header", True).option("inferSchema", False)
+           .option("multiLine", multi_line).option("escape", '"').csv(path))
+    names = [c.strip().lower() for c in raw.columns]
+    if "input_order" in names:
+        return raw.toDF(*names).fillna("")
+    placed = with_positions(raw, "input_order")
+    return placed.toDF(*names, "input_order").fillna("", names)
+
+
+def with_positions(files: DataFrame, out: str) -> DataFrame:
+    """Rows of a file scan with their position over all files, by file path and
+    place in the file.
+
+    Rows of one split have consecutive ``monotonically_increasing_id`` values, so
+    a row's place in its split is its id less the split's smallest. Rows are
+    written once with file, split start and id; the splits' row counts, summed up
+    in the order of (file, start), give each split's first position. The table of
+    splits has one row per split, and no row is moved by a shuffle while it is
+    small enough to broadcast."""
+    spark = files.sparkSession
+    path = scratch_path(spark, "positions")
+    files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                 F.monotonically_increasing_id().alias("_id")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("_file", "_start").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")).select(
+        "_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_shift"))
+    return rows.join(splits, ["_file", "_start"]).select(
+        *files.columns, (F.col("_id") + F.col("_shift")).alias(out))
 
 
 def require_columns(df: DataFrame, required=REQUIRED_JOB_COLUMNS) -> DataFrame:

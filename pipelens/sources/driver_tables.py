@@ -4,8 +4,7 @@ The operators never know about these: they take ``tasks``, ``stages``,
 ``executions``, ``jobs`` and ``assignments`` frames (SURVEY 1.2). Each adapter
 is deterministic and has an SQL twin in :mod:`pipelens.plans.oracle`, so the
 same inputs can be rebuilt in DuckDB for the correctness gate. Adapters read
-whole tables, except that :func:`executions` reads the texts of users with a
-view only; their work grows with the data.
+whole tables; their work grows with the data.
 """
 
 from __future__ import annotations
@@ -97,11 +96,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SQL executions from ``events``: one per user; start = first view, the
-    query text is the user's document, the physical plan text the user's
-    page, and the plan JSON lists three children with row estimates."""
+    """SQL executions: one for every user with a view, every document and every
+    page, by id; start = the user's first view (null without one), the query text
+    is the document, the physical plan text the page, and the plan JSON lists
+    three children with row estimates."""
     ev = _events(spark, sf_dir)
-    per_user = ev.groupBy("app_id", F.col("user_id").alias("execution_id")).agg(
+    per_user = ev.groupBy(F.col("user_id").alias("execution_id")).agg(
         F.min(F.when(F.col("event_type") == "view", F.col("ts_ms"))).alias("start_time"),
         F.count(F.when(F.col("event_type") == "view", 1)).alias("_views"),
         F.count(F.when(F.col("event_type") == "click", 1)).alias("_clicks"))
@@ -113,15 +113,15 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(name).alias("nodeName"),
         F.struct(rows.alias("rowCount")).alias("statistics"))
     plan_json = F.to_json(F.struct(F.array(
-        child("Scan", F.col("_views").cast("long")),
-        child("Exchange", F.col("_clicks").cast("long")),
+        child("Scan", F.coalesce("_views", F.lit(0)).cast("long")),
+        child("Exchange", F.coalesce("_clicks", F.lit(0)).cast("long")),
         F.struct(F.lit("Project").alias("nodeName"),
                  F.struct(F.lit(None).cast("long").alias("rowCount")).alias("statistics")),
     ).alias("children")))
     return (per_user.where(F.col("start_time").isNotNull())
-            .join(docs, "execution_id", "left")
-            .join(pages, "execution_id", "left")
-            .select("app_id", "execution_id", "query_text", "plan_text",
+            .join(docs.where("execution_id IS NOT NULL"), "execution_id", "full")
+            .join(pages.where("execution_id IS NOT NULL"), "execution_id", "full")
+            .select(app_of("execution_id").alias("app_id"), "execution_id", "query_text", "plan_text",
                     plan_json.alias("plan_json"), "start_time"))
 
 
@@ -402,9 +402,9 @@ def _event(name: str, *fields) -> F.Column:
 def write_event_log(tasks: DataFrame, stages: DataFrame, out: str,
                     spark_version: str = "4.1.2") -> None:
     """Test fixture: write ``tasks`` / ``stages`` frames as
-    rolling Spark event logs, one ``eventlog_v2_<app>`` folder for each of the
-    few applications: LogStart, ApplicationStart (time = first task launch),
-    StageCompleted, TaskEnd."""
+    rolling Spark event logs, one ``eventlog_v2_app=<app>`` folder for each
+    application, in one job: LogStart, ApplicationStart (time = first task
+    launch), StageCompleted, TaskEnd, and one line cut short."""
     t = tasks
     task_ev = t.select("app_id", _event(
         EL.EVENTS["task_end"], F.col("stage_id").alias("Stage ID"),
@@ -436,6 +436,7 @@ def write_event_log(tasks: DataFrame, stages: DataFrame, out: str,
                                           F.col("_t").alias("Timestamp")).alias("value"))
     log_ev = apps.select("app_id", _event(EL.EVENTS["log_start"],
                                           F.lit(spark_version).alias("Spark Version")).alias("value"))
-    allev = log_ev.unionByName(app_ev).unionByName(stage_ev).unionByName(task_ev)
-    for app in [r.app_id for r in apps.select("app_id").collect()]:
-        allev.where(F.col("app_id") == app).select("value").write.mode("overwrite").text(f"{out}/eventlog_v2_{app}")
+    cut = apps.select("app_id", F.lit('{"Event":"SparkListenerTaskEnd","Stage ID":').alias("value"))
+    allev = log_ev.unionByName(app_ev).unionByName(stage_ev.join(apps.select("app_id"), "app_id", "left_semi"))
+    (allev.unionByName(task_ev).unionByName(cut).withColumnRenamed("app_id", "eventlog_v2_app")
+     .write.mode("overwrite").partitionBy("eventlog_v2_app").text(out))

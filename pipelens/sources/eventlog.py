@@ -1,7 +1,8 @@
 """Spark event logs (JSON lines) -> the engine's normalised tables.
 
-The log is read ONCE with an explicit schema (no inference scan), routed by
-event type, and normalised to ``apps``, ``conf``, ``executions``,
+The log is parsed ONCE with an explicit schema (no inference scan): ``ingest``
+writes it by event type, lines that do not parse among them, and what follows
+reads only the folders of the event types it needs. It is normalised to ``apps``, ``conf``, ``executions``,
 ``execution_ends``, ``aqe_updates``, ``stages`` and ``tasks`` keyed by
 ``app_id``, so thousands of application logs are one set of tables.
 Field names follow a log written by Spark 4.1 (SURVEY 1.1): SQL events carry
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, LongType, MapType, StringType, StructField,
                                StructType)
 
+from pipelens.session import scratch_path
+
 L, S = LongType(), StringType()
 
 
@@ -54,13 +57,36 @@ EVENTS = {
 }
 
 
+MALFORMED = "malformed"
+
+
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     """``src_event_log``: raw events with ``event`` (short type name) and
-    ``log_file`` (one file = one application)."""
-    raw = (spark.read.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE")
-           .option("recursiveFileLookup", "true").json(path)
-           .withColumn("log_file", log_unit(F.col("_metadata.file_path"))))
-    return raw.withColumn("event", F.substring_index("Event", ".", -1))
+    ``log_file`` (one file = one application). A line that is no event gets the
+    type ``malformed``; ``line`` is the text of any line with a fault, also of an
+    event whose faulty fields are null. Blank lines are skipped."""
+    bad = "_corrupt_record"
+    schema = StructType([*EVENT_SCHEMA.fields, StructField(bad, S, True)])
+    text = spark.read.option("recursiveFileLookup", "true").text(path).where(F.col("value").rlike(r"\S"))
+    raw = text.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("_e"),
+                      "value", log_unit(F.col("_metadata.file_path")).alias("log_file")).select("_e.*", "value", "log_file")
+    return raw.withColumns({
+        "event": F.coalesce(F.substring_index("Event", ".", -1), F.lit(MALFORMED)),
+        "line": F.when(F.col("Event").isNull(), F.col("value")).otherwise(F.col(bad))}).drop("value", bad)
+
+
+def ingest(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
+    """Read and parse the log once, write it by event type (to ``out`` or a fresh
+    shared folder), and return the routed events."""
+    out = out or scratch_path(spark, "routed-log")
+    write_routed(read_event_log(spark, path), out)
+    return spark.read.parquet(out)
+
+
+def malformed(raw: DataFrame) -> DataFrame:
+    """(log_file, event, line) of the lines with faults: the quarantine, and
+    events with faulty fields."""
+    return raw.where(F.col("line").isNotNull()).select("log_file", "event", "line")
 
 
 def log_unit(file_path) -> F.Column:
@@ -74,7 +100,7 @@ def log_unit(file_path) -> F.Column:
 
 def route(raw: DataFrame, kind: str) -> DataFrame:
     """``src_event_route``: keep one event type (short or full class name)."""
-    return raw.where(F.col("event") == EVENTS[kind])
+    return raw.where(F.col("event") == EVENTS[kind])  # prunes folders of a routed log
 
 
 def write_routed(raw: DataFrame, out: str) -> None:

@@ -44,6 +44,25 @@ def test_event_log_round_trip(spark):
     assert t["stages"].count() == 2
 
 
+def test_log_is_parsed_once_and_keeps_bad_lines(spark):
+    out = _scratch(spark, "evlog")
+    D.write_event_log(_tasks(spark), _stages(spark), out)
+    more = ["no json at all", "", "  ", '{"other": 1}',
+            '{"Event":"SparkListenerTaskEnd","Stage ID":"x","Task Info":{"Task ID":77,"Launch Time":1,"Finish Time":3}}']
+    spark.createDataFrame([(x,) for x in more], "value string").coalesce(1).write.mode("append").text(f"{out}/eventlog_v2_app=app-1")
+    raw = EL.ingest(spark, out)
+    assert raw.where("event = 'malformed'").count() == 4  # two cut short, two lines that are no events
+    bad = [(r.event, r.line) for r in EL.malformed(raw).collect()]
+    assert len(bad) == 5 and ("SparkListenerTaskEnd", more[4]) in bad
+    tables = EL.normalize(raw)
+    task = {r.task_id: r for r in tables["tasks"].collect()}
+    assert sorted(task) == [10, 11, 12, 77] and task[77].stage_id is None and task[77].app_id == "app-1"
+    for frame in tables.values():  # only parts of the routed log are read
+        plan = frame._jdf.queryExecution().toString()
+        assert "FileScan text" not in plan and "FileScan json" not in plan
+        assert "PartitionFilters: [isnotnull(event" in plan
+
+
 def test_real_spark_event_log_shape(spark):
     """Lines in the exact shape Spark 4.1 writes (full SQL class names,
     Spark Properties as an object, plan info as nested JSON)."""
@@ -61,7 +80,7 @@ def test_real_spark_event_log_shape(spark):
     ]
     with open(os.path.join(path, "local-1"), "w") as fh:
         fh.write("\n".join(lines) + "\n")
-    t = EL.normalize(EL.read_event_log(spark, path))
+    t = EL.normalize(EL.ingest(spark, path))
     assert EL.conf_lookup(t["conf"], "spark.sql.adaptive.enabled", "aqe").collect()[0]["aqe"] == "true"
     ex = t["executions"].collect()[0]
     assert ex["app_id"] == "local-1" and '"children"' in ex["plan_json"]
@@ -78,6 +97,26 @@ def test_jobs_csv_and_rules(spark):
                                                                        ("2", "  B_D ", "")]
 
 
+def test_positions_do_not_depend_on_splits(spark, tmp_path):
+    names = [[f"JOB_{k}_{i}" for i in range(n)] for k, n in ((0, 3000), (1, 1), (2, 2000))]
+    for k, jobs in enumerate(names):
+        (tmp_path / f"jobs{k}.csv").write_text("job_name,job_type\n" + "".join(f"{j},CMD\n" for j in jobs))
+    expected = [j for jobs in names for j in jobs]
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = {k: spark.conf.get(k) for k in (size, cost)}
+    try:
+        for split, open_cost in (("64m", "4m"), ("1500b", "1b"), ("9k", "1b")):
+            spark.conf.set(size, split)
+            spark.conf.set(cost, open_cost)
+            for multi_line in (True, False):
+                rows = C.read_string_csv(spark, str(tmp_path), multi_line)
+                got = sorted((r.input_order, r.job_name) for r in rows.collect())
+                assert got == list(enumerate(expected))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_streaming_task_skew(spark):
     folder = _scratch(spark, "stream-in")
     D.write_event_log(_tasks(spark), _stages(spark), folder)
