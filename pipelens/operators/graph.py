@@ -118,40 +118,86 @@ def terminals(edges: DataFrame, src_cols, dst_cols, name: str = "terminals") ->
     that it reaches. Columns: ``start_<src col>`` and the ``src_cols`` names
     for the terminal.
 
-    Only pairs that end in a terminal are kept, never the closure. With S the
-    steps of 2^r edges between inner nodes and T the pairs found so far, a
-    round adds S.T to T and replaces S by S.S, so depth d takes about log2(d)
-    rounds. T unchanged means that no path of up to twice the length leads to
-    a new terminal, and then no longer one does: cycles end there too.
+    A node with one outgoing edge has the terminals of its successor, so chains
+    of such nodes are condensed first: each takes the end of its chain by pointer
+    jumping, in about log2 of the longest chain rounds; those that never leave
+    their chain (cycles) have no terminal. Between the nodes that branch, pairs
+    (node, terminal) are then pushed level by level against the edges: a round
+    joins the edges with the pairs new in the round before and writes only pairs
+    not known yet, so no round is larger than the result, and cycles end there.
     """
     spark = _spark(edges)
     src_cols, dst_cols = list(src_cols), list(dst_cols)
     k = range(len(src_cols))
     s, t, m = ([f"_{x}{i}" for i in k] for x in "stm")
-
-    def renamed(df, old, new):
-        return df.select(*[F.col(c).alias(x) for c, x in zip(old, new)])
-
     root = scratch_path(spark, name)
-    e = materialize(edges.select(*[F.col(c).alias(x) for c, x in zip(src_cols, s)],
-                                 *[F.col(c).alias(x) for c, x in zip(dst_cols, t)]).distinct(),
-                    os.path.join(root, "edges"))
-    inner = renamed(e, s, t).distinct()
-    found = materialize(e.join(inner, t, "left_anti").select(*s, *t), os.path.join(root, "found0"))
-    steps = materialize(e.join(inner, t, "left_semi").select(*s, *t), os.path.join(root, "steps0"))
-    size, r = found.count(), 0
-    while True:
+
+    def renamed(df, old, new, *more):
+        return df.select(*[F.col(c).alias(x) for c, x in zip(old, new)], *more)
+
+    def hint(rows: int):
+        return F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
+
+    e, told = materialize_observed(
+        edges.select(*[F.col(c).alias(x) for c, x in zip(src_cols, s)],
+                     *[F.col(c).alias(x) for c, x in zip(dst_cols, t)]).distinct(),
+        os.path.join(root, "edges"), rows=F.count(F.lit(1)))
+    small = hint(told["rows"])
+    degree = e.groupBy(*s).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in t])
+    single = degree.where("_n = 1").drop("_n")
+
+    # chains: (s, t, _open); t moves on while it is a node with one edge itself
+    chain_root = os.path.join(root, "chains")
+    again = renamed(single, s, t, F.lit(True).alias("_open"))
+    now, told = materialize_observed(
+        single.join(small(again), t, "left").select(*s, *t, F.coalesce("_open", F.lit(False)).alias("_open")),
+        os.path.join(chain_root, "round=0"), rows=F.count(F.lit(1)), left=F.count_if("_open"))
+    chained, left, r = told["rows"], told["left"], 0
+    while left:
         r += 1
-        mid = steps.select(*s, *[F.col(x).alias(y) for x, y in zip(t, m)])
-        more = mid.join(renamed(found, s + t, m + t), m).select(*s, *t)
-        found = materialize(found.unionByName(more).distinct(), os.path.join(root, f"found{r}"))
-        before, size = size, found.count()
-        if size == before:
-            break
-        steps = materialize(mid.join(renamed(steps, s + t, m + t), m).select(*s, *t).distinct(),
-                            os.path.join(root, f"steps{r}"))
-    return found.select(*[F.col(x).alias(f"start_{c}") for x, c in zip(s, src_cols)],
-                        *[F.col(x).alias(c) for x, c in zip(t, src_cols)])
+        known = spark.read.parquet(chain_root).where("NOT _open").drop("round").unionByName(now.where("_open"))
+        step = renamed(known, s + t, t + m, F.col("_open").alias("_more"))
+        now, told = materialize_observed(
+            now.where("_open").select(*s, *t).join(hint(chained)(step), t).select(
+                *s, *[F.col(x).alias(y) for x, y in zip(m, t)], F.col("_more").alias("_open")),
+            os.path.join(chain_root, f"round={r}"), left=F.count_if("_open"))
+        if told["left"] == left:
+            break  # only cycles are left
+        left = told["left"]
+    ends = spark.read.parquet(chain_root).where("NOT _open").select(*s, *t)
+    single = spark.read.parquet(os.path.join(chain_root, "round=0")).select(*s)
+    inner = hint(chained)
+
+    # edges of the nodes that branch, chains replaced by their ends
+    branching = e.join(inner(single), s, "left_anti")
+    moved = branching.join(inner(renamed(single, s, t, F.lit(True).alias("_chain"))), t, "left").join(
+        inner(renamed(ends, s + t, t + m, F.lit(True).alias("_ends"))), t, "left").where(
+        F.col("_chain").isNull() | F.col("_ends"))
+    core, told = materialize_observed(
+        moved.select(*s, *[F.when(F.col("_ends"), F.col(x)).otherwise(F.col(y)).alias(y) for x, y in zip(m, t)]).distinct(),
+        os.path.join(root, "core"), rows=F.count(F.lit(1)))
+    nodes = renamed(core, s, t, F.lit(True).alias("_node")).distinct()
+    # a branching node may have lost all edges to cycles: e tells which nodes end
+    sources = renamed(e, s, t, F.lit(True).alias("_source")).distinct()
+    found_root = os.path.join(root, "found")
+    new, told_new = materialize_observed(
+        core.join(small(sources), t, "left_anti").select(*s, *t), os.path.join(found_root, "round=0"), rows=F.count(F.lit(1)))
+    steps = core.join(hint(told["rows"])(nodes), t, "left_semi").select(*s, *[F.col(x).alias(y) for x, y in zip(t, m)])
+    r, rows = 0, told_new["rows"]
+    while rows:
+        r += 1
+        known = spark.read.parquet(found_root).drop("round")
+        pushed = hint(told["rows"])(steps).join(renamed(new, s + t, m + t), m).select(*s, *t).distinct()
+        new, told_new = materialize_observed(pushed.join(known, s + t, "left_anti"), os.path.join(found_root, f"round={r}"),
+                                             rows=F.count(F.lit(1)))
+        rows = told_new["rows"]
+    found = spark.read.parquet(found_root).drop("round")
+    direct = ends.join(small(sources), t, "left_anti").select(*s, *t)
+    through = renamed(ends, s + t, s + m).join(renamed(found, s + t, m + t), m).select(*s, *t)
+    # written: the result is often read several times
+    return materialize(found.unionByName(direct).unionByName(through).select(
+        *[F.col(x).alias(f"start_{c}") for x, c in zip(s, src_cols)], *[F.col(x).alias(c) for x, c in zip(t, src_cols)]),
+        os.path.join(root, "terminals"))
 
 
 def longest_path(vertices: DataFrame, key_cols, vertex: str = "stage_id",

@@ -332,11 +332,13 @@ def resolve(assign: DataFrame, fallback: bool = True, name: str = "resolve"):
 
 
 def final_lineage(assign: DataFrame, default_schema: str | None = None,
-                  fallback: bool = True, name: str = "final") -> DataFrame:
+                  fallback: bool = True, name: str = "final", resolved=None,
+                  schema: DataFrame | None = None) -> DataFrame:
     """``lin_final``: one row per (pipeline, target table, target column):
-    sorted qualified base columns and sorted non-bare expressions."""
-    latest, a, bases = resolve(assign, fallback, name)
-    schema = pipeline_schema(assign, default_schema)
+    sorted qualified base columns and sorted non-bare expressions. A job that
+    has resolved the assignments (or their schemas) already passes them on."""
+    latest, a, bases = resolved or resolve(assign, fallback, name)
+    schema = pipeline_schema(assign, default_schema) if schema is None else schema
     q = (bases.where(not_na_table("base_table") & valid_column_name("base_column"))
          .join(schema, P)
          .select(P, "target_table", "target_column",
@@ -366,10 +368,10 @@ def final_lineage(assign: DataFrame, default_schema: str | None = None,
 # ------------------------------------------------------------------ multi-hop graph
 
 
-def multi_hop_nodes(assign: DataFrame) -> DataFrame:
+def multi_hop_nodes(assign: DataFrame, latest: DataFrame | None = None) -> DataFrame:
     """``lin_multi_hop_nodes``: table nodes, column nodes (valid names, no
     stars) and nodes for base tables, unique per (pipeline, id)."""
-    a = last_definition(assign)
+    a = latest if latest is not None else last_definition(assign)
     tables = a.select(P, F.col("target_table").alias("id"), F.col("target_table").alias("label"),
                       F.lit("table").alias("type"), F.lit(None).cast("string").alias("parent_id"))
     cols = (a.where((F.col("target_column") != "*") & valid_column_name("target_column"))
@@ -385,12 +387,12 @@ def multi_hop_nodes(assign: DataFrame) -> DataFrame:
         .withColumnRenamed(P, "graph_id")
 
 
-def multi_hop_edges(assign: DataFrame, name: str = "edges") -> DataFrame:
+def multi_hop_edges(assign: DataFrame, name: str = "edges", resolved=None) -> DataFrame:
     """``lin_multi_hop_edges``: table-level edges (immediate source -> target)
     and column-level edges from base columns to each target column, labelled
     ``Direct Pass-Through`` or the expression cut to 150 characters; unique
     per (source, target, logic)."""
-    a, _, bases = resolve(assign, True, name)
+    a, _, bases = resolved or resolve(assign, True, name)
     t_edges = table_edges(a).select(
         F.col(P).alias("graph_id"), F.col("source_table").alias("source"),
         F.col("target_table").alias("target"), F.lit("table_level").alias("flow_type"),

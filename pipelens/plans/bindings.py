@@ -470,17 +470,23 @@ def _base_anti(spark, sf):
     return L.base_tables_anti(L.last_definition(_assign(spark, sf)))
 
 
+def _expanded(spark, sf):
+    """Latest definitions and star-expanded rows, written: both are read often."""
+    root = scratch_path(spark, "expanded")
+    latest = graph.materialize(L.last_definition(_assign(spark, sf)), f"{root}/latest")
+    a = L.with_stars_expanded(latest).where(L.valid_column_name("target_column"))
+    return latest, graph.materialize(a, f"{root}/assignments")
+
+
 @register("lin_base_columns")
 def _base_columns(spark, sf):
-    latest = L.last_definition(_assign(spark, sf))
-    a = L.with_stars_expanded(latest).where(L.valid_column_name("target_column"))
+    latest, a = _expanded(spark, sf)
     return L.base_columns(a, defined=L.defined_tables(latest))
 
 
 @register("lin_name_fallback")
 def _fallback(spark, sf):
-    latest = L.last_definition(_assign(spark, sf))
-    a = L.with_stars_expanded(latest).where(L.valid_column_name("target_column"))
+    latest, a = _expanded(spark, sf)
     return L.name_fallback(a, L.column_terminals(a, defined=L.defined_tables(latest)))
 
 

@@ -112,3 +112,43 @@ def test_terminals(spark):
     got = {(r["start_a"], r["a"]) for r in graph.terminals(
         spark.createDataFrame(rows, "a long, b long"), ["a"], ["b"]).collect()}
     assert got == {(i, 200) for i in range(200)} | {(300, 200), (301, 200)}
+
+
+def plain_terminals(edges):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+
+    def reached(v):
+        seen, todo = set(), [v]
+        while todo:
+            for w in out.get(todo.pop(), ()):
+                if w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        return seen
+
+    return {(v, w) for v in out for w in reached(v) if w not in out}
+
+
+def test_terminals_of_random_graphs(spark):
+    rng = random.Random(9)
+    for n, k in ((60, 50), (60, 70), (80, 160), (40, 200)):
+        edges = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(k)})
+        got = [(r["start_a"], r["a"]) for r in graph.terminals(
+            spark.createDataFrame(edges, "a long, b long"), ["a"], ["b"]).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_terminals(edges)
+    none = spark.createDataFrame([(1, 2)], "a long, b long").where("false")
+    assert graph.terminals(none, ["a"], ["b"]).count() == 0
+
+
+def test_terminals_of_a_wide_layered_graph(spark, monkeypatch):
+    """No written round is larger than the result."""
+    sizes = []
+    plain = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, path, mode="overwrite": sizes.append((path, plain(df, path, mode))) or sizes[-1][1])
+    width, layers = 100, 6
+    edges = [(layer * width + i, (layer + 1) * width + (i * m + 1) % width) for layer in range(layers) for i in range(width) for m in (1, 3)]
+    got = {(r["start_a"], r["a"]) for r in graph.terminals(spark.createDataFrame(edges, "a long, b long"), ["a"], ["b"]).collect()}
+    assert got == plain_terminals(edges)
+    assert max(df.count() for path, df in sizes if "found" in path) <= len(got)
