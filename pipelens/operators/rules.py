@@ -14,6 +14,8 @@ from pipelens.functions import names as N
 
 BROADCAST_ROW_LIMIT = 200_000
 BROADCAST_BYTE_LIMIT = 64 << 20
+# up to so many regex rules are tried on every name
+FEW_PATTERNS = 64
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
@@ -100,14 +102,59 @@ def match_longest_prefix(df: DataFrame, name, rules: DataFrame, out: str = "_pre
     return df.drop(*[f"_t{i}" for i in range(len(lengths))])
 
 
-def match_regex(df: DataFrame, name, rules: DataFrame, out: str = "_regex") -> DataFrame:
+def sure_literal(pattern) -> F.Column:
+    """The longest text that every match of a regex must hold, upper case; empty
+    where none is sure. Groups, classes, escapes, and characters that a
+    quantifier makes optional cut the pattern into pieces; alternatives, nested
+    groups and nested classes make nothing sure."""
+    p = F.col(pattern) if isinstance(pattern, str) else pattern
+    cut, more = "\u0001", r"(?:[?*+]|\{[^}]*\})?[?+]?"
+    plain = F.regexp_replace(p, r"(?s)\\." + more, cut)
+    plain = F.regexp_replace(plain, r"\[[^\[\]]*\]" + more, cut)
+    plain = F.regexp_replace(plain, r"\([^()]*\)" + more, cut)
+    sure = ~p.rlike(r"\||\(\?|\\[QEx0-9uUcNpPk]|&&") & ~plain.rlike(r"[()\[\]]")
+    plain = F.regexp_replace(plain, r"(?s).(?:[?*]|\{[^}]*\})[?+]?", cut)
+    plain = F.regexp_replace(plain, r"(?s)(.)\+[?+]?", "$1" + cut)
+    pieces = F.split(F.regexp_replace(plain, r"[.^$]", cut), cut)
+    longest = F.element_at(F.array_sort(pieces, lambda x, y: F.length(x) - F.length(y)), -1)
+    return F.when(sure, F.upper(longest)).otherwise("")
+
+
+def _trigrams(text) -> F.Column:
+    t = F.col(text) if isinstance(text, str) else text
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))),
+                                        lambda i: F.substr(t, i, F.lit(3))))
+
+
+def match_regex(df: DataFrame, name, rules: DataFrame, out: str = "_regex",
+                few: int = FEW_PATTERNS) -> DataFrame:
     """``join_rule_regex``: first pattern in file order that matches anywhere,
-    case-insensitive. The distinct names meet the rules once, whatever the
-    number of rules; the hit of the lowest order joins back on the name."""
+    case-insensitive. The distinct names meet the rules once; the hit of the
+    lowest order joins back on the name.
+
+    Beyond ``few`` rules, a pattern with a sure literal of three characters or
+    more is found by one trigram of it, the one that the fewest names hold: names
+    are joined to the patterns by their trigrams, and only these candidates are
+    matched. Patterns without such a literal meet every name."""
     nm = F.col(name) if isinstance(name, str) else name
     rx = rules.where(F.col("match_type") == "regex").select("rule_order", "pattern", F.struct(
         "subject_code", "category", F.array().cast("array<string>").alias("strip")).alias("_t"))
     names = df.select(nm.alias("_rx_name")).where(F.col("_rx_name").isNotNull()).distinct()
-    hits = (names.join(checked_broadcast(rx), F.expr("_rx_name rlike concat('(?i)', pattern)"))
-            .groupBy("_rx_name").agg(F.min_by("_t", "rule_order").alias(out)))
+    matches = F.expr("_rx_name rlike concat('(?i)', pattern)")
+    if rx.limit(few + 1).count() <= few:
+        pairs = names.join(checked_broadcast(rx), matches)
+    else:
+        literal = rx.withColumn("_lit", sure_literal("pattern"))
+        held = names.select("_rx_name", F.explode(_trigrams(F.upper("_rx_name"))).alias("_gram"))
+        rarity = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_held"))
+        # a trigram that no name holds drops its pattern: it cannot match
+        grams = literal.where(F.length("_lit") >= 3).select(
+            "rule_order", "pattern", "_t", "_lit", F.explode(_trigrams("_lit")).alias("_gram"))
+        absent = F.coalesce("_held", F.lit(0))
+        chosen = grams.join(rarity, "_gram", "left").groupBy("rule_order", "pattern", "_t", "_lit").agg(
+            F.min_by("_gram", F.struct(absent, "_gram")).alias("_gram"))
+        found = held.join(chosen, "_gram").where(F.contains(F.upper("_rx_name"), F.col("_lit")) & matches)
+        rest = names.join(checked_broadcast(literal.where(F.length("_lit") < 3).select("rule_order", "pattern", "_t")), matches)
+        pairs = found.select("_rx_name", "rule_order", "_t").unionByName(rest.select("_rx_name", "rule_order", "_t"))
+    hits = pairs.groupBy("_rx_name").agg(F.min_by("_t", "rule_order").alias(out))
     return df.join(hits, nm == F.col("_rx_name"), "left").drop("_rx_name")
