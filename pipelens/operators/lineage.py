@@ -166,45 +166,73 @@ def base_tables_anti(assign: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ star expansion
 
 
-def expand_star(assign: DataFrame, name: str = "star") -> DataFrame:
+def rename_map(assign: DataFrame, subqueries: DataFrame | None = None) -> DataFrame:
+    """(pipeline, _t, _from, _to): the name under which a statement with a star
+    passes a source's column on. ``SELECT *, x AS y`` passes ``x`` on as ``y``;
+    ``subqueries`` (pipeline_id, target_table, source_name, target_name) lists the
+    renames of subqueries below the star. A name renamed twice keeps the smallest."""
+    stars = assign.where(F.col("target_column") == "*").select(P, "target_table").distinct()
+    own = (assign.where((F.col("target_column") != "*") & F.col("source_column").isNotNull())
+           .join(stars, [P, "target_table"], "left_semi")
+           .select(P, F.col("target_table").alias("_t"), F.col("source_column").alias("_from"), F.col("target_column").alias("_to")))
+    if subqueries is not None:
+        own = own.unionByName(subqueries.select(P, F.col("target_table").alias("_t"), F.col("source_name").alias("_from"),
+                                                F.col("target_name").alias("_to")))
+    return own.where("_from != _to").groupBy(P, "_t", "_from").agg(F.min("_to").alias("_to"))
+
+
+def expand_star(assign: DataFrame, name: str = "star", subqueries: DataFrame | None = None) -> DataFrame:
     """``lin_expand_star``: replace ``SELECT *`` rows by one pass-through row
-    per column of the source table (its own columns and, through nested
-    stars, those of the tables it expands). Columns the target defines
-    itself are kept as defined. Returns rows in the assignments schema with
-    ``expression`` null and an extra ``star_owner`` (table owning the column)."""
+    per column of the source table: its own columns and, through nested stars,
+    those of the tables it expands, each under the name that the renames on the
+    way give it (:func:`rename_map`). Columns the target defines itself are kept
+    as defined. Returns rows in the assignments schema with ``expression`` null
+    and extra ``star_owner`` and ``star_column`` (table and column that own it).
+
+    The closure runs over names, not tables: a round passes the names that are
+    new in a table on to the tables that expand it, renamed, and keeps those not
+    yet known there, so the nearest owner wins (then the smallest) and cycles of
+    stars end. Its rows are bounded by the names each table has in the end."""
+    spark = assign.sparkSession
     stars = assign.where(F.col("target_column") == "*").select(
         P, "stmt_order", "target_table", F.col("source_table").alias("_src"))
     own = (assign.where((F.col("target_column") != "*"))
-           .select(P, F.col("target_table").alias("_owner"), F.col("target_column").alias("_col"))
-           .distinct())
-    star_edges = stars.select(P, F.col("target_table").alias("_t"), F.col("_src").alias("_s"))
-    # tables reachable from each star source via further stars (+ itself)
-    chain = graph.reach(star_edges.select(P, F.col("_t").alias("a"), F.col("_s").alias("b")),
-                        [P, "a"], [P, "b"], name=name)
-    reach_from = chain.select(F.col(f"start_{P}").alias(P), F.col("start_a").alias("_s"),
-                              F.col("a").alias("_owner"), "hops")
-    srcs = stars.select(P, "_src").distinct()
-    self_rows = srcs.select(P, F.col("_src").alias("_s"), F.col("_src").alias("_owner"),
-                            F.lit(0).alias("hops"))
-    reach_all = reach_from.unionByName(self_rows)
-    names = (reach_all.join(own, [P, "_owner"])
-             .groupBy(P, "_s", "_col").agg(F.min(F.struct("hops", "_owner"))["_owner"].alias("star_owner")))
-    exp = stars.withColumnRenamed("_src", "_s").join(names, [P, "_s"]).withColumnRenamed("_s", "_src")
-    exp = exp.select(P, "stmt_order", "target_table", F.col("_col").alias("target_column"),
-                     F.lit(None).cast("int").alias("ordinal"),
-                     F.col("_src").alias("source_table"), F.col("_col").alias("source_column"),
-                     F.lit(None).cast("string").alias("expression"), "star_owner")
+           .select(P, F.col("target_table").alias("_t"), F.col("target_column").alias("_name")).distinct())
+    root = scratch_path(spark, name)
+    renames = graph.materialize(rename_map(assign, subqueries), f"{root}/renames")
+    edges = graph.materialize(stars.select(P, F.col("target_table").alias("_t"), F.col("_src").alias("_s"))
+                              .where("_t != _s").distinct(), f"{root}/stars")
+    owner = F.struct(F.col("_t").alias("_owner"), F.col("_name").alias("_column"))
+    needed = edges.select(P, F.col("_s").alias("_t")).distinct()  # tables that some star expands
+    new, told = graph.materialize_observed(own.join(needed, [P, "_t"], "left_semi").withColumn("_of", owner),
+                                           f"{root}/names/round=0", rows=F.count(F.lit(1)))
+    r, onward = 0, edges.join(needed, [P, "_t"], "left_semi")
+    while told["rows"]:
+        r += 1
+        known = spark.read.parquet(f"{root}/names").select(P, "_t", "_name")
+        passed = new.withColumnRenamed("_t", "_s").join(onward, [P, "_s"]).withColumnRenamed("_name", "_from").join(
+            renames, [P, "_t", "_from"], "left").select(P, "_t", F.coalesce("_to", "_from").alias("_name"), "_of")
+        new, told = graph.materialize_observed(
+            passed.groupBy(P, "_t", "_name").agg(F.min("_of").alias("_of")).join(known, [P, "_t", "_name"], "left_anti"),
+            f"{root}/names/round={r}", rows=F.count(F.lit(1)))
+    names = spark.read.parquet(f"{root}/names").select(P, F.col("_t").alias("_src"), F.col("_name").alias("_from"), "_of")
+    exp = (stars.join(names, [P, "_src"])
+           .join(renames.withColumnRenamed("_t", "target_table"), [P, "target_table", "_from"], "left")
+           .select(P, "stmt_order", "target_table", F.coalesce("_to", "_from").alias("target_column"),
+                   F.lit(None).cast("int").alias("ordinal"),
+                   F.col("_src").alias("source_table"), F.col("_from").alias("source_column"),
+                   F.lit(None).cast("string").alias("expression"),
+                   F.col("_of._owner").alias("star_owner"), F.col("_of._column").alias("star_column")))
     # explicit columns of the same target win over expanded ones
-    explicit = own.select(P, F.col("_owner").alias("target_table"), F.col("_col")
-                          .alias("target_column"))
+    explicit = own.select(P, F.col("_t").alias("target_table"), F.col("_name").alias("target_column"))
     return exp.join(explicit, [P, "target_table", "target_column"], "left_anti")
 
 
-def with_stars_expanded(assign: DataFrame, name: str = "star") -> DataFrame:
+def with_stars_expanded(assign: DataFrame, name: str = "star", subqueries: DataFrame | None = None) -> DataFrame:
     """Assignments with star rows replaced by their expansion."""
-    plain = assign.where(F.col("target_column") != "*").withColumn(
-        "star_owner", F.lit(None).cast("string"))
-    return plain.unionByName(expand_star(assign, name))
+    none = F.lit(None).cast("string")
+    plain = assign.where(F.col("target_column") != "*").withColumns({"star_owner": none, "star_column": none})
+    return plain.unionByName(expand_star(assign, name, subqueries))
 
 
 # ------------------------------------------------------------------ base columns
@@ -350,10 +378,10 @@ def final_lineage(assign: DataFrame, default_schema: str | None = None,
     own_expr = a.where(F.col("expression").isNotNull() & ~bare_column("expression")).select(
         P, "target_table", "target_column", "expression")
     star_expr = (a.where(F.col("star_owner").isNotNull())
-                 .select(P, "target_table", "target_column", F.col("star_owner").alias("_o"))
+                 .select(P, "target_table", "target_column", F.col("star_owner").alias("_o"), F.col("star_column").alias("_oc"))
                  .join(own_expr.select(P, F.col("target_table").alias("_o"),
-                                       "target_column", "expression"),
-                       [P, "_o", "target_column"]).drop("_o"))
+                                       F.col("target_column").alias("_oc"), "expression"),
+                       [P, "_o", "_oc"]).drop("_o", "_oc"))
     exprs = own_expr.unionByName(star_expr).groupBy(P, "target_table", "target_column").agg(
         F.sort_array(F.collect_set("expression")).alias("expressions"))
     cols = a.select(P, "target_table", "target_column").distinct()

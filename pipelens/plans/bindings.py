@@ -451,7 +451,7 @@ def _latest(spark, sf):
 
 @register("lin_expand_star")
 def _expand_star(spark, sf):
-    return L.expand_star(L.last_definition(_assign(spark, sf)))
+    return L.expand_star(L.last_definition(_assign(spark, sf))).drop("star_column")
 
 
 @register("lin_base_tables")

@@ -46,6 +46,34 @@ def test_star_expansion_and_last_definition(spark):
     assert f[("u", "z")]["source_columns"] == ["default.base.new"]
 
 
+def test_renames_through_nested_stars(spark):
+    """u expands t, which expands s and passes c1 on as r1; u passes r1 on as q1."""
+    a = _assign(spark, [(1, "s", "c1", 0, "base", "k1", "upper(x.k1)"), (1, "s", "c2", 1, "base", "k2", None),
+                        (2, "t", "*", 0, "s", None, "*"), (2, "t", "r1", 1, "s", "c1", None),
+                        (3, "u", "*", 0, "t", None, "*"), (3, "u", "q1", 1, "t", "r1", None),
+                        (4, "v", "*", 0, "u", None, "*")])
+    rows = {(r["target_table"], r["target_column"]): (r["source_table"], r["source_column"], r["star_owner"], r["star_column"])
+            for r in L.expand_star(a).collect()}
+    assert rows == {("t", "c2"): ("s", "c2", "s", "c2"), ("u", "c2"): ("t", "c2", "s", "c2"),
+                    ("v", "c2"): ("u", "c2", "s", "c2"), ("v", "q1"): ("u", "q1", "u", "q1")}
+    f = {(r["target_table"], r["target_column"]): r["source_columns"] for r in L.final_lineage(a).collect()}
+    assert f[("v", "q1")] == f[("u", "q1")] == f[("t", "r1")] == ["default.base.k1"]
+    assert ("u", "c1") not in f and ("v", "r1") not in f
+
+
+def test_subquery_renames_cycles_and_equal_names(spark):
+    a = _assign(spark, [(1, "s", "a", 0, "base", "k", "f(x.k)"), (1, "s", "b", 1, "base", "l", None), (2, "w", "a", 0, "base", "m", None),
+                        (3, "t", "*", 0, "s", None, "*"), (3, "t", "*", 1, "w", None, "*"), (4, "u", "*", 0, "t", None, "*"),
+                        (5, "x", "*", 0, "y", None, "*"), (6, "y", "*", 0, "x", None, "*"), (6, "y", "own", 1, "base", "o", None)])
+    renamed = spark.createDataFrame([(a.first()[L.P], "t", "a", "z")], f"{L.P} string, target_table string, source_name string, target_name string")
+    rows = sorted((r["target_table"], r["target_column"], r["source_table"], r["source_column"], r["star_owner"], r["star_column"])
+                  for r in L.expand_star(a, subqueries=renamed).collect())
+    assert rows == [("t", "b", "s", "b", "s", "b"), ("t", "z", "s", "a", "s", "a"), ("t", "z", "w", "a", "w", "a"),
+                    ("u", "b", "t", "b", "s", "b"), ("u", "z", "t", "z", "s", "a"), ("x", "own", "y", "own", "y", "own")]
+    plain = {(r["target_table"], r["target_column"], r["source_table"]) for r in L.expand_star(a).collect()}
+    assert {("t", "a", "s"), ("t", "a", "w"), ("u", "a", "t")} <= plain
+
+
 def test_name_fallback(spark):
     a = _assign(spark, [(1, "t1", "v", 0, "base", "v", None), (2, "t2", "v", 0, None, None, "'lit'")])
     f = {(r["target_table"], r["target_column"]): r for r in L.final_lineage(a).collect()}
