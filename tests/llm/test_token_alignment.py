@@ -1,5 +1,6 @@
 """Operator 13 against a plain token-by-token version."""
 
+import bisect
 import hashlib
 from collections import Counter
 
@@ -49,12 +50,14 @@ def plain_rows(rows, tokens):
                 at += len(t)
                 out.append((at, i))
             ends.append(out)
-        links = [(x, y) for e, x in ends[0] for y in dict_of(ends[1]).get(e, [])]
+        at = dict_of(ends[1])
+        links = [(x, y) for e, x in ends[0] for y in at.get(e, [])]
         common = sorted({e for e, _ in ends[0]} & {e for e, _ in ends[1]})
-        groups, low = [], -1
-        for c in common:
-            groups.append("|".join(",".join(str(i) for e, i in side if low < e <= c) for side in ends))
-            low = c
+        members = [([], []) for _ in common]
+        for k, side in enumerate(ends):
+            for e, i in side:
+                members[bisect.bisect_left(common, e)][k].append(str(i))
+        groups = ["|".join(map(",".join, m)) for m in members]
         aligned.append((doc_id, len(a), len(b), links, ";".join(groups), len(groups)))
     total = Counter(link for row in aligned for link in row[3])
     best = Counter()
