@@ -13,19 +13,20 @@ found exactly.
    shingles must hold one it shares with any partner. Documents whose shingles
    found nowhere else fill that prefix have no partner; the others keep their
    shared shingles and the rest of the prefix.
-3. Candidates. Documents with a common prefix shingle are first paired with
-   the smallest of the list only, linear in the list. While the verified links
-   leave lists whose pairs across components are many, further turns pair their
-   members with a few heads of other components, as long as that pays: a
-   share of the pairs must have linked.
-   Then all pairs across components follow, in blocks, so no list fills one
-   task and no link between components is missed.
-4. T-occurrence. The partners of one document, split into blocks when many,
-   form inverted lists of its shingles. Following DivideSkip the longest lists
-   are set aside, the short ones are merged into counts, and documents whose
-   count can still reach T are probed in the long lists by binary search.
-
-Sizes and remaining shingles bound the overlap and drop hopeless pairs early.
+3. Heads. Documents with a common prefix shingle are first paired with the
+   smallest of the list only, linear in the list. Verified pairs give a first
+   set of components.
+4. Blocks. A list that still spans several components is cut into blocks of
+   members, its largest component apart from the others, and pairs of blocks
+   that can link components go to tasks with the members' sets. Lists of the
+   same members are searched once. A task emits a spanning forest of the links
+   it finds, never pairs, so what leaves it is no more than what came in.
+5. T-occurrence. A block of documents is a set of inverted lists. Following
+   DivideSkip a query sets the longest lists aside, merges the short ones into
+   counts, and probes the long lists by binary search for the documents whose
+   count can still reach T.
+
+Sizes and remaining shingles bound the overlap and drop hopeless heads early.
 Shards are as many as ``spark.sql.shuffle.partitions``.
 
 Defined results: a null, empty or blank text has an empty set, size 0, and is
@@ -56,11 +57,9 @@ from pipelens.session import scratch_path
 SHINGLE = 5
 #: Postings and documents that a task holds before it sends them on.
 HOLD, HOLD_DOCS = 2 << 20, 60_000
-#: Rows of one list, or partners of one document, in a task group.
-BLOCK = 1024
-#: Heads per list and turn. All pairs follow when they are few per member, or
-#: fewer than one in so many pairs of a turn linked.
-HEADS, FEW, PAYS = 16, 32, 8
+#: Members of one list, or partners of one document, in a block, and the
+#: shingles of a list's block.
+BLOCK, BLOCK_SHINGLES = 1024, 4 << 20
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -225,43 +224,81 @@ def _survivors(docs: DataFrame, shingle: int, salt: int, shards: int) -> DataFra
             .groupBy("flush").applyInArrow(gather, _DOC))
 
 
+class InvertedLists:
+    """The inverted lists of some records, each a set of distinct shingles."""
+
+    def __init__(self, records: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.sizes = sizes
+        number = np.repeat(np.arange(len(records)), [len(r) for r in records])
+        tokens = np.concatenate(records)
+        order = np.lexsort((number, tokens))
+        tokens = tokens[order]
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[:len(tokens)])
+        self.tokens, self.cuts = tokens[first], np.append(first, len(tokens))
+        self.held = number[order]
+        # (list, record) as one ascending number, for probes of many lists at once
+        self.entries = np.repeat(np.arange(len(first)), np.diff(self.cuts)) * len(records) + self.held
+
+    def search(self, query: np.ndarray, size: int, open_to: np.ndarray) -> np.ndarray:
+        """The records of ``open_to`` (flags) that share at least
+        3/7 (size + their size) shingles with the query."""
+        at = np.searchsorted(self.tokens, query)
+        at[at == len(self.tokens)] = 0
+        at = at[self.tokens[at] == query] if len(self.tokens) else at[:0]
+        # a partner has at least 3/4 of the query's size, so T is at least this
+        least = -(-3 * (size + -(-3 * size // 4)) // 7)
+        if len(at) < least:
+            return at[:0]
+        length = self.cuts[at + 1] - self.cuts[at]
+        # lists set aside: as many as the lowest T leaves room for, the longest
+        # first, fewer when the longest is long (a probe costs its logarithm)
+        aside = min(int(least / (0.01 * np.log2(max(2, int(length.max()))) + 1)), least - 1)
+        by_length = np.argsort(length, kind="stable")
+        short, long = at[by_length[:len(at) - aside]], at[by_length[len(at) - aside:]]
+        length = self.cuts[short + 1] - self.cuts[short]
+        merged = np.repeat(self.cuts[short + 1] - np.cumsum(length), length) + np.arange(length.sum())
+        found = np.bincount(self.held[merged], minlength=len(self.sizes))
+        need = -(-3 * (size + self.sizes) // 7)
+        alive = np.flatnonzero((found >= need - len(long)) & (4 * self.sizes >= 3 * size) & open_to)
+        if len(alive) and len(long):
+            probe = long[:, None] * len(self.sizes) + alive
+            place = np.minimum(np.searchsorted(self.entries, probe), len(self.entries) - 1)
+            found[alive] += (self.entries[place] == probe).sum(0)
+        return alive[found[alive] >= need[alive]]
+
+
 def divide_skip(query: np.ndarray, query_size: int, records: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """Which records share at least 3/7 (query_size + size) shingles with the
     query. ``records`` hold distinct shingles."""
-    wanted = np.sort(query)
-    number = np.repeat(np.arange(len(records)), [len(r) for r in records])
-    tokens = np.concatenate(records)
-    at = np.minimum(np.searchsorted(wanted, tokens), len(wanted) - 1)
-    there = wanted[at] == tokens
-    # inverted lists: the records that hold each shingle of the query, in order
-    order = np.lexsort((number[there], at[there]))
-    lists = number[there][order]
-    cuts = np.searchsorted(at[there][order], np.arange(len(wanted) + 1))
-    length = np.diff(cuts)
-    need = -(-3 * (query_size + sizes) // 7)
-    least = int(need.min())
-    # lists set aside: as many as the lowest T leaves room for, the longest
-    # first, fewer when the longest is long (a probe costs its logarithm)
-    aside = int(least / (0.01 * np.log2(max(2, int(length.max(initial=1)))) + 1))
-    aside = max(0, min(aside, least - 1, len(wanted)))
-    by_length = np.argsort(length, kind="stable")
-    short, long = by_length[:len(wanted) - aside], by_length[len(wanted) - aside:]
-    # the merge of the short lists
-    merged = np.concatenate([np.zeros(0, np.int64), *(lists[cuts[k]:cuts[k + 1]] for k in short)])
-    found = np.bincount(merged, minlength=len(records))
-    alive = np.flatnonzero(found >= need - len(long))
-    for k in long:
-        own = lists[cuts[k]:cuts[k + 1]]
-        if len(own) and len(alive):
-            place = np.minimum(np.searchsorted(own, alive), len(own) - 1)
-            found[alive] += own[place] == alive
     linked = np.zeros(len(records), bool)
-    linked[alive] = found[alive] >= need[alive]
+    linked[InvertedLists(records, sizes).search(query, query_size, ~linked)] = True
     return linked
 
 
+def spanning_links(sets: list[np.ndarray], sizes: np.ndarray, part: np.ndarray, second: np.ndarray) -> list[tuple]:
+    """Links (query, partner) that join the components ``part`` of these
+    documents as all links between the blocks ``~second`` and ``second`` do, or
+    all links among them when ``second`` has none; one for each union."""
+    label = np.unique(part, return_inverse=True)[1]
+    alone = not second.any()
+    partners = np.arange(len(sets)) if alone else np.flatnonzero(second)
+    lists = InvertedLists([sets[i] for i in partners], sizes[partners])
+    links = []
+    for q in np.arange(len(sets)) if alone else np.flatnonzero(~second):
+        open_to = label[partners] != label[q]
+        if alone:
+            open_to[:q + 1] = False
+        if not open_to.any():
+            continue
+        for p in partners[lists.search(sets[q], int(sizes[q]), open_to)]:
+            if label[p] != label[q]:
+                links.append((q, p))
+                label[label == label[p]] = label[q]
+    return links
+
+
 def _search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Step 4 for one document (the row with ``asks``) and a block of partners."""
+    """Step 5 for one document (the row with ``asks``) and a block of partners."""
     rows = table.combine_chunks()
     asks = rows["asks"].to_numpy()
     sets = [np.frombuffer(x.as_buffer(), "<u8") for c in rows["shared"].chunks for x in c]
@@ -295,41 +332,66 @@ def _fits(one, other):
             & (7 * F.least(F.col(f"{one}rest"), F.col(f"{other}rest")) >= 3 * (n + m)))
 
 
-def _across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs of different components between two blocks of a list."""
-    one, other = key[1].as_py(), key[2].as_py()
-    cls, n, rest, part, block = (table[c].to_numpy() for c in ("cls", "n", "rest", "part", "block"))
-    left, right = np.flatnonzero(block == one), np.flatnonzero(block == other)
-    fine = part[left][:, None] != part[right]
-    if one == other:
-        fine &= cls[left][:, None] < cls[right]
-    a, b = n[left][:, None], n[right]
-    fine &= 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
-    fine &= 7 * np.minimum(rest[left][:, None], rest[right]) >= 3 * (a + b)
-    a, b = np.nonzero(fine)
-    a, b = cls[left[a]], cls[right[b]]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def _with_heads(placed: DataFrame, open_lists: DataFrame, turn: int) -> DataFrame:
-    """Members of open lists with a few heads of other components, which a hash
-    picks anew each turn. A document takes part in its longest open list only:
-    the lists of a large group have nearly the same members."""
-    rows = (placed.join(open_lists.select("token", "k"), "token").groupBy("cls", "n", "part")
-            .agg(F.max(F.struct("k", "token", "rest")).alias("m"))
-            .select("cls", "n", "part", "m.token", "m.rest"))
-    heads = rows.groupBy("token").agg(*(
-        F.min(F.struct(F.xxhash64("cls", F.lit(turn * HEADS + i)), "cls", "n", "rest", "part")).alias(f"h{i}")
-        for i in range(HEADS)))
-    pairs = rows.join(heads.select("token", F.array(*(f"h{i}" for i in range(HEADS))).alias("heads")), "token")
-    pairs = pairs.select("cls", "n", "rest", "part", F.explode("heads").alias("h")).where("part != h.part").select(
-        "cls", "n", "rest", F.col("h.cls").alias("hcls"), F.col("h.n").alias("hn"), F.col("h.rest").alias("hrest"))
-    return pairs.where(_fits("", "h")).select(F.least("cls", "hcls").alias("a"), F.greatest("cls", "hcls").alias("b"))
-
-
-def _distinct_pairs(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
-    """Pairs that were not verified before, each once."""
-    return pairs.distinct().join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+_BLOCK_PAIR = ["token", "one", "other"]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Steps 4 and 5 for rows sorted by pair of blocks."""
+    def forest(table: pa.Table) -> pa.RecordBatch:
+        rows = table.combine_chunks()
+        cls, n, part, block = (rows[c].to_numpy() for c in ("cls", "n", "part", "block"))
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in rows["shared"]]
+        links = np.array(spanning_links(sets, n, part, block != rows["one"][0].as_py()), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(cls[links[:, 0]]), pa.array(cls[links[:, 1]])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []  # of the last pair of blocks seen
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in _BLOCK_PAIR], 1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for at, to in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if held and tuple(keys[at]) != last:
+                yield forest(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(at, to - at))
+            last = tuple(keys[at])
+    if held:
+        yield forest(pa.Table.from_batches(held))
+
+
+def _across(lists: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links (a, b) that join what ``parts`` leaves apart."""
+    placed = _written(lists.join(parts.withColumnRenamed("id", "cls"), "cls", "left").select(
+        "token", "cls", "n", F.coalesce("component", "cls").alias("part")), "placed")
+    members = placed.groupBy("token", "part").agg(
+        F.count("*").alias("c"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"),
+        F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    spans = members.groupBy("token").agg(
+        F.sum("c").alias("k"), F.sum("n").alias("n"), F.max(F.struct("c", "part", "n")).alias("most"),
+        F.count("*").alias("parts"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("parts > 1")
+    # lists of the same members are one
+    spans = spans.groupBy("k", "n", "x", "y").agg(F.min(F.struct("token", "most")).alias("l"))
+
+    def blocks(rows, shingles):
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+    spans = spans.select("l.token", F.col("l.most.part").alias("largest"),
+                         blocks(F.col("l.most.c"), F.col("l.most.n")).alias("inner"),
+                         blocks(F.col("k") - F.col("l.most.c"), F.col("n") - F.col("l.most.n")).alias("outer"))
+    # the largest component's blocks come first and do not meet each other
+    inside = F.col("part") == F.col("largest")
+    with_all = F.sequence(F.lit(0), F.col("inner") + F.col("outer") - 1)
+    with_outer = F.sequence(F.col("inner"), F.col("inner") + F.col("outer") - 1)
+    own = F.xxhash64("cls")
+    met = (placed.join(spans, "token")
+           .withColumn("block", F.when(inside, F.pmod(own, "inner")).otherwise(F.col("inner") + F.pmod(own, "outer")).cast("int"))
+           .withColumn("with", F.explode(F.when(inside, with_outer).otherwise(with_all)))
+           .select("cls", "n", "part", "token", "block", F.least("block", "with").alias("one"),
+                   F.greatest("block", "with").alias("other")))
+    return (met.join(sets.select("cls", "shared"), "cls").repartition(*_BLOCK_PAIR).sortWithinPartitions(*_BLOCK_PAIR)
+            .mapInArrow(_forests, "a long, b long"))
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE, shards: int | None = None, id_col: str = "doc_id",
@@ -374,29 +436,8 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, shards: int | None = None,
     pairs = _written(lists.where(F.col("cls") != F.col("hcls")).where(_fits("", "h")).select(
         F.least("hcls", "cls").alias("a"), F.greatest("hcls", "cls").alias("b")).distinct(), "heads")
     links = [_written(_verified(pairs, sets), "links")]
-    tried, grown = [pairs], True
     parts = _written(components(links[0]), "parts")
-    for turn in count():
-        placed = _written(lists.join(parts.withColumnRenamed("id", "cls"), "cls", "left").select(
-            "token", "cls", "n", "rest", F.coalesce("component", "cls").alias("part")), "placed")
-        open_lists = _written(placed.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(
-            F.sum("c").alias("k"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross")
-        ).where("cross > 0"), "open")
-        cross, held = open_lists.agg(F.sum("cross"), F.sum("k")).first()
-        if not cross or cross <= FEW * held or not grown:
-            break
-        found = _written(_distinct_pairs(_with_heads(placed, open_lists, turn), tried), "heads")
-        links.append(_written(_verified(found, sets), "links"))
-        tried.append(found)
-        grown = links[-1].count() * PAYS >= found.count()
-        parts = _written(components(links[-1].unionByName(
-            parts.select(F.col("id").alias("a"), F.col("component").alias("b")))), "parts")
-    across = (placed.join(open_lists.select("token", F.ceil(F.col("k") / BLOCK).alias("blocks")), "token")
-              .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-              .withColumns({"one": F.least("block", "with"), "other": F.greatest("block", "with")})
-              .groupBy("token", "one", "other").applyInArrow(_across, "a long, b long"))
-    links.append(_written(_verified(_written(_distinct_pairs(across, tried), "across"), sets), "links"))
+    links.append(_written(_across(lists, parts, sets), "links"))
     links = reduce(DataFrame.unionByName, links)
     # ids that hold several texts join the classes of these
     held = rows.where("n_shingles > 0 and doc_id is not null").select("cls", "doc_id")
