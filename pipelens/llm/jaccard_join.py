@@ -17,9 +17,9 @@ found exactly.
    smallest of the list only, linear in the list. Verified pairs give a first
    set of components.
 4. Blocks. A list that still spans several components is cut into blocks of
-   members, its largest component apart from the others, and pairs of blocks
-   that can link components go to tasks with the members' sets. Lists of the
-   same members are searched once. A task emits a spanning forest of the links
+   members, its largest component apart from the others. Lists of the same
+   members are searched once. Members whose size and place in the order leave
+   them a partner in another component go to the pair of blocks with their sets. A task emits a spanning forest of the links
    it finds, never pairs, so what leaves it is no more than what came in.
 5. T-occurrence. A block of documents is a set of inverted lists. Following
    DivideSkip a query sets the longest lists aside, merges the short ones into
@@ -333,46 +333,66 @@ def _fits(one, other):
 
 
 _BLOCK_PAIR = ["token", "one", "other"]
+_MEMBER = "cls long, n long, rest long, part long, token long, block int, one int, other int"
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Steps 4 and 5 for rows sorted by pair of blocks."""
-    def forest(table: pa.Table) -> pa.RecordBatch:
-        rows = table.combine_chunks()
-        cls, n, part, block = (rows[c].to_numpy() for c in ("cls", "n", "part", "block"))
-        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in rows["shared"]]
-        links = np.array(spanning_links(sets, n, part, block != rows["one"][0].as_py()), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(cls[links[:, 0]]), pa.array(cls[links[:, 1]])], ["a", "b"])
+def _by_block_pair(rows: DataFrame, search, schema: str) -> DataFrame:
+    """``search`` of the members of every pair of blocks."""
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last pair of blocks seen
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in _BLOCK_PAIR], 1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for at, to in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if held and tuple(keys[at]) != last:
+                    yield from search(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(at, to - at))
+                last = tuple(keys[at])
+        if held:
+            yield from search(pa.Table.from_batches(held).combine_chunks())
 
-    held: list[pa.RecordBatch] = []  # of the last pair of blocks seen
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy() for c in _BLOCK_PAIR], 1)
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-        for at, to in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-            if held and tuple(keys[at]) != last:
-                yield forest(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(at, to - at))
-            last = tuple(keys[at])
-    if held:
-        yield forest(pa.Table.from_batches(held))
+    return rows.repartition(*_BLOCK_PAIR).sortWithinPartitions(*_BLOCK_PAIR).mapInArrow(stream, schema)
+
+
+def _hopeful(rows: pa.Table) -> list[pa.RecordBatch]:
+    """The members whose size and place leave them a partner in another
+    component, if this is the first shingle in common."""
+    n, rest, part, block = (rows[c].to_numpy() for c in ("n", "rest", "part", "block"))
+    left = np.flatnonzero(block == rows["one"][0].as_py())
+    right = np.flatnonzero(block == rows["other"][0].as_py())
+    a, b = n[left][:, None], n[right]
+    fine = (part[left][:, None] != part[right]) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
+    fine &= 7 * np.minimum(rest[left][:, None], rest[right]) >= 3 * (a + b)
+    some = np.zeros(len(n), bool)
+    some[left[fine.any(1)]] = some[right[fine.any(0)]] = True
+    return rows.filter(pa.array(some)).to_batches() if some.any() else []
+
+
+def _forest(rows: pa.Table) -> list[pa.RecordBatch]:
+    """Step 5 for a pair of blocks."""
+    cls, n, part, block = (rows[c].to_numpy() for c in ("cls", "n", "part", "block"))
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in rows["shared"]]
+    links = np.array(spanning_links(sets, n, part, block != rows["one"][0].as_py()), np.int64).reshape(-1, 2)
+    return [pa.RecordBatch.from_arrays([pa.array(cls[links[:, 0]]), pa.array(cls[links[:, 1]])], ["a", "b"])]
 
 
 def _across(lists: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified links (a, b) that join what ``parts`` leaves apart."""
     placed = _written(lists.join(parts.withColumnRenamed("id", "cls"), "cls", "left").select(
-        "token", "cls", "n", F.coalesce("component", "cls").alias("part")), "placed")
+        "token", "cls", "n", "rest", F.coalesce("component", "cls").alias("part")), "placed")
     members = placed.groupBy("token", "part").agg(
-        F.count("*").alias("c"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"),
+        F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("rest").alias("rest"), F.bit_xor(F.xxhash64("cls")).alias("x"),
         F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
     spans = members.groupBy("token").agg(
-        F.sum("c").alias("k"), F.sum("n").alias("n"), F.max(F.struct("c", "part", "n")).alias("most"),
+        F.sum("c").alias("k"), F.sum("n").alias("n"), F.sum("rest").alias("rest"), F.max(F.struct("c", "part", "n")).alias("most"),
         F.count("*").alias("parts"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("parts > 1")
-    # lists of the same members are one
-    spans = spans.groupBy("k", "n", "x", "y").agg(F.min(F.struct("token", "most")).alias("l"))
+    # of lists with the same members, that of their rarest shingle stays: most of
+    # their shingles are still to come there, so the bounds of all pairs hold
+    spans = spans.groupBy("k", "n", "x", "y").agg(F.max(F.struct("rest", "token", "most")).alias("l"))
 
     def blocks(rows, shingles):
         return F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
@@ -388,10 +408,10 @@ def _across(lists: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
     met = (placed.join(spans, "token")
            .withColumn("block", F.when(inside, F.pmod(own, "inner")).otherwise(F.col("inner") + F.pmod(own, "outer")).cast("int"))
            .withColumn("with", F.explode(F.when(inside, with_outer).otherwise(with_all)))
-           .select("cls", "n", "part", "token", "block", F.least("block", "with").alias("one"),
-                   F.greatest("block", "with").alias("other")))
-    return (met.join(sets.select("cls", "shared"), "cls").repartition(*_BLOCK_PAIR).sortWithinPartitions(*_BLOCK_PAIR)
-            .mapInArrow(_forests, "a long, b long"))
+           .select("cls", "n", "rest", "part", "token", "block", F.least("block", "with").cast("int").alias("one"),
+                   F.greatest("block", "with").cast("int").alias("other")))
+    hopeful = _written(_by_block_pair(met, _hopeful, _MEMBER), "hopeful")
+    return _by_block_pair(hopeful.join(sets.select("cls", "shared"), "cls"), _forest, "a long, b long")
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE, shards: int | None = None, id_col: str = "doc_id",
