@@ -3,7 +3,8 @@
 For several n, rolling hashes of the n-word windows of a text tell which
 windows occur twice or more in it; the measure is the share of the text's word
 characters that lie inside such windows. The same is done for whole lines. A
-text fails when a share exceeds the limit for its n.
+text fails when a share exceeds the limit for its n; windows count only beyond
+``ALLOWANCE`` characters, so that one line standing twice does not fail a short text.
 
 The scan is one ``mapInArrow`` without a shuffle. A longer window can only be
 repeated where the shorter one at its place is, so each n looks at the places
@@ -26,9 +27,12 @@ from pyspark.sql import functions as F
 
 from pipelens.llm import blocks as B
 
-#: Largest accepted share of word characters inside repeated n-word windows.
-#: Set so that one line standing twice in a short clean text does not fail it.
-LIMITS = {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25}
+#: Largest accepted share of word characters inside repeated n-word windows:
+#: below the base rule's share of words, and lower for longer windows.
+LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: Word characters in repeated windows that no text fails for: a line
+#: of some 120 characters standing twice.
+ALLOWANCE = 240
 #: Largest accepted share of repeated lines, and of word characters in them.
 LINE_LIMIT, LINE_CHAR_LIMIT = 0.40, 0.30
 MIN_WORDS, BASE_WINDOW, BASE_PERCENT = 10, 5, 20
@@ -71,7 +75,7 @@ def _covered(at: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def measure(block: B.Block, limits: dict[int, float]) -> dict[str, np.ndarray]:
+def measure(block: B.Block, limits: dict[int, float], allowance: int = ALLOWANCE) -> dict[str, np.ndarray]:
     words, rows = B.find_words(block), block.rows
     hasher = B.Hasher(block.data)
     own = hasher(words.start, words.end)
@@ -98,8 +102,9 @@ def measure(block: B.Block, limits: dict[int, float]) -> dict[str, np.ndarray]:
         if n == BASE_WINDOW:
             repeat_words = per_text(words.text[cover]).astype(np.int64)
         if n in limits:
-            share = per_text(words.text[cover], chars[cover]) / np.maximum(total, 1)
-            failed |= share > limits[n]
+            inside = per_text(words.text[cover], chars[cover])
+            share = inside / np.maximum(total, 1)
+            failed |= (share > limits[n]) & (inside > allowance)
             more = share > worst_share
             worst_share[more], worst[more] = share[more], n
 
@@ -131,16 +136,19 @@ def measure(block: B.Block, limits: dict[int, float]) -> dict[str, np.ndarray]:
 
 
 def repetition_rules(docs: DataFrame, limits: dict[int, float] | None = None,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", allowance: int | None = None) -> DataFrame:
     """One row per document with the base counts, the verdict, and the largest
-    window share with its n."""
+    window share with its n. Limits of the caller's own hold from the first
+    character unless an ``allowance`` is given."""
+    if allowance is None:
+        allowance = ALLOWANCE if limits is None else 0
     limits = dict(LIMITS if limits is None else limits)
     B.small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in B.text_blocks(batch.column(1)):
-                out = measure(block, limits)
+                out = measure(block, limits, allowance)
                 ids = batch.column(0).slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays(
                     [ids, *(pa.array(v) for v in out.values())], ["doc_id", *out])

@@ -174,3 +174,63 @@ def test_repetition_verdict(spark):
     assert [got[i].kept for i in range(4)] == [True, True, False, False]
     strict = repetition.repetition_rules(docs, {5: 0.01})
     assert not strict.where("doc_id = 1").first().kept
+
+
+def plain_window_share(text, n):
+    """Share of the word characters inside n-word windows found twice or more."""
+    own, places = words(text), {}
+    for i in range(len(own) - n + 1):
+        places.setdefault(tuple(own[i:i + n]), []).append(i)
+    covered = {j for at in places.values() if len(at) > 1 for i in at for j in range(i, i + n)}
+    inside = sum(len(own[j]) for j in covered)
+    return inside, inside / max(1, sum(map(len, own)))
+
+
+def plain_verdict(text):
+    """The whole rule: base, windows, and lines."""
+    fine = not plain_repetition(text)[-1]
+    for n, limit in repetition.LIMITS.items():
+        inside, share = plain_window_share(text, n)
+        fine &= not (share > limit and inside > repetition.ALLOWANCE)
+    lines = [line for line in (text or "").split("\n") if words(line)]
+    again = [line for i, line in enumerate(lines) if line in set(lines[:i])]
+    size = lambda held: sum(len(w) for line in held for w in words(line))
+    fine &= len(again) <= repetition.LINE_LIMIT * len(lines)
+    return fine and size(again) <= repetition.LINE_CHAR_LIMIT * max(1, size(lines))
+
+
+def repeated_phrases(n, share, size=3000):
+    """Words of one length, the given share of them in n-word phrases that stand
+    twice, each phrase apart from its copy."""
+    fresh = (f"w{i:05d}" for i in range(10**5))
+    phrases = [[next(fresh) for _ in range(n)] for _ in range(round(share * size / (2 * n)))]
+    out = [w for p in phrases for w in [*p, next(fresh)]] + [w for p in phrases for w in [next(fresh), *p]]
+    return " ".join(out + [next(fresh) for _ in range(size - len(out))])
+
+
+def test_repetition_each_limit_decides_alone(spark):
+    limits = repetition.LIMITS
+    texts, only = [], {}
+    for n, limit in limits.items():
+        above = limits.get(n - 1, repetition.BASE_PERCENT / 100)
+        only[len(texts)] = n
+        texts += [repeated_phrases(n, (limit + above) / 2), repeated_phrases(n, limit - 0.005)]
+    # short lines between others: no window is repeated, the lines are
+    lines = len(texts)
+    texts.append("\n".join(f"a{i} b{i}\nx{j}" for j, i in enumerate([*range(60), *range(60)])))
+    texts.append("\n".join(f"a{i} b{i}\nx{j} y{j}" for j, i in enumerate([*range(30), *range(60)])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in repetition.repetition_rules(docs).collect()}
+    for i, n in only.items():
+        others = {k: v for k, v in limits.items() if k != n}
+        assert not got[i].base_failed and not got[i].kept and got[i + 1].kept
+        assert repetition.repetition_rules(docs.where(f"doc_id = {i}"), others).first().kept
+        assert abs(got[i].window_share - plain_window_share(texts[i], n)[1]) < 1e-12
+    assert got[lines].window_share == 0 and not got[lines].base_failed and not got[lines].kept and got[lines + 1].kept
+    assert [got[i].kept for i in range(len(texts))] == [plain_verdict(t) for t in texts]
+
+
+def test_repetition_verdict_of_given_table(documents, awkward):
+    for docs in (documents, awkward):
+        got = rows_of(repetition.repetition_rules(docs), "doc_id", "kept")
+        assert got == sorted(((r.doc_id, plain_verdict(r.text)) for r in docs.collect()), key=repr)
