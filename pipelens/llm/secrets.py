@@ -3,8 +3,9 @@
 Three fixed patterns give the base spans. The lexer then reads each text as
 source or configuration: it splits statements into name-literal pairs (``name =
 "literal"``, ``name: literal``, ``"name": "literal"``, ``export NAME=literal``,
-``<name>literal</name>``), carries constants through plain name-to-name
-assignments (``a = "..."; db_password = a``), and scores every literal by the
+``<name>literal</name>``, ``held["name"] = "literal"``, ``name: type =
+"literal"``), carries constants through plain name-to-name assignments (``a =
+"..."; db_password = a``, in either order), leaves calls alone, and scores every literal by the
 most sensitive name that holds it, its length, its character mix and entropy.
 Under a weak name (``key``, ``session``) only a long literal that looks random
 reaches ``threshold``; words with spaces count as a passphrase under a strong
@@ -61,9 +62,12 @@ PHRASE_WORDS, PHRASE_LETTERS, PHRASE_WEIGHT = 4, 3, 0.9
 _SENTENCE = frozenset("the and for with your you our are was this that has not from please enter must can will".split())
 #: A literal can be this long; longer runs are data, not credentials.
 LITERAL = r'"(?P<dq>[^"\\\n]*(?:\\.[^"\\\n]*)*)"|\'(?P<sq>[^\'\\\n]*(?:\\.[^\'\\\n]*)*)\'|(?P<bare>[A-Za-z0-9+/_.=~!@%^&*$-]+)'
-PAIR = re.compile(rf"""["']?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{{0,63}})["']?[ \t]*(?::=|=>|[:=](?!=))[ \t]*(?:{LITERAL})|<(?P<tag>[A-Za-z_][A-Za-z0-9_.\-]{{0,63}})>(?P<body>[^<>\n]+)</(?P=tag)>""")
+#: A type between a name and its sign: ``name: str =``, ``name string =``.
+TYPE = r"(?:[ \t]*:[ \t]*(?P<type>[A-Za-z_][A-Za-z0-9_.\[\]]{0,63})(?=[ \t]*=(?!=))|[ \t]+string(?=[ \t]*=(?!=)))?"
+PAIR = re.compile(rf"""["']?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{{0,63}})["']?\]?{TYPE}[ \t]*(?::=|=>|[:=](?!=))[ \t]*(?:{LITERAL})|<(?P<tag>[A-Za-z_][A-Za-z0-9_.\-]{{0,63}})>(?P<body>[^<>\n]+)</(?P=tag)>""")
 _SIGN = re.compile(r"[:=>]")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_FILE = re.compile(r"[^/]*(?:/[^/]*)+\.[A-Za-z][A-Za-z0-9]{1,4}\Z")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 _PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|none|null|true|false|todo|changeme|example|\[SECRET\]|\$\{.*|<.*|%.*%)\Z")
 
@@ -99,7 +103,9 @@ def _entropy(value: str) -> float:
 
 def looks_random(value: str) -> bool:
     """Whether a long literal mixes letters and digits as generated keys do,
-    unlike identifiers, paths and dates."""
+    unlike identifiers, file paths and dates; a path does where a part does."""
+    if "/" in value and _FILE.match(value):
+        return any(looks_random(p) for p in re.split(r"[/.]", value))
     if len(value) < RANDOM_LENGTH or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
         return False
     turns = sum(a.isalnum() and b.isalnum() and (a.isdigit() != b.isdigit() or a.islower() and b.isupper())
@@ -135,16 +141,33 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
         return []
     literals: dict[str, tuple[int, int, str]] = {}  # name -> last literal it holds
     weights: dict[tuple[int, int, str], float] = {}
+    later: dict[str, str] = {}  # name -> the name it takes its literal from, unknown so far
     for m in PAIR.finditer(text):
         name, group = (m["name"], next((g for g in ("dq", "sq", "bare") if m[g] is not None), None)) \
             if m["name"] else (m["tag"], "body")
-        if group is None:
+        if group is None or group == "bare" and text[m.end():m.end() + 1] == "(":  # a call, no literal
             continue
         value = m[group]
-        held = literals.get(value) if group == "bare" and _IDENTIFIER.match(value) else None
+        constant = group == "bare" and _IDENTIFIER.match(value)
+        held = literals.get(value) if constant else None
         literal = held or (m.start(group), m.end(group), value)
         literals[name] = literal
-        weights[literal] = max(weights.get(literal, 0.0), name_weight(name))
+        later.pop(name, None)
+        if constant and not held and value != name:
+            later[name] = value
+        # what looks like a type may be the name: both count
+        weight = max(name_weight(name), name_weight(m["type"] or ""))
+        weights[literal] = max(weights.get(literal, 0.0), weight)
+    # constants that are set further down, through any number of names
+    for first in later:
+        name, way = first, {}
+        while name in later and name not in way:
+            way[name] = None
+            name = later[name]
+        if name in literals and name not in later:
+            weights.pop(literals[first], None)
+            weights[literals[name]] = max(weights.get(literals[name], 0.0), name_weight(first))
+            later.update(dict.fromkeys(way, name))  # the next to come this way go straight
     found = []
     for (start, end, value), weight in weights.items():
         if weight and (score := literal_score(value, weight)) >= threshold:

@@ -136,6 +136,17 @@ def test_redaction_cuts_overlaps_once(spark):
     assert got.columns == docs.columns
     assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, 'a [SECRET]" b', None), (2, None, 3), (3, "clean", 4)]
 
+def test_secret_forms_of_assignment():
+    """Subscripts, types, constants set further down; calls and paths are none."""
+    value = "q7Rw2ZkP9xLmT4vB"
+    for text in (f'config["db_pwd"] = "{value}"', f'pwd: str = "{value}"', f'const dbPwd string = "{value}"',
+                 f'note: pwd = "{value}"', f'db_pwd = RAW\nRAW = "{value}"', f'db_pwd = FIRST\nFIRST = OTHER\nOTHER = "{value}"',
+                 f'a = b\nb = a\npwd = "{value}"'):
+        spans = secrets.literal_spans(text)
+        assert [text[s.start:s.end] for s in spans] == [value], text
+    for text in ('pwd = os.environ.get("PWD")', 'key = "assets/img2021/a1b2c3/file99x8.png"', "pwd = pwd", "pwd == other_name_1"):
+        assert secrets.literal_spans(text) == [], text
+
 
 # --- repetition -----------------------------------------------------------
 
