@@ -281,6 +281,34 @@ def test_sum_of_squares_takes_the_smallest_growth():
         assert packer.open == packer.levels.sum()
 
 
+def test_sum_of_squares_with_few_open_windows():
+    """The level array runs to the end; every id is placed once, in bounded space."""
+    rng = np.random.default_rng(1)
+    for sizes in (rng.integers(1, 16, 2000), np.full(500, 11), np.full(50, 1), [], [16, 32, 47]):
+        packer, rows = packing.SumOfSquares(16, 8, 0), []
+        for doc, size in enumerate(sizes):
+            rows += packer.put(doc, np.arange(size, dtype=np.uint32))
+            assert packer.open == packer.levels.sum() <= 8
+        rows += packer.close()
+        found = pd.DataFrame(rows, columns=[c.split()[0] for c in packing.SCHEMA.split(", ")])
+        for doc, own in found.sort_values("start").groupby("doc_id"):
+            assert own.length.sum() == sizes[doc] and (own.start == own.length.cumsum() - own.length).all()
+        filled = found.groupby("sequence_id").agg(total=("length", "sum"), by=("closed_by", "first"))
+        assert (filled.total[filled.by != "end"] == 16).all()
+        assert ((filled.total & (filled.total - 1)) == 0).all()
+        assert (filled.by == "end").sum() <= 8 + 4
+
+
+def test_sum_of_squares_carries_the_packing(spark):
+    """At least 80 % of the shared sequences of eight partitions come from the level array."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8, "doc_id")
+    shared = packing.pack(docs, VOCABULARY).where("closed_by <> 'document'").groupBy("closed_by").agg(
+        F.countDistinct("sequence_id").alias("n"))
+    n = {r.closed_by: r.n for r in shared.collect()}
+    print("closed by", n)
+    assert n["level"] >= 0.8 * sum(n.values())
+
+
 # --- the pipeline ---------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
