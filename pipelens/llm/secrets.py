@@ -1,16 +1,16 @@
 """Secret scans by assignment-aware lexing (operator 4).
 
-Three fixed patterns give the base spans. The lexer then reads each text as
-source or configuration: it splits statements into name-literal pairs (``name =
-"literal"``, ``name: literal``, ``"name": "literal"``, ``export NAME=literal``,
-``<name>literal</name>``, ``held["name"] = "literal"``, ``name: type =
-"literal"``), carries constants through plain name-to-name assignments (``a =
-"..."; db_password = a``, in either order), leaves calls alone, and scores every literal by the
-most sensitive name that holds it, its length, its character mix and entropy.
-Under a weak name (``key``, ``session``) only a long literal that looks random
-reaches ``threshold``; words with spaces count as a passphrase under a strong
-name, or by a random-looking word. Literals that reach ``threshold`` become
-spans of kind ``literal``.
+Three fixed patterns give the base spans. The lexer (``assignments``) then reads
+each text as source or configuration into name-literal pairs. Sensitivity goes
+from the names back through constants, however long the chain and whichever is
+written first, each assignment once, with the heaviest name that reaches it.
+The literals of an assignment, joined, are scored by that name's weight, their
+length, their character mix and entropy. Under a weak name (``key``,
+``session``) only a long literal that looks random reaches ``threshold``; words
+with spaces count as a passphrase under a strong name, or by a random-looking
+word; arguments of a call count where they look random. Literals that reach
+``threshold``, each part of a joined one, become spans of kind ``literal``, as do
+passwords in addresses (``scheme://user:password@host``).
 
 One ``mapInArrow`` without a shuffle; a text is lexed only where it has an
 assignment sign. Spans count code points, ends exclusive.
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipelens.llm import blocks as B
+from pipelens.llm.assignments import Constants, Part, assignments
 
 # Base kinds in their order, with their patterns and least sizes.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -41,7 +42,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "literal")
 
-#: Weight of a name part; a name scores as its heaviest part.
+#: Weight of a name part, plurals too; a name scores as its heaviest part.
 NAME_WEIGHT = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "apikey": 1.0,
     "privatekey": 1.0, "accesskey": 1.0, "credential": 0.9, "credentials": 0.9, "token": 0.9,
@@ -60,15 +61,11 @@ RANDOM_LENGTH, RANDOM_BITS, RANDOM_TURNS, RANDOM_PART = 12, 40.0, 0.2, 0.7
 #: common in sentences, and a name of at least this weight.
 PHRASE_WORDS, PHRASE_LETTERS, PHRASE_WEIGHT = 4, 3, 0.9
 _SENTENCE = frozenset("the and for with your you our are was this that has not from please enter must can will".split())
-#: A literal can be this long; longer runs are data, not credentials.
-LITERAL = r'"(?P<dq>[^"\\\n]*(?:\\.[^"\\\n]*)*)"|\'(?P<sq>[^\'\\\n]*(?:\\.[^\'\\\n]*)*)\'|(?P<bare>[A-Za-z0-9+/_.=~!@%^&*$-]+)'
-#: A type between a name and its sign: ``name: str =``, ``name string =``.
-TYPE = r"(?:[ \t]*:[ \t]*(?P<type>[A-Za-z_][A-Za-z0-9_.\[\]]{0,63})(?=[ \t]*=(?!=))|[ \t]+string(?=[ \t]*=(?!=)))?"
-PAIR = re.compile(rf"""["']?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{{0,63}})["']?\]?{TYPE}[ \t]*(?::=|=>|[:=](?!=))[ \t]*(?:{LITERAL})|<(?P<tag>[A-Za-z_][A-Za-z0-9_.\-]{{0,63}})>(?P<body>[^<>\n]+)</(?P=tag)>""")
+URL_PASSWORD = re.compile(r"""://[^\s:/@"'<>]*+:(?P<password>[^\s/@"'<>]++)@""")
 _SIGN = re.compile(r"[:=>]")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _FILE = re.compile(r"[^/]*(?:/[^/]*)+\.[A-Za-z][A-Za-z0-9]{1,4}\Z")
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+_ATTRIBUTE = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\Z")
 _PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|none|null|true|false|todo|changeme|example|\[SECRET\]|\$\{.*|<.*|%.*%)\Z")
 
 SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "
@@ -94,7 +91,7 @@ def base_spans(text: str) -> list[Span]:
 def name_weight(name: str) -> float:
     parts = [p.lower() for p in _PARTS.findall(name)]
     pairs = [a + b for a, b in zip(parts, parts[1:], strict=False)]
-    return max((NAME_WEIGHT.get(p, 0.0) for p in parts + pairs), default=0.0)
+    return max((NAME_WEIGHT.get(p, 0.0) or NAME_WEIGHT.get(p.removesuffix("s"), 0.0) for p in parts + pairs), default=0.0)
 
 
 def _entropy(value: str) -> float:
@@ -139,40 +136,40 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """Literals whose target names, followed through constants, are sensitive."""
     if not _SIGN.search(text):
         return []
-    literals: dict[str, tuple[int, int, str]] = {}  # name -> last literal it holds
-    weights: dict[tuple[int, int, str], float] = {}
-    later: dict[str, str] = {}  # name -> the name it takes its literal from, unknown so far
-    for m in PAIR.finditer(text):
-        name, group = (m["name"], next((g for g in ("dq", "sq", "bare") if m[g] is not None), None)) \
-            if m["name"] else (m["tag"], "body")
-        if group is None or group == "bare" and text[m.end():m.end() + 1] == "(":  # a call, no literal
-            continue
-        value = m[group]
-        constant = group == "bare" and _IDENTIFIER.match(value)
-        held = literals.get(value) if constant else None
-        literal = held or (m.start(group), m.end(group), value)
-        literals[name] = literal
-        later.pop(name, None)
-        if constant and not held and value != name:
-            later[name] = value
-        # what looks like a type may be the name: both count
-        weight = max(name_weight(name), name_weight(m["type"] or ""))
-        weights[literal] = max(weights.get(literal, 0.0), weight)
-    # constants that are set further down, through any number of names
-    for first in later:
-        name, way = first, {}
-        while name in later and name not in way:
-            way[name] = None
-            name = later[name]
-        if name in literals and name not in later:
-            weights.pop(literals[first], None)
-            weights[literals[name]] = max(weights.get(literals[name], 0.0), name_weight(first))
-            later.update(dict.fromkeys(way, name))  # the next to come this way go straight
-    found = []
-    for (start, end, value), weight in weights.items():
-        if weight and (score := literal_score(value, weight)) >= threshold:
-            found.append(Span(start, 3, end, score))
-    return sorted(found)
+    spans: dict[tuple[int, int], float] = {}
+
+    def keep(parts: list[Part], weight: float) -> None:
+        score = literal_score("".join(p.value for p in parts), weight)
+        if score >= threshold:
+            for p in parts:
+                if p.end > p.start:
+                    spans[p.start, p.end] = max(score, spans.get((p.start, p.end), 0.0))
+
+    found = assignments(text)
+    constants = Constants(found)
+    weights = [max(map(name_weight, a.names)) for a in found]
+    reached: set[int] = set()
+    for first in sorted((i for i, w in enumerate(weights) if w), key=lambda i: -weights[i]):
+        weight, ways = weights[first], [first]
+        while ways:
+            if (i := ways.pop()) in reached:
+                continue
+            reached.add(i)
+            own = []
+            for part in found[i].parts:
+                k = constants.of(part.ref, i)
+                if k is not None:
+                    ways.append(k)
+                    if len(found[k].parts) == 1 and constants.of(found[k].parts[0].ref, k) is None:
+                        own.append(found[k].parts[0])  # a constant inside a joined value
+                elif part.quoted or len(found[i].parts) == 1 and part.ref != found[i].names[0] and (
+                        looks_random(part.value) or not _ATTRIBUTE.match(part.value)):
+                    own.append(part)
+            if not found[i].argument or any(looks_random(p.value) for p in own):
+                keep(own, weight)
+    for m in URL_PASSWORD.finditer(text):
+        keep([Part(*m.span("password"), m["password"], None, True)], 1.0)
+    return sorted(Span(start, KINDS.index("literal"), end, score) for (start, end), score in spans.items())
 
 
 def scan_text(text: str, threshold: float = THRESHOLD) -> list[Span]:

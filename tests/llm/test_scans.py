@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 
+import pytest
 from llm_cases import LOWER, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -148,6 +150,78 @@ def test_secret_forms_of_assignment():
         assert secrets.literal_spans(text) == [], text
 
 
+V, W = "q7Rw2ZkP9xLmT4vB", "Zx81Kq0PlU77aWeD"
+
+
+@pytest.mark.parametrize("text", [
+    # Python
+    f'config["db"]["password_hash"] = "{V}"', f'pwd: str = "{V}"', f'pwd: Optional[str] = r"{V}"', f'pwd = """{V}"""',
+    f"pwd = \'\'\'\n{V}\n\'\'\'", f'pwd = (\n    "{V}"\n)', f'pwd = \\\n    "{V}"', f'self.db_pwd = b"{V}"',
+    f'connect(user="me", pwd="{V}")', f'pwd = os.environ.get("DB_PWD", "{V}")', f'pwd = SecretStr("{V}")',
+    f'pwds = ["x", "{V}"]', f'# pwd = "{V}"', f'settings = dict(raw="{V}")\ndb_pwd = settings["raw"]',
+    # JavaScript, Java, Go, PHP, Rust
+    f'const dbPwd string = "{V}"', f'dbPwd := "{V}"', f'const dbPwd = `{V}`;', f'private static final String PWD = "{V}";',
+    f'let o = {{ pwd: "{V}" }}', f"$o = ['pwd' => '{V}'];", f'let pwd: &str = "{V}";', f'x.pwd = new Secret("{V}")',
+    # shell
+    f"export DB_PWD={V}", f"RAW={V}\nexport DB_PWD=$RAW", f'RAW={V}\nDB_PWD="${{RAW}}"', f"DB_PWD=$RAW\nRAW={V}",
+    # JSON, YAML
+    f'{{"a": 1, "db pwd": "{V}"}}', f'{{"pwd": {{"value": "{V}"}}}}', f'{{"pwd":\n  "{V}"}}',
+    f'{{"name": "DB_PWD", "value": "{V}"}}', f'x = "{{\\"pwd\\": \\"{V}\\"}}"',
+    f"pwd: {V}", f"db:\n  pwd: |\n    {V}\n  user: someone", f"pwd: >-\n  {V}\n", f"base: &p {V}\ndb:\n  pwd: *p",
+    f"pwd:\n  value: {V}\nuser:\n  value: {W}", f"env:\n  - name: DB_PWD\n    value: {V}",
+    # TOML, ini, XML
+    f'[database.pwd]\nvalue = "{V}"', f"[db]\npwd={V}", f"<pwd>{V}</pwd>", f'<pwd type="x">\n  {V}\n</pwd>',
+    f'<add key="db.pwd" value="{V}"/>', f'<db user="me" pwd="{V}"/>',
+    # constants
+    f'db_pwd = FIRST\nFIRST = OTHER\nOTHER = "{V}"', f'a = b\nb = a\npwd = "{V}"',
+    # addresses
+    f"see https://me:{V}@host/path", f'url = "postgres://me:{V}@host:5432/db"', f'c = "Server=x;Pwd={V};"',
+])
+def test_secret_syntaxes(text):
+    assert [text[s.start:s.end] for s in secrets.literal_spans(text)] == [V]
+
+
+@pytest.mark.parametrize("text", [
+    f'pwd = "{V[:8]}" + "{V[8:]}"', f'pwd = ("{V[:8]}"\n       "{V[8:]}")', f"$pwd = '{V[:8]}' . '{V[8:]}';",
+    f'a = "{V[:8]}"\npwd = a + "{V[8:]}"', f'a = "{V[:8]}"\nb = "{V[8:]}"\npwd = a + b',
+])
+def test_secret_joined_literals(text):
+    assert [text[s.start:s.end] for s in secrets.literal_spans(text)] == [V[:8], V[8:]]
+
+
+@pytest.mark.parametrize("text", [
+    'pwd = os.environ.get("PWD")', 'pwd = os.environ["DB_PASSWORD_PROD1"]', 'pwd = getpass("Enter the pwd of db1: ")', "DB_PWD=$RAW_VALUE_1a2b",
+    'pwd = get_value("database1", region)', "pwd: *missing", "it's pwd isn't = 'it", 'if pwd == "q7Rw2ZkP9xLmT4vB":',
+    'https://user:password@host', "<pwd></pwd>", 'value = "q7Rw2ZkP9xLmT4vB"', 'key = "assets/img2021/a1b2c3/file99x8.png"',
+    "pwd = pwd", 'name = "pwd"\ncolor = "q7Rw2ZkP9xLmT4vB"', "", "=", "pwd =", 'pwd = "', "pwd = (", "pwd: |", "pwd: |\n", "[", "<a>",
+    "token = self.special_form", 'def of(a) -> Secret:\n    """Counts after their discounts"""', "pwd = FIRST\nFIRST = pwd",
+])
+def test_secret_nothing_to_find(text):
+    assert secrets.literal_spans(text) == []
+
+
+def test_secret_lexer_in_linear_time():
+    """Doubling a text about doubles the work, also where nothing is closed."""
+    for part in ('\\"', '"', "'", "`", '"""', "a=", "a:", "a: b ", "<a ", "<a>", "[", "a = (", "a:|\n", "pwd = a + ", "a_b", "a=b;b=a;", " ",
+                 '{"value": "a=b"},', 'a1 = "x" + a1\n', "&a ", "$a", "a:\n ", "x.y[", '"a":', "pwd=f(", "a\\\n"):
+        times = []
+        for size in (40_000, 160_000):
+            text = part * (size // len(part))
+            start = time.process_time()
+            secrets.literal_spans("x = " + text)
+            times.append(time.process_time() - start)
+        assert times[1] < 8 * times[0] + 0.5, (part, times)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["pwd", "a", "value", "name", "=", ": ", '"', "'", "`", "\n", "  ", "(", ")", "[", "]", "{", "}", "\\", "$", "&", "*",
+                                 "<", ">", "</", "|", "+", ",", "https://", "@", "é", V, '"""', "get("]), max_size=25).map("".join))
+def test_secret_spans_of_any_text(text):
+    spans = secrets.literal_spans(text)
+    assert all(0 <= s.start < s.end <= len(text) and s.score >= secrets.THRESHOLD for s in spans)
+    assert spans == sorted(set(spans))
+
+
 # --- repetition -----------------------------------------------------------
 
 def plain_repetition(text):
