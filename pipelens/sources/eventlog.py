@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, LongType, MapType, StringType, StructField,
                                StructType)
 
+from pipelens.operators.rules import checked_broadcast
 from pipelens.session import scratch_path
 
 L, S = LongType(), StringType()
@@ -115,12 +116,14 @@ def _app_keys(raw: DataFrame) -> DataFrame:
 
 
 def _with_app(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Application of each row. ``keys`` is broadcast after its size check: by
+    shuffle all events of a log would meet in one task."""
     return df.join(keys, "log_file", "inner").drop("log_file")
 
 
 def normalize(raw: DataFrame) -> dict[str, DataFrame]:
     """Raw events -> normalised tables, all keyed by ``app_id``."""
-    keys = _app_keys(raw)
+    keys = checked_broadcast(_app_keys(raw))
     version = route(raw, "log_start").groupBy("log_file").agg(
         F.first("Spark Version", ignorenulls=True).alias("spark_version"))
     apps = (route(raw, "app_start")

@@ -141,3 +141,27 @@ def test_dated_log_folders_keep_their_applications(spark):
             f"{out}/date=2026-01-01")
     t = EL.normalize(EL.read_event_log(spark, out))
     assert sorted((r.app_id, r.task_id) for r in t["tasks"].collect()) == [("app-1", 5), ("app-2", 9)]
+
+
+def test_event_log_is_compressed_and_rolls(spark, monkeypatch):
+    monkeypatch.setattr(D, "EVENTS_PER_FILE", 2)
+    rows = _tasks(spark)
+    many = rows.unionByName(rows.withColumn("task_id", F.col("task_id") + 100)).coalesce(1)
+    out = _scratch(spark, "evlog")
+    D.write_event_log(many, _stages(spark), out)
+    files = [f for f in os.listdir(f"{out}/eventlog_v2_app=app-1") if f.startswith("part-")]
+    assert len(files) >= 3 and all(f.endswith(".gz") for f in files)
+    t = EL.normalize(EL.read_event_log(spark, out))
+    assert sorted(r.task_id for r in t["tasks"].collect()) == [10, 11, 12, 110, 111, 112]
+
+
+def test_events_of_one_log_do_not_meet_in_a_task(spark):
+    out, key = _scratch(spark, "evlog"), "spark.sql.autoBroadcastJoinThreshold"
+    D.write_event_log(_tasks(spark), _stages(spark), out)
+    raw, before = EL.ingest(spark, out), spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as with more keys' files than the threshold
+    try:
+        plan = EL.normalize(raw)["tasks"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
