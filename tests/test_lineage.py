@@ -1,6 +1,10 @@
 from pyspark.sql import functions as F
 
+from pipelens.operators import graph
 from pipelens.operators import lineage as L
+from pipelens.plans import lineage_jobs as LJ
+from pipelens.session import scratch_path
+from pipelens.sources import driver_tables as D
 
 SCHEMA = ("pipeline_id string, stmt_order long, target_table string, target_column string, "
           "ordinal int, source_table string, source_column string, expression string")
@@ -150,3 +154,60 @@ def test_multi_line_ctas(spark):
                                "pipeline_id string, stmt_order long, sql_text string")
     got = [(r["source_column"], r["target_column"]) for r in L.simple_ctas(st).orderBy("position").collect()]
     assert got == [("x", "x"), ("y", "z")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _written(spark, df, name):
+    return graph.materialize(df, scratch_path(spark, name))
+
+
+def test_last_definition_broadcasts_nothing(spark):
+    rows = [(1, "t", "a", 0, "b", "x", None), (2, "t", "a", 0, "b", "y", None), (2, "t", "c", 1, "b", "z", None),
+            (2, "t", "c", 1, "b", "z", None), (1, None, "a", 0, "b", "x", None), (None, "u", "a", 0, "b", "x", None),
+            (None, "v", "a", 0, "b", "x", None), (3, "v", "a", 0, "b", "w", None)]
+    a = _written(spark, _assign(spark, rows), "last-test")
+    last = L.last_definition(a)
+    assert "Broadcast" not in _plan(last)
+    assert sorted((r.target_table, r.target_column, r.source_column) for r in last.collect()) == [
+        ("t", "a", "y"), ("t", "c", "z"), ("t", "c", "z"), ("v", "a", "w")]
+
+
+def test_joins_of_written_tables_are_not_broadcast(spark):
+    a = _written(spark, _assign(spark, [(1, "s", "x", 0, "b", "k", None), (2, "t", "y", 0, "s", "x", "upper(s.x)"),
+                                        (3, "u", "z", 0, "t", "q", None)]), "hint-test")
+    edges, nodes = L.multi_hop_edges(a), L.multi_hop_nodes(a)
+    assert "Broadcast" not in _plan(edges) and "Broadcast" not in _plan(nodes)
+    got = {(r.source, r.target) for r in edges.where("flow_type = 'column_level'").collect()}
+    assert got == {("b.k", "s.x"), ("b.k", "t.y")}
+    hop = LJ.multi_hop(a)
+    assert "Broadcast" not in _plan(hop) and hop.count() == 5
+
+
+def test_sides_above_the_limit_are_shuffled(spark, monkeypatch):
+    rows = [(1, "t1", "*", 0, "t0", None, "*"), (0, "t0", "x", 0, "b", "k", None), (0, "t0", "q", 1, None, None, "'n'"),
+            (2, "t2", "y", 0, "t1", "x", None), (2, "t2", "y", 0, "t1", "q", None), (3, "t3", "z", 0, "t2", "y", None),
+            (4, "t4", "q", 0, "c", "q", None), (5, "t5", "v", 0, "t3", "z", None), (5, "t5", "v", 0, "t2", "y", None)]
+    a = _written(spark, _assign(spark, rows), "sized-test")
+
+    def result():
+        f = {(r.target_table, r.target_column, tuple(r.source_columns)) for r in L.final_lineage(a).collect()}
+        nodes, edges = L.multi_hop_nodes(a), L.multi_hop_edges(a)
+        up = {(r.graph_id, r.id) for r in LJ.upstream_of_label(nodes, edges, "v").collect()}
+        return f, up, {tuple(r) for r in LJ.union_sources(L.last_definition(a)).collect()}
+
+    small = result()
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    assert "Broadcast" not in _plan(graph.sized(a, 1).join(graph.sized(a, 1), "pipeline_id"))
+    assert result() == small
+    assert ("t5", "v", ("default.b.k", "default.c.q")) in small[0]
+
+
+def test_keys_are_dealt_out_before_they_become_rows(spark, tmp_path):
+    spark.range(60).selectExpr("id AS p_partkey", "int(id % 50) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    a = D.assignments(spark, str(tmp_path))
+    assert "hashpartitioning(p_partkey" in _plan(a)
+    assert {(r.target_table, r.source_table, r.source_column) for r in a.where("stmt_order = 17").collect()} == {
+        ("t17_REPORT", "t8", "c0"), ("t17_REPORT", "raw.t5", "c1"), ("t17_REPORT", "t8", "c3"), ("t17_REPORT", "t8", "c2")}
