@@ -161,6 +161,12 @@ def parse_name(name, version: int = 2) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once: what a lambda or a
+    higher-order function names twice, Spark evaluates twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean_tokens(s) -> Column:
     """Per-token ``alnum_upper`` of ``s.split('_')`` with one regex per row:
     deleting every char outside [A-Z0-9_] from the upper-cased string keeps
@@ -168,16 +174,25 @@ def clean_tokens(s) -> Column:
     return F.split(F.regexp_replace(F.upper(_c(s)), "[^A-Z0-9_]", ""), "_", -1)
 
 
+def kept_tokens(name) -> Column:
+    """All tokens after the first, alnum-upper, at least 3 long, that are no
+    schedule or noise token."""
+    return F.filter(let(clean_tokens(strip_ws(name)), lambda tk: _tail(tk, 2)),
+                    lambda c: (F.length(c) >= 3) & ~c.isin(*SCHEDULE_TOKENS, *NOISE_TOKENS))
+
+
+def first_candidates(kept, extra_skip: Column | None = None) -> Column:
+    """The first two of :func:`kept_tokens` that are no extra-skip token."""
+    kept = _c(kept)
+    if extra_skip is not None:
+        kept = let(extra_skip, lambda skip: F.filter(kept, lambda c: ~F.array_contains(skip, c)))
+    return F.slice(kept, 1, 2)
+
+
 def candidate_tokens(name, extra_skip: Column | None = None) -> Column:
     """``fn_candidate_tokens``: tokens after the first, alnum-upper, not a
     schedule / noise / extra-skip token, at least 3 long; first two."""
-    cleaned = _tail(clean_tokens(strip_ws(name)), 2)
-    skip = F.array_union(_arr(SCHEDULE_TOKENS), _arr(NOISE_TOKENS))
-    if extra_skip is not None:
-        skip = F.array_union(skip, extra_skip)
-    kept = F.filter(cleaned, lambda c: (c != "") & (~F.array_contains(skip, c))
-                    & (F.length(c) >= 3))
-    return F.slice(kept, 1, 2)
+    return first_candidates(kept_tokens(name), extra_skip)
 
 
 def category_from_tokens(name) -> Column:
@@ -235,18 +250,20 @@ def clean_suffix(body, app_code, strip_tokens) -> Column:
     In order: drop the app-code token; drop each subject token once; drop
     category tokens; ``\\bLOAD\\b`` -> ``LD`` (``_`` is a word char, so LOAD
     between underscores stays); drop tokens with at most one alnum char."""
-    app_clean = alnum_upper(app_code)
-    z = F.arrays_zip(F.split(_c(body), "_", -1).alias("p"), clean_tokens(body).alias("c"))
-    z = F.filter(z, lambda t: t["c"] != app_clean)
-    cleaned = F.transform(z, lambda t: t["c"])
     strip = F.coalesce(_c(strip_tokens), F.array().cast("array<string>"))
-    z = F.when(F.size(strip) > 0, F.filter(
-        z, lambda t, i: ~(F.array_contains(strip, t["c"])
-                          & (F.array_position(cleaned, t["c"]) == i + 1)))).otherwise(z)
-    z = F.filter(z, lambda t: ~F.array_contains(_arr(CATEGORY_STRIP), t["c"]))
+
+    def without_strip(z: Column) -> Column:
+        cleaned = F.transform(z, lambda t: t["c"])
+        return F.when(F.size(strip) > 0, F.filter(
+            z, lambda t, i: ~(F.array_contains(strip, t["c"])
+                              & (F.array_position(cleaned, t["c"]) == i + 1)))).otherwise(z)
+
+    z = F.arrays_zip(F.split(_c(body), "_", -1).alias("p"), clean_tokens(body).alias("c"))
+    z = let(alnum_upper(app_code), lambda app: F.filter(z, lambda t: t["c"] != app))
+    z = F.filter(let(z, without_strip), lambda t: ~t["c"].isin(*CATEGORY_STRIP))
     joined = F.regexp_replace(F.array_join(F.transform(z, lambda t: t["p"]), "_"),
                               r"(?i)\bLOAD\b", "LD")
-    z = F.filter(F.arrays_zip(F.split(joined, "_", -1).alias("p"), clean_tokens(joined).alias("c")),
+    z = F.filter(let(joined, lambda s: F.arrays_zip(F.split(s, "_", -1).alias("p"), clean_tokens(s).alias("c"))),
                  lambda t: F.length(t["c"]) > 1)
     return F.array_join(F.transform(z, lambda t: t["p"]), "_")
 
@@ -302,6 +319,7 @@ def status(is_exception, needs_review, violations) -> Column:
         .otherwise(base)
 
 
-def notes(note_cols: list[Column], violations) -> Column:
-    """Notes then violations, joined by ``; `` (nulls skipped)."""
-    return F.array_join(F.concat(F.array_compact(F.array(*note_cols)), _c(violations)), "; ")
+def notes(note_cols: list[Column] | Column, violations) -> Column:
+    """Notes (columns, or one array) then violations, joined by ``; `` (nulls skipped)."""
+    found = note_cols if isinstance(note_cols, Column) else F.array_compact(F.array(*note_cols))
+    return F.array_join(F.concat(found, _c(violations)), "; ")

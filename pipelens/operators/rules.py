@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipelens.functions import names as N
+from pipelens.operators import graph
 
 BROADCAST_ROW_LIMIT = 200_000
 BROADCAST_BYTE_LIMIT = 64 << 20
@@ -127,7 +128,7 @@ def _trigrams(text) -> F.Column:
 
 
 def match_regex(df: DataFrame, name, rules: DataFrame, out: str = "_regex",
-                few: int = FEW_PATTERNS) -> DataFrame:
+                few: int = FEW_PATTERNS, path: str | None = None) -> DataFrame:
     """``join_rule_regex``: first pattern in file order that matches anywhere,
     case-insensitive. The distinct names meet the rules once; the hit of the
     lowest order joins back on the name.
@@ -135,7 +136,10 @@ def match_regex(df: DataFrame, name, rules: DataFrame, out: str = "_regex",
     Beyond ``few`` rules, a pattern with a sure literal of three characters or
     more is found by one trigram of it, the one that the fewest names hold: names
     are joined to the patterns by their trigrams, and only these candidates are
-    matched. Patterns without such a literal meet every name."""
+    matched. Patterns without such a literal meet every name.
+
+    With ``path`` the hits are written there and counted first: a broadcast that
+    is planned only when they are known comes after the rows have been shuffled."""
     nm = F.col(name) if isinstance(name, str) else name
     rx = rules.where(F.col("match_type") == "regex").select("rule_order", "pattern", F.struct(
         "subject_code", "category", F.array().cast("array<string>").alias("strip")).alias("_t"))
@@ -157,4 +161,7 @@ def match_regex(df: DataFrame, name, rules: DataFrame, out: str = "_regex",
         rest = names.join(checked_broadcast(literal.where(F.length("_lit") < 3).select("rule_order", "pattern", "_t")), matches)
         pairs = found.select("_rx_name", "rule_order", "_t").unionByName(rest.select("_rx_name", "rule_order", "_t"))
     hits = pairs.groupBy("_rx_name").agg(F.min_by("_t", "rule_order").alias(out))
+    if path is not None:
+        hits, told = graph.materialize_observed(hits, path, rows=F.count(F.lit(1)))
+        hits = graph.sized(hits, told["rows"])
     return df.join(hits, nm == F.col("_rx_name"), "left").drop("_rx_name")

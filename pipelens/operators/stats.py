@@ -26,6 +26,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipelens.operators import graph
 from pipelens.session import scratch_path
 
 DEFAULT_BUCKETS = 64
@@ -106,11 +107,23 @@ def _of(metric: str | None, x: Column, also: Column | None = None) -> Column:
     return F.when(rows if also is None else rows & also, x)
 
 
+def _points_below(low: int, high: int, order_col: str) -> Column:
+    """Number of the sorted ``_splits`` below ``order_col``, known to be from
+    ``low`` to ``high``: a binary search in comparisons of columns."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(F.col(order_col) > F.col("_splits")[mid], _points_below(mid + 1, high, order_col)).otherwise(
+        _points_below(low, mid, order_col))
+
+
 def _with_buckets(df: DataFrame, g: list[str], order_col: str, buckets: int,
                   split_min: int, out: str = "bucket") -> DataFrame:
     """Add ``out``: 0 for groups of at most ``split_min`` rows, else the number
     of ``approx_percentile`` split points below ``order_col`` (monotone in it).
-    The split-point table has one row per hot group only (broadcast by AQE)."""
+    The split-point table has one row per hot group only; it is written and
+    counted, so that the rows are neither shuffled to meet it nor joined at all
+    where no group is hot."""
     if buckets <= 1:
         return df.withColumn(out, F.lit(0))
     keys = g or ["_all"]
@@ -118,12 +131,16 @@ def _with_buckets(df: DataFrame, g: list[str], order_col: str, buckets: int,
     probs = [k / buckets for k in range(1, buckets)]
     hot = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gsize"))
            .where(F.col("_gsize") > split_min).select(*keys))
-    splits = (d.join(hot, on=keys, how="left_semi").groupBy(*keys)
+    root, rows = scratch_path(df.sparkSession, "splits"), F.count(F.lit(1))
+    hot, told = graph.materialize_observed(hot, f"{root}/hot", rows=rows)
+    if not told["rows"]:
+        return df.withColumn(out, F.lit(0))
+    splits = (d.join(graph.sized(hot, told["rows"]), on=keys, how="left_semi").groupBy(*keys)
               .agg(F.percentile_approx(order_col, probs, 10000).alias("_splits")))
-    d = d.join(splits, on=keys, how="left")
-    below = F.size(F.filter("_splits", lambda s_: s_ < F.col(order_col)))
-    d = d.withColumn(out, F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(below)) \
-        .drop("_splits")
+    splits = graph.materialize(splits, f"{root}/points")
+    d = d.join(graph.sized(splits, told["rows"]), on=keys, how="left")
+    d = d.withColumn(out, F.when(F.col("_splits").isNull(), F.lit(0))
+                     .otherwise(_points_below(0, len(probs), order_col))).drop("_splits")
     return d if g else d.drop("_all")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pipelens.functions import names as N
 from pipelens.operators import ids, rules as R
-from pipelens.operators.graph import materialize
+from pipelens.operators.graph import materialize, materialize_observed, sized
 from pipelens.session import scratch_path
 
 OUTPUT_COLUMNS = ["old_job_name", "new_job_name", "status", "notes", "app_code", "instance",
@@ -63,8 +63,8 @@ def prepare_jobs(jobs: DataFrame) -> DataFrame:
 def token_pair_freq(jobs: DataFrame) -> DataFrame:
     """``agg_token_pair_freq``: count of (first, second) candidate tokens over
     all non-empty names, only pairs of total length <= 6 (no app-code skip)."""
-    c = N.candidate_tokens("job_name")
-    return (jobs.where(F.col("job_name") != "").select(c.alias("_c"))
+    kept = "_kept" if "_kept" in jobs.columns else N.kept_tokens("job_name")
+    return (jobs.where(F.col("job_name") != "").select(N.first_candidates(kept).alias("_c"))
             .where(N.pair_fits("_c"))
             .groupBy(N.at("_c", 1).alias("_p0"), N.at("_c", 2).alias("_p1"))
             .agg(F.count(F.lit(1)).alias("_pair_count")))
@@ -76,7 +76,7 @@ def _lookup_with_default(df: DataFrame, key: F.Column, rules: DataFrame, out: st
     return df.withColumn(f"_{out}_hit", hit)
 
 
-def _finish(df: DataFrame, note_cols: list[F.Column], is_exception: F.Column,
+def _finish(df: DataFrame, found: F.Column, is_exception: F.Column,
             needs_review: F.Column, detail: bool = False) -> DataFrame:
     name = N.build_name("app_code", "instance", "env", "schedule", "as_job_type",
                         "subject_code", "etl_type", "job_id_num", "suffix")
@@ -86,13 +86,13 @@ def _finish(df: DataFrame, note_cols: list[F.Column], is_exception: F.Column,
     df = df.withColumn("_viol", viol)
     if detail:
         return (df.withColumn("status", N.status(is_exception, needs_review, "_viol"))
-                .withColumn("notes", N.notes(note_cols, "_viol"))
+                .withColumn("notes", N.notes(found, "_viol"))
                 .withColumn("job_id", N.zfill4("job_id_num")))
     return df.select(
         "input_order",
         F.col("job_name").alias("old_job_name"), "new_job_name",
         N.status(is_exception, needs_review, "_viol").alias("status"),
-        N.notes(note_cols, "_viol").alias("notes"),
+        N.notes(found, "_viol").alias("notes"),
         "app_code", "instance", "env", "schedule", "as_job_type", "subject_code", "etl_type",
         N.zfill4("job_id_num").alias("job_id"), "suffix",
         F.col("job_type").alias("original_job_type"))
@@ -103,8 +103,11 @@ def rename_v2(jobs: DataFrame, rule_set: RuleSet, instance_code: str, env_code:
     """``job_rename_v2``: returns ``input_order`` + the 14 audit columns
     (``detail=True`` keeps every intermediate column)."""
     inst, env = _check_codes(instance_code, env_code)
-    prepared = prepare_jobs(jobs)
-    pairs = token_pair_freq(prepared)
+    root = scratch_path(jobs.sparkSession, "rename-v2")
+    # read for the pair counts, for the regex rules and for the jobs themselves
+    prepared = prepare_jobs(jobs).withColumn("_kept", N.kept_tokens("job_name"))
+    prepared = materialize(prepared, f"{root}/prepared")
+    pairs, n_pairs = materialize_observed(token_pair_freq(prepared), f"{root}/pairs", rows=F.count(F.lit(1)))
     j = prepared.withColumn("_p", N.parse_name("job_name", 2))
     app = N.app_code_v2("application_name", "_p.app_prefix")
     j = j.withColumn("app_code", app["app_code"]).withColumn("_app_exc", app["is_exception"])
@@ -123,11 +126,11 @@ def rename_v2(jobs: DataFrame, rule_set: RuleSet, instance_code: str, env_code:
     sr = R.subject_rules(rule_set.subject)
     j = R.match_exact(j, "job_name", sr)
     j = R.match_longest_prefix(j, "job_name", sr)
-    j = R.match_regex(j, "job_name", sr)
-    cands = N.candidate_tokens("job_name", F.array(N.alnum_upper("app_code")))
-    j = j.withColumn("_cands", cands).withColumn("_d0", N.at("_cands", 1)) \
+    j = R.match_regex(j, "job_name", sr, path=f"{root}/regex")
+    cands = N.first_candidates("_kept", F.array(N.alnum_upper("app_code")))
+    j = j.withColumn("_cands", cands).drop("_kept").withColumn("_d0", N.at("_cands", 1)) \
         .withColumn("_d1", N.at("_cands", 2))
-    j = j.join(pairs, (F.col("_d0") == F.col("_p0")) & (F.col("_d1") == F.col("_p1")), "left") \
+    j = j.join(sized(pairs, n_pairs["rows"]), (F.col("_d0") == F.col("_p0")) & (F.col("_d1") == F.col("_p1")), "left") \
         .drop("_p0", "_p1")
     derived = N.derive_subject("_cands", "_pair_count")
     tier4 = F.struct(derived["subject_code"].alias("subject_code"),
@@ -143,10 +146,8 @@ def rename_v2(jobs: DataFrame, rule_set: RuleSet, instance_code: str, env_code:
                                     F.lower("category")), F.lit(N.CATEGORY_ID_START["other"]))
     j = j.withColumn("_gk_subject", F.upper("subject_code")).withColumn("_gk_cat", F.lower("category"))
     # one written copy feeds the numbering's three branches (and cuts lineage)
-    j = materialize(j, scratch_path(j.sparkSession, "rename-v2"))
-    j = ids.sequence_number(j, ["_gk_subject", "_gk_cat"], "input_order", "_seq", buckets)
-    j = j.withColumn("job_id_num", (start + F.col("_seq") - 1).cast("long"))
-    # suffix
+    j = materialize(j, f"{root}/jobs")
+    # suffix, and the notes: before the numbering, whose shuffle then carries their texts
     full = N.clean_suffix("_p.suffix_body", "app_code", "_subj.strip")
     j = j.withColumn("_suffix_full", full).withColumn("suffix", N.cut_suffix("_suffix_full"))
     echo = F.substring("subject_code", 1, 5) == F.col("app_code")
@@ -165,7 +166,10 @@ def rename_v2(jobs: DataFrame, rule_set: RuleSet, instance_code: str, env_code:
     ]
     review = (~F.col("_sched_hit")) | (~F.col("_ast_hit")) | F.col("_derived") | echo \
         | (~F.col("_etl_hit"))
-    return _finish(j, notes, F.col("_app_exc"), review, detail)
+    j = j.withColumns({"_notes": F.array_compact(F.array(*notes)), "_review": review})
+    j = ids.sequence_number(j, ["_gk_subject", "_gk_cat"], "input_order", "_seq", buckets)
+    j = j.withColumn("job_id_num", (start + F.col("_seq") - 1).cast("long"))
+    return _finish(j, F.col("_notes"), F.col("_app_exc"), F.col("_review"), detail)
 
 
 def rename_v1(jobs: DataFrame, rule_set: RuleSet, instance_code: str, env_code: str,
@@ -220,7 +224,7 @@ def rename_v1(jobs: DataFrame, rule_set: RuleSet, instance_code: str, env_code:
                N.fmt(N.NOTE_TRUNCATED, length=F.length("_suffix_full"))),
     ]
     review = (~F.col("_sched_hit")) | (~F.col("_ast_hit")) | unknown | (~F.col("_etl_hit"))
-    return _finish(j, notes, ~F.col("_app_hit"), review, detail)
+    return _finish(j, F.array_compact(F.array(*notes)), ~F.col("_app_hit"), review, detail)
 
 
 def status_summary(renamed: DataFrame) -> DataFrame:

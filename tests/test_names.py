@@ -148,3 +148,32 @@ def test_many_regex_rules_after_repartition(spark):
                                  "job_name string").repartition(7)
     got = {r.job_name: r._regex and r._regex.subject_code for r in R.match_regex(jobs, "job_name", table).collect()}
     assert got == {f"job{i}_x": f"S{i}" for i in range(0, 1000, 7)} | {"NONE_7_": "LAST", None: None}
+
+
+def test_clean_suffix_names_each_step_once(spark):
+    """A step named twice is evaluated twice by Spark; steps that build on each
+    other then multiply."""
+    df = spark.createDataFrame([("MORTA_LOAN_LOAD_A1_LOAN", "MORTA", ["LOAN"]), (None, "MORTA", None), ("A_BC", None, ["BC"])],
+                               "body string, app string, strip array<string>")
+    out = df.select(N.clean_suffix("body", "app", "strip").alias("r"))
+    assert [r.r for r in out.collect()] == ["LOAD_A1_LOAN", None, ""]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("upper(app") == 1 and plan.count(r"(?i)\bLOAD\b") == 1
+
+
+def test_jobs_are_shuffled_for_the_numbering_only(spark):
+    """Pair counts and regex hits are written and broadcast; the write of the
+    jobs has no shuffle."""
+    from pipelens.sources import driver_tables as D
+    jobs = spark.createDataFrame([(i, f"TXNDW_D_AB{i % 3}_CDE_BX", "CMD", "Txn") for i in range(40)],
+                                 "input_order long, job_name string, job_type string, application_name string")
+    seen = []
+    write, rename.materialize = rename.materialize, lambda df, path: (seen.append(df), write(df, path))[1]
+    try:
+        out = rename.rename_v2(jobs, D.rule_set(spark), "E01", "P")
+    finally:
+        rename.materialize = write
+    assert out.count() == 40
+    plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join " in x]
+    assert joins and all("strategy=broadcast" in x for x in joins)

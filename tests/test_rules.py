@@ -42,3 +42,13 @@ def test_regex_rules_join_by_trigram(spark):
     assert out.where("_regex IS NOT NULL").count() == 3000
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "_gram" in plan
+
+
+def test_written_regex_hits_are_broadcast(spark, tmp_path):
+    """With hits written and counted, the jobs are not shuffled to meet them."""
+    rules = rule_rows(spark, ["^LOAN", "FEE$"])
+    names = spark.createDataFrame([("LOAN_A", 1), ("x_fee", 2), ("other", 3), (None, 4)], "name string, k int")
+    out = R.match_regex(names, "name", rules, path=str(tmp_path / "hits"))
+    assert {r.k: r._regex and r._regex.subject_code for r in out.collect()} == {1: "S0", 2: "S1", 3: None, 4: None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "Aggregate" not in plan

@@ -100,3 +100,18 @@ def test_task_skew_and_corr(spark):
     assert sk[1]["skew_ratio"] == pytest.approx(30 / 20)
     c = stats.correlation(df, [], "output_rows", "task_runtime", "c").collect()[0]["c"]
     assert c == pytest.approx(np.corrcoef([10, 30, 5], [1, 3, 2])[0, 1])
+
+
+def test_buckets_of_hot_groups_by_compared_points(spark):
+    """Rows meet the split points by a broadcast join and comparisons, not by a
+    lambda over all points; where no group is hot they meet nothing."""
+    rows = [(0, (i * 37) % 500) for i in range(500)] + [(1, i) for i in range(20)] + [(0, None), (None, 5)]
+    df = spark.createDataFrame(rows, "g int, v int")
+    out = stats._with_buckets(df, ["g"], "v", 8, 100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "lambda" not in plan
+    points = df.where("g = 0").select(F.percentile_approx("v", [k / 8 for k in range(1, 8)], 10000).alias("p")).first()["p"]
+    got = sorted(out.collect(), key=str)
+    assert got == sorted(((g, v, sum(p < v for p in points) if g == 0 and v is not None else 0) for g, v in rows), key=str)
+    plan = stats._with_buckets(df, ["g"], "v", 8, 1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
