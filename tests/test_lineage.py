@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pipelens.operators import graph
@@ -211,3 +212,62 @@ def test_keys_are_dealt_out_before_they_become_rows(spark, tmp_path):
     assert "hashpartitioning(p_partkey" in _plan(a)
     assert {(r.target_table, r.source_table, r.source_column) for r in a.where("stmt_order = 17").collect()} == {
         ("t17_REPORT", "t8", "c0"), ("t17_REPORT", "raw.t5", "c1"), ("t17_REPORT", "t8", "c3"), ("t17_REPORT", "t8", "c2")}
+
+
+def test_valid_names_trim_once_per_rule_set(spark):
+    """One pattern for all rules; before, each of them trimmed the name again."""
+    names = ["a", " _x1 ", "é", "9", "a9", "", " ", "a'b", "a(b", "a,b", "a\nb", "a\n", "\ta", "a.b", "-a", "[a", "a[b]", "CASE ", "cases", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    plan = _plan(df.where(L.valid_column_name("name")))
+    assert plan.count("regexp_replace") <= 2
+    assert [r.name for r in df.where(L.valid_column_name("name")).collect()] == [
+        "a", " _x1 ", "é", "a9", "a\n", "\ta", "a.b", "a[b]", "cases"]
+
+
+def _lineage_part(spark, folder):
+    spark.range(60).selectExpr("id AS p_partkey", "int(id % 50) AS p_size").coalesce(1).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_fallback_reads_written_columns_and_bases(spark, tmp_path):
+    """Ends, columns and known bases are made once, not at each of their uses."""
+    latest = L.written_last_definition(D.assignments(spark, _lineage_part(spark, tmp_path)), "fallback-test")
+    a = _written(spark, L.with_stars_expanded(latest), "fallback-test-a")
+    ends = _written(spark, L.column_terminals(a, defined=L.defined_tables(latest)), "fallback-test-ends")
+    files = L.name_fallback(a, ends).inputFiles()
+    assert any("/columns/" in f for f in files) and any("/known/" in f for f in files)
+
+
+def test_schema_join_never_broadcasts_the_tables(spark, tmp_path, monkeypatch):
+    """Above the limit nothing is broadcast; below it the schemas are, not the tables."""
+    from pipelens.plans import bindings
+    folder = _lineage_part(spark, tmp_path)
+    few = bindings.REGISTRY["fn_schema_prefix"](spark, folder)
+    rows = {tuple(r) for r in few.collect()}
+    assert "BuildRight" in _plan(few) and "BuildLeft" not in _plan(few)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    many = bindings.REGISTRY["fn_schema_prefix"](spark, folder)
+    assert {tuple(r) for r in many.collect()} == rows and "Broadcast" not in _plan(many)
+
+
+@pytest.fixture(scope="module")
+def resolved(spark, tmp_path_factory):
+    """One folder of part with its resolved lineage and base tables, made once."""
+    folder = _lineage_part(spark, tmp_path_factory.mktemp("resolved"))
+    tables = L.resolve(D.assignments(spark, folder), True, "query-plans")
+    return folder, tables, _written(spark, L.base_tables(tables[0]), "query-plans-bases")
+
+
+@pytest.mark.parametrize("key", [
+    "agg_sources_per_target", "fn_truncate_logic", "graph_column_edges", "graph_edge_details", "graph_hub_edges",
+    "graph_table_edges", "job_column_lineage", "job_multi_hop", "lin_final", "lin_multi_hop_edges", "lin_validate_fix",
+    "set_dedup_edges", "set_missing_refs", "set_unique_details", "set_unused_sources", "set_dedup_nodes",
+    "lin_multi_hop_nodes", "fn_column_refs"])
+def test_lineage_queries_broadcast_no_tables(spark, resolved, monkeypatch, key):
+    """The files here are far below Spark's limit: a join side left to it is broadcast."""
+    from pipelens.plans import bindings
+    folder, tables, bases = resolved
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(L, "resolve", lambda *args, **more: tables)
+    monkeypatch.setattr(L, "base_tables", lambda *args, **more: bases)
+    assert "Broadcast" not in _plan(bindings.REGISTRY[key](spark, folder))
