@@ -152,3 +152,32 @@ def test_terminals_of_a_wide_layered_graph(spark, monkeypatch):
     got = {(r["start_a"], r["a"]) for r in graph.terminals(spark.createDataFrame(edges, "a long, b long"), ["a"], ["b"]).collect()}
     assert got == plain_terminals(edges)
     assert max(df.count() for path, df in sizes if "found" in path) <= len(got)
+
+
+def test_terminals_rounds_read_written_steps(spark, monkeypatch):
+    """The edges between branching nodes are made once; few new pairs pick the known ones
+    that they meet, so that a round with few pairs does not shuffle all that are known."""
+    rounds, pushed = {}, set()
+    plain = graph.materialize_observed
+
+    def noted(df, path, **aggregates):
+        if "/found/" in path:
+            rounds[int(path.rsplit("=", 1)[1])] = df
+        if "/pushed/" in path:
+            pushed.add(int(path.rsplit("=", 1)[1]))
+        return plain(df, path, **aggregates)
+
+    monkeypatch.setattr(graph, "materialize_observed", noted)
+    rng = random.Random(11)
+    edges = [(v, w) for v in range(1, 150) for w in {v // 2, v // 3}] + [(5, 17), (9, 90), (9, 9)]
+    edges += [(v, 1000 + rng.randrange(9)) for v in range(1, 150, 7)]
+    edges = sorted({(a, b) for a, b in edges if a % 13 or b >= 1000})
+    for limit, few in ((60, True), (10_000, False)):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", limit)
+        rounds.clear(), pushed.clear()
+        got = [(r["start_a"], r["a"]) for r in graph.terminals(spark.createDataFrame(edges, "a long, b long"), ["a"], ["b"]).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_terminals(edges)
+        assert len(rounds) > 2 and all(not any("/core/" in f for f in df.inputFiles()) for r, df in rounds.items() if r)
+        assert bool(pushed) == few
+        for r in pushed:
+            assert "SortMergeJoin" not in rounds[r]._jdf.queryExecution().executedPlan().toString()
