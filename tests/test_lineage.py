@@ -238,6 +238,26 @@ def test_fallback_reads_written_columns_and_bases(spark, tmp_path):
     assert any("/columns/" in f for f in files) and any("/known/" in f for f in files)
 
 
+def test_few_donors_leave_the_base_columns_in_place(spark, tmp_path, monkeypatch):
+    """Counted donors are broadcast; above the limit the join is a shuffle and gives the same rows."""
+    latest = L.written_last_definition(D.assignments(spark, _lineage_part(spark, tmp_path)), "donors-test")
+    a = _written(spark, L.with_stars_expanded(latest), "donors-test-a")
+    ends = _written(spark, L.column_terminals(a, defined=L.defined_tables(latest)), "donors-test-ends")
+    plans, written = [], graph.materialize_observed
+
+    def seen(df, path, **k):
+        if path.endswith(("/given1", "/given2")):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, path, **k)
+    monkeypatch.setattr(graph, "materialize_observed", seen)
+    few = L.name_fallback(a, ends).collect()
+    assert len(plans) == 2 and all("rightHint=(strategy=broadcast)" in p for p in plans)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    many = L.name_fallback(a, ends).collect()
+    assert len(plans) == 4 and all("rightHint=(strategy=merge)" in p for p in plans[2:])
+    assert few and sorted(map(tuple, few)) == sorted(map(tuple, many))
+
+
 def test_schema_join_never_broadcasts_the_tables(spark, tmp_path, monkeypatch):
     """Above the limit nothing is broadcast; below it the schemas are, not the tables."""
     from pipelens.plans import bindings
